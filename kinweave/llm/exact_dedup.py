@@ -22,8 +22,11 @@ from kinweave.llm.storage import cut, fresh_path
 
 #: Rows of a lookup that is broadcast (some 100 bytes each); a larger one is joined by shuffling.
 BROADCAST_ROWS = 100_000
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Many small stores share a disk: they don't reserve space ahead (4 MB each otherwise).
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -42,8 +45,9 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 def run_stream(spark: SparkSession, staged: str, schema, checkpoint: str, files_per_batch: int | None = None) -> None:
     """Feed what is new below ``staged`` into the state; call it again as rows arrive."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(schema)
         if files_per_batch:
@@ -51,10 +55,8 @@ def run_stream(spark: SparkSession, staged: str, schema, checkpoint: str, files_
         sink = keyed(reader.parquet(staged)).writeStream.format("noop").outputMode("update")
         sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
