@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("url_filter", "media", "mixing", "exact_dedup", "bpe", "lm_scoring")
+_MODULES = ("url_filter", "media", "mixing", "exact_dedup", "bpe", "lm_scoring", "language_id")
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _name in _MODULES:
