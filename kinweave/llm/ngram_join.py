@@ -38,6 +38,8 @@ from kinweave.llm.words import U64, mix, shingle_sets, word_hashes
 WIDTH = 5
 PAIRS_UP_TO = 4
 GROUP_LIMIT = 4096
+#: Ids in a look-up that is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 #: Bytes of text for each bucket of the look-up in step 2.
 BUCKET_BYTES = 8 << 20
 
@@ -277,8 +279,27 @@ class ShingleJoin:
         self.links = links
         self.classes = classes.join(found, "c", "left").select("c", "n", "ident", F.coalesce("component", "ident").alias("component"))
         joined = self.meta.join(self.classes.select("c", "component", F.col("ident").alias("__first")), "c", "left")
+        self._docs, self._id, self._text = docs, id_col, text_col
         self.rows = joined.select(F.col("ident").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("ident")).otherwise(F.col("component")).alias("component_id"))
 
+    def kept(self) -> DataFrame:
+        """The documents of which one stays for each component, the one with its id; repeated rows of that one go.
+
+        Texts without words aren't linked with anything and stay, as do texts whose ids are all null, one a component.
+        """
+        docs, ident = self._docs, self._docs[self._id]
+        gone = self.rows.where("n_shingles > 0").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+        gone = cut(gone)
+        many = gone.count()
+        side = F.broadcast(gone) if many <= BROADCAST_ROWS else gone
+        out = docs.join(side, ident.eqNullSafe(gone["doc_id"]), "left_anti")
+        twins = cut(self.rows.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+        if twins.isEmpty():
+            return out
+        side = F.broadcast(twins) if twins.count() <= BROADCAST_ROWS else twins
+        again = out.join(side, ident.eqNullSafe(twins["doc_id"]), "left_semi").dropDuplicates([self._id])
+        return out.join(side, ident.eqNullSafe(twins["doc_id"]), "left_anti").unionByName(again)
+
     def _alive(self, texts: DataFrame, classes: DataFrame) -> DataFrame:
         """The classes with enough shingles that others have, with a number ``cid`` each."""
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
