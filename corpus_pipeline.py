@@ -1,11 +1,62 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: language ID, exact deduplication, near-duplicate join, source mixing, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the
+next stage's ``docs``. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinweave.llm.bpe import encode
+from kinweave.llm.exact_dedup import ExactDedup
+from kinweave.llm.language_id import LanguageId, held_out
+from kinweave.llm.mixing import repeated
+from kinweave.llm.ngram_join import ShingleJoin
+from kinweave.llm.storage import fresh_path
+
+#: Least mean probability of the predicted language; with less, or without a letter, a document goes.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language that the model recognises."""
+    model = LanguageId(docs, train=~held_out(F.col("doc_id")))
+    return model.predict(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return ExactDedup(docs).kept()
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked texts: the one with the smallest id."""
+    return ShingleJoin(docs).kept()
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return repeated(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document."""
+    return encode(docs.select("doc_id", "text"), digest_only=True)
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("source_mixing", mix), ("bpe_encoding", tokens)]
+
+#: A trained model decides in the first stage; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
