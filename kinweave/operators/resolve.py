@@ -8,7 +8,7 @@ hits need no review.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,7 +27,8 @@ class Options:
     fuzzy_threshold: float = 0.82
     entropy_threshold: float = 2.0
     embedding_threshold: float = 0.85
-    phonetic_schemes: Sequence[Scheme] = field(default_factory=default_schemes)
+    #: None: the default ones; an empty list turns the stage off.
+    phonetic_schemes: Sequence[Scheme] | None = None
     phonetic_score: float = 0.9
     lsh_cutover: int = 500
     ambiguity_margin: float = 0.02
@@ -134,8 +135,9 @@ def resolve_candidates(candidates: DataFrame, catalog: DataFrame, options: Optio
     exact = left(forms).join(cat_forms, (F.col("kind") == F.col("rkind")) & (F.col("form") == F.col("rform"))).select("gid", "entity_id", F.lit(1.0).alias("score"))
     resolved = resolved.unionByName(_best(allowed(exact), "exact", F.col("entities") > 1).drop("entities"))
 
-    if options.phonetic_schemes:
-        keys = lambda raw: F.explode(phonetic_keys(raw, options.phonetic_schemes, options.compose))
+    schemes = default_schemes() if options.phonetic_schemes is None else options.phonetic_schemes
+    if schemes:
+        keys = lambda raw: F.explode(phonetic_keys(raw, schemes, options.compose))
         a = left(forms).select("gid", "kind", keys(F.col("raw")).alias("key"))
         b = cat_forms.select("entity_id", F.col("rkind").alias("kind"), keys(F.col("rraw")).alias("key"))
         sound = a.join(b, ["kind", "key"]).select("gid", "entity_id", F.lit(options.phonetic_score).alias("score"))

@@ -1,6 +1,518 @@
-"""Registry of the library's queries and their SQL."""
+"""The library's queries over the driver tables, and the DuckDB SQL that they are checked with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kinweave.functions import calendar
+from kinweave.functions import dates as d
+from kinweave.functions import text as t
+from kinweave.functions.phonetic import phonetic_keys
+from kinweave.operators import evaluate, extract, graph, memory, resolve
+from kinweave.streaming.ingest import latest_state, windowed_counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_name").distinct()
+
+
+_NORM = r"regexp_replace(regexp_replace(lower({}), '\s+', ' ', 'g'), '^[\p{{P}}\p{{S}} ]+|[\p{{P}}\p{{S}} ]+$', '', 'g')"
+
+
+@query("normalize_part_names", f"SELECT p_partkey, {_NORM.format(chr(39) + '  «' + chr(39) + ' || upper(p_name) || ' + chr(39) + ' »,  ' + chr(39))} AS norm FROM part")
+def normalize_part_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", t.normalize_name(F.concat(F.lit("  «"), F.upper("p_name"), F.lit(" »,  "))).alias("norm"))
+
+
+_ARABIC = [("كريمي", "کریمی"), ("مُحَمَّد", "محمد"), ("سـارا", "سارا"), ("می‌روم", "میروم"), ("آزادة", "ازاده"), ("«Sara»", "sara")]
+
+
+@query("normalize_arabic_inline", "SELECT r_regionkey::BIGINT AS r_regionkey, raw, norm FROM region, (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _ARABIC) + ") v(raw, norm)")
+def normalize_arabic_inline(spark, sf_dir):
+    raws = F.explode(F.array(*(F.lit(a) for a, _ in _ARABIC))).alias("raw")
+    return table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), raws).withColumn("norm", t.normalize_name(F.col("raw")))
+
+
+@query(
+    "entropy_gate_parts",
+    """WITH c AS (SELECT p_name, unnest(string_split(p_name, '')) AS ch FROM (SELECT DISTINCT p_name FROM part)),
+    f AS (SELECT p_name, count(*) / sum(count(*)) OVER (PARTITION BY p_name) AS p FROM c GROUP BY p_name, ch),
+    e AS (SELECT p_name, -sum(p * log2(p)) AS h FROM f GROUP BY p_name)
+    SELECT p_name, round(h, 6) AS entropy, round(h, 9) >= 3.0 AS passes FROM e""",
+)
+def entropy_gate_parts(spark, sf_dir):
+    h = names(spark, sf_dir).withColumn("h", t.shannon_entropy(F.col("p_name")))
+    return h.select("p_name", F.round("h", 6).alias("entropy"), (F.round("h", 9) >= 3.0).alias("passes"))
+
+
+_SHINGLES = "list_distinct(list_transform(range(1, greatest(length(p_name) - 1, 2)), lambda i: substr(p_name, i::BIGINT, 3)))"
+
+
+@query("shingle_explode", f"SELECT p_name, unnest({_SHINGLES}) AS shingle FROM (SELECT DISTINCT p_name FROM part)")
+def shingle_explode(spark, sf_dir):
+    return names(spark, sf_dir).select("p_name", F.explode(t.shingles(F.col("p_name"))).alias("shingle"))
+
+
+def _sides(spark, sf_dir):
+    n = names(spark, sf_dir)
+    left = n.select(F.col("p_name").alias("id"), F.lit("part").alias("kind"), F.col("p_name").alias("form"))
+    return left, n.select(F.col("p_name").alias("rid"), F.lit("part").alias("rkind"), F.col("p_name").alias("rform"))
+
+
+_PAIRS = f"""WITH n AS (SELECT p_name, {_SHINGLES} AS s FROM (SELECT DISTINCT p_name FROM part)),
+p AS (SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n, a.s AS x, b.s AS y FROM n a, n b WHERE a.p_name < b.p_name)"""
+
+
+@query("jaccard_part_pairs", f"{_PAIRS} SELECT a, b, round(i / (n - i), 6) AS score FROM p WHERE i / (n - i) >= 0.5")
+def jaccard_part_pairs(spark, sf_dir):
+    pairs = resolve.fuzzy_pairs(*_sides(spark, sf_dir), 0.5, False).where("id < rid")
+    return pairs.select(F.col("id").alias("a"), F.col("rid").alias("b"), F.round("score", 6).alias("score"))
+
+
+def _fnv(value: str, seed: str) -> str:
+    return f"list_reduce(list_prepend(xor(2166136261::BIGINT, ({seed})::BIGINT), list_transform(string_split({value}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+@query("fnv_hash_parts", f"SELECT p_name, {_fnv('p_name', '7')} AS h FROM (SELECT DISTINCT p_name FROM part)")
+def fnv_hash_parts(spark, sf_dir):
+    return names(spark, sf_dir).select("p_name", t.fnv1a(F.col("p_name"), 7).alias("h"))
+
+
+_SIGS = f"""WITH n AS (SELECT p_name, {_SHINGLES} AS s FROM (SELECT DISTINCT p_name FROM part)),
+e AS (SELECT p_name, unnest(s) AS sh FROM n), k AS (SELECT i, (i * 2654435769) & 4294967295 AS seed FROM range(64) r(i)),
+g AS (SELECT p_name, i, min({_fnv('sh', 'seed')}) AS v FROM e, k GROUP BY p_name, i)"""
+
+
+@query("minhash_parts", f"{_SIGS} SELECT p_name, i::BIGINT AS slot, v FROM g")
+def minhash_parts(spark, sf_dir):
+    sig = names(spark, sf_dir).select("p_name", F.posexplode(t.minhash_signature(t.shingles(F.col("p_name")))).alias("slot", "v"))
+    return sig.select("p_name", F.col("slot").cast("long").alias("slot"), "v")
+
+
+@query("lsh_bands_parts", f"{_SIGS} SELECT p_name, (i // 4)::VARCHAR || ':' || string_agg(v::VARCHAR, ',' ORDER BY i) AS band FROM g GROUP BY p_name, i // 4")
+def lsh_bands_parts(spark, sf_dir):
+    return names(spark, sf_dir).select("p_name", F.explode(t.lsh_band_keys(t.minhash_signature(t.shingles(F.col("p_name"))))).alias("band"))
+
+
+@query(
+    "lsh_verified_pairs",
+    f"""{_SIGS}, b AS (SELECT p_name, i // 4 AS k, string_agg(v::VARCHAR, ',' ORDER BY i) AS key FROM g GROUP BY p_name, i // 4),
+    c AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM b x JOIN b y ON x.k = y.k AND x.key = y.key AND x.p_name < y.p_name),
+    j AS (SELECT a, b, len(list_intersect(x.s, y.s)) AS i, len(x.s) + len(y.s) AS n FROM c JOIN n x ON a = x.p_name JOIN n y ON b = y.p_name)
+    SELECT a, b, round(i / (n - i), 6) AS score FROM j WHERE i / (n - i) >= 0.6""",
+)
+def lsh_verified_pairs(spark, sf_dir):
+    pairs = resolve.fuzzy_pairs(*_sides(spark, sf_dir), 0.6, True).where("id < rid")
+    return pairs.select(F.col("id").alias("a"), F.col("rid").alias("b"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "estimate_vs_exact",
+    f"""{_SIGS}, q AS (SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM n a, n b WHERE a.p_name < b.p_name),
+    w AS (SELECT * FROM q WHERE i / (n - i) >= 0.6),
+    s AS (SELECT w.a, w.b, count(*) FILTER (x.v = y.v) / 64.0 AS estimate FROM w JOIN g x ON x.p_name = w.a JOIN g y ON y.p_name = w.b AND x.i = y.i GROUP BY w.a, w.b)
+    SELECT w.a, w.b, round(i / (n - i), 6) AS score, s.estimate::DOUBLE AS estimate FROM w JOIN s USING (a, b)""",
+)
+def estimate_vs_exact(spark, sf_dir):
+    pairs = resolve.fuzzy_pairs(*_sides(spark, sf_dir), 0.6, False).where("id < rid")
+    sig = names(spark, sf_dir).select("p_name", t.minhash_signature(t.shingles(F.col("p_name"))).alias("sig"))
+    both = pairs.join(sig.withColumnsRenamed({"p_name": "id", "sig": "x"}), "id").join(sig.withColumnsRenamed({"p_name": "rid", "sig": "y"}), "rid")
+    return both.select(F.col("id").alias("a"), F.col("rid").alias("b"), F.round("score", 6).alias("score"), t.estimate_jaccard(F.col("x"), F.col("y")).alias("estimate"))
+
+
+_WORD_KEY = """WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part),
+s AS (SELECT word, replace(replace(replace(replace(replace(replace(word, 'kh', 'X'), 'gh', 'Q'), 'sh', 'C'), 'ch', 'C'), 'zh', 'J'), 'ph', 'F') AS s FROM w WHERE word <> ''),
+b AS (SELECT word, s, CASE WHEN s[1] = 'y' THEN 'y' WHEN s[1] = 'w' THEN 'v' ELSE translate(s[1], 'aeiou', '') END || translate(substr(s, 2), 'aeiouyw', '') AS b FROM s),
+c AS (SELECT word, s, string_split(lower(translate(regexp_replace(b, '[^A-Za-z]', '', 'g'), 'c', 'k')), '') AS cs FROM b),
+k AS (SELECT word, s, array_to_string(list_filter(cs, lambda ch, i: i = 1 OR ch <> cs[i - 1]), '') AS key FROM c)"""
+
+
+@query(
+    "phonetic_latin_keys",
+    f"""{_WORD_KEY} SELECT word, key FROM k WHERE key <> ''
+    UNION SELECT word, substr(key, 1, length(key) - 1) FROM k WHERE length(key) > 1 AND ends_with(key, 'h') AND regexp_matches(regexp_replace(s, '[A-Z]', '', 'g'), '[aeiou]h$')""",
+)
+def phonetic_latin_keys(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where("word != ''").distinct()
+    return words.select("word", F.explode(phonetic_keys(F.col("word"), compose=False)).alias("key"))
+
+
+def _catalog(spark, sf_dir) -> DataFrame:
+    return names(spark, sf_dir).select(F.md5("p_name").alias("id"), F.lit("part").alias("kind"), F.col("p_name").alias("label"), F.array().cast("array<string>").alias("aliases"))
+
+
+def _noisy(spark, sf_dir) -> DataFrame:
+    """A variant of each part's name: in capitals and quotes, with its middle letter doubled, or with a prefix that nothing has."""
+    part = table(spark, sf_dir, "part").where("p_partkey % 5 = 0")
+    key, name = F.col("p_partkey"), F.col("p_name")
+    half = F.floor(F.length(name) / 2).cast("int")
+    doubled = F.concat(F.substring(name, F.lit(1), half), F.substring(name, half, F.length(name)))
+    label = F.when(key % 3 == 0, F.concat(F.lit("“"), F.upper(name), F.lit("”"))).when(key % 3 == 1, doubled).otherwise(F.concat(F.lit("zzqx jjwv "), key.cast("string")))
+    return part.select(key.cast("string").alias("ref"), F.lit("part").alias("kind"), label.alias("label"), key.alias("ordinal"))
+
+
+_NOISY = """WITH v AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '“' || upper(p_name) || '”'
+  WHEN 1 THEN substr(p_name, 1, length(p_name) // 2) || substr(p_name, length(p_name) // 2) ELSE 'zzqx jjwv ' || p_partkey END AS label FROM part WHERE p_partkey % 5 = 0),
+c AS (SELECT p_partkey::VARCHAR AS ref, """ + _NORM.format("label") + """ AS norm FROM v),
+n AS (SELECT DISTINCT p_name, md5(p_name) AS id FROM part)"""
+
+
+@query("exact_resolve", f"{_NOISY} SELECT ref, id AS entity_id FROM c JOIN n ON norm = lower(p_name)")
+def exact_resolve(spark, sf_dir):
+    options = resolve.Options(phonetic_schemes=[], fuzzy_threshold=1.01)
+    return resolve.resolve_candidates(_noisy(spark, sf_dir), _catalog(spark, sf_dir), options).where("basis = 'exact'").select("ref", "entity_id")
+
+
+@query(
+    "cascade_parts",
+    f"""{_NOISY}, e AS (SELECT ref, id FROM c JOIN n ON norm = lower(p_name)),
+    g AS (SELECT ref, norm, list_distinct(list_transform(range(1, length(norm) - 1), lambda i: substr(norm, i::BIGINT, 3))) AS s FROM c WHERE ref NOT IN (SELECT ref FROM e)),
+    m AS (SELECT id, list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(lower(p_name), i::BIGINT, 3))) AS s FROM n),
+    p AS (SELECT ref, id, len(list_intersect(g.s, m.s)) / (len(g.s) + len(m.s) - len(list_intersect(g.s, m.s))) AS score FROM g, m),
+    b AS (SELECT ref, id, score, row_number() OVER (PARTITION BY ref ORDER BY score DESC, id) AS k FROM p WHERE score >= 0.5)
+    SELECT c.ref, coalesce(e.id, b.id) AS entity_id, CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN b.id IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS basis,
+           round(CASE WHEN e.id IS NOT NULL THEN 1.0 ELSE coalesce(b.score, 0.0) END, 6)::DOUBLE AS score, e.id IS NULL AS requires_review
+    FROM c LEFT JOIN e ON c.ref = e.ref LEFT JOIN b ON c.ref = b.ref AND k = 1""",
+)
+def cascade_parts(spark, sf_dir):
+    options = resolve.Options(phonetic_schemes=[], fuzzy_threshold=0.5)
+    out = resolve.resolve_candidates(_noisy(spark, sf_dir), _catalog(spark, sf_dir), options)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query("cascade_phonetic")
+def cascade_phonetic(spark, sf_dir):
+    return resolve.resolve_candidates(_noisy(spark, sf_dir), _catalog(spark, sf_dir), resolve.Options())
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    said = F.when(F.col("event_type") == "purchase", "confirmed").when(F.col("event_type") == "error", "rejected")
+    rows = e.select(F.col("user_id").cast("string").alias("surface"), F.lit("person").alias("kind"), F.concat(F.lit("e"), (F.col("event_id") % 3).cast("string")).alias("entity_id"), said.alias("decision"), F.lit(None).cast("string").alias("context"), F.col("event_id").alias("seq"))
+    return rows.where("decision is not null")
+
+
+_LOG = """WITH l AS (SELECT user_id::VARCHAR AS surface, 'e' || (event_id % 3) AS entity_id, CASE event_type WHEN 'purchase' THEN 'confirmed' ELSE 'rejected' END AS decision, event_id AS seq
+  FROM events WHERE event_type IN ('purchase', 'error')),
+a AS (SELECT surface, entity_id, arg_max(decision, seq) AS decision, max(seq) AS seq FROM l GROUP BY surface, entity_id)"""
+
+
+@query("memory_latest", f"{_LOG} SELECT surface, entity_id, decision, seq FROM a")
+def memory_latest(spark, sf_dir):
+    return memory.latest(_log(spark, sf_dir)).select("surface", "entity_id", "decision", "seq")
+
+
+@query(
+    "memory_lookup",
+    f"""{_LOG} SELECT surface, arg_max(entity_id, seq) FILTER (decision = 'confirmed') AS confirmed, count(*) FILTER (decision = 'rejected') AS rejections FROM a GROUP BY surface""",
+)
+def memory_lookup(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    asked = log.select("surface", "kind", F.lit(None).cast("string").alias("context")).distinct()
+    return memory.lookup(asked, log).select("surface", "confirmed", F.size("rejected").cast("long").alias("rejections"))
+
+
+@query(
+    "rejection_antijoin",
+    f"""{_LOG}, h AS (SELECT DISTINCT user_id::VARCHAR AS surface, 'e' || (event_id % 3) AS entity_id FROM events)
+    SELECT surface, entity_id FROM h WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.surface = h.surface AND a.entity_id = h.entity_id AND decision = 'rejected')""",
+)
+def rejection_antijoin(spark, sf_dir):
+    hits = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("surface"), F.concat(F.lit("e"), (F.col("event_id") % 3).cast("string")).alias("entity_id")).distinct()
+    return hits.join(memory.rejected(_log(spark, sf_dir)).select("surface", "entity_id"), ["surface", "entity_id"], "left_anti")
+
+
+@query(
+    "cosine_topk_embeddings",
+    """WITH s AS (SELECT a.vec_id AS vec_id, b.vec_id AS near, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+    SELECT vec_id, near, round(c, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, near) AS k FROM s) WHERE k <= 3""",
+)
+def cosine_topk_embeddings(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    asked = F.broadcast(e.where("vec_id % 20 = 0").select("vec_id", F.col("embedding").alias("q")))  # the stated query set
+    scored = asked.join(e.select(F.col("vec_id").alias("near"), "embedding"), F.col("vec_id") != F.col("near")).withColumn("c", resolve.cosine(F.col("q"), F.col("embedding")))
+    top = scored.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("c").desc(), "near"))).where("k <= 3")
+    return top.select("vec_id", "near", F.round("c", 6).alias("score"))
+
+
+@query("judge_budget_topn", "SELECT p_partkey, p_name, p_partkey % 2 = 0 AS same FROM part ORDER BY p_partkey LIMIT 20")
+def judge_budget_topn(spark, sf_dir):
+    judge = lambda left, right: [(int(x) % 2 == 0, 0.9) for x in right]
+    nominees = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gid"), F.col("p_name").alias("label"), F.col("p_partkey").cast("string").alias("entity_label"), F.col("p_partkey").alias("ordinal"))
+    said = resolve._judged(nominees, resolve.Options(judge=judge))
+    return said.join(nominees, "gid").select(F.col("gid").alias("p_partkey"), F.col("label").alias("p_name"), "same")
+
+
+def _dated(spark, sf_dir, form: Column, options=d.DateOptions()) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    found = o.withColumn("text", form).select("o_orderkey", F.explode(d.extract_dates(F.col("text"), F.lit("2026-05-20").cast("date"), options)).alias("m"))
+    return found.select("o_orderkey", F.col("m.surface_form").alias("surface"), F.col("m.span_start").cast("long").alias("span_start"), F.col("m.date").alias("day"), "m.grain", "m.confidence")
+
+
+def _dated_sql(surface: str, day: str, confidence: str, where: str = "true", start: int = 4, grain: str = "day") -> str:
+    return f"SELECT o_orderkey, {surface} AS surface, {start}::BIGINT AS span_start, ({day})::DATE AS day, '{grain}' AS grain, ({confidence})::DOUBLE AS confidence FROM orders WHERE o_orderkey % 10 = 0 AND {where}"
+
+
+@query("iso_dates", _dated_sql("strftime(o_orderdate, '%Y-%m-%d')", "o_orderdate", "0.95"))
+def iso_dates(spark, sf_dir):
+    return _dated(spark, sf_dir, F.concat(F.lit("due "), F.date_format("day", "yyyy-MM-dd"), F.lit(" at noon")))
+
+
+@query("slashed_dates", _dated_sql("strftime(o_orderdate, '%-d/%-m/%Y')", "o_orderdate", "0.85"))
+def slashed_dates(spark, sf_dir):
+    return _dated(spark, sf_dir, F.concat(F.lit("due "), F.date_format("day", "d/M/yyyy")), d.DateOptions(numeric_date_order="DMY"))
+
+
+@query("month_name_dates", _dated_sql("strftime(o_orderdate, '%B %-d, %Y')", "o_orderdate", "0.95"))
+def month_name_dates(spark, sf_dir):
+    return _dated(spark, sf_dir, F.concat(F.lit("due "), F.date_format("day", "MMMM d, yyyy"), F.lit(".")))
+
+
+@query("relative_dates", _dated_sql("'in ' || (o_orderkey % 50) || ' days'", "DATE '2026-05-20' + (o_orderkey % 50)::INT", "0.9"))
+def relative_dates(spark, sf_dir):
+    return _dated(spark, sf_dir, F.concat(F.lit("due "), F.lit("in "), (F.col("o_orderkey") % 50).cast("string"), F.lit(" days")))
+
+
+@query(
+    "weekday_resolution",
+    """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS r, (o_orderkey % 7)::INT AS w FROM orders),
+    x AS (SELECT *, (((dayofweek(r) - w) % 7) + 7) % 7 AS back, (((w - dayofweek(r)) % 7) + 7) % 7 AS ahead FROM o)
+    SELECT o_orderkey, r - (CASE back WHEN 0 THEN 7 ELSE back END)::INT AS last_day, r + (CASE ahead WHEN 0 THEN 7 ELSE ahead END)::INT AS next_day, r + ahead::INT AS upcoming FROM x""",
+)
+def weekday_resolution(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("r"), (F.col("o_orderkey") % 7).cast("int").alias("w"))
+    return o.select("o_orderkey", *(d.resolve_weekday(F.col("r"), F.col("w"), way).alias(name) for way, name in (("last", "last_day"), ("next", "next_day"), ("upcoming", "upcoming"))))
+
+
+@query("jalali_from_orders")
+def jalali_from_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    j = o.withColumn("j", calendar.from_gregorian(F.col("day")))
+    return j.select("o_orderkey", "day", "j.jy", "j.jm", "j.jd")
+
+
+@query("jalali_roundtrip", "SELECT o_orderkey, o_orderdate::DATE AS day, true AS same FROM orders")
+def jalali_roundtrip(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    back = o.withColumn("j", calendar.from_gregorian(F.col("day"))).withColumn("back", calendar.to_gregorian(F.col("j.jy"), F.col("j.jm"), F.col("j.jd")))
+    return back.select("o_orderkey", "day", F.col("day").eqNullSafe(F.col("back")).alias("same"))
+
+
+@query("jalali_leap", "SELECT jy::BIGINT AS jy, (jy % 33) IN (1, 5, 9, 13, 17, 22, 26, 30) AS leap FROM range(1244, 1472) t(jy)")
+def jalali_leap(spark, sf_dir):
+    return spark.range(1244, 1472).select(F.col("id").alias("jy"), calendar.is_leap(F.col("id").cast("int")).alias("leap"))
+
+
+def _replies(spark, sf_dir) -> DataFrame:
+    """A reply for each turn that names its first six characters, off by one, with a number as its confidence."""
+    c = table(spark, sf_dir, "conversations").where(r"text rlike '^[A-Za-z0-9 ,.]+$' and length(text) >= 10")
+    surface = F.substring("text", 1, 6)
+    item = F.struct(surface.alias("surface_form"), F.lit(1).alias("span_start"), F.lit(7).alias("span_end"), ((F.col("turn") % 11) / 10).alias("confidence"))
+    reply = F.to_json(F.struct(F.struct(F.array(item).alias("people"), F.array(item, item).alias("concepts")).alias("extraction")))
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("source_id"), "text", reply.alias("reply"))
+
+
+@query(
+    "parse_mentions",
+    """WITH c AS (SELECT conv_id || ':' || turn AS source_id, text, substr(text, 1, 6) AS s, (turn % 11) / 10 AS conf FROM conversations WHERE regexp_full_match(text, '[A-Za-z0-9 ,.]+') AND length(text) >= 10),
+    o AS (SELECT *, strpos(text, s) - 1 AS a, strpos(substr(text, 2), s) AS b FROM c)
+    SELECT source_id, 'person' AS kind, s AS surface_form, (CASE WHEN substr(text, 2, 6) = s THEN 1 ELSE a END)::BIGINT AS span_start, conf::DOUBLE AS confidence FROM o
+    UNION ALL SELECT source_id, 'concept', s, (CASE WHEN substr(text, 2, 6) = s THEN 1 ELSE a END)::BIGINT, conf FROM o WHERE conf >= 0.6
+    UNION ALL SELECT source_id, 'concept', s, (CASE WHEN substr(text, 2, 6) = s THEN 0 ELSE b END)::BIGINT, conf FROM o WHERE conf >= 0.6 AND (substr(text, 2, 6) = s OR b > 0)""",
+)
+def parse_mentions(spark, sf_dir):
+    found = extract.mentions(_replies(spark, sf_dir))
+    return found.select("source_id", "kind", "surface_form", F.col("span_start").cast("long").alias("span_start"), "confidence")
+
+
+@query(
+    "trusted_context_clip",
+    "SELECT c_mktsegment, count(*) AS kept, max(c_custkey) AS last_key FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer) WHERE k <= 100 GROUP BY c_mktsegment",
+)
+def trusted_context_clip(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("ordinal", F.col("c_custkey"))
+    return extract.clip(c, extract.LIMITS["known_people"], per="c_mktsegment").groupBy("c_mktsegment").agg(F.count("*").alias("kept"), F.max("c_custkey").alias("last_key"))
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    """An edge for each order: customer -> priority; some invalidated, some expired."""
+    o = table(spark, sf_dir, "orders")
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    later = lambda days: day + F.expr(f"interval {days} days")
+    return o.select(
+        F.lpad(key.cast("string"), 12, "0").alias("id"), F.col("o_custkey").cast("string").alias("source_entity_id"), F.col("o_orderpriority").alias("target_entity_id"),
+        F.when(key % 2 == 0, "ranks").otherwise("notes").alias("predicate"), F.when(key % 4 != 0, day).alias("valid_at"), F.when(key % 7 == 0, later(30)).alias("invalid_at"),
+        day.alias("recorded_at"), F.when(key % 5 == 0, later(60)).alias("expired_at"), F.array(key.cast("string")).alias("support"),
+    )
+
+
+_EDGES = """WITH e AS (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS id, o_custkey::VARCHAR AS s, o_orderpriority AS t, CASE WHEN o_orderkey % 2 = 0 THEN 'ranks' ELSE 'notes' END AS p,
+  CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END AS valid_at, CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate + INTERVAL 30 DAY END AS invalid_at, o_orderdate AS recorded_at,
+  CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 60 DAY END AS expired_at FROM orders)"""
+
+
+@query("edges_current", f"{_EDGES} SELECT id, s AS source, t AS target FROM e WHERE expired_at IS NULL")
+def edges_current(spark, sf_dir):
+    return graph.current(_edges(spark, sf_dir)).select("id", F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target"))
+
+
+@query("edges_as_of_valid", f"{_EDGES} SELECT id, p AS predicate FROM e WHERE expired_at IS NULL AND coalesce(valid_at <= TIMESTAMP '1997-01-01', true) AND coalesce(invalid_at > TIMESTAMP '1997-01-01', true)")
+def edges_as_of_valid(spark, sf_dir):
+    return graph.as_of_valid(_edges(spark, sf_dir), F.lit("1997-01-01").cast("timestamp")).select("id", "predicate")
+
+
+@query("edges_as_of_system", f"{_EDGES} SELECT id, p AS predicate FROM e WHERE recorded_at <= TIMESTAMP '1997-01-01' AND coalesce(expired_at > TIMESTAMP '1997-01-01', true)")
+def edges_as_of_system(spark, sf_dir):
+    return graph.as_of_system(_edges(spark, sf_dir), F.lit("1997-01-01").cast("timestamp")).select("id", "predicate")
+
+
+def _plan(spark, sf_dir, cardinality: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    facts = c.select(
+        F.col("c_custkey").cast("string").alias("source_entity_id"), F.when(F.col("c_custkey") % 2 == 0, "1-URGENT").otherwise("9-OTHER").alias("target_entity_id"), F.lit("ranks").alias("predicate"),
+        F.when(F.col("c_custkey") % 3 != 0, F.lit("1997-06-01").cast("timestamp")).alias("valid_at"), F.array(F.lit("m")).alias("support"), F.col("c_custkey").alias("ordinal"),
+    )
+    policies = spark.createDataFrame([("ranks", cardinality)], "predicate string, cardinality string")
+    plans = graph.plan_edge_upserts(facts, policies, _edges(spark, sf_dir), F.lit("1998-12-01").cast("timestamp"))
+    closed = F.array_join(F.transform("invalidations", lambda i: i["edge_id"]), ",")
+    return plans.select(F.col("ordinal").alias("c_custkey"), "action", "existing_edge_id", closed.alias("closed"))
+
+
+def _plan_sql(exclusive: bool) -> str:
+    closes = "valid_at IS NULL OR begins >= valid_at" if exclusive else "false"
+    return f"""{_EDGES}, f AS (SELECT c_custkey, c_custkey::VARCHAR AS s, CASE WHEN c_custkey % 2 = 0 THEN '1-URGENT' ELSE '9-OTHER' END AS t,
+      CASE WHEN c_custkey % 3 <> 0 THEN TIMESTAMP '1997-06-01' ELSE TIMESTAMP '1998-12-01' END AS begins FROM customer),
+    l AS (SELECT * FROM e WHERE p = 'ranks' AND expired_at IS NULL AND invalid_at IS NULL),
+    j AS (SELECT f.c_custkey, arg_min(l.id, (l.recorded_at, l.id)) FILTER (l.t = f.t) AS existing_edge_id, string_agg(l.id, ',' ORDER BY l.id) FILTER ({closes}) AS closed
+          FROM f LEFT JOIN l ON f.s = l.s GROUP BY f.c_custkey)
+    SELECT c_custkey, CASE WHEN existing_edge_id IS NULL THEN 'insert' ELSE 'refresh' END AS action, existing_edge_id, CASE WHEN existing_edge_id IS NULL THEN coalesce(closed, '') ELSE '' END AS closed FROM j"""
+
+
+for _name, _exclusive in (("exclusive_per_source", True), ("exclusive_pair", False), ("additive", False)):
+    query(f"edge_plan_{_name}", _plan_sql(_exclusive))(lambda spark, sf_dir, c=_name: _plan(spark, sf_dir, c))
+
+
+def _supported(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_suppkey", "l_partkey").alias("id"), F.struct("l_orderkey", "l_linenumber").alias("k"))
+    return li.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("k")), lambda k: k["l_orderkey"].cast("string")).alias("support")).withColumn("expired_at", F.lit(None).cast("timestamp"))
+
+
+_SUPPORT = """WITH l AS (SELECT l_suppkey || '-' || l_partkey AS edge_id, l_orderkey, l_linenumber FROM lineitem),
+r AS (SELECT edge_id, string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey, l_linenumber) FILTER (l_orderkey % 3 <> 0) AS kept, count(*) FILTER (l_orderkey % 3 = 0) AS lost FROM l GROUP BY edge_id)"""
+
+
+def _removed(spark, sf_dir) -> DataFrame:
+    return graph.plan_support_removal(_supported(spark, sf_dir), table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("mention_id")))
+
+
+@query("support_removal", f"{_SUPPORT} SELECT edge_id, coalesce(kept, '') AS remaining, kept IS NULL AS orphaned FROM r WHERE lost > 0")
+def support_removal(spark, sf_dir):
+    return _removed(spark, sf_dir).select("edge_id", F.array_join("remaining_support", ",").alias("remaining"), "orphaned")
+
+
+@query("orphaned_edges", f"{_SUPPORT} SELECT edge_id FROM r WHERE lost > 0 AND kept IS NULL")
+def orphaned_edges(spark, sf_dir):
+    return _removed(spark, sf_dir).where("orphaned").select("edge_id")
+
+
+@query("mentions_by_source_status", "SELECT source, CASE WHEN quality = 1 THEN 'confirmed' WHEN quality = 0 THEN 'rejected' ELSE 'pending' END AS status, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
+def mentions_by_source_status(spark, sf_dir):
+    both = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    status = F.when(F.col("quality") == 1, "confirmed").when(F.col("quality") == 0, "rejected").otherwise("pending")
+    return both.groupBy("source", status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("episodes_by_source", "SELECT user_id, count(*) AS mentions, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY user_id")
+def episodes_by_source(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("mentions"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+
+
+@query("alias_append_idempotent", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) ELSE lower(c_name) || ',' || c_mktsegment END AS aliases FROM customer")
+def alias_append_idempotent(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("have", F.array(F.lower("c_name")))
+    new = F.when(F.col("c_custkey") % 2 == 0, F.lower("c_name")).otherwise(F.col("c_mktsegment"))
+    return c.select("c_custkey", F.array_join(F.array_union(F.array_union("have", F.array(new)), F.array(new)), ",").alias("aliases"))
+
+
+@query("apply_latest_state", "SELECT user_id, arg_max(event_type, (ts, event_type)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
+def apply_latest_state(spark, sf_dir):
+    return latest_state(table(spark, sf_dir, "events"))
+
+
+@query("windowed_counts", "SELECT date_trunc('hour', ts) AS starts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed(spark, sf_dir):
+    return windowed_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+def _facts(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 1")
+    return o.select(F.col("o_custkey").cast("string").alias("source_entity_id"), F.col("o_orderpriority").alias("target_entity_id"), F.lit("ranks").alias("predicate"), F.col("o_orderdate").cast("timestamp").alias("valid_at"), F.array(F.col("o_orderkey").cast("string")).alias("support"), F.col("o_orderkey").alias("ordinal"))
+
+
+@query(
+    "apply_facts_pair",
+    """SELECT o_custkey::VARCHAR AS source, o_orderpriority AS target, min(o_orderkey) AS ordinal, count(*) AS support, true AS open FROM orders WHERE o_custkey % 10 = 1 GROUP BY ALL""",
+)
+def apply_facts_pair(spark, sf_dir):
+    policies = spark.createDataFrame([("ranks", "exclusive_pair")], "predicate string, cardinality string")
+    out = graph.apply_facts(_facts(spark, sf_dir), policies)
+    return out.select(F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target"), "ordinal", F.size("support").cast("long").alias("support"), F.col("invalid_at").isNull().alias("open"))
+
+
+@query("apply_facts_exclusive")
+def apply_facts_exclusive(spark, sf_dir):
+    policies = spark.createDataFrame([("ranks", "exclusive_per_source")], "predicate string, cardinality string")
+    return graph.apply_facts(_facts(spark, sf_dir), policies)
+
+
+def _outcome(spark, sf_dir) -> DataFrame:
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    ref = F.col("doc_id").cast("string")
+    expected = both.select(ref.alias("ref"), F.when(F.col("quality") == 1, "good").alias("target"))
+    return evaluate.confusion(both.select(ref.alias("ref"), F.when(F.col("n_chars") > 1000, "good").when(F.col("n_chars") < 100, "bad").alias("entity_id")), expected)
+
+
+_OUTCOME = """WITH b AS (SELECT CASE WHEN quality = 1 THEN 'good' END AS t, CASE WHEN n_chars > 1000 THEN 'good' WHEN n_chars < 100 THEN 'bad' END AS g FROM labels JOIN documents USING (doc_id)),
+o AS (SELECT count(*) FILTER (t = g) AS tp, count(*) FILTER ((t IS NULL AND g IS NOT NULL) OR t <> g) AS fp, count(*) FILTER ((t IS NOT NULL AND g IS NULL) OR t <> g) AS fn, count(*) FILTER (t IS NULL AND g IS NULL) AS tn FROM b)"""
+
+
+@query("eval_confusion", f"{_OUTCOME} SELECT * FROM o")
+def eval_confusion(spark, sf_dir):
+    return _outcome(spark, sf_dir)
+
+
+@query("eval_prf", f"{_OUTCOME} SELECT round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM o")
+def eval_prf(spark, sf_dir):
+    return evaluate.precision_recall(_outcome(spark, sf_dir)).select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("embedding_stage")
+def embedding_stage(spark, sf_dir):
+    """Labels that no lexical stage reaches, by a fixed embedder: the counts of their letters."""
+
+    def embed(labels: list[str]) -> list[list[float]]:
+        return pd.DataFrame([[x.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for x in labels]).astype(float).values.tolist()
+
+    part = table(spark, sf_dir, "part").where("p_partkey % 25 = 0").select(F.col("p_partkey").cast("string").alias("ref"), F.lit("part").alias("kind"), F.reverse("p_name").alias("label"), F.col("p_partkey").alias("ordinal"))
+    return resolve.resolve_candidates(part, _catalog(spark, sf_dir), resolve.Options(phonetic_schemes=[], embedder=embed))
