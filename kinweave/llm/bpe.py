@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ WINDOW = 32
 BITS, LEAST, MOST = 9, 128, 8192
 #: Bytes encoded at once.
 AT_ONCE = 1 << 19
+#: Bytes without a space from which on a text counts as having a long run.
+LONG_RUN = 2000
 
 _AHEAD = np.zeros(256, dtype=bool)
 _AHEAD[[9, 10, 13, 32]] = True
@@ -50,6 +53,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _longest_run(raw: bytes) -> int:
+    """Bytes between ASCII spaces that follow visible characters, at most."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    at = np.flatnonzero(_AHEAD[data[1:]] & _BEHIND[data[:-1]]) + 1
+    return int(np.diff(np.concatenate([[0], at, [len(data)]])).max())
+
+
 class Codec:
     """A byte-level BPE tokenizer file, with the bytes of every id."""
 
@@ -69,6 +79,7 @@ class Codec:
         of_char = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
         table = {i: bytes(of_char[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in of_char for c in t)}
         table |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        self.fast = self._ranked(spec, table)
         self.bytes = [table.get(i, b"") for i in range(max(table) + 1)]
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
 
@@ -78,7 +89,39 @@ class Codec:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    @staticmethod
+    def _ranked(spec: dict, table: dict[int, bytes]):
+        """The same vocabulary as ranks, which another library encodes with several times faster; None if it isn't one.
+
+        The ids of merged tokens must follow the order of the merges, and the texts be split by the usual pattern.
+        """
+        import public_tokenizers
+        import tiktoken
+
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {table[i]: i for i in spec["model"]["vocab"].values() if i in table}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        own = [spec["model"]["vocab"].get(a + b) for a, b in merges]
+        plain = spec["normalizer"] is None and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+        split = spec["pre_tokenizer"]
+        if not plain or own != sorted(x for x in own if x is not None) or len(ranks) != len(own) + 256 or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+            return None
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
     def encode(self, parts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each part; long runs without a space go to the library whose time doesn't grow with their square."""
+        out: list[np.ndarray | None] = [None] * len(parts)
+        rest = []
+        for k, p in enumerate(parts):
+            if self.fast is None or (len(p) > LONG_RUN and _longest_run(p) > LONG_RUN):
+                rest.append(k)
+            else:
+                out[k] = np.asarray(self.fast.encode_to_numpy(p.decode(), allowed_special="all"), dtype=np.uint32)
+        for k, ids in zip(rest, self._slowly([parts[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def _slowly(self, parts: list[bytes]) -> list[np.ndarray]:
         """Ids of each part, a bounded number of bytes at a time."""
         out: list[np.ndarray] = []
         i = 0
@@ -246,7 +289,7 @@ def repair(codec: Codec, raw: bytes, parts: list[tuple[int, int, np.ndarray]]) -
         left_ends = start + np.cumsum(codec.lengths[ids])
         right_ends = a + np.cumsum(codec.lengths[right])
         k = int(np.searchsorted(safe, a, side="right"))
-        low = [p for p in safe[:k].tolist()[::-1] if p > start] if k and safe[k - 1] != a else [a]
+        low = [a] if k and safe[k - 1] == a else [p for p in safe[:k].tolist()[::-1] if p > start]
         q, cut_left = start, 0
         for p in low:  # the nearest safe place at which a token of the left part ends
             i = int(np.searchsorted(left_ends, p))
@@ -275,10 +318,20 @@ def repair(codec: Codec, raw: bytes, parts: list[tuple[int, int, np.ndarray]]) -
     return np.concatenate(done)
 
 
-_OUT = T.StructType([T.StructField("__key", T.BinaryType()), T.StructField("__packed", T.BinaryType()), T.StructField("__ids", T.BinaryType())])
+_OUT = T.StructType([T.StructField("__key", T.BinaryType()), T.StructField("__packed", T.BinaryType())])
+
 
+def _results(codec: Codec, ids: list[np.ndarray | None], digest_only: bool) -> list[pa.Array]:
+    """Columns of n_tokens and of the ids or their digests; null where there are no ids yet."""
+    counts = pa.array([None if i is None else len(i) for i in ids], pa.int64())
+    raws = [None if i is None else i.astype("<u4").tobytes() for i in ids]
+    if not digest_only:
+        return [counts, pa.array(raws, pa.binary())]
+    sha = lambda b: None if b is None else hashlib.sha256(b).hexdigest()
+    return [counts, pa.array([sha(r) for r in raws], pa.string()), pa.array([sha(None if i is None else codec.decode(i)) for i in ids], pa.string())]
 
-def _place(path: str, words: np.ndarray, kept: list[int], text_at: int, names: list[str]):
+
+def _place(path: str, words: np.ndarray, kept: list[int], text_at: int, names: list[str], digest_only: bool):
     """Texts without a chunk that the filter passes are encoded here; the others go on packed, with their key."""
 
     def run(batches):
@@ -296,8 +349,8 @@ def _place(path: str, words: np.ndarray, kept: list[int], text_at: int, names: l
                         plain.append((row, raw))
                 ids = [None] * own.num_rows
                 for (row, _), found in zip(plain, codec.encode([raw for _, raw in plain]), strict=True):
-                    ids[row] = found.tobytes()
-                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in kept), pa.array(keys, pa.binary()), pa.array(packed, pa.binary()), pa.array(ids, pa.binary())], names=names)
+                    ids[row] = found
+                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in kept), pa.array(keys, pa.binary()), pa.array(packed, pa.binary()), *_results(codec, ids, digest_only)], names=names)
 
     return run
 
@@ -306,7 +359,7 @@ def _join(path: str, kept: int, names: list[str], digest_only: bool):
     """The ids of packed texts from those of their shared chunks and of what lies between."""
 
     def texts(own):
-        packed, ids, shared = (own.column(kept + i).to_pylist() for i in (1, 2, 3))
+        packed, shared = own.column(kept + 1).to_pylist(), own.column(own.num_columns - 1).to_pylist()
         codec, unpack = Codec.load(path), zstandard.ZstdDecompressor()
         open_, gaps = [], []
         for row, blob in enumerate(packed):
@@ -329,7 +382,7 @@ def _join(path: str, kept: int, names: list[str], digest_only: bool):
             open_.append((row, raw, parts))
         for (p, _), found in zip(gaps, codec.encode([g for _, g in gaps]), strict=True):
             p[2] = found
-        out = [np.frombuffer(i, dtype=np.uint32) if i is not None else None for i in ids]
+        out: list[np.ndarray | None] = [None] * own.num_rows
         for row, raw, parts in open_:
             out[row] = repair(codec, raw, [tuple(p) for p in parts])
         return codec, out
@@ -339,12 +392,7 @@ def _join(path: str, kept: int, names: list[str], digest_only: bool):
             for lo in range(0, batch.num_rows, 500):
                 own = batch.slice(lo, 500)
                 codec, found = texts(own)
-                counts = pa.array([len(i) for i in found], pa.int64())
-                raws = [i.astype("<u4").tobytes() for i in found]
-                if digest_only:
-                    cols = [counts, pa.array([hashlib.sha256(r).hexdigest() for r in raws]), pa.array([hashlib.sha256(codec.decode(i)).hexdigest() for i in found])]
-                else:
-                    cols = [counts, pa.array(raws, pa.binary())]
+                cols = [pc.coalesce(c, own.column(kept + 2 + k)) for k, c in enumerate(_results(codec, found, digest_only))]
                 yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(kept)), *cols], names=names)
 
     return run
@@ -355,7 +403,7 @@ def encode(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None
     path = tokenizer or default_tokenizer()
     extra = [T.StructField("n_tokens", T.LongType())]
     extra += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digest_only else [T.StructField("ids", T.BinaryType())]
-    gone = {f.name for f in extra} | {"__key", "__packed", "__ids"}
+    gone = {f.name for f in extra} | {"__key", "__packed"}
     keep = [i for i, f in enumerate(docs.schema.fields) if f.name not in gone and not (digest_only and f.name == text_col)]
     fields = [docs.schema.fields[i] for i in keep]
     text = docs.select(text_col)
@@ -368,8 +416,9 @@ def encode(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None
     refs = text.mapInArrow(_refs(words), T.StructType([T.StructField("key", T.BinaryType()), *_PAIR.fields])).distinct()
     per_text = refs.join(coded, ["h1", "h2"]).groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("h1", "h2", "ids")).alias("__shared"))
     names = [f.name for f in fields]
-    placed = docs.mapInArrow(_place(path, words, keep, docs.columns.index(text_col), [*names, *_OUT.names]), T.StructType([*fields, *_OUT.fields]))
-    whole = placed.join(per_text, "__key", "left").select(*names, "__key", "__packed", "__ids", "__shared")
+    done = [f.name for f in extra]
+    placed = docs.mapInArrow(_place(path, words, keep, docs.columns.index(text_col), [*names, *_OUT.names, *done], digest_only), T.StructType([*fields, *_OUT.fields, *extra]))
+    whole = placed.join(per_text, "__key", "left").select(*names, "__key", "__packed", *done, "__shared")
     return whole.mapInArrow(_join(path, len(fields), [*names, *(f.name for f in extra)], digest_only), T.StructType([*fields, *extra]))
 
 
