@@ -26,3 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.drop("old")
         if not changed:
             return labels
+
+
+def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comps`` after further ``edges``; only the components that these join are worked on."""
+    of = lambda side: comps.select(F.col("v").alias(side), F.col("comp").alias(f"c{side}"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    found = components(between.where("a != b").distinct())
+    more = found.select("v", F.col("v").alias("comp")).join(comps.select("v"), "v", "left_anti")
+    new = found.select(F.col("v").alias("comp"), F.col("comp").alias("new"))
+    return cut(comps.select("v", "comp").unionByName(more).join(new, "comp", "left").select("v", F.coalesce("new", "comp").alias("comp")))

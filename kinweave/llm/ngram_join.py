@@ -31,17 +31,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import bloom
-from kinweave.llm.components import components
+from kinweave.llm.components import components, merged
 from kinweave.llm.storage import cut
 from kinweave.llm.words import U64, mix, shingle_sets, word_hashes
 
 WIDTH = 5
 PAIRS_UP_TO = 4
 GROUP_LIMIT = 4096
+#: One group in so many is looked at first, so many times.
+SOME, LOOKS = 32, 3
 #: Ids in a look-up that is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text for each bucket of the look-up in step 2.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 24 << 20
 
 
 def _bands(most: int = 1 << 40) -> np.ndarray:
@@ -196,8 +198,8 @@ def _sign(family: int):
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    """Elements in each of about size / 4 buckets of the hash, up to 255: half the way to the size of a difference."""
-    m = max(3, (len(h) // 4).bit_length())
+    """Elements in each of about size / 2 to size buckets of the hash, up to 255."""
+    m = max(6, (len(h) // 2).bit_length())
     counts = np.bincount((mix(h + U64(0x1F83D9ABFB41BD6B)) >> U64(64 - m)).astype(np.int64), minlength=1 << m)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
@@ -240,24 +242,41 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[keep]), pa.array(batch.column(1).to_numpy()[keep])], names=["a", "b"])
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """(a, b) of a group that lie in different components and may link."""
-    cid, comp, n = (table[c].to_numpy() for c in ("cid", "comp", "n"))
-    order = np.lexsort((cid, n))
-    cid, comp, n = cid[order], comp[order], n[order]
-    sketches = table["sketch"].to_pylist()
-    x = _folded([sketches[k] for k in order.tolist()])
-    reach = np.searchsorted(n, 4 * n // 3, side="right")
-    a, b = [], []
-    for k in range(len(cid) - 1):
-        other = np.arange(k + 1, reach[k])
-        other = other[comp[other] != comp[k]]
-        if len(other):
-            other = other[_possible(x[k], x[other], n[k], n[other])]
-            a.append(np.full(len(other), cid[k], dtype=np.int64))
-            b.append(cid[other])
-    a, b = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (a, b))
-    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _across(nearest: bool):
+    """(a, b) of a group that lie in different components and may link; with ``nearest``, the likeliest of each component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cid, comp, n = (table[c].to_numpy() for c in ("cid", "comp", "n"))
+        order = np.lexsort((cid, n))
+        cid, comp, n = cid[order], comp[order], n[order]
+        sketches = table["sketch"].to_pylist()
+        fine = _folded([sketches[k] for k in order.tolist()]).astype(np.int16)
+        coarse = fine.reshape(len(fine), -1, 4).sum(axis=2, dtype=np.int16)
+        reach = np.searchsorted(n, 4 * n // 3, side="right")
+        a, b, far = [], [], []
+        for k in range(len(cid) - 1):
+            other = np.arange(k + 1, reach[k])
+            other = other[comp[other] != comp[k]]
+            for x in (coarse, fine):
+                difference = np.abs(x[other] - x[k]).sum(axis=1, dtype=np.int32)
+                fits = 7 * difference <= n[k] + n[other]
+                other = other[fits]
+            if len(other):
+                a.append(np.full(len(other), k, dtype=np.int64))
+                b.append(other)
+                far.append(difference[fits] / (n[k] + n[other]))
+        if not a:
+            return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        a, b, far = (np.concatenate(x) for x in (a, b, far))
+        if nearest:
+            of = np.concatenate([comp[a], comp[b]])
+            first = np.lexsort((np.concatenate([far, far]), of))
+            first = first[np.concatenate([[True], of[first][1:] != of[first][:-1]])]
+            pick = np.unique(first % len(a))
+            a, b = a[pick], b[pick]
+        return pa.table([pa.array(np.minimum(cid[a], cid[b])), pa.array(np.maximum(cid[a], cid[b]))], names=["a", "b"])
+
+    return run
 
 
 class ShingleJoin:
@@ -271,12 +290,10 @@ class ShingleJoin:
         classes = cut(self.meta.where("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.min("ident").alias("ident")))
         alive = self._alive(texts, classes)
         sets = self._read_sets(texts, alive)
-        links = self._links(sets)
-        comps = components(links)
+        comps = self._components(sets)
         with_comp = alive.join(comps.withColumnRenamed("v", "cid"), "cid").select("c", "comp", "ident")
         names = with_comp.groupBy("comp").agg(F.min("ident").alias("component"))
         found = with_comp.join(names, "comp").select("c", "component")
-        self.links = links
         self.classes = classes.join(found, "c", "left").select("c", "n", "ident", F.coalesce("component", "ident").alias("component"))
         joined = self.meta.join(self.classes.select("c", "component", F.col("ident").alias("__first")), "c", "left")
         self._docs, self._id, self._text = docs, id_col, text_col
@@ -347,8 +364,14 @@ class ShingleJoin:
         two = one.join(light.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
         return two.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sift, "a long, b long")
 
-    def _compared(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
-        return rows.join(sets.select("cid", "n", "sketch"), "cid").groupBy("key").applyInArrow(_across, "a long, b long")
+    def _compared(self, rows: DataFrame, sets: DataFrame, nearest: bool = False) -> DataFrame:
+        return rows.join(sets.select("cid", "n", "sketch"), "cid").groupBy("key").applyInArrow(_across(nearest), "a long, b long")
+
+    @staticmethod
+    def _apart(rows: DataFrame) -> DataFrame:
+        """The groups (key, cid, comp) with several components, and ``many`` rows each."""
+        sizes = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+        return rows.join(sizes.select("key", "many"), "key")
 
     def _blocks(self, large: DataFrame) -> DataFrame:
         """Large groups in blocks of half the limit, every two of which meet under a key of their own."""
@@ -357,8 +380,8 @@ class ShingleJoin:
         other = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         return other.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "cid", "comp")
 
-    def _links(self, sets: DataFrame) -> DataFrame:
-        """Links that connect each component: all that are needed, not all there are."""
+    def _components(self, sets: DataFrame) -> DataFrame:
+        """(v, comp) of the classes that are linked with others."""
         sigs = sets.select("cid", "blob").mapInArrow(_sign(0), "sig long, cid long")
         groups = sigs.groupBy("sig").agg(F.count("*").alias("many"), F.min("cid").alias("lead")).where("many > 1")
         shared = cut(sigs.join(groups, "sig"))
@@ -366,13 +389,21 @@ class ShingleJoin:
         few = shared.where(F.col("many").between(3, self.pairs_up_to)).select("sig", "cid")
         twos = few.withColumnRenamed("cid", "a").join(few.withColumnRenamed("cid", "b"), "sig").where("a < b").select("a", "b")
         links = cut(self._verified(cut(self._sifted(star.union(twos).distinct(), sets)), sets))
-        comps = components(links)
         rows = shared.where(F.col("many") > self.pairs_up_to).select(F.col("sig").alias("key"), "cid")
-        rows = rows.join(comps.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        within = lambda some, comps: some.join(comps.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        # looks at some groups join most components that belong together, so that few pairs are left for the rest
+        comps = components(links)
+        for look in range(LOOKS):
+            some = self._apart(within(rows.where(F.pmod(F.col("key"), F.lit(SOME)) == look), comps))
+            near = cut(self._compared(some.where(F.col("many") <= self.group_limit).select("key", "cid", "comp"), sets, nearest=True).distinct())
+            new = cut(self._verified(near, sets))
+            if new.isEmpty():
+                break
+            comps = merged(comps, new)
+        rows = within(rows, comps)
         more, family, last = [], 1, None
         while True:
-            sizes = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-            open_ = cut(rows.join(sizes.select("key", "many"), "key"))
+            open_ = cut(self._apart(rows))
             small = open_.where(F.col("many") <= self.group_limit)
             more.append(self._compared(small.select("key", "cid", "comp"), sets))
             large = open_.where(F.col("many") > self.group_limit)
@@ -388,7 +419,8 @@ class ShingleJoin:
         pairs = more[0]
         for m in more[1:]:
             pairs = pairs.union(m)
-        return links.union(cut(self._verified(cut(pairs.distinct()), sets)))
+        new = cut(self._verified(cut(pairs.distinct()), sets))
+        return comps if new.isEmpty() else merged(comps, new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
