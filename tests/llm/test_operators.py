@@ -241,6 +241,16 @@ def test_language_model(docs, rows, monkeypatch):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_language_model_fits_mu_whatever_the_filter_size(spark, docs):
+    few = spark.createDataFrame([(k, f"alpha beta gamma w{k} x{k % 7}") for k in range(200)], "doc_id long, text string")
+    fitted = set()
+    for d in (docs, few):
+        model, routed = (lm_scoring.LanguageModel(d, broadcast_bytes=b) for b in (None, 0))
+        assert routed.filter is None and routed.mu == model.mu
+        fitted.add(model.mu)
+    assert fitted != {64.0}
+
+
 AWKWARD = [None, "", "a" * 3000, "<|endoftext|>" * 300, "привет мир " * 300, "日本語テキスト" * 400, " " * 3000, "x  \n\n y\t's're" * 400, "é" * 5001, "  a　b" * 500, "don't 'll" + "<|endoftext|>" * 90 + " end"]
 
 
