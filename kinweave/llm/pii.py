@@ -6,7 +6,8 @@ digits are compared without their separators, addresses without case, and names
 name alone is replaced as it is behind a given name. Replacements keep separators, script, case, length of
 numbers, whether a card number's check digit is right, and a given name's gender as its title tells it; addresses
 lead to names and networks reserved for no one. They are keyed hashes, checked for collisions: no two entities of a
-kind share one, and none is an entity itself; losers draw again until all differ.
+kind share one, and none is an entity itself; losers draw again from a larger space until all differ, so where
+those of a length run out, replacements are longer.
 
 Null and empty texts stay as they are, with no entities; empty tables give empty tables, repeated rows a row
 each. Texts are joined by their digests, so ids may repeat or be null. Columns with clashing names are replaced.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from kinweave.llm.storage import cut
 
 KEY = "surrogates-1"
+#: Draws after which telephone and social security numbers may get longer, should those of their length run out.
+SAME_LENGTH = 8
 FEMALE = r"(?:Mrs|Ms|Miss|Frau|Sra|Señora|Srta|Señorita|Madame|Mme|Mlle|госпожа|г-жа)"
 MALE = r"(?:Mr|Herr|Señor|Monsieur|господин|г-н)"
 NEUTRAL = r"(?:Dr|Prof)"
@@ -91,11 +94,11 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), one), F.lit(0), lambda a, b: a + b)
 
 
-def _name(script: Column, gender: Column | None, value: Column, mac: Column) -> Column:
-    """A name of syllables in the script, about as long, with the gender's ending."""
+def _name(script: Column, gender: Column | None, value: Column, mac: Column, attempt: int) -> Column:
+    """A name of syllables in the script, about as long, with the gender's ending; a syllable more for each draw lost."""
     outs = []
     for s, (consonants, vowels, male, female) in _SYLLABLES.items():
-        count = F.greatest(F.lit(2), (F.length(value) / 2).cast("int"))
+        count = F.greatest(F.lit(2), (F.length(value) / 2).cast("int")) + attempt
         body = F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(_pick(consonants, _draw(mac, i * 2)), _pick(vowels, _draw(mac, i * 2 + 1)))), "")  # noqa: B023
         end = F.lit(male) if gender is None else F.when(gender == "f", F.lit(female)).when(gender == "m", F.lit(male)).otherwise(_pick(male + female, _draw(mac, F.lit(40))))
         body = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), end) if gender is not None else F.concat(body, end)
@@ -103,13 +106,23 @@ def _name(script: Column, gender: Column | None, value: Column, mac: Column) ->
     return F.coalesce(*outs)
 
 
+def _more(mac: Column, count: int) -> Column:
+    """``count`` digits that the draws of a long value don't use up."""
+    return F.concat(*(_pick("0123456789", _draw(F.sha2(mac, 256), F.lit(i))) for i in range(count))) if count else F.lit("")
+
+
 def _surrogate(attempt: int) -> Column:
-    """The replacement of (kind, norm) at a number of draws, in normal form."""
+    """The replacement of (kind, norm) at a number of draws, in normal form.
+
+    The space of a draw grows with the draws lost, so that all find a place: names, local parts and secrets at
+    once, numbers of a fixed length only after ``SAME_LENGTH`` draws.
+    """
     kind, norm = F.col("kind"), F.col("norm")
     mac = _mac(kind, norm, str(attempt))
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     host = F.regexp_replace(domain, r"\.[^.]*$", "")
-    email = F.concat(_moved(local, mac), F.lit("@"), _moved(host, _mac("domain", host)), F.lit(".example"))
+    more, digit = _more(mac, attempt), _more(mac, max(0, attempt - SAME_LENGTH + 1))
+    email = F.concat(_moved(local, mac), more, F.lit("@"), _moved(host, _mac("domain", domain)), F.lit(".example"))
     card = _moved(norm, mac)
     body = F.substring(card, F.lit(1), F.length(card) - 1)
     need = F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10))
@@ -118,12 +131,13 @@ def _surrogate(attempt: int) -> Column:
     octet = lambda i: F.pmod(_draw(mac, F.lit(i)), F.lit(256)).cast("string")
     ip = F.concat_ws(".", (F.pmod(_draw(mac, F.lit(9)), F.lit(15)) + 240).cast("string"), octet(1), octet(2), octet(3))
     country = F.when(F.length(norm) > 9, 2).otherwise(0)
-    phone = F.concat(F.substring(norm, F.lit(1), country), _moved(F.substring(norm, country + 1, F.length(norm)), mac))
+    phone = F.concat(F.substring(norm, F.lit(1), country), _moved(F.substring(norm, country + 1, F.length(norm)), mac), digit)
     secret = F.when(norm.rlike("^[0-9a-f]+$"), _moved(norm, mac, ("0123456789abcdef",))).when(norm.rlike("^[0-9A-F]+$"), _moved(norm, mac, ("0123456789ABCDEF",))).otherwise(_moved(norm, mac))
+    secret = F.concat(secret, more)
     return (
         F.when(kind == "email", email).when(kind == "card", F.concat(body, last.cast("string"))).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "secret", secret)
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_moved(norm, mac), 2, 8))).when(kind == "iban", F.concat(F.substring(norm, 1, 2), _moved(F.substring(norm, F.lit(3), F.length(norm)), mac)))
-        .otherwise(_name(F.element_at(F.split(kind, "_"), 3), F.when(kind.startswith("given"), F.element_at(F.split(kind, "_"), 2)), norm, mac))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_moved(norm, mac), 2, 8), digit)).when(kind == "iban", F.concat(F.substring(norm, 1, 2), _moved(F.substring(norm, F.lit(3), F.length(norm)), mac)))
+        .otherwise(_name(F.element_at(F.split(kind, "_"), 3), F.when(kind.startswith("given"), F.element_at(F.split(kind, "_"), 2)), norm, mac, attempt))
     )
 
 
@@ -159,8 +173,10 @@ def _norm(kind: Column, value: Column) -> Column:
 
 
 def _filled(value: Column, sur: Column, drop: str) -> Column:
-    """``sur``'s characters in the places of those of ``value`` that aren't separators."""
-    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike(drop), c).otherwise(F.substring(sur, F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), drop, "")), F.lit(1)))), "")
+    """``sur``'s characters in the places of those of ``value`` that aren't separators; what is left over follows."""
+    rest = F.substring(sur, F.length(F.regexp_replace(value, drop, "")) + 1, F.length(sur))
+    filled = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike(drop), c).otherwise(F.substring(sur, F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), drop, "")), F.lit(1)))), "")
+    return F.concat(filled, rest)
 
 
 def replace(docs: DataFrame, text_col: str = "text") -> DataFrame:

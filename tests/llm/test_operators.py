@@ -89,6 +89,27 @@ def test_pii_keeps_kinds_distinct_and_coreferent(spark):
     assert pii.replace(empty(spark)).isEmpty()
 
 
+def test_pii_finds_places_where_short_entities_outnumber_them(spark, monkeypatch):
+    letters = "bcdfghjklmnpqrstvwxyz"
+    names = ["".join(x).title() for x in itertools.product(letters, "aeiou", letters)]
+    entities = [("given_f_latin", x) for x in names] + [("family_x_latin", x) for x in names] + [("given_f_cyrillic", f"А{a}{b}") for a in "бвгдежзиклмнопр" for b in "абвгдежзийклмнопрстуфхцчшщэюя"]
+    entities += [("email", f"{x}@{h}") for x in letters for h in ("x.com", "x.org", "y.com", "z.net")] + [("secret", "_" * 12), ("secret", "-" * 11 + "1")]
+    entities += [("phone", f"{k:04d}") for k in range(10000)]
+    monkeypatch.setattr(pii, "SAME_LENGTH", 2)
+    drawn, loops = pii._surrogate, []
+
+    def bounded(attempt):
+        loops.append(attempt)
+        assert attempt < 12, "draws don't end"
+        return drawn(attempt)
+
+    monkeypatch.setattr(pii, "_surrogate", bounded)
+    got = pii.surrogates(spark.createDataFrame(entities, "kind string, norm string")).collect()
+    assert len(got) == len(entities) == len({(r["kind"], r["sur"]) for r in got}) and not {(r["kind"], r["sur"]) for r in got} & set(entities)
+    value = F.lit("+12 34")
+    assert spark.range(1).select(pii._filled(value, F.lit("567890"), r"\D")).first()[0] == "+56 7890"
+
+
 def test_mpeg_round_trip(spark, docs, rows):
     stored = media.store_payload(docs.withColumn("frames", F.lit(1)))
     got = media.parse_audio(stored).collect()
