@@ -2,9 +2,11 @@
 
 Found are e-mail addresses, secrets behind names like ``token =``, IBANs, social security numbers, card numbers,
 IPv4 addresses, telephone numbers, and names behind a title. The same entity has the same replacement everywhere:
-digits are compared without their separators, addresses without case, and names word by word, so a family
+digits are compared without their separators, addresses and names without case, and names word by word, so a family
 name alone is replaced as it is behind a given name. Replacements keep separators, script, case, length of
-numbers, whether a card number's check digit is right, and a given name's gender as its title tells it; addresses
+numbers, whether a card number's check digit is right, and a given name's gender as its title tells it, or where
+the title doesn't, as other mentions of the name do. Titles, names and what secrets stand behind may be in capitals; up
+to three words in capitals behind a title count as its name. Addresses
 lead to names and networks reserved for no one. They are keyed hashes, checked for collisions: no two entities of a
 kind share one, and none is an entity itself; losers draw again from a larger space until all differ, so where
 those of a length run out, replacements are longer.
@@ -25,14 +27,15 @@ from kinweave.llm.storage import cut
 KEY = "surrogates-1"
 #: Draws after which telephone and social security numbers may get longer, should those of their length run out.
 SAME_LENGTH = 8
-FEMALE = r"(?:Mrs|Ms|Miss|Frau|Sra|Señora|Srta|Señorita|Madame|Mme|Mlle|госпожа|г-жа)"
-MALE = r"(?:Mr|Herr|Señor|Monsieur|господин|г-н)"
-NEUTRAL = r"(?:Dr|Prof)"
+#: In any case, but for two that are other words in small letters.
+FEMALE = r"(?:(?iu:Mrs|Frau|Sra|Señora|Srta|Señorita|Madame|Mme|Mlle|госпожа|г-жа)|Ms|MS|Miss|MISS)"
+MALE = r"(?:(?iu:Mr|Herr|Señor|Monsieur|господин|г-н))"
+NEUTRAL = r"(?:(?i:Dr|Prof))"
 _NAME = r"\p{Lu}[\p{L}’'-]+"
 #: In order: where several fit at one place, the first counts.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<=\b(?:token|secret|password|passwd|api_key|apikey|api-key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{12,}",
+    "secret": r"(?<=\b(?i:token|secret|password|passwd|api_key|apikey|api-key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{12,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,4})?)(?![\w-])",
@@ -172,6 +175,14 @@ def _norm(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), _digits(value)).when(kind == "email", F.lower(value)).when(kind == "iban", F.regexp_replace(value, " ", "")).otherwise(value)
 
 
+def _settled(parts: DataFrame) -> DataFrame:
+    """``parts`` with the gender of given names behind neutral titles, if any other mention tells it: the commoner one."""
+    mentions = parts.where(F.col("kind").startswith("given_")).groupBy(F.concat(F.lit("given_x_"), F.element_at(F.split("kind", "_"), 3)).alias("kind"), "norm")
+    told = mentions.agg(*(F.count_if(F.col("kind").startswith(f"given_{g}_")).alias(g) for g in "fm")).where("f + m > 0")
+    told = told.select("kind", "norm", F.regexp_replace("kind", "_x_", F.when(F.col("f") >= F.col("m"), "_f_").otherwise("_m_")).alias("told"))
+    return parts.join(told, ["kind", "norm"], "left").withColumn("kind", F.coalesce("told", "kind")).drop("told")
+
+
 def _filled(value: Column, sur: Column, drop: str) -> Column:
     """``sur``'s characters in the places of those of ``value`` that aren't separators; what is left over follows."""
     rest = F.substring(sur, F.length(F.regexp_replace(value, drop, "")) + 1, F.length(sur))
@@ -190,15 +201,17 @@ def replace(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = F.split(F.regexp_replace("value", r"^[^ ]+ ", ""), " ")
     gender = F.when(F.col("title").rlike(f"^{FEMALE}$"), "f").when(F.col("title").rlike(f"^{MALE}$"), "m").otherwise("x")
     last = F.size(names) - 1
-    parts = F.transform(names, lambda w, i: F.struct(i.alias("i"), F.when(i == last, F.concat(F.lit("family_x_"), _script(w))).otherwise(F.concat(F.lit("given_"), gender, F.lit("_"), _script(w))).alias("kind"), w.alias("norm")))
+    parts = F.transform(names, lambda w, i: F.struct(i.alias("i"), F.when(i == last, F.concat(F.lit("family_x_"), _script(w))).otherwise(F.concat(F.lit("given_"), gender, F.lit("_"), _script(w))).alias("kind"), F.initcap(F.lower(w)).alias("norm")))
     plain = F.array(F.struct(F.lit(0).alias("i"), F.col("kind").alias("kind"), _norm(F.col("kind"), F.col("value")).alias("norm")))
     parts = cut(each.select("__key", "pos", "value", F.col("kind").alias("what"), F.explode(F.when(F.col("kind") == "person", parts).otherwise(plain)).alias("p")).select("__key", "pos", "value", "what", "p.*"))
+    parts = cut(_settled(parts))
     table = surrogates(cut(parts.select("kind", "norm").distinct()))
     drawn = parts.join(table, ["kind", "norm"]).groupBy("__key", "pos", "value", "what").agg(F.array_sort(F.collect_list(F.struct("i", "sur"))).alias("surs"))
     sur = F.element_at("surs", 1)["sur"]
     value = F.col("value")
+    cased = lambda s, w: F.when(w == F.upper(w), F.upper(s["sur"])).otherwise(s["sur"])
     new = (
-        F.when(F.col("what") == "person", F.concat_ws(" ", F.regexp_extract("value", r"^([^ ]+) ", 1), F.transform("surs", lambda s: s["sur"])))
+        F.when(F.col("what") == "person", F.concat_ws(" ", F.regexp_extract("value", r"^([^ ]+) ", 1), F.zip_with("surs", names, cased)))
         .when(F.col("what").isin("phone", "card", "ssn"), _filled(value, sur, r"\D")).when(F.col("what") == "iban", _filled(value, sur, " "))
         .when((F.col("what") == "email") & (value == F.upper(value)), F.upper(sur)).otherwise(sur)
     )

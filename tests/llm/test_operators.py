@@ -110,6 +110,21 @@ def test_pii_finds_places_where_short_entities_outnumber_them(spark, monkeypatch
     assert spark.range(1).select(pii._filled(value, F.lit("567890"), r"\D")).first()[0] == "+56 7890"
 
 
+def test_pii_in_capitals_and_behind_neutral_titles(spark):
+    secret = "9233A8EC41D07B5F6A2C9233A8EC41D07B5F6A2C"
+    texts = [f'TOKEN = "{secret}"', f"Password: {secret.lower()}", "Dr Anna Smith", "Mrs Anna Smith", "DR. ANNA SMITH", "MR SMITH", "prof Iwan Smith", "Mr Iwan Smith", "I miss London", "Господин Иванов"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r for r in pii.replace(d).collect()}
+    assert [got[k]["kinds"] for k in (0, 1)] == [["secret"]] * 2 and secret not in got[0]["text"] and secret.lower() not in got[1]["text"]
+    assert set(got[0]["text"][9:-1]) <= set("0123456789ABCDEF") and len(got[0]["text"]) == len(texts[0])
+    name = [got[k]["text"].split(" ", 1)[1] for k in range(2, 8)]
+    given, family = name[0].split()
+    assert given.endswith("a") and "Anna" != given and "Smith" != family and name[1] == name[0]
+    assert got[4]["text"] == f"DR. {name[0].upper()}" and got[5]["text"] == f"MR {family.upper()}"
+    assert name[4] == name[5] and name[4].split()[0].endswith("n") and name[4].split()[1] == family
+    assert got[8]["text"] == texts[8] and got[9]["text"].startswith("Господин ") and "Иванов" not in got[9]["text"]
+
+
 def test_mpeg_round_trip(spark, docs, rows):
     stored = media.store_payload(docs.withColumn("frames", F.lit(1)))
     got = media.parse_audio(stored).collect()
