@@ -287,6 +287,20 @@ def test_language_model_fits_mu_whatever_the_filter_size(spark, docs):
     assert fitted != {64.0}
 
 
+def test_language_model_asks_once_for_each_ngram_of_a_block(spark, docs, monkeypatch):
+    texts = [(k, "the " * 2000 + f"w{k % 9}") for k in range(40)]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(texts, "doc_id long, text string")).coalesce(2)
+    model, routed = (lm_scoring.LanguageModel(d, broadcast_bytes=b) for b in (None, 0))
+    score = lambda m: sorted((repr(r["doc_id"]), r["text"] or "", r["n_tokens"], round(r["score"], 6)) for r in m.score(d, F.lit(False)).collect())
+    want = score(model)
+    assert score(routed) == want
+    _, asked = routed._asked(spark.createDataFrame(texts, "id long, __text string").coalesce(1))
+    assert asked.agg(F.sum(F.length("uni") + F.length("big"))).first()[0] == 8 * (11 + 20)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(lm_scoring, "ASKED_BYTES", 20000)
+    assert score(routed) == want
+
+
 AWKWARD = [None, "", "a" * 3000, "<|endoftext|>" * 300, "привет мир " * 300, "日本語テキスト" * 400, " " * 3000, "x  \n\n y\t's're" * 400, "é" * 5001, "  a　b" * 500, "don't 'll" + "<|endoftext|>" * 90 + " end"]
 
 
