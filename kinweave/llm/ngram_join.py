@@ -7,9 +7,10 @@ Two texts link when 100 * intersection >= 75 * union of their sets of 5-word shi
    looked up among all classes; a class with too few of them elsewhere can't link and is done.
 3. PartEnum: sizes fall into bands [l, 4 l // 3]; sets of one band, or of it and the band below, differ in at
    most k = 2 r // 7 shingles. The domain is cut into k // 2 + 1 parts, one of which differs in at most one
-   shingle, and every part into 3; of those, 2 are equal, so each subset of 2 is a signature.
-4. Classes that share a signature are candidates: all pairs in groups of up to ``PAIRS_UP_TO``, else each
-   with the group's first. Candidates pass an exact bound on the difference (bucket counts of the sets), then
+   shingle, and every part into 3; of those, 2 are equal, so each subset of 2 is a signature. A set signs for its
+   own band and, as a guest, for the next; two guests meet in their own band, too, so each pair needs a host.
+4. Classes that share a signature are candidates: each with the group's first and with the one before it, in
+   groups of up to 4 with all. Candidates pass an exact bound on the difference (bucket counts of the sets), then
    the intersection itself; links give components.
 5. In larger groups what lies in different components is compared through the bucket counts, too, and the
    intersection decides. Groups above ``GROUP_LIMIT`` are first split by the signatures of further,
@@ -27,19 +28,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinweave.llm import bloom
 from kinweave.llm.components import components, merged
-from kinweave.llm.storage import cut
+from kinweave.llm.storage import cut, drop_path, fresh_path
 from kinweave.llm.words import U64, mix, shingle_sets, word_hashes
 
 WIDTH = 5
+#: Groups in which star, chain and next but one are all pairs.
 PAIRS_UP_TO = 4
 GROUP_LIMIT = 4096
-#: One group in so many is looked at first, so many times.
-SOME, LOOKS = 32, 3
 #: Ids in a look-up that is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text for each bucket of the look-up in step 2.
@@ -73,87 +74,112 @@ def _digest(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def _meta(batches):
-    """(ident, n_shingles, c) of every text; c is null for the empty set."""
-    for batch in batches:
-        n, c = np.zeros(batch.num_rows, dtype=np.int64), [None] * batch.num_rows
-        for row, h in _sets(batch.column(1)):
-            n[row] = len(h)
-            if len(h):
-                c[row] = _digest(h)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(c, pa.binary())], names=["ident", "n", "c"])
+_READ = T.StructType(
+    [
+        *(T.StructField(n, T.LongType()) for n in ("m1", "m2", "n")),
+        *(T.StructField(n, T.BinaryType()) for n in ("c",)),
+        T.StructField("bucket", T.IntegerType()),
+        *(T.StructField(n, T.BinaryType()) for n in ("h", "who", "marked")),
+    ]
+)
+
+
+def _edges(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where the hashes of each bucket begin in sorted ``h``."""
+    return np.concatenate([[0], np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << U64(64 - bits)), [len(h)]])
 
 
-def _look_up(bits: int, most: int = 1_000_000):
-    """Step 2, first half: rows for the buckets of (hash, class), and what is known shared within the batch.
+def _by_class(who: np.ndarray, shared: np.ndarray, times: np.ndarray, bits: int) -> list[tuple[int, bytes]]:
+    """Counts of classes, packed by part."""
+    order = np.argsort(who, kind="stable")
+    who, shared, times = who[order], shared[order].astype(np.int64), times[order].astype(np.int64)
+    edges = _edges(who, bits)
+    return [(k, np.concatenate([x[edges[k] : edges[k + 1]] for x in (who.view(np.int64), shared, times)]).tobytes()) for k in range(1 << bits) if edges[k] < edges[k + 1]]
+
+
+def _read(bits: int, ident: T.StructField, most: int = 400_000):
+    """A row for each text, with its set's size and class, and rows for step 2: of the buckets, the hashes of classes;
+    and counts of what is known already, in bucket -1 - part.
 
     Of a hash that several classes of the batch have, one goes on, marked, so that common shingles send
     a row a batch.
     """
+    names = [ident.name, *_READ.names]
+
+    def rows(**cols):
+        many = len(next(iter(cols.values())))
+        kinds = {f.name: pa.int64() if isinstance(f.dataType, T.LongType) else pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.binary() for f in _READ}
+        return [pa.array(cols[f], kinds[f]) if f in cols else pa.nulls(many, kinds[f]) for f in _READ.names]
 
-    def emit(parts, classes):
+    def emit(kind, parts, classes):
         own = np.array(classes, dtype=np.uint64)
         h = np.concatenate(parts)
         who = np.repeat(own, [len(p) for p in parts])
         order = np.argsort(h, kind="stable")
         h, who = h[order], who[order]
-        first = np.concatenate([[True], h[1:] != h[:-1]])
-        start = np.flatnonzero(first)
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         many = np.diff(np.append(start, len(h)))
-        common = np.repeat(many > 1, many)
-        known, counts = np.unique(who[common], return_counts=True)
-        yield from _tell(np.concatenate([own, known]), np.concatenate([np.zeros(len(own), np.int64), counts]), np.concatenate([np.ones(len(own), np.int64), np.zeros(len(known), np.int64)]))
+        known, counts = np.unique(who[np.repeat(many > 1, many)], return_counts=True)
+        tell = _by_class(np.concatenate([own, known]), np.concatenate([np.zeros(len(own), np.int64), counts]), np.concatenate([np.ones(len(own), np.int64), np.zeros(len(known), np.int64)]), bits)
+        cols = rows(bucket=[-1 - k for k, _ in tell], h=[b for _, b in tell])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(tell), kind), *cols], names=names)
         h, who, marked = h[start], who[start], (many > 1).astype(np.uint8)
-        edges = np.concatenate([[0], np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << U64(64 - bits)), [len(h)]])
-        rows = [k for k in range(1 << bits) if edges[k] < edges[k + 1]]
-        blobs = [[x[edges[k] : edges[k + 1]].tobytes() for k in rows] for x in (h, who, marked)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], names=["bucket", "h", "who", "marked"])
+        edges = _edges(h, bits)
+        full = [k for k in range(1 << bits) if edges[k] < edges[k + 1]]
+        blobs = [[x[edges[k] : edges[k + 1]].tobytes() for k in full] for x in (h, who, marked)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), kind), *rows(bucket=full, h=blobs[0], who=blobs[1], marked=blobs[2])], names=names)
 
     def run(batches):
-        parts, classes, seen, n = [], [], set(), 0
+        parts, classes, seen, total = [], [], set(), 0
         for batch in batches:
-            for _, h in _sets(batch.column(0)):
+            kind = batch.schema.field(0).type
+            n, c = np.zeros(batch.num_rows, dtype=np.int64), [None] * batch.num_rows
+            for row, h in _sets(batch.column(3)):
+                n[row] = len(h)
                 if not len(h):
                     continue
-                c = _digest(h)
-                if c in seen:
+                c[row] = _digest(h)
+                if c[row] in seen:
                     continue
-                seen.add(c)
-                parts.append(h[: _sample(len(h))])
-                classes.append(int.from_bytes(c[:8], "little"))
-                n += len(parts[-1])
-                if n >= most:
-                    yield from emit(parts, classes)
-                    parts, classes, seen, n = [], [], set(), 0
-        if n:
-            yield from emit(parts, classes)
+                seen.add(c[row])
+                parts.append(h[: _sample(len(h))].copy())
+                classes.append(int.from_bytes(c[row][:8], "little"))
+                total += len(parts[-1])
+                if total >= most:
+                    yield from emit(kind, parts, classes)
+                    parts, classes, seen, total = [], [], set(), 0
+            cols = rows(m1=batch.column(1), m2=batch.column(2), n=n, c=c)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
+        if total:
+            yield from emit(kind, parts, classes)
 
     return run
 
 
-def _tell(who: np.ndarray, shared: np.ndarray, times: np.ndarray):
-    """A row of counts, in bucket -1."""
-    pack = np.concatenate([who.astype(np.int64), shared.astype(np.int64), times.astype(np.int64)])
-    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pack.tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names=["bucket", "h", "who", "marked"])
+def _shared_in_bucket(bits: int):
+    """How many of each class's hashes in a bucket other classes have, packed by part."""
 
+    def run(table: pa.Table) -> pa.Table:
+        whole = lambda name, kind: np.concatenate([np.frombuffer(b, dtype=kind) for b in table[name].to_pylist()])
+        h, who, marked = whole("h", np.uint64), whole("who", np.uint64), whole("marked", np.uint8)
+        order = np.argsort(h, kind="stable")
+        h, who, marked = h[order], who[order], marked[order]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        low, high, any_marked = (f.reduceat(x, start) for f, x in ((np.minimum, who), (np.maximum, who), (np.maximum, marked)))
+        shared = np.repeat((low != high) | (any_marked > 0), np.diff(np.append(start, len(h)))) & (marked == 0)
+        found, counts = np.unique(who[shared], return_counts=True)
+        packed = _by_class(found, counts, np.zeros(len(found), np.int64), bits)
+        return pa.table([pa.array([k for k, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], names=["part", "h"])
 
-def _unpack(batches):
-    for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            who, shared, times = np.frombuffer(blob, dtype=np.int64).reshape(3, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(shared), pa.array(times)], names=["who", "shared", "times"])
+    return run
 
 
-def _shared_in_bucket(table: pa.Table) -> pa.Table:
-    whole = lambda name, kind: np.concatenate([np.frombuffer(b, dtype=kind) for b in table[name].to_pylist()])
-    h, who, marked = whole("h", np.uint64), whole("who", np.uint64), whole("marked", np.uint8)
-    order = np.argsort(h, kind="stable")
-    h, who, marked = h[order], who[order], marked[order]
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    low, high, any_marked = (f.reduceat(x, start) for f, x in ((np.minimum, who), (np.maximum, who), (np.maximum, marked)))
-    shared = np.repeat((low != high) | (any_marked > 0), np.diff(np.append(start, len(h)))) & (marked == 0)
-    found, counts = np.unique(who[shared], return_counts=True)
-    return pa.table([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(np.zeros(len(found), np.int64))], names=["who", "shared", "times"])
+def _summed(table: pa.Table) -> pa.Table:
+    """(who, shared, times): the counts of a part's classes."""
+    who, shared, times = np.concatenate([np.frombuffer(b, dtype=np.int64).reshape(3, -1) for b in table["h"].to_pylist()], axis=1)
+    found, place = np.unique(who, return_inverse=True)
+    sums = [np.bincount(place, weights=x, minlength=len(found)).astype(np.int64) for x in (shared, times)]
+    return pa.table([pa.array(found), *map(pa.array, sums)], names=["who", "shared", "times"])
 
 
 def _signatures(h: np.ndarray, band: int, family: int) -> np.ndarray:
@@ -174,25 +200,33 @@ def _signatures(h: np.ndarray, band: int, family: int) -> np.ndarray:
     return np.concatenate(pairs)
 
 
-def _all_signatures(h: np.ndarray, family: int) -> np.ndarray:
+def _all_signatures(h: np.ndarray, family: int) -> tuple[np.ndarray, int]:
+    """Signatures for the set's own band and for the next, and how many are for its own."""
     band = int(np.searchsorted(BANDS[:, 0], len(h), side="right")) - 1
-    return np.concatenate([_signatures(h, band, family), _signatures(h, band + 1, family)])
+    own, next_ = _signatures(h, band, family), _signatures(h, band + 1, family)
+    return np.concatenate([own, next_]), len(own)
+
+
+def _sign(family: int, most: int = 200_000):
+    """(sig, cid, own): the signatures of sets; ``own`` tells those for the set's own band."""
 
+    def emit(ids, sigs, owns):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(owns))], names=["sig", "cid", "own"])
 
-def _sign(family: int):
     def run(batches):
         for batch in batches:
-            ids, sigs, n = [], [], 0
-            for cid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = _all_signatures(np.frombuffer(blob, dtype=np.uint64), family)
+            ids, sigs, owns, n = [], [], [], 0
+            for cid, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s, own = _all_signatures(np.frombuffer(blob.as_buffer(), dtype=np.uint64), family)
                 ids.append(np.full(len(s), cid, dtype=np.int64))
                 sigs.append(s)
+                owns.append(np.arange(len(s)) < own)
                 n += len(s)
-                if n > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], names=["sig", "cid"])
-                    ids, sigs, n = [], [], 0
+                if n > most:
+                    yield emit(ids, sigs, owns)
+                    ids, sigs, owns, n = [], [], [], 0
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], names=["sig", "cid"])
+                yield emit(ids, sigs, owns)
 
     return run
 
@@ -242,90 +276,93 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[keep]), pa.array(batch.column(1).to_numpy()[keep])], names=["a", "b"])
 
 
-def _across(nearest: bool):
-    """(a, b) of a group that lie in different components and may link; with ``nearest``, the likeliest of each component."""
-
-    def run(table: pa.Table) -> pa.Table:
-        cid, comp, n = (table[c].to_numpy() for c in ("cid", "comp", "n"))
-        order = np.lexsort((cid, n))
-        cid, comp, n = cid[order], comp[order], n[order]
-        sketches = table["sketch"].to_pylist()
-        fine = _folded([sketches[k] for k in order.tolist()]).astype(np.int16)
-        coarse = fine.reshape(len(fine), -1, 4).sum(axis=2, dtype=np.int16)
-        reach = np.searchsorted(n, 4 * n // 3, side="right")
-        a, b, far = [], [], []
-        for k in range(len(cid) - 1):
-            other = np.arange(k + 1, reach[k])
-            other = other[comp[other] != comp[k]]
-            for x in (coarse, fine):
-                difference = np.abs(x[other] - x[k]).sum(axis=1, dtype=np.int32)
-                fits = 7 * difference <= n[k] + n[other]
-                other = other[fits]
+def _across(table: pa.Table) -> pa.Table:
+    """(a, b) of a group that lie in different components and may link; one of them is in its own band."""
+    cid, comp, n, own = (table[c].to_numpy() for c in ("cid", "comp", "n", "own"))
+    order = np.lexsort((cid, n))
+    cid, comp, n, own = cid[order], comp[order], n[order], own[order]
+    sketches = table["sketch"].to_pylist()
+    fine = _folded([sketches[k] for k in order.tolist()]).astype(np.int16)
+    coarse = fine.reshape(len(fine), -1, 4).sum(axis=2, dtype=np.int16)
+    reach = np.searchsorted(n, 4 * n // 3, side="right")
+    a, b = [], []
+    for k in range(len(cid) - 1):
+        other = np.arange(k + 1, reach[k])
+        other = other[(comp[other] != comp[k]) & (own[other] | own[k])]
+        for x in (coarse, fine):
             if len(other):
-                a.append(np.full(len(other), k, dtype=np.int64))
-                b.append(other)
-                far.append(difference[fits] / (n[k] + n[other]))
-        if not a:
-            return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
-        a, b, far = (np.concatenate(x) for x in (a, b, far))
-        if nearest:
-            of = np.concatenate([comp[a], comp[b]])
-            first = np.lexsort((np.concatenate([far, far]), of))
-            first = first[np.concatenate([[True], of[first][1:] != of[first][:-1]])]
-            pick = np.unique(first % len(a))
-            a, b = a[pick], b[pick]
-        return pa.table([pa.array(np.minimum(cid[a], cid[b])), pa.array(np.maximum(cid[a], cid[b]))], names=["a", "b"])
-
-    return run
+                difference = np.abs(x[other] - x[k]).sum(axis=1, dtype=np.int32)
+                other = other[7 * difference <= n[k] + n[other]]
+        if len(other):
+            a.append(np.full(len(other), k, dtype=np.int64))
+            b.append(other)
+    if not a:
+        return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.table([pa.array(np.minimum(cid[a], cid[b])), pa.array(np.maximum(cid[a], cid[b]))], names=["a", "b"])
 
 
 class ShingleJoin:
-    """Links among the texts of ``docs``: ``classes`` has (c, n, ident, component), ``rows`` a row for each text."""
+    """Components of the links among the texts of ``docs``.
+
+    ``rows`` has (doc_id, n_shingles, component_id) for each text; ``classes`` (c, n, ident, root, component) for each
+    class of equal sets, and ``root``, the smallest digest of the component; ``kept()`` the documents that stay.
+    """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT, pairs_up_to: int = PAIRS_UP_TO):
         self.group_limit, self.pairs_up_to = group_limit, pairs_up_to
-        texts = docs.select(docs[id_col].alias("ident"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-        kind = dict(texts.dtypes)["ident"]
-        self.meta = cut(texts.mapInArrow(_meta, f"ident {kind}, n long, c binary"))
-        classes = cut(self.meta.where("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.min("ident").alias("ident")))
-        alive = self._alive(texts, classes)
-        sets = self._read_sets(texts, alive)
-        comps = self._components(sets)
+        self._docs, self._id = docs, docs[id_col]
+        text = F.coalesce(docs[text_col], F.lit(""))
+        self._marks = [F.xxhash64(text).alias("m1"), F.xxhash64(text, F.lit(1)).alias("m2")]
+        texts = docs.select(docs[id_col].alias("ident"), *self._marks, text.alias("text"))
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = max(3, (size // BUCKET_BYTES).bit_length())
+        ident = texts.schema["ident"]
+        read = cut(texts.mapInArrow(_read(bits, ident), T.StructType([ident, *_READ.fields])))
+        meta = read.where("bucket is null").select("ident", "m1", "m2", "n", "c")
+        classes = cut(meta.where("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.min("ident").alias("ident")))
+        alive = self._alive(read.where("bucket is not null").select("bucket", "h", "who", "marked"), classes, bits)
+        comps = self._components(self._read_sets(texts, alive))
         with_comp = alive.join(comps.withColumnRenamed("v", "cid"), "cid").select("c", "comp", "ident")
-        names = with_comp.groupBy("comp").agg(F.min("ident").alias("component"))
-        found = with_comp.join(names, "comp").select("c", "component")
-        self.classes = classes.join(found, "c", "left").select("c", "n", "ident", F.coalesce("component", "ident").alias("component"))
-        joined = self.meta.join(self.classes.select("c", "component", F.col("ident").alias("__first")), "c", "left")
-        self._docs, self._id, self._text = docs, id_col, text_col
-        self.rows = joined.select(F.col("ident").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("ident")).otherwise(F.col("component")).alias("component_id"))
+        names = with_comp.groupBy("comp").agg(F.min("ident").alias("component"), F.min("c").alias("root"))
+        found = with_comp.join(names, "comp").select("c", "component", "root")
+        self.classes = cut(classes.join(found, "c", "left").select("c", "n", "ident", F.coalesce("root", "c").alias("root"), F.coalesce("component", "ident").alias("component")))
+        self._joined = meta.where("c is not null").join(self.classes.select("c", "root", "component"), "c")
+        empty = meta.where("c is null").select(F.col("ident").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("ident").alias("component_id"))
+        self.rows = self._joined.select(F.col("ident").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(empty)
 
     def kept(self) -> DataFrame:
-        """The documents of which one stays for each component, the one with its id; repeated rows of that one go.
+        """The documents of which one stays for each component, with all their columns: a text with the component's id,
+        that of the smallest hash where several texts have it, and of repeated rows one.
 
-        Texts without words aren't linked with anything and stay, as do texts whose ids are all null, one a component.
+        Texts without words aren't linked with anything and stay. Rows are matched by id and text, so other texts
+        that share an id are left alone.
         """
-        docs, ident = self._docs, self._docs[self._id]
-        gone = self.rows.where("n_shingles > 0").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-        gone = cut(gone)
-        many = gone.count()
-        side = F.broadcast(gone) if many <= BROADCAST_ROWS else gone
-        out = docs.join(side, ident.eqNullSafe(gone["doc_id"]), "left_anti")
-        twins = cut(self.rows.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+        key = ["ident", "m1", "m2"]
+        texts = cut(self._joined.groupBy(*key, "root", "component").agg(F.count("*").alias("many")))
+        first = texts.where(F.col("ident").eqNullSafe(F.col("component"))).groupBy("root").agg(F.min(F.struct("m1", "m2")).alias("first"))
+        marked = texts.join(first, "root").withColumn("stays", F.col("ident").eqNullSafe(F.col("component")) & (F.struct("m1", "m2") == F.col("first")))
+        listed = cut(marked.where("not stays or many > 1").select(*key, "stays"))
+        docs, ident = self._docs, self._id
+
+        def matched(which: DataFrame, how: str) -> DataFrame:
+            side = which.select(*(F.col(k).alias(f"__{k}") for k in key))
+            side = F.broadcast(side) if which.count() <= BROADCAST_ROWS else side
+            m1, m2 = self._marks
+            return docs.join(side, ident.eqNullSafe(F.col("__ident")) & (m1 == F.col("__m1")) & (m2 == F.col("__m2")), how)
+
+        out = matched(listed, "left_anti")
+        twins = listed.where("stays")
         if twins.isEmpty():
             return out
-        side = F.broadcast(twins) if twins.count() <= BROADCAST_ROWS else twins
-        again = out.join(side, ident.eqNullSafe(twins["doc_id"]), "left_semi").dropDuplicates([self._id])
-        return out.join(side, ident.eqNullSafe(twins["doc_id"]), "left_anti").unionByName(again)
+        again = matched(twins, "left_semi").withColumns({"__m1": self._marks[0], "__m2": self._marks[1], "__ident": ident}).dropDuplicates(["__ident", "__m1", "__m2"]).drop("__ident", "__m1", "__m2")
+        return out.unionByName(again)
 
-    def _alive(self, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    def _alive(self, dealt: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
         """The classes with enough shingles that others have, with a number ``cid`` each."""
-        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = max(3, (size // BUCKET_BYTES).bit_length())
-        looked = texts.select("text").mapInArrow(_look_up(bits), "bucket int, h binary, who binary, marked binary")
-        dealt = cut(looked)
-        local = dealt.where("bucket < 0").select("h").mapInArrow(_unpack, "who long, shared long, times long")
-        other = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared_in_bucket, "who long, shared long, times long")
-        counts = local.union(other).groupBy("who").agg(F.sum("shared").alias("shared"), F.sum("times").alias("times"))
+        told = dealt.where("bucket < 0").select((-1 - F.col("bucket")).alias("part"), "h")
+        other = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared_in_bucket(bits), "part int, h binary")
+        counts = told.union(other).groupBy("part").applyInArrow(_summed, "who long, shared long, times long")
         who = F.conv(F.concat(*(F.hex(F.substring("c", k, 1)) for k in range(8, 0, -1))), 16, -10).cast("long")
         misses = F.floor(F.col("n") / 4)
         tested = F.least(F.col("n"), misses + 1 + F.floor(F.col("n") / 10))
@@ -364,48 +401,49 @@ class ShingleJoin:
         two = one.join(light.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
         return two.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sift, "a long, b long")
 
-    def _compared(self, rows: DataFrame, sets: DataFrame, nearest: bool = False) -> DataFrame:
-        return rows.join(sets.select("cid", "n", "sketch"), "cid").groupBy("key").applyInArrow(_across(nearest), "a long, b long")
+    def _compared(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        return rows.join(sets.select("cid", "n", "sketch"), "cid").groupBy("key").applyInArrow(_across, "a long, b long")
 
     @staticmethod
     def _apart(rows: DataFrame) -> DataFrame:
-        """The groups (key, cid, comp) with several components, and ``many`` rows each."""
-        sizes = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+        """The groups (key, cid, comp, own) with several components and one that is in its own band, and ``many`` rows each."""
+        sizes = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("own").alias("some")).where("low != high and some")
         return rows.join(sizes.select("key", "many"), "key")
 
     def _blocks(self, large: DataFrame) -> DataFrame:
         """Large groups in blocks of half the limit, every two of which meet under a key of their own."""
         blocks = F.ceil(F.col("many") * 2 / self.group_limit * 1.5).cast("long")
-        own = F.pmod(F.xxhash64("cid", F.lit("block")), blocks)
-        other = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        return other.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "cid", "comp")
+        mine = F.pmod(F.xxhash64("cid", F.lit("block")), blocks)
+        other = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        return other.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "cid", "comp", "own")
 
     def _components(self, sets: DataFrame) -> DataFrame:
         """(v, comp) of the classes that are linked with others."""
-        sigs = sets.select("cid", "blob").mapInArrow(_sign(0), "sig long, cid long")
-        groups = sigs.groupBy("sig").agg(F.count("*").alias("many"), F.min("cid").alias("lead")).where("many > 1")
-        shared = cut(sigs.join(groups, "sig"))
-        star = shared.where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
-        few = shared.where(F.col("many").between(3, self.pairs_up_to)).select("sig", "cid")
-        twos = few.withColumnRenamed("cid", "a").join(few.withColumnRenamed("cid", "b"), "sig").where("a < b").select("a", "b")
-        links = cut(self._verified(cut(self._sifted(star.union(twos).distinct(), sets)), sets))
-        rows = shared.where(F.col("many") > self.pairs_up_to).select(F.col("sig").alias("key"), "cid")
-        within = lambda some, comps: some.join(comps.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        # looks at some groups join most components that belong together, so that few pairs are left for the rest
+        spark = sets.sparkSession
+        group = Window.partitionBy("sig")
+        order = group.orderBy(F.col("own").desc(), "cid")
+        every = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        signed = sets.select("cid", "blob").mapInArrow(_sign(0), "sig long, cid long, own boolean")
+        met = signed.select(
+            "sig", "cid", "own", F.count("*").over(every).alias("many"), F.min(F.when(F.col("own"), F.col("cid"))).over(every).alias("lead"),
+            F.lag("cid").over(order).alias("one"), F.lag("own").over(order).alias("one_own"), F.lag("cid", 2).over(order).alias("two"), F.lag("own", 2).over(order).alias("two_own"),
+        ).where("many > 1 and lead is not null")
+        # of those before it: the group's first host, the nearest, and in small groups the next
+        partners = [F.col("lead"), F.when(F.col("own") | F.col("one_own"), F.col("one")), F.when((F.col("many") <= self.pairs_up_to) & (F.col("own") | F.col("two_own")), F.col("two"))]
+        met = met.select(F.when(F.col("many") > self.pairs_up_to, F.col("sig")).alias("key"), "cid", "own", F.array_distinct(F.array_compact(F.array(*partners))).alias("near"))
+        path = fresh_path(spark, "partenum-groups")
+        met.where(F.col("key").isNotNull() | (F.size("near") > 0)).write.parquet(path)
+        shared = spark.read.parquet(path)
+        pairs = shared.select("cid", F.explode("near").alias("other")).where("cid != other").select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+        links = cut(self._verified(self._sifted(pairs, sets), sets))
         comps = components(links)
-        for look in range(LOOKS):
-            some = self._apart(within(rows.where(F.pmod(F.col("key"), F.lit(SOME)) == look), comps))
-            near = cut(self._compared(some.where(F.col("many") <= self.group_limit).select("key", "cid", "comp"), sets, nearest=True).distinct())
-            new = cut(self._verified(near, sets))
-            if new.isEmpty():
-                break
-            comps = merged(comps, new)
-        rows = within(rows, comps)
+        within = shared.where("key is not null").select("key", "cid", "own").join(comps.withColumnRenamed("v", "cid"), "cid", "left")
+        rows = within.withColumn("comp", F.coalesce("comp", "cid"))
         more, family, last = [], 1, None
         while True:
             open_ = cut(self._apart(rows))
             small = open_.where(F.col("many") <= self.group_limit)
-            more.append(self._compared(small.select("key", "cid", "comp"), sets))
+            more.append(self._compared(small.select("key", "cid", "comp", "own"), sets))
             large = open_.where(F.col("many") > self.group_limit)
             left = large.count()
             if left and last is not None and left >= last:  # splitting doesn't help: whole blocks against each other
@@ -413,13 +451,14 @@ class ShingleJoin:
                 left = 0
             if not left:
                 break
-            again = sets.join(large.select("cid").distinct(), "cid", "left_semi").select("cid", "blob").mapInArrow(_sign(family), "sig long, cid long")
-            rows = large.select("key", "cid", "comp").join(again, "cid").select(F.xxhash64("key", "sig").alias("key"), "cid", "comp")
+            again = sets.join(large.select("cid").distinct(), "cid", "left_semi").select("cid", "blob").mapInArrow(_sign(family), "sig long, cid long, own boolean")
+            rows = large.select("key", "cid", "comp", "own").join(again.select("cid", "sig"), "cid").select(F.xxhash64("key", "sig").alias("key"), "cid", "comp", "own")
             family, last = family + 1, left
-        pairs = more[0]
+        drop_path(spark, path)
+        between = more[0]
         for m in more[1:]:
-            pairs = pairs.union(m)
-        new = cut(self._verified(cut(pairs.distinct()), sets))
+            between = between.union(m)
+        new = cut(self._verified(cut(between.distinct()), sets))
         return comps if new.isEmpty() else merged(comps, new)
 
 

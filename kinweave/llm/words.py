@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes worked on at once; longer texts are cut at white space.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U64 = np.uint64
 _MULT = 0x9E6C63D0876A9A35
 _LOWER = np.arange(256, dtype=np.uint8)
