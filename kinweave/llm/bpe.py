@@ -5,7 +5,9 @@ ids travel to the texts. What is not shared is encoded where it stands. Where tw
 meet, the join is re-encoded over a window that grows until both neighbours' tokens end exactly at its ends
 and these ends are places where no pre-token can cross (a visible character before, white space behind).
 
-Null texts count as empty and have no ids. Equal texts have equal ids. Empty tables give empty tables; columns
+Every row is joined by its text's digest, and what is joined is written first, so that a skewed join can split
+the copies of one text. Null texts count as empty and have no ids. A long text costs what its chunks do; its shared
+chunks and its ids are one row. Equal texts have equal ids. Empty tables give empty tables; columns
 whose names clash with the added ones are replaced.
 """
 
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm import bloom
-from kinweave.llm.storage import cut
-from kinweave.llm.words import _BYTES, BLOCK, _power, buffers, mix, runs
+from kinweave.llm.storage import cut, small_batches
+from kinweave.llm.words import BLOCK, _BYTES, _power, buffers, lean, mix, runs
 
 WINDOW = 32
 #: Chunks: a cut where the hash has so many zero bits (512 bytes on average), least and most bytes.
@@ -81,6 +83,7 @@ class Codec:
         table |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         self.fast = self._ranked(spec, table)
         self.bytes = [table.get(i, b"") for i in range(max(table) + 1)]
+        self.narrow = np.dtype("<u2" if len(self.bytes) <= 1 << 16 else "<u4")  # of ids that travel
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
 
     @classmethod
@@ -243,7 +246,7 @@ def _encode_chunks(path: str):
         codec = Codec.load(path)
         for batch in batches:
             ids = codec.encode(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.tobytes() for i in ids], pa.binary())], names=["h1", "h2", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype(codec.narrow).tobytes() for i in ids], pa.binary())], names=["h1", "h2", "ids"])
 
     return run
 
@@ -332,7 +335,7 @@ def _results(codec: Codec, ids: list[np.ndarray | None], digest_only: bool) -> l
 
 
 def _place(path: str, words: np.ndarray, kept: list[int], text_at: int, names: list[str], digest_only: bool):
-    """Texts without a chunk that the filter passes are encoded here; the others go on packed, with their key."""
+    """Texts without a chunk that the filter passes are encoded here; the others go on packed. All have their key."""
 
     def run(batches):
         codec, pack = Codec.load(path), zstandard.ZstdCompressor(1)
@@ -341,10 +344,10 @@ def _place(path: str, words: np.ndarray, kept: list[int], text_at: int, names: l
                 own = batch.slice(lo, 1000)
                 keys, packed, plain = [None] * own.num_rows, [None] * own.num_rows, []
                 for row, raw, ends in chunks(own.column(text_at)):
-                    digests = _pieces(raw, ends)[1]
+                    keys[row], digests = _key(raw), _pieces(raw, ends)[1]
                     pairs = _pairs(digests) if digests else None
                     if digests and bloom.passes(words, pairs[:, 0], pairs[:, 1]).any():
-                        keys[row], packed[row] = _key(raw), pack.compress(raw)
+                        packed[row] = pack.compress(raw)
                     else:
                         plain.append((row, raw))
                 ids = [None] * own.num_rows
@@ -373,7 +376,7 @@ def _join(path: str, kept: int, names: list[str], digest_only: bool):
             for a, b, pair in zip([0, *ends], ends, pairs, strict=False):
                 found = known.get(tuple(pair))
                 if found is not None:
-                    parts.append([a, b, np.frombuffer(found, dtype=np.uint32)])
+                    parts.append([a, b, np.frombuffer(found, dtype=codec.narrow).astype(np.uint32)])
                 elif parts and parts[-1][2] is None:
                     parts[-1][1] = b
                 else:
@@ -400,6 +403,7 @@ def _join(path: str, kept: int, names: list[str], digest_only: bool):
 
 def encode(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, digest_only: bool = False) -> DataFrame:
     """Adds n_tokens and ids (little-endian unsigned 32-bit); with ``digest_only``, the digests of ids and decoded text instead."""
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     extra = [T.StructField("n_tokens", T.LongType())]
     extra += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digest_only else [T.StructField("ids", T.BinaryType())]
@@ -407,19 +411,19 @@ def encode(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None
     keep = [i for i, f in enumerate(docs.schema.fields) if f.name not in gone and not (digest_only and f.name == text_col)]
     fields = [docs.schema.fields[i] for i in keep]
     text = docs.select(text_col)
-    hashes = text.mapInArrow(_chunk_hashes, _PAIR)
+    hashes = text.mapInArrow(lean(_chunk_hashes), _PAIR)
     shared = cut(hashes.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
     words = bloom.build(shared, shared.count())
-    parts = text.mapInArrow(_shared_texts(words), T.StructType([*_PAIR.fields, T.StructField("part", T.BinaryType())]))
+    parts = text.mapInArrow(lean(_shared_texts(words)), T.StructType([*_PAIR.fields, T.StructField("part", T.BinaryType())]))
     once = parts.join(shared, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("part").alias("part"))
-    coded = cut(once.mapInArrow(_encode_chunks(path), T.StructType([*_PAIR.fields, T.StructField("ids", T.BinaryType())])))
-    refs = text.mapInArrow(_refs(words), T.StructType([T.StructField("key", T.BinaryType()), *_PAIR.fields])).distinct()
-    per_text = refs.join(coded, ["h1", "h2"]).groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("h1", "h2", "ids")).alias("__shared"))
+    coded = cut(once.mapInArrow(lean(_encode_chunks(path)), T.StructType([*_PAIR.fields, T.StructField("ids", T.BinaryType())])))
+    refs = text.mapInArrow(lean(_refs(words)), T.StructType([T.StructField("key", T.BinaryType()), *_PAIR.fields])).distinct()
+    per_text = cut(refs.join(coded, ["h1", "h2"]).groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("h1", "h2", "ids")).alias("__shared")))
     names = [f.name for f in fields]
     done = [f.name for f in extra]
-    placed = docs.mapInArrow(_place(path, words, keep, docs.columns.index(text_col), [*names, *_OUT.names, *done], digest_only), T.StructType([*fields, *_OUT.fields, *extra]))
+    placed = docs.mapInArrow(lean(_place(path, words, keep, docs.columns.index(text_col), [*names, *_OUT.names, *done], digest_only)), T.StructType([*fields, *_OUT.fields, *extra]))
     whole = placed.join(per_text, "__key", "left").select(*names, "__key", "__packed", *done, "__shared")
-    return whole.mapInArrow(_join(path, len(fields), [*names, *(f.name for f in extra)], digest_only), T.StructType([*fields, *extra]))
+    return whole.mapInArrow(lean(_join(path, len(fields), [*names, *(f.name for f in extra)], digest_only)), T.StructType([*fields, *extra]))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded", tokenizer: str | None = None) -> DataFrame:
@@ -435,7 +439,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded",
             texts = [codec.decode(np.frombuffer(i or b"", dtype="<u4")).decode() for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string())], names=[*(f.name for f in fields), text_col])
 
-    return encoded.mapInArrow(run, T.StructType([*fields, T.StructField(text_col, T.StringType())]))
+    return encoded.mapInArrow(lean(run), T.StructType([*fields, T.StructField(text_col, T.StringType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
