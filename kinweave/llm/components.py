@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.storage import cut
+from kinweave.llm.words import lean
 
 #: Edges that a task contracts at once.
 AT_ONCE = 200_000
@@ -51,7 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
     link those, and these few links are spread until nothing changes.
     """
     dealt = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).repartition("a")
-    found = dealt.mapInArrow(_contract, "v long, root long").groupBy("v").agg(F.collect_set("root").alias("roots"))  # a root for each task at most
+    found = dealt.mapInArrow(lean(_contract), "v long, root long").groupBy("v").agg(F.collect_set("root").alias("roots"))  # a root for each task at most
     found = cut(found.select("v", F.array_min("roots").alias("comp"), F.when(F.size("roots") > 1, F.col("roots")).alias("roots")))
     between = found.where("roots is not null").select("comp", F.explode("roots").alias("root")).where("comp != root").select(F.col("comp").alias("a"), F.col("root").alias("b")).distinct()
     between = cut(between)

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.llm.words import _BYTES, U64, _power, buffers, mix, runs
+from kinweave.llm.storage import small_batches
+from kinweave.llm.words import U64, _BYTES, _power, buffers, lean, mix, runs
 
 FIT_TEXTS = 2400
 FIT_WORDS = 400_000
@@ -231,6 +232,7 @@ class LanguageId:
     """A model fitted on the labelled rows of ``docs`` for which ``train`` holds."""
 
     def __init__(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train: Column | None = None):
+        small_batches(docs.sparkSession)
         known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
         known = (known if train is None else known.where(train)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
         counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each label
@@ -253,7 +255,7 @@ class LanguageId:
             weights, moves = fit([texts[k] for k in order], np.array([place[langs[k]] for k in order], dtype=np.int64), len(names))
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([moves.tobytes()], pa.binary())], names=["weights", "moves"])
 
-        row = sample.repartition(1).mapInArrow(run, "weights binary, moves binary").first()
+        row = sample.repartition(1).mapInArrow(lean(run), "weights binary, moves binary").first()
         many = len(names)
         self.model = docs.sparkSession.sparkContext.broadcast((np.frombuffer(row["weights"], np.float32).reshape(-1, many), np.frombuffer(row["moves"], np.float64).reshape(many, many)))
 
@@ -296,7 +298,7 @@ class LanguageId:
                     yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(at)), pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(switches)], names=[*kept, *added])
 
         fields = [docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("switches", T.LongType())]
-        return marked.mapInArrow(run, T.StructType(fields))
+        return marked.mapInArrow(lean(run), T.StructType(fields))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

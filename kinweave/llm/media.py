@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinweave.llm.words import lean
+
 # Fixed values of the MPEG audio header (ISO/IEC 11172-3 and 13818-3): kbit/s by (version 1?, layer), sample rates.
 BITRATES = {
     (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -219,7 +221,7 @@ def _added(df: DataFrame, fields: list[T.StructField], make) -> DataFrame:
         for batch in _batches(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *make(batch)], names=[*(f.name for f in kept), *(f.name for f in fields)])
 
-    return df.mapInArrow(run, T.StructType([*kept, *fields]))
+    return df.mapInArrow(lean(run), T.StructType([*kept, *fields]))
 
 
 def store_payload(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:

@@ -10,9 +10,9 @@ Two texts link when 100 * intersection >= 75 * union of their sets of 5-word shi
    shingle, and every part into 3; of those, 2 are equal, so each subset of 2 is a signature. A set signs for its
    own band and, as a guest, for the next; two guests meet in their own band, too, so each pair needs a host.
 4. Classes that share a signature are candidates: each with the group's first and with the one before it, in
-   groups of up to 4 with all. Candidates pass an exact bound on the difference (bucket counts of the sets), then
-   the intersection itself; links give components.
-5. In larger groups what lies in different components is compared through the bucket counts, too, and the
+   groups of up to 4 with all. Candidates pass an exact bound on the difference (parities of the sets' buckets),
+   then the intersection itself; links give components.
+5. In larger groups what lies in different components is compared through these parities, too, and the
    intersection decides. Groups above ``GROUP_LIMIT`` are first split by the signatures of further,
    independent enumerations, which linked sets share as well, and where that doesn't help into blocks, so no
    pair is lost.
@@ -34,13 +34,15 @@ from pyspark.sql import types as T
 
 from kinweave.llm import bloom
 from kinweave.llm.components import components, merged
-from kinweave.llm.storage import cut, drop_path, fresh_path
-from kinweave.llm.words import U64, mix, shingle_sets, word_hashes
+from kinweave.llm.storage import cut, drop_path, fresh_path, small_batches
+from kinweave.llm.words import U64, lean, lean_group, mix, shingle_sets, word_hashes
 
 WIDTH = 5
 #: Groups in which star, chain and next but one are all pairs.
 PAIRS_UP_TO = 4
 GROUP_LIMIT = 4096
+#: Least buckets of a sketch for each element.
+SKETCH = 4
 #: Ids in a look-up that is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text for each bucket of the look-up in step 2.
@@ -76,10 +78,10 @@ def _digest(h: np.ndarray) -> bytes:
 
 _READ = T.StructType(
     [
-        *(T.StructField(n, T.LongType()) for n in ("m1", "m2", "n")),
+        *(T.StructField(n, T.LongType()) for n in ("m1", "m2", "n", "low")),
         *(T.StructField(n, T.BinaryType()) for n in ("c",)),
         T.StructField("bucket", T.IntegerType()),
-        *(T.StructField(n, T.BinaryType()) for n in ("h", "who", "marked")),
+        *(T.StructField(n, T.BinaryType()) for n in ("h", "who", "times")),
     ]
 )
 
@@ -97,12 +99,20 @@ def _by_class(who: np.ndarray, shared: np.ndarray, times: np.ndarray, bits: int)
     return [(k, np.concatenate([x[edges[k] : edges[k + 1]] for x in (who.view(np.int64), shared, times)]).tobytes()) for k in range(1 << bits) if edges[k] < edges[k + 1]]
 
 
+def _packed(h: np.ndarray, who: np.ndarray, marked: np.ndarray, bits: int) -> tuple[bytes, bytes, bytes]:
+    """A bucket's entries by class: 31 bits behind those that choose the bucket and the mark, classes, and entries of each."""
+    order = np.argsort(who, kind="stable")
+    classes, times = np.unique(who, return_counts=True)
+    short = ((h << U64(bits)) >> U64(33)).astype(np.uint32) << np.uint32(1) | marked
+    return short[order].tobytes(), classes.tobytes(), times.astype(np.uint32).tobytes()
+
+
 def _read(bits: int, ident: T.StructField, most: int = 400_000):
-    """A row for each text, with its set's size and class, and rows for step 2: of the buckets, the hashes of classes;
+    """A row for each text, with its set's size, smallest hash and class, and rows for step 2: of the buckets, the hashes of classes;
     and counts of what is known already, in bucket -1 - part.
 
     Of a hash that several classes of the batch have, one goes on, marked, so that common shingles send
-    a row a batch.
+    a row a batch. Hashes are shortened, which may only let more classes pass.
     """
     names = [ident.name, *_READ.names]
 
@@ -123,21 +133,22 @@ def _read(bits: int, ident: T.StructField, most: int = 400_000):
         tell = _by_class(np.concatenate([own, known]), np.concatenate([np.zeros(len(own), np.int64), counts]), np.concatenate([np.ones(len(own), np.int64), np.zeros(len(known), np.int64)]), bits)
         cols = rows(bucket=[-1 - k for k, _ in tell], h=[b for _, b in tell])
         yield pa.RecordBatch.from_arrays([pa.nulls(len(tell), kind), *cols], names=names)
-        h, who, marked = h[start], who[start], (many > 1).astype(np.uint8)
+        h, who, marked = h[start], who[start], (many > 1).astype(np.uint32)
         edges = _edges(h, bits)
         full = [k for k in range(1 << bits) if edges[k] < edges[k + 1]]
-        blobs = [[x[edges[k] : edges[k + 1]].tobytes() for k in full] for x in (h, who, marked)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), kind), *rows(bucket=full, h=blobs[0], who=blobs[1], marked=blobs[2])], names=names)
+        blobs = list(zip(*(_packed(*(x[edges[k] : edges[k + 1]] for x in (h, who, marked)), bits) for k in full), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), kind), *rows(bucket=full, h=blobs[0], who=blobs[1], times=blobs[2])], names=names)
 
     def run(batches):
         parts, classes, seen, total = [], [], set(), 0
         for batch in batches:
             kind = batch.schema.field(0).type
-            n, c = np.zeros(batch.num_rows, dtype=np.int64), [None] * batch.num_rows
+            n, low, c = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.uint64), [None] * batch.num_rows
             for row, h in _sets(batch.column(3)):
                 n[row] = len(h)
                 if not len(h):
                     continue
+                low[row] = h[0]
                 c[row] = _digest(h)
                 if c[row] in seen:
                     continue
@@ -148,7 +159,7 @@ def _read(bits: int, ident: T.StructField, most: int = 400_000):
                 if total >= most:
                     yield from emit(kind, parts, classes)
                     parts, classes, seen, total = [], [], set(), 0
-            cols = rows(m1=batch.column(1), m2=batch.column(2), n=n, c=c)
+            cols = rows(m1=batch.column(1), m2=batch.column(2), n=n, low=low.view(np.int64), c=c)
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
         if total:
             yield from emit(kind, parts, classes)
@@ -161,7 +172,8 @@ def _shared_in_bucket(bits: int):
 
     def run(table: pa.Table) -> pa.Table:
         whole = lambda name, kind: np.concatenate([np.frombuffer(b, dtype=kind) for b in table[name].to_pylist()])
-        h, who, marked = whole("h", np.uint64), whole("who", np.uint64), whole("marked", np.uint8)
+        h, who = whole("h", np.uint32), np.repeat(whole("who", np.uint64), whole("times", np.uint32))
+        h, marked = h >> np.uint32(1), (h & np.uint32(1)).astype(np.uint8)
         order = np.argsort(h, kind="stable")
         h, who, marked = h[order], who[order], marked[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -232,22 +244,25 @@ def _sign(family: int, most: int = 200_000):
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    """Elements in each of about size / 2 to size buckets of the hash, up to 255."""
-    m = max(6, (len(h) // 2).bit_length())
-    counts = np.bincount((mix(h + U64(0x1F83D9ABFB41BD6B)) >> U64(64 - m)).astype(np.int64), minlength=1 << m)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """Whether the elements in each of ``SKETCH`` to 2 * ``SKETCH`` times size buckets of the hash are odd in number, a bit each."""
+    m = max(8, (SKETCH * len(h)).bit_length())
+    at = (mix(h + U64(0x1F83D9ABFB41BD6B)) >> U64(64 - m)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=1 << m) & 1).astype(bool)).tobytes()
 
 
 def _folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches at the resolution of the coarsest."""
+    """Sketches at the resolution of the coarsest, in words of 64 bits."""
     size = min(len(s) for s in sketches)
-    return np.stack([np.frombuffer(s, dtype=np.uint8).reshape(size, -1).sum(axis=1, dtype=np.int32) for s in sketches])
+    out = np.empty((len(sketches), size), dtype=np.uint8)
+    for k, s in enumerate(sketches):
+        own = np.frombuffer(s, dtype=np.uint8)
+        out[k] = own if len(own) == size else np.packbits(np.bitwise_xor.reduce(np.unpackbits(own).reshape(8 * size, -1), axis=1))
+    return out.view(np.uint64)
 
 
-def _possible(x: np.ndarray, y: np.ndarray, size_x, size_y) -> np.ndarray:
-    """Whether sets may link: their sizes, and a lower bound on the difference, allow it."""
-    difference = np.abs(x - y).sum(axis=-1)
-    return (7 * difference <= size_x + size_y) & (4 * np.minimum(size_x, size_y) >= 3 * np.maximum(size_x, size_y))
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound on how many elements sets differ in: an element more or less turns one bit."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
 def _sift(batches):
@@ -258,7 +273,7 @@ def _sift(batches):
         keep = np.zeros(len(a), dtype=bool)
         for k in np.flatnonzero(4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)).tolist():
             x, y = _folded([sa[k], sb[k]])
-            keep[k] = _possible(x, y, na[k], nb[k])
+            keep[k] = 7 * _differ(x, y) <= na[k] + nb[k]
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
@@ -282,17 +297,13 @@ def _across(table: pa.Table) -> pa.Table:
     order = np.lexsort((cid, n))
     cid, comp, n, own = cid[order], comp[order], n[order], own[order]
     sketches = table["sketch"].to_pylist()
-    fine = _folded([sketches[k] for k in order.tolist()]).astype(np.int16)
-    coarse = fine.reshape(len(fine), -1, 4).sum(axis=2, dtype=np.int16)
+    sketches = _folded([sketches[k] for k in order.tolist()])
     reach = np.searchsorted(n, 4 * n // 3, side="right")
     a, b = [], []
     for k in range(len(cid) - 1):
         other = np.arange(k + 1, reach[k])
         other = other[(comp[other] != comp[k]) & (own[other] | own[k])]
-        for x in (coarse, fine):
-            if len(other):
-                difference = np.abs(x[other] - x[k]).sum(axis=1, dtype=np.int32)
-                other = other[7 * difference <= n[k] + n[other]]
+        other = other[7 * _differ(sketches[other], sketches[k]) <= n[k] + n[other]]
         if len(other):
             a.append(np.full(len(other), k, dtype=np.int64))
             b.append(other)
@@ -310,6 +321,7 @@ class ShingleJoin:
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT, pairs_up_to: int = PAIRS_UP_TO):
+        small_batches(docs.sparkSession)
         self.group_limit, self.pairs_up_to = group_limit, pairs_up_to
         self._docs, self._id = docs, docs[id_col]
         text = F.coalesce(docs[text_col], F.lit(""))
@@ -318,10 +330,10 @@ class ShingleJoin:
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = max(3, (size // BUCKET_BYTES).bit_length())
         ident = texts.schema["ident"]
-        read = cut(texts.mapInArrow(_read(bits, ident), T.StructType([ident, *_READ.fields])))
-        meta = read.where("bucket is null").select("ident", "m1", "m2", "n", "c")
-        classes = cut(meta.where("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.min("ident").alias("ident")))
-        alive = self._alive(read.where("bucket is not null").select("bucket", "h", "who", "marked"), classes, bits)
+        read = cut(texts.mapInArrow(lean(_read(bits, ident)), T.StructType([ident, *_READ.fields])))
+        meta = read.where("bucket is null").select("ident", "m1", "m2", "n", "low", "c")
+        classes = cut(meta.where("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.min("ident").alias("ident")))
+        alive = self._alive(read.where("bucket is not null").select("bucket", "h", "who", "times"), classes, bits)
         comps = self._components(self._read_sets(texts, alive))
         with_comp = alive.join(comps.withColumnRenamed("v", "cid"), "cid").select("c", "comp", "ident")
         names = with_comp.groupBy("comp").agg(F.min("ident").alias("component"), F.min("c").alias("root"))
@@ -359,15 +371,17 @@ class ShingleJoin:
         return out.unionByName(again)
 
     def _alive(self, dealt: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
-        """The classes with enough shingles that others have, with a number ``cid`` each."""
+        """The classes with enough shingles that others have, with a number ``cid`` each, in order of their smallest hashes,
+        so that of a group's classes those that follow each other are likely alike."""
         told = dealt.where("bucket < 0").select((-1 - F.col("bucket")).alias("part"), "h")
-        other = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared_in_bucket(bits), "part int, h binary")
-        counts = told.union(other).groupBy("part").applyInArrow(_summed, "who long, shared long, times long")
+        other = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(lean_group(_shared_in_bucket(bits)), "part int, h binary")
+        counts = told.union(other).groupBy("part").applyInArrow(lean_group(_summed), "who long, shared long, times long")
         who = F.conv(F.concat(*(F.hex(F.substring("c", k, 1)) for k in range(8, 0, -1))), 16, -10).cast("long")
         misses = F.floor(F.col("n") / 4)
         tested = F.least(F.col("n"), misses + 1 + F.floor(F.col("n") / 10))
         found = classes.withColumn("who", who).join(counts, "who").where(F.col("shared") >= F.col("times") * (tested - misses))
-        return cut(found.select("c", "n", "ident")).withColumn("cid", F.monotonically_increasing_id())
+        order = found.select("c", "n", "ident", "low").repartitionByRange("low").sortWithinPartitions("low", "c")
+        return cut(order.drop("low")).withColumn("cid", F.monotonically_increasing_id())
 
     def _read_sets(self, texts: DataFrame, alive: DataFrame) -> DataFrame:
         """(cid, n, blob, sketch) of the classes that are left: only texts that may stand for one are read again."""
@@ -386,23 +400,23 @@ class ShingleJoin:
                         sketches.append(_sketch(h))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(blobs, pa.binary()), pa.array(sketches, pa.binary())], names=["c", "blob", "sketch"])
 
-        read = texts.select(*marks, "text").mapInArrow(run, "c binary, blob binary, sketch binary")
-        return cut(read.join(alive.select("c", "cid", "n"), "c").groupBy("cid").agg(F.first("n").alias("n"), F.first("blob").alias("blob"), F.first("sketch").alias("sketch")))
+        read = texts.select(*marks, "text").mapInArrow(lean(run), "c binary, blob binary, sketch binary")
+        return cut(read.join(alive.select("c", "cid", "n"), "c").groupBy("c", "cid", "n").agg(F.first("blob").alias("blob"), F.first("sketch").alias("sketch")).drop("c"))
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         blobs = sets.select("cid", "blob")
         one = pairs.join(blobs.select(F.col("cid").alias("a"), F.col("blob").alias("x")), "a")
         two = one.join(blobs.select(F.col("cid").alias("b"), F.col("blob").alias("y")), "b")
-        return two.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
+        return two.select("a", "b", "x", "y").mapInArrow(lean(_linked), "a long, b long")
 
     def _sifted(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         light = sets.select("cid", "n", "sketch")
         one = pairs.join(light.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
         two = one.join(light.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        return two.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sift, "a long, b long")
+        return two.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(_sift), "a long, b long")
 
     def _compared(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
-        return rows.join(sets.select("cid", "n", "sketch"), "cid").groupBy("key").applyInArrow(_across, "a long, b long")
+        return rows.join(sets.select("cid", "n", "sketch"), "cid").groupBy("key").applyInArrow(lean_group(_across), "a long, b long")
 
     @staticmethod
     def _apart(rows: DataFrame) -> DataFrame:
@@ -423,7 +437,7 @@ class ShingleJoin:
         group = Window.partitionBy("sig")
         order = group.orderBy(F.col("own").desc(), "cid")
         every = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        signed = sets.select("cid", "blob").mapInArrow(_sign(0), "sig long, cid long, own boolean")
+        signed = sets.select("cid", "blob").mapInArrow(lean(_sign(0)), "sig long, cid long, own boolean")
         met = signed.select(
             "sig", "cid", "own", F.count("*").over(every).alias("many"), F.min(F.when(F.col("own"), F.col("cid"))).over(every).alias("lead"),
             F.lag("cid").over(order).alias("one"), F.lag("own").over(order).alias("one_own"), F.lag("cid", 2).over(order).alias("two"), F.lag("own", 2).over(order).alias("two_own"),
@@ -437,8 +451,8 @@ class ShingleJoin:
         pairs = shared.select("cid", F.explode("near").alias("other")).where("cid != other").select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
         links = cut(self._verified(self._sifted(pairs, sets), sets))
         comps = components(links)
-        within = shared.where("key is not null").select("key", "cid", "own").join(comps.withColumnRenamed("v", "cid"), "cid", "left")
-        rows = within.withColumn("comp", F.coalesce("comp", "cid"))
+        large = shared.where("key is not null").select("key", "cid", "own")
+        rows = large.join(comps.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         more, family, last = [], 1, None
         while True:
             open_ = cut(self._apart(rows))
@@ -451,7 +465,7 @@ class ShingleJoin:
                 left = 0
             if not left:
                 break
-            again = sets.join(large.select("cid").distinct(), "cid", "left_semi").select("cid", "blob").mapInArrow(_sign(family), "sig long, cid long, own boolean")
+            again = sets.join(large.select("cid").distinct(), "cid", "left_semi").select("cid", "blob").mapInArrow(lean(_sign(family)), "sig long, cid long, own boolean")
             rows = large.select("key", "cid", "comp", "own").join(again.select("cid", "sig"), "cid").select(F.xxhash64("key", "sig").alias("key"), "cid", "comp", "own")
             family, last = family + 1, left
         drop_path(spark, path)

@@ -6,7 +6,9 @@ A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased. Words
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,47 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that isn't used any more back to the system: Python workers outlive their tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def lean(run: Callable, every: int = 8) -> Callable:
+    """``run`` over Arrow batches, releasing memory every so many of them and at the end."""
+
+    def counted(batches):
+        for k, batch in enumerate(batches, 1):
+            yield batch
+            if k % every == 0:
+                release()
+
+    @wraps(run)
+    def inner(batches):
+        try:
+            yield from run(counted(batches))
+        finally:
+            release()
+
+    return inner
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` over the Arrow table of a group, releasing what it needed if that was much."""
+
+    def inner(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes > 1 << 22:
+            release()
+        return out
+
+    return inner
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finaliser of a public multiplicative hash)."""
     h = h ^ (h >> U64(33))
