@@ -106,6 +106,8 @@ def rules(options: DateOptions = DateOptions()) -> list[Rule]:
     months = _alternatives(MONTHS)
     named = rf"(?i)({months})\.?{SPACE}+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?{SPACE}+(\d{{4}}))?"
     turned = rf"(?i)(\d{{1,2}})(?:st|nd|rd|th)?{SPACE}+({months})\.?(?:{SPACE}+(\d{{4}}))?"
+    # a period belongs to the month only where a year follows it or a word goes on
+    ended = rf"(\d{{1,2}})(?:st|nd|rd|th)?{SPACE}+({months})(?:\.?{SPACE}+(\d{{4}}){_END}|\.(?=[A-Za-z0-9_])|{_END})"
 
     def by_name(pattern: str, month: int, day: int):
         def resolve(m, ref):
@@ -117,7 +119,7 @@ def rules(options: DateOptions = DateOptions()) -> list[Rule]:
         return resolve
 
     add("en", f"(?i){_START}{named[4:]}{_END}", by_name(named, 1, 2))
-    add("en", f"(?i){_START}{turned[4:]}{_END}", by_name(turned, 2, 1))
+    add("en", f"(?i){_START}{ended}", by_name(turned, 2, 1))
 
     slashed = r"(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?"
 

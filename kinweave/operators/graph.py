@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,19 +29,22 @@ def plan_edge_upserts(facts: DataFrame, policies: DataFrame, edges: DataFrame, n
 
     A live edge (neither expired nor invalidated) with the fact's source, predicate and target makes it a
     ``refresh``; else it is an ``insert``, which, where the predicate is exclusive per source, proposes to close
-    the live edges that don't begin after it. Predicates without a policy are additive.
+    the live edges that don't begin after it. Predicates without a policy are additive. Repeated facts get a plan
+    each, with the same closings.
     """
     live = current(edges).where(F.col("invalid_at").isNull()).select("id", F.col("source_entity_id").alias("s"), F.col("predicate").alias("p"), F.col("target_entity_id").alias("t"), F.col("valid_at").alias("since"), "recorded_at")
-    keyed = facts.join(policies, "predicate", "left").withColumn("__fact", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("source_entity_id", "target_entity_id", "predicate", "valid_at", "ordinal")]))
+    keyed = facts.join(policies, "predicate", "left")
+    key = ("source_entity_id", "target_entity_id", "predicate", "valid_at", "cardinality")
     begins = F.coalesce("valid_at", now)
-    met = keyed.join(live, (F.col("source_entity_id") == F.col("s")) & (F.col("predicate") == F.col("p")), "left")
+    met = keyed.select(*key).distinct().join(live, (F.col("source_entity_id") == F.col("s")) & (F.col("predicate") == F.col("p")), "left")
     same = F.col("t") == F.col("target_entity_id")
     closes = (F.col("cardinality") == "exclusive_per_source") & F.col("id").isNotNull() & (F.col("since").isNull() | (begins >= F.col("since")))
-    plans = met.groupBy("__fact").agg(
+    plans = met.groupBy(*key).agg(
         F.min_by("id", F.when(same, F.struct("recorded_at", "id"))).alias("existing_edge_id"),
         F.array_sort(F.collect_list(F.when(closes, F.struct(F.col("id").alias("edge_id"), begins.alias("invalid_at"))))).alias("closing"),
     )
-    out = keyed.join(plans, "__fact").drop("__fact")
+    plans = plans.withColumnsRenamed({k: f"__{k}" for k in key})
+    out = keyed.join(plans, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key))).drop(*(f"__{k}" for k in key))
     refresh = F.col("existing_edge_id").isNotNull()
     empty = F.filter("closing", lambda c: F.lit(False))
     return out.withColumn("action", F.when(refresh, "refresh").otherwise("insert")).withColumn("invalidations", F.when(refresh, empty).otherwise(F.col("closing"))).drop("closing")
@@ -57,12 +62,22 @@ def plan_support_removal(edges: DataFrame, removed: DataFrame) -> DataFrame:
     return reviews.select("edge_id", "remaining_support", (F.size("remaining_support") == 0).alias("orphaned"))
 
 
+def plan_document_deletion(edges: DataFrame, mentions: DataFrame, sources: DataFrame) -> DataFrame:
+    """(edge_id, remaining_support, orphaned) of the edges that the mentions of the deleted ``sources`` (source_id) support."""
+    gone = mentions.join(sources.select("source_id").distinct(), "source_id", "left_semi").select(F.col("id").alias("mention_id"))
+    return plan_support_removal(edges, gone)
+
+
 FOLDED = "id string, source_entity_id string, target_entity_id string, predicate string, valid_at timestamp, invalid_at timestamp, support array<string>, ordinal long"
 
 
 def fold(rows: list[dict], facts: list[dict], cardinality: str) -> list[dict]:
-    """Edges of one (source, predicate) after its facts, each of which sees what came before."""
+    """Edges of one (source, predicate) after its facts, each of which sees what came before.
+
+    A fact of unknown time closes what is live at its ``now`` and keeps its own start unknown.
+    """
     for f in facts:
+        begins = f["valid_at"] if f["valid_at"] is not None else f["now"]
         live = [e for e in rows if e["invalid_at"] is None]
         same = next((e for e in live if e["target_entity_id"] == f["target_entity_id"]), None)
         if same is not None:
@@ -70,26 +85,52 @@ def fold(rows: list[dict], facts: list[dict], cardinality: str) -> list[dict]:
             continue
         if cardinality == "exclusive_per_source":
             for e in live:
-                if e["valid_at"] is None or f["valid_at"] >= e["valid_at"]:
-                    e["invalid_at"] = f["valid_at"]
+                if e["valid_at"] is None or begins >= e["valid_at"]:
+                    e["invalid_at"] = begins
         rows.append({**f, "invalid_at": None, "support": list(dict.fromkeys(f["support"]))})
     return rows
 
 
-def apply_facts(facts: DataFrame, policies: DataFrame) -> DataFrame:
-    """Edges that the facts make, in the order of ``ordinal``, from an empty graph; facts have valid_at.
+def clean(value):
+    """None for what pandas takes for missing."""
+    return None if value is pd.NaT or value is None or (isinstance(value, float) and value != value) else value
 
-    Facts of one (source, predicate) depend on each other and are folded together; ids derive from the fact.
-    """
+
+def ready(facts: DataFrame, policies: DataFrame, now: Column | None) -> DataFrame:
+    """Facts with their cardinality, their edge's id and the time that counts where theirs is unknown."""
     ident = F.sha2(F.concat_ws("\1", "source_entity_id", "predicate", "target_entity_id", F.col("ordinal").cast("string")), 256)
-    ready = facts.join(policies, "predicate", "left").withColumn("id", ident)
+    return facts.join(policies, "predicate", "left").withColumns({"id": ident, "now": F.current_timestamp() if now is None else now, "support": F.coalesce("support", F.array().cast("array<string>"))})
+
+
+def apply_facts(facts: DataFrame, policies: DataFrame, now: Column | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """Edges after the facts, in the order of ``ordinal``: those that the facts make, and ``edges`` (as ``FOLDED``) that were there.
+
+    Where a predicate is exclusive per source, facts of one source depend on each other and are folded together. Else
+    only facts of one (source, predicate, target) do, and these are summed up without gathering them: the first one
+    makes the edge, unless one is live, and all lend their support.
+    """
+    keyed = ready(facts, policies, now)
+    exclusive = F.coalesce(F.col("cardinality") == "exclusive_per_source", F.lit(False))
+    names = [c.split()[0] for c in FOLDED.split(", ")]
+    there = None if edges is None else edges.select(*names).join(policies, "predicate", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ordinal").to_dict("records")
-        for r in rows:
-            r["support"] = list(r["support"])
-        out = fold([], rows, rows[0]["cardinality"])
-        names = [c.split()[0] for c in FOLDED.split(", ")]
-        return pd.DataFrame([{n: e[n] for n in names} for e in out], columns=names).astype({"invalid_at": "datetime64[ns]"})
-
-    return ready.groupBy("source_entity_id", "predicate").applyInPandas(run, FOLDED)
+        rows = [{k: clean(v) if k in ("valid_at", "invalid_at", "now") else v for k, v in r.items()} | {"support": list(r["support"])} for r in pdf.sort_values("ordinal").to_dict("records")]
+        out = fold([r for r in rows if r["old"]], [r for r in rows if not r["old"]], rows[0]["cardinality"])
+        return pd.DataFrame([{n: e[n] for n in names} for e in out], columns=names).astype({"valid_at": "datetime64[ns]", "invalid_at": "datetime64[ns]"})
+
+    columns = [*names, "cardinality", "now", "old"]
+    new = keyed.withColumns({"invalid_at": F.lit(None).cast("timestamp"), "old": F.lit(False)}).select(*columns)
+    every = new if there is None else new.unionByName(there.withColumns({"now": F.lit(None).cast("timestamp"), "old": F.lit(True)}).select(*columns))
+    folded = every.where(exclusive).groupBy("source_entity_id", "predicate").applyInPandas(run, FOLDED)
+    rest = every.where(~exclusive)
+    closed = rest.where(F.col("old") & F.col("invalid_at").isNotNull()).select(*names)
+    one = ("source_entity_id", "predicate", "target_entity_id")
+    first = F.min_by(F.struct("id", "valid_at", "ordinal"), F.struct(~F.col("old"), "ordinal", "id"))
+    seen = rest.where(F.col("invalid_at").isNull())
+    base = seen.groupBy(*one).agg(first.alias("first"))
+    # support in order of first appearance, as far as (edge there, ordinal, place) tells it
+    each = seen.select(*one, "old", "ordinal", F.posexplode("support").alias("pos", "mention")).groupBy(*one, "mention").agg(F.min(F.struct(~F.col("old"), "ordinal", "pos")).alias("at"))
+    support = each.groupBy(*one).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mention"))), lambda x: x["mention"]).alias("support"))
+    summed = base.join(support, list(one), "left").select("first.id", *one, "first.valid_at", F.lit(None).cast("timestamp").alias("invalid_at"), F.coalesce("support", F.array().cast("array<string>")).alias("support"), "first.ordinal")
+    return folded.select(*names).unionByName(summed.select(*names)).unionByName(closed)

@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.phonetic import Scheme, default_schemes, phonetic_keys
@@ -101,6 +102,37 @@ def _judged(nominees: DataFrame, options: Options) -> DataFrame:
     return asked.mapInPandas(run, "gid long, same boolean, confidence double")
 
 
+def nearest(asked: DataFrame, vectors: DataFrame, most: int, rows: int = 1024) -> DataFrame:
+    """(vec_id, near, score): the ``most`` vectors of ``vectors`` nearest to each of ``asked`` by cosine, ties by id, itself left out.
+
+    Both sides (vec_id, embedding) are dealt into blocks of about ``rows``; every two blocks meet in one matrix
+    product, and only its best rows go on. Vectors without a length have a cosine of 0.
+    """
+
+    def dealt(side: DataFrame) -> DataFrame:
+        blocks = max(1, -(-side.count() // rows))
+        own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+        packed = side.where("embedding is not null").select("vec_id", "embedding", own.alias("block"))
+        return packed.groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("v"))  # a block is bounded
+
+    def product(batches):
+        for pdf in batches:
+            for left, right in zip(pdf["x"], pdf["y"], strict=True):
+                ids, near = (np.array([r["vec_id"] for r in side]) for side in (left, right))
+                x, y = (np.array([r["embedding"] for r in side], dtype=np.float64) for side in (left, right))
+                x, y = (v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1) for v in (x, y))
+                score = x @ y.T
+                score[ids[:, None] == near[None, :]] = -np.inf
+                top = np.lexsort((np.broadcast_to(near, score.shape), -score), axis=1)[:, :most]
+                out = pd.DataFrame({"vec_id": np.repeat(ids, top.shape[1]), "near": near[top].reshape(-1), "score": np.take_along_axis(score, top, 1).reshape(-1)})
+                yield out[np.isfinite(out["score"])]
+
+    pairs = dealt(asked).select(F.col("v").alias("x")).crossJoin(dealt(vectors).select(F.col("v").alias("y")))  # blocks of a stated query set against all
+    best = pairs.repartition(F.spark_partition_id()).mapInPandas(product, "vec_id long, near long, score double")
+    ranked = best.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("score").desc(), "near")))
+    return ranked.where(F.col("k") <= most).drop("k")
+
+
 def resolve_candidates(candidates: DataFrame, catalog: DataFrame, options: Options = Options(), log: DataFrame | None = None) -> DataFrame:
     """(ref, entity_id, basis, score, requires_review) for every candidate.
 

@@ -1,22 +1,34 @@
 """The graph's relations as append-only change logs in Parquet, and the operations of a store on them.
 
 A row is a version of a record; the latest by (version) counts. Writes append, so a write that is repeated
-after a failure changes nothing that is read. Ids derive from the record's natural key.
+after a failure changes nothing that is read. Created records get an id of their own, written once: records that
+agree in all fields are still different ones. Versions come from the writer's clock and a random part, so that
+writers needn't agree on a number; ``compact`` leaves the latest versions alone.
 """
 
 from __future__ import annotations
 
+import random
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave import schemas
+from kinweave.operators.graph import plan_document_deletion
 
+#: What a create fills in where it isn't given.
+_DEFAULTS = {
+    "entities": {"created_at": "current_timestamp()"}, "mentions": {"created_at": "current_timestamp()", "status": "'pending'", "confidence": "1.0D"},
+    "edges": {"recorded_at": "current_timestamp()"}, "episodes": {"ingested_at": "current_timestamp()"},
+}
 RELATIONS = {"entities": schemas.ENTITY, "mentions": schemas.MENTION, "edges": schemas.EDGE, "episodes": schemas.EPISODE}
 _NEWEST = {"entities": "created_at", "edges": "recorded_at", "episodes": "ingested_at", "mentions": "created_at"}
 
 
-def ident(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\1", *(F.coalesce(p.cast("string"), F.lit("\0")) for p in parts)), 256)
+def _fields(name: str) -> list[str]:
+    return [c.split()[0] for c in RELATIONS[name].split(", ")]
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -29,7 +41,7 @@ class GraphTables:
     """Relations below ``path``; ``migrate`` makes the empty ones."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self._last = spark, path.rstrip("/"), 0
 
     def migrate(self) -> None:
         for name, schema in RELATIONS.items():
@@ -45,15 +57,51 @@ class GraphTables:
         return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in arrays})
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Add records, or new versions of records, with a version above those there are."""
-        top = self.log(name).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-        fields = [c.split()[0] for c in RELATIONS[name].split(", ")]
-        rows.select(*fields, F.lit(top + 1).cast("long").alias("version")).write.mode("append").parquet(f"{self.path}/{name}")
+        """Add records, or new versions of records, with a version above those there are: microseconds, then 10 random bits."""
+        version = max(time.time_ns() // 1000, self._last + 1)
+        self._last = version
+        rows.select(*_fields(name), F.lit(version << 10 | random.getrandbits(10)).cast("long").alias("version")).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def compact(self, name: str, path: str) -> None:
+        """The latest versions of a relation as one table at ``path``, for a store that starts from it."""
+        log = self.log(name)
+        top = log.groupBy("id").agg(F.max_by(F.struct(*log.columns), "version").alias("r")).select("r.*")
+        top.write.parquet(f"{path}/{name}")
+
+    def create(self, name: str, rows: DataFrame) -> DataFrame:
+        """Add a record for each row, as it was written: ids and what else isn't given are made here, arrays lose repeats."""
+        have = set(rows.columns)
+        given = {}
+        for field in RELATIONS[name].split(", "):
+            column, kind = field.split()
+            default = F.expr("uuid()") if column == "id" else F.expr(_DEFAULTS[name].get(column, "null")).cast(kind)
+            value = F.coalesce(F.col(column).cast(kind), default) if column in have else default
+            given[column] = F.array_distinct(F.coalesce(value, F.array().cast(kind))) if kind.startswith("array") else value
+        batch = f"{self.path}/_created/{uuid.uuid4().hex}"
+        rows.select(*(v.alias(k) for k, v in given.items())).write.parquet(batch)  # once, as ids are random
+        out = self.spark.read.schema(RELATIONS[name]).parquet(batch)
+        self.append(name, out)
+        return out
 
     def create_entities(self, rows: DataFrame) -> DataFrame:
-        out = rows.select(ident(F.col("kind"), F.col("label")).alias("id"), "kind", "label", F.array_distinct(F.coalesce("aliases", F.array().cast("array<string>"))).alias("aliases"), F.current_timestamp().alias("created_at"))
-        self.append("entities", out)
-        return out
+        return self.create("entities", rows)
+
+    def create_mentions(self, rows: DataFrame) -> DataFrame:
+        return self.create("mentions", rows)
+
+    def create_edges(self, rows: DataFrame) -> DataFrame:
+        return self.create("edges", rows)
+
+    def create_episodes(self, rows: DataFrame) -> DataFrame:
+        return self.create("episodes", rows)
+
+    def delete_documents(self, sources: DataFrame) -> DataFrame:
+        """Take the support of the mentions of ``sources`` (source_id) from the edges; returns the reviews of those that lost some."""
+        path = f"{self.path}/_reviews/{uuid.uuid4().hex}"
+        plan_document_deletion(self.read("edges"), self.read("mentions"), sources).write.parquet(path)  # before the edges change
+        reviews = self.spark.read.parquet(path)
+        self.set_edge_support(reviews.select(F.col("edge_id").alias("id"), F.col("remaining_support").alias("support")))
+        return reviews
 
     def get(self, name: str, id_: str) -> DataFrame:
         return self.read(name).where(F.col("id") == id_)

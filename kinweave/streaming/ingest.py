@@ -7,38 +7,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kinweave.operators.graph import FOLDED, fold
+from kinweave.operators.graph import FOLDED, clean, fold, ready
 
 _NAMES = [c.split()[0] for c in FOLDED.split(", ")]
 _STATE = "edges array<struct<id: string, source_entity_id: string, target_entity_id: string, predicate: string, valid_at: timestamp, invalid_at: timestamp, support: array<string>, ordinal: bigint>>"
 
 
-def _clean(value):
-    return None if value is pd.NaT or (isinstance(value, float) and value != value) else value
-
-
 def apply_facts_stream(facts: DataFrame, policies: DataFrame) -> DataFrame:
-    """Edges of every (source, predicate) that new facts touch, after those facts.
+    """Edges of every (source, predicate) that new facts touch and change, after those facts.
 
-    Nothing expires: a late fact is placed by its valid time, as the planner does, and never dropped.
-    ``facts``: source_entity_id, target_entity_id, predicate, valid_at, support, ordinal.
+    The state holds live edges; what a batch closes is emitted once more and leaves it. Nothing else expires: a
+    late fact is placed by its valid time, as the planner does, and never dropped; one of unknown time counts from
+    the batch's. ``facts``: source_entity_id, target_entity_id, predicate, valid_at, support, ordinal.
     """
-    ident = F.sha2(F.concat_ws("\1", "source_entity_id", "predicate", "target_entity_id", F.col("ordinal").cast("string")), 256)
-    ready = facts.join(F.broadcast(policies), "predicate", "left").withColumn("id", ident)  # a policy for each predicate
+    keyed = ready(facts, F.broadcast(policies), None)  # a policy for each predicate
 
     def run(key, pdfs, state: GroupState):
         rows = [dict(zip(_NAMES, e, strict=True)) for e in state.get[0]] if state.exists else []
         for e in rows:
             e["support"] = list(e["support"])
+        before = {e["id"]: (e["invalid_at"], list(e["support"])) for e in rows}
         new = pd.concat(pdfs).sort_values("ordinal").to_dict("records")
         for f in new:
-            f["support"], f["valid_at"] = list(f["support"]), _clean(f["valid_at"])
+            f["support"], f["valid_at"] = list(f["support"]), clean(f["valid_at"])
         out = fold(rows, new, new[0]["cardinality"])
-        plain = [tuple(_clean(e[n]) if n in ("valid_at", "invalid_at") else e[n] for n in _NAMES) for e in out]
-        state.update(([tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in e) for e in plain],))
-        yield pd.DataFrame(plain, columns=_NAMES).astype({"valid_at": "datetime64[ns]", "invalid_at": "datetime64[ns]"})
+        plain = lambda e: tuple(clean(e[n]) if n in ("valid_at", "invalid_at") else e[n] for n in _NAMES)
+        moment = lambda v: v.to_pydatetime() if isinstance(v, pd.Timestamp) else v
+        state.update(([tuple(map(moment, plain(e))) for e in out if e["invalid_at"] is None],))
+        changed = [plain(e) for e in out if before.get(e["id"]) != (e["invalid_at"], e["support"])]
+        yield pd.DataFrame(changed, columns=_NAMES).astype({"valid_at": "datetime64[ns]", "invalid_at": "datetime64[ns]"})
 
-    return ready.groupBy("source_entity_id", "predicate").applyInPandasWithState(run, FOLDED, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("source_entity_id", "predicate").applyInPandasWithState(run, FOLDED, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def latest_state(changes: DataFrame, key: str = "user_id", order: str = "ts", value: str = "event_type") -> DataFrame:

@@ -3,11 +3,14 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave import schemas
+from kinweave.functions import dates
 from kinweave.functions.dates import DateOptions, extract_dates
-from kinweave.operators import extract, graph
+from kinweave.operators import extract, graph, resolve
 from kinweave.schemas import EDGE, FACT
 from kinweave.sources.tables import GraphTables
 from kinweave.streaming.ingest import apply_facts_stream, latest_state
@@ -139,3 +142,71 @@ def test_latest_state_on_a_stream(spark, tmp_path):
     stream = latest_state(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     stream.writeStream.format("memory").queryName("newest").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert {(r["user_id"], r["event_type"]) for r in spark.table("newest").collect()} == {(1, "buy"), (2, "view")}
+
+
+def test_homonyms_stay_apart(spark, tmp_path):
+    store = GraphTables(spark, str(tmp_path))
+    store.migrate()
+    rows = [("person", "Ann", ["A"]), ("person", "Ann", ["B"]), ("person", "Ann", ["B"])]
+    made = store.create_entities(spark.createDataFrame(rows, "kind string, label string, aliases array<string>"))
+    got = store.list("entities", label="Ann").collect()
+    assert sorted(r["aliases"] for r in got) == [["A"], ["B"], ["B"]] and {r["id"] for r in got} == {r["id"] for r in made.collect()}
+    one = store.create_mentions(spark.createDataFrame([("doc", "person", "Ann")], "source_id string, kind string, surface_form string")).first()
+    assert (one["status"], one["confidence"], one["entity_id"]) == ("pending", 1.0, None) and one["created_at"] is not None
+
+
+def test_deleted_documents_lose_their_support(spark, tmp_path):
+    store = GraphTables(spark, str(tmp_path))
+    store.migrate()
+    mentions = [("m1", "d1"), ("m2", "d1"), ("m3", "d2")]
+    store.create_mentions(spark.createDataFrame(mentions, "id string, source_id string"))
+    store.create_edges(spark.createDataFrame([("e1", ["m1", "m3", "m2"]), ("e2", ["m2"]), ("e3", ["m3"])], "id string, support array<string>"))
+    reviews = store.delete_documents(spark.createDataFrame([("d1",)], "source_id string"))
+    assert {r["edge_id"]: (r["remaining_support"], r["orphaned"]) for r in reviews.collect()} == {"e1": (["m3"], False), "e2": ([], True)}
+    assert {r["id"]: r["support"] for r in store.read("edges").collect()} == {"e1": ["m3"], "e2": [], "e3": ["m3"]}
+
+
+def test_facts_of_unknown_time_count_from_now(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    rows = [("s", "a", "lives", day(1), ["x"], 1), ("s", "b", "lives", None, ["y"], 2), ("s", "b", "lives", day(3), ["y", "z"], 3), ("s", "c", "lives", day(2), None, 4), ("s", "a", "knows", None, ["k"], 5), ("s", "a", "knows", day(2), ["j", "k"], 6)]
+    facts = spark.createDataFrame(rows, "source_entity_id string, target_entity_id string, predicate string, valid_at timestamp, support array<string>, ordinal long")
+    policies = spark.createDataFrame([("lives", "exclusive_per_source")], "predicate string, cardinality string")
+    got = {(r["target_entity_id"], r["predicate"]): (r["valid_at"], r["invalid_at"], r["support"], r["ordinal"]) for r in graph.apply_facts(facts, policies, now=F.lit("2024-02-01").cast("timestamp")).collect()}
+    assert got == {
+        ("a", "lives"): (day(1), dt.datetime(2024, 2, 1), ["x"], 1), ("b", "lives"): (None, day(2), ["y", "z"], 2), ("c", "lives"): (day(2), None, [], 4), ("a", "knows"): (None, None, ["k", "j"], 5),
+    }
+    there = graph.apply_facts(facts.where("ordinal < 3"), policies, now=F.lit("2024-02-01").cast("timestamp"))
+    more = graph.apply_facts(facts.where("ordinal >= 3"), policies, edges=there).collect()
+    assert {(r["target_entity_id"], r["predicate"]): (r["valid_at"], r["invalid_at"], r["support"]) for r in more if r["predicate"] == "lives"} == {k: v[:3] for k, v in got.items() if k[1] == "lives"}
+
+
+def test_repeated_facts_close_once(spark):
+    edges = spark.createDataFrame([("a", "s", "x", "p", None, None, dt.datetime(2024, 1, 1), None, [])], schemas.EDGE)
+    fact = ("s", "y", "p", None, ["m"], 1)
+    facts = spark.createDataFrame([fact, fact], schemas.FACT)
+    plans = graph.plan_edge_upserts(facts, spark.createDataFrame([("p", "exclusive_per_source")], schemas.POLICY), edges, F.lit("2024-02-01").cast("timestamp")).collect()
+    assert len(plans) == 2 and all([i["edge_id"] for i in p["invalidations"]] == ["a"] for p in plans)
+
+
+def test_nearest_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(60)] + [(60, [0.0] * 8), (61, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows[:61]])
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = {}
+    for k in range(0, 61, 7):
+        order = sorted((j for j in range(61) if j != k), key=lambda j: (-round(float(x[k] @ x[j]), 9), j))
+        want[k] = order[:3]
+    for rows_a_block in (7, 1024):
+        got = {}
+        for r in sorted(resolve.nearest(vectors.where("vec_id % 7 = 0"), vectors, 3, rows_a_block).collect(), key=lambda r: (r["vec_id"], -round(r["score"], 9), r["near"])):
+            got.setdefault(r["vec_id"], []).append(r["near"])
+        assert got == want
+
+
+def test_a_period_behind_a_month_ends_the_date(spark):
+    text = lambda x: spark.range(1).select(dates.extract_dates(F.lit(x), F.lit("2026-05-20").cast("date")).alias("d")).first()["d"]
+    for x, surface in (("met on 5 May. Then", "5 May"), ("on 5 May", "5 May"), ("on 5 Dec. 2021 there", "5 Dec. 2021"), ("5 May 2020.", "5 May 2020")):
+        found = text(x)
+        assert [r["surface_form"] for r in found] == [surface] and found[0]["span_start"] == x.index("5"), x
