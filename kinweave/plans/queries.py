@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +14,7 @@ from kinweave.functions import dates as d
 from kinweave.functions import text as t
 from kinweave.functions.phonetic import phonetic_keys
 from kinweave.operators import evaluate, extract, graph, memory, resolve
+from kinweave.sources.tables import GraphTables
 from kinweave.streaming.ingest import latest_state, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,7 +166,7 @@ def _catalog(spark, sf_dir) -> DataFrame:
 
 def _noisy(spark, sf_dir) -> DataFrame:
     """A variant of each part's name: in capitals and quotes, with its middle letter doubled, or with a prefix that nothing has."""
-    part = table(spark, sf_dir, "part").where("p_partkey % 5 = 0")
+    part = table(spark, sf_dir, "part")
     key, name = F.col("p_partkey"), F.col("p_name")
     half = F.floor(F.length(name) / 2).cast("int")
     doubled = F.concat(F.substring(name, F.lit(1), half), F.substring(name, half, F.length(name)))
@@ -173,7 +175,7 @@ def _noisy(spark, sf_dir) -> DataFrame:
 
 
 _NOISY = """WITH v AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '“' || upper(p_name) || '”'
-  WHEN 1 THEN substr(p_name, 1, length(p_name) // 2) || substr(p_name, length(p_name) // 2) ELSE 'zzqx jjwv ' || p_partkey END AS label FROM part WHERE p_partkey % 5 = 0),
+  WHEN 1 THEN substr(p_name, 1, length(p_name) // 2) || substr(p_name, length(p_name) // 2) ELSE 'zzqx jjwv ' || p_partkey END AS label FROM part),
 c AS (SELECT p_partkey::VARCHAR AS ref, """ + _NORM.format("label") + """ AS norm FROM v),
 n AS (SELECT DISTINCT p_name, md5(p_name) AS id FROM part)"""
 
@@ -249,11 +251,8 @@ def rejection_antijoin(spark, sf_dir):
     SELECT vec_id, near, round(c, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, near) AS k FROM s) WHERE k <= 3""",
 )
 def cosine_topk_embeddings(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    asked = F.broadcast(e.where("vec_id % 20 = 0").select("vec_id", F.col("embedding").alias("q")))  # the stated query set
-    scored = asked.join(e.select(F.col("vec_id").alias("near"), "embedding"), F.col("vec_id") != F.col("near")).withColumn("c", resolve.cosine(F.col("q"), F.col("embedding")))
-    top = scored.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("c").desc(), "near"))).where("k <= 3")
-    return top.select("vec_id", "near", F.round("c", 6).alias("score"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return resolve.nearest(e.where("vec_id % 20 = 0"), e, 3).select("vec_id", "near", F.round("score", 6).alias("score"))  # the stated query set
 
 
 @query("judge_budget_topn", "SELECT p_partkey, p_name, p_partkey % 2 = 0 AS same FROM part ORDER BY p_partkey LIMIT 20")
@@ -265,13 +264,13 @@ def judge_budget_topn(spark, sf_dir):
 
 
 def _dated(spark, sf_dir, form: Column, options=d.DateOptions()) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
     found = o.withColumn("text", form).select("o_orderkey", F.explode(d.extract_dates(F.col("text"), F.lit("2026-05-20").cast("date"), options)).alias("m"))
     return found.select("o_orderkey", F.col("m.surface_form").alias("surface"), F.col("m.span_start").cast("long").alias("span_start"), F.col("m.date").alias("day"), "m.grain", "m.confidence")
 
 
 def _dated_sql(surface: str, day: str, confidence: str, where: str = "true", start: int = 4, grain: str = "day") -> str:
-    return f"SELECT o_orderkey, {surface} AS surface, {start}::BIGINT AS span_start, ({day})::DATE AS day, '{grain}' AS grain, ({confidence})::DOUBLE AS confidence FROM orders WHERE o_orderkey % 10 = 0 AND {where}"
+    return f"SELECT o_orderkey, {surface} AS surface, {start}::BIGINT AS span_start, ({day})::DATE AS day, '{grain}' AS grain, ({confidence})::DOUBLE AS confidence FROM orders WHERE {where}"
 
 
 @query("iso_dates", _dated_sql("strftime(o_orderdate, '%Y-%m-%d')", "o_orderdate", "0.95"))
@@ -436,23 +435,59 @@ def orphaned_edges(spark, sf_dir):
     return _removed(spark, sf_dir).where("orphaned").select("edge_id")
 
 
+def _store(spark, sf_dir) -> GraphTables:
+    """A store of its own below the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    store = GraphTables(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
+    store.migrate()
+    return store
+
+
 @query("mentions_by_source_status", "SELECT source, CASE WHEN quality = 1 THEN 'confirmed' WHEN quality = 0 THEN 'rejected' ELSE 'pending' END AS status, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
 def mentions_by_source_status(spark, sf_dir):
     both = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     status = F.when(F.col("quality") == 1, "confirmed").when(F.col("quality") == 0, "rejected").otherwise("pending")
-    return both.groupBy("source", status.alias("status")).agg(F.count("*").alias("n"))
+    store = _store(spark, sf_dir)
+    rows = both.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), F.lit("document").alias("kind"), status.alias("told"))
+    store.create_mentions(rows.drop("told"))
+    store.set_mention_status(rows.where("told != 'pending'").select("id", F.col("told").alias("status")))
+    return store.read("mentions").groupBy(F.col("source_id").alias("source"), "status").agg(F.count("*").alias("n"))
 
 
 @query("episodes_by_source", "SELECT user_id, count(*) AS mentions, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY user_id")
 def episodes_by_source(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("mentions"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    e = table(spark, sf_dir, "events")
+    store = _store(spark, sf_dir)
+    store.create_episodes(e.select(F.col("user_id").cast("string").alias("source_id"), F.col("ts").cast("timestamp").alias("ingested_at"), F.array(F.col("event_id").cast("string")).alias("mention_ids")))
+    found = store.read("episodes").groupBy(F.col("source_id").cast("long").alias("user_id"))
+    return found.agg(F.sum(F.size("mention_ids")).alias("mentions"), F.min("ingested_at").cast("timestamp_ntz").alias("first_at"), F.max("ingested_at").cast("timestamp_ntz").alias("last_at"))
 
 
 @query("alias_append_idempotent", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) ELSE lower(c_name) || ',' || c_mktsegment END AS aliases FROM customer")
 def alias_append_idempotent(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumn("have", F.array(F.lower("c_name")))
-    new = F.when(F.col("c_custkey") % 2 == 0, F.lower("c_name")).otherwise(F.col("c_mktsegment"))
-    return c.select("c_custkey", F.array_join(F.array_union(F.array_union("have", F.array(new)), F.array(new)), ",").alias("aliases"))
+    c = table(spark, sf_dir, "customer")
+    store = _store(spark, sf_dir)
+    store.create_entities(c.select(F.col("c_custkey").cast("string").alias("id"), F.lit("person").alias("kind"), F.col("c_name").alias("label"), F.array(F.lower("c_name")).alias("aliases")))
+    new = c.select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.lower("c_name")).otherwise(F.col("c_mktsegment")).alias("alias"))
+    for _ in range(2):
+        store.add_aliases(new)
+    return store.read("entities").select(F.col("id").cast("long").alias("c_custkey"), F.array_join("aliases", ",").alias("aliases"))
+
+
+@query(
+    "delete_documents",
+    """WITH m AS (SELECT l_suppkey || '-' || l_partkey AS edge_id, l_orderkey AS source, l_orderkey || ':' || l_linenumber AS mention FROM lineitem),
+    r AS (SELECT edge_id, string_agg(mention, ',' ORDER BY mention) FILTER (source % 3 <> 0) AS kept, count(*) FILTER (source % 3 = 0) AS lost FROM m GROUP BY edge_id)
+    SELECT edge_id, coalesce(kept, '') AS support, kept IS NULL AS orphaned FROM r""",
+)
+def delete_documents(spark, sf_dir):
+    """Edges' support after the documents (orders) of every third number are deleted."""
+    li = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_suppkey", "l_partkey").alias("edge"), F.col("l_orderkey").cast("string").alias("source_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"))
+    store = _store(spark, sf_dir)
+    store.create_mentions(li.select("id", "source_id", F.lit("line").alias("kind")))
+    store.create_edges(li.groupBy(F.col("edge").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("support")))
+    store.delete_documents(table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("source_id")))
+    return store.read("edges").select(F.col("id").alias("edge_id"), F.array_join("support", ",").alias("support"), (F.size("support") == 0).alias("orphaned"))
 
 
 @query("apply_latest_state", "SELECT user_id, arg_max(event_type, (ts, event_type)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
@@ -466,13 +501,13 @@ def windowed(spark, sf_dir):
 
 
 def _facts(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 1")
+    o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").cast("string").alias("source_entity_id"), F.col("o_orderpriority").alias("target_entity_id"), F.lit("ranks").alias("predicate"), F.col("o_orderdate").cast("timestamp").alias("valid_at"), F.array(F.col("o_orderkey").cast("string")).alias("support"), F.col("o_orderkey").alias("ordinal"))
 
 
 @query(
     "apply_facts_pair",
-    """SELECT o_custkey::VARCHAR AS source, o_orderpriority AS target, min(o_orderkey) AS ordinal, count(*) AS support, true AS open FROM orders WHERE o_custkey % 10 = 1 GROUP BY ALL""",
+    """SELECT o_custkey::VARCHAR AS source, o_orderpriority AS target, min(o_orderkey) AS ordinal, count(*) AS support, true AS open FROM orders GROUP BY ALL""",
 )
 def apply_facts_pair(spark, sf_dir):
     policies = spark.createDataFrame([("ranks", "exclusive_pair")], "predicate string, cardinality string")
@@ -480,10 +515,24 @@ def apply_facts_pair(spark, sf_dir):
     return out.select(F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target"), "ordinal", F.size("support").cast("long").alias("support"), F.col("invalid_at").isNull().alias("open"))
 
 
-@query("apply_facts_exclusive")
+@query(
+    "apply_facts_exclusive",
+    """WITH RECURSIVE f AS (SELECT o_custkey AS s, o_orderpriority AS t, o_orderdate AS d, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    r AS (
+      SELECT s, i, [{'t': t, 'since': d, 'until': NULL::TIMESTAMP, 'k': k, 'n': 1}] AS e FROM f WHERE i = 1
+      UNION ALL
+      SELECT f.s, f.i, CASE WHEN len(list_filter(r.e, lambda x: x.until IS NULL AND x.t = f.t)) > 0
+        THEN list_transform(r.e, lambda x: CASE WHEN x.until IS NULL AND x.t = f.t THEN {'t': x.t, 'since': x.since, 'until': x.until, 'k': x.k, 'n': x.n + 1} ELSE x END)
+        ELSE list_append(list_transform(r.e, lambda x: CASE WHEN x.until IS NULL AND f.d >= x.since THEN {'t': x.t, 'since': x.since, 'until': f.d, 'k': x.k, 'n': x.n} ELSE x END),
+                         {'t': f.t, 'since': f.d, 'until': NULL::TIMESTAMP, 'k': f.k, 'n': 1}) END
+      FROM r JOIN f ON f.s = r.s AND f.i = r.i + 1),
+    l AS (SELECT s, arg_max(e, i) AS e FROM r GROUP BY s)
+    SELECT s::VARCHAR AS source, x.t AS target, x.k AS ordinal, strftime(x.since, '%Y-%m-%d') AS since, coalesce(strftime(x.until, '%Y-%m-%d'), '') AS until, x.n::BIGINT AS support FROM (SELECT s, unnest(e) AS x FROM l)""",
+)
 def apply_facts_exclusive(spark, sf_dir):
     policies = spark.createDataFrame([("ranks", "exclusive_per_source")], "predicate string, cardinality string")
-    return graph.apply_facts(_facts(spark, sf_dir), policies)
+    out = graph.apply_facts(_facts(spark, sf_dir), policies)
+    return out.select(F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target"), "ordinal", F.date_format("valid_at", "yyyy-MM-dd").alias("since"), F.coalesce(F.date_format("invalid_at", "yyyy-MM-dd"), F.lit("")).alias("until"), F.size("support").cast("long").alias("support"))
 
 
 def _outcome(spark, sf_dir) -> DataFrame:
@@ -514,5 +563,5 @@ def embedding_stage(spark, sf_dir):
     def embed(labels: list[str]) -> list[list[float]]:
         return pd.DataFrame([[x.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for x in labels]).astype(float).values.tolist()
 
-    part = table(spark, sf_dir, "part").where("p_partkey % 25 = 0").select(F.col("p_partkey").cast("string").alias("ref"), F.lit("part").alias("kind"), F.reverse("p_name").alias("label"), F.col("p_partkey").alias("ordinal"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("ref"), F.lit("part").alias("kind"), F.reverse("p_name").alias("label"), F.col("p_partkey").alias("ordinal"))
     return resolve.resolve_candidates(part, _catalog(spark, sf_dir), resolve.Options(phonetic_schemes=[], embedder=embed))
