@@ -10,8 +10,8 @@ Two texts link when 100 * intersection >= 75 * union of their sets of 5-word shi
    shingle, and every part into 3; of those, 2 are equal, so each subset of 2 is a signature. A set signs for its
    own band and, as a guest, for the next; two guests meet in their own band, too, so each pair needs a host.
 4. Classes that share a signature are candidates: each with the group's first and with the one before it, in
-   groups of up to 4 with all. Candidates pass an exact bound on the difference (parities of the sets' buckets),
-   then the intersection itself; links give components.
+   groups of up to 4 with all. Candidates pass an exact bound on the difference (parities of the sets' buckets,
+   few of them first, then more), then the intersection itself; links give components.
 5. In larger groups what lies in different components is compared through these parities, too, and the
    intersection decides. Groups above ``GROUP_LIMIT`` are first split by the signatures of further,
    independent enumerations, which linked sets share as well, and where that doesn't help into blocks, so no
@@ -250,6 +250,11 @@ def _sketch(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=1 << m) & 1).astype(bool)).tobytes()
 
 
+def _coarse(sketch: bytes) -> bytes:
+    """A sketch with a fourth of the buckets; the bound on the difference still holds, if less tightly."""
+    return np.packbits(np.bitwise_xor.reduce(np.unpackbits(np.frombuffer(sketch, dtype=np.uint8)).reshape(-1, 4), axis=1)).tobytes()
+
+
 def _folded(sketches: list[bytes]) -> np.ndarray:
     """Sketches at the resolution of the coarsest, in words of 64 bits."""
     size = min(len(s) for s in sketches)
@@ -296,7 +301,7 @@ def _across(table: pa.Table) -> pa.Table:
     cid, comp, n, own = (table[c].to_numpy() for c in ("cid", "comp", "n", "own"))
     order = np.lexsort((cid, n))
     cid, comp, n, own = cid[order], comp[order], n[order], own[order]
-    sketches = table["sketch"].to_pylist()
+    sketches = table["coarse"].to_pylist()
     sketches = _folded([sketches[k] for k in order.tolist()])
     reach = np.searchsorted(n, 4 * n // 3, side="right")
     a, b = [], []
@@ -380,11 +385,11 @@ class ShingleJoin:
         misses = F.floor(F.col("n") / 4)
         tested = F.least(F.col("n"), misses + 1 + F.floor(F.col("n") / 10))
         found = classes.withColumn("who", who).join(counts, "who").where(F.col("shared") >= F.col("times") * (tested - misses))
-        order = found.select("c", "n", "ident", "low").repartitionByRange("low").sortWithinPartitions("low", "c")
+        order = found.select("c", "n", "ident", "low").repartitionByRange("low", "c").sortWithinPartitions("low", "c")
         return cut(order.drop("low")).withColumn("cid", F.monotonically_increasing_id())
 
     def _read_sets(self, texts: DataFrame, alive: DataFrame) -> DataFrame:
-        """(cid, n, blob, sketch) of the classes that are left: only texts that may stand for one are read again."""
+        """(cid, n, blob, sketch, coarse) of the classes that are left: only texts that may stand for one are read again."""
         marks = [F.xxhash64("ident").alias("h1"), F.xxhash64("ident", F.lit(1)).alias("h2")]
         words = bloom.build(alive.select(*marks), alive.count())
 
@@ -392,16 +397,17 @@ class ShingleJoin:
             for batch in batches:
                 high, low = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
                 near = batch.filter(pa.array(bloom.passes(words, high, low)))
-                c, blobs, sketches = [], [], []
+                c, blobs, sketches, coarse = [], [], [], []
                 for _, h in _sets(near.column(2)):
                     if len(h):
                         c.append(_digest(h))
                         blobs.append(h.tobytes())
                         sketches.append(_sketch(h))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(blobs, pa.binary()), pa.array(sketches, pa.binary())], names=["c", "blob", "sketch"])
+                        coarse.append(_coarse(sketches[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (c, blobs, sketches, coarse)], names=["c", "blob", "sketch", "coarse"])
 
-        read = texts.select(*marks, "text").mapInArrow(lean(run), "c binary, blob binary, sketch binary")
-        return cut(read.join(alive.select("c", "cid", "n"), "c").groupBy("c", "cid", "n").agg(F.first("blob").alias("blob"), F.first("sketch").alias("sketch")).drop("c"))
+        read = texts.select(*marks, "text").mapInArrow(lean(run), "c binary, blob binary, sketch binary, coarse binary")
+        return cut(read.join(alive.select("c", "cid", "n"), "c").groupBy("c", "cid", "n").agg(*(F.first(x).alias(x) for x in ("blob", "sketch", "coarse"))).drop("c"))
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         blobs = sets.select("cid", "blob")
@@ -410,19 +416,28 @@ class ShingleJoin:
         return two.select("a", "b", "x", "y").mapInArrow(lean(_linked), "a long, b long")
 
     def _sifted(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        light = sets.select("cid", "n", "sketch")
-        one = pairs.join(light.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        two = one.join(light.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+        """The pairs that the bound lets pass: that of the coarse sketches, which are cheap to send, then that of the fine ones."""
+        for sketch in ("coarse", "sketch"):
+            pairs = self._bounded_by(sketch, pairs, sets)
+        return pairs
+
+    @staticmethod
+    def _bounded_by(sketch: str, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        light = sets.select("cid", "n", F.col(sketch).alias("s"))
+        one = pairs.join(light.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
+        two = one.join(light.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
         return two.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(_sift), "a long, b long")
 
     def _compared(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
-        return rows.join(sets.select("cid", "n", "sketch"), "cid").groupBy("key").applyInArrow(lean_group(_across), "a long, b long")
+        return rows.join(sets.select("cid", "n", "coarse"), "cid").groupBy("key").applyInArrow(lean_group(_across), "a long, b long")
 
     @staticmethod
     def _apart(rows: DataFrame) -> DataFrame:
-        """The groups (key, cid, comp, own) with several components and one that is in its own band, and ``many`` rows each."""
-        sizes = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("own").alias("some")).where("low != high and some")
-        return rows.join(sizes.select("key", "many"), "key")
+        """The groups (key, cid, comp, own) with several components and one that is in its own band, and ``many`` rows each;
+        of groups with the same rows one, as the others hold the same pairs."""
+        same = [F.bit_xor(F.xxhash64("cid", "own", F.lit(k))).alias(f"x{k}") for k in range(2)]
+        sizes = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("own").alias("some"), *same).where("low != high and some")
+        return rows.join(sizes.groupBy("many", "x0", "x1").agg(F.min("key").alias("key")).select("key", "many"), "key")
 
     def _blocks(self, large: DataFrame) -> DataFrame:
         """Large groups in blocks of half the limit, every two of which meet under a key of their own."""
@@ -472,7 +487,7 @@ class ShingleJoin:
         between = more[0]
         for m in more[1:]:
             between = between.union(m)
-        new = cut(self._verified(cut(between.distinct()), sets))
+        new = cut(self._verified(self._sifted(cut(between.distinct()), sets), sets))
         return comps if new.isEmpty() else merged(comps, new)
 
 
