@@ -8,7 +8,7 @@ largest mean, and its score that mean. Sequences are taken in segments whose tra
 exact, so that long texts cost what short ones do.
 
 The classifier is fitted on a bounded sample: at most about ``FIT_TEXTS`` labelled texts (evenly by label, by
-a hash of the text) and ``FIT_WORDS`` words of them. Null texts and texts without a letter are ``und`` with score
+a hash of the text) and ``FIT_WORDS`` words of them (distinct texts, ``FIT_CHARS`` characters of each). Null texts and texts without a letter are ``und`` with score
 0, as is everything if no labelled text is there to learn from. Rows whose label is null aren't learned from.
 Repeated rows get a row each; an empty table gives an empty table; columns with clashing names are replaced.
 """
@@ -26,6 +26,8 @@ from kinweave.llm.words import U64, _BYTES, _power, buffers, lean, mix, runs
 
 FIT_TEXTS = 2400
 FIT_WORDS = 400_000
+#: Characters of a text that may go into the sample (80 MB of text at most altogether).
+FIT_CHARS = 32_768
 #: Bits of the table of weights.
 BITS = 17
 LENGTH, BATCH, EPOCHS, RATE = 64, 64, 3, 0.3
@@ -200,7 +202,7 @@ def fit(texts: list[str], labels: np.ndarray, many: int, most_words: int = FIT_W
     moves, move_squares = np.zeros((many, many)), np.full((many, many), 1e-6)
     rng.shuffle(pieces)
     line = np.concatenate([np.arange(a, b) for a, b in pieces])[:most_words] if pieces else np.zeros(0, np.int64)
-    line = line[: len(line) // LENGTH * LENGTH].reshape(-1, LENGTH)
+    line = np.resize(line, -(-len(line) // LENGTH) * LENGTH).reshape(-1, LENGTH)  # the last line is filled up from the start
     for _ in range(EPOCHS):
         for batch in np.array_split(rng.permutation(len(line)), max(1, len(line) // BATCH)):
             if not len(batch):
@@ -244,6 +246,8 @@ class LanguageId:
         quota = max(1, FIT_TEXTS // len(names))
         share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, quota / n) * (1 << 20))))), F.col("lang"))
         sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
+        # a text once, however many copies it has, and no more of it than the fit may hold
+        sample = sample.groupBy("lang", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")).agg(F.min(F.substring("text", 1, FIT_CHARS)).alias("text")).select("lang", "text")
 
         def run(batches):
             texts, langs = [], []
