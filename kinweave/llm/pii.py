@@ -4,7 +4,7 @@ Found are e-mail addresses, secrets behind names like ``token =``, IBANs, social
 IPv4 addresses, telephone numbers, and names behind a title. The same entity has the same replacement everywhere:
 digits are compared without their separators, addresses and names without case, and names word by word, so a family
 name alone is replaced as it is behind a given name. Replacements keep separators, script, case, length of
-numbers, whether a card number's check digit is right, and a given name's gender as its title tells it, or where
+numbers, whether a card number's check digit is right, that an IBAN's check digits are, and a given name's gender as its title tells it, or where
 the title doesn't, as other mentions of the name do. Titles, names and what secrets stand behind may be in capitals; up
 to three words in capitals behind a title count as its name. Addresses
 lead to names and networks reserved for no one. They are keyed hashes, checked for collisions: no two entities of a
@@ -97,6 +97,16 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), one), F.lit(0), lambda a, b: a + b)
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of a number whose letters stand for 10 to 35."""
+
+    def one(r, c):
+        place = F.call_function("instr", F.lit(_ALPHABETS[2]), c)
+        return F.pmod(F.when(place > 0, r * 100 + place + 9).otherwise(r * 10 + F.coalesce(c.try_cast("int"), F.lit(0))), F.lit(97))
+
+    return F.aggregate(F.split(text, ""), F.lit(0), one)
+
+
 def _name(script: Column, gender: Column | None, value: Column, mac: Column, attempt: int) -> Column:
     """A name of syllables in the script, about as long, with the gender's ending; a syllable more for each draw lost."""
     outs = []
@@ -135,11 +145,15 @@ def _surrogate(attempt: int) -> Column:
     ip = F.concat_ws(".", (F.pmod(_draw(mac, F.lit(9)), F.lit(15)) + 240).cast("string"), octet(1), octet(2), octet(3))
     country = F.when(F.length(norm) > 9, 2).otherwise(0)
     phone = F.concat(F.substring(norm, F.lit(1), country), _moved(F.substring(norm, country + 1, F.length(norm)), mac), digit)
+    land, moved = F.substring(norm, 1, 2), _moved(F.substring(norm, F.lit(3), F.length(norm)), mac)
+    account = F.substring(moved, F.lit(3), F.length(moved))
+    right = _mod97(F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 4))) == 1
+    iban = F.concat(land, F.when(right, F.lpad((98 - _mod97(F.concat(account, land, F.lit("00")))).cast("string"), 2, "0")).otherwise(F.substring(moved, 1, 2)), account)
     secret = F.when(norm.rlike("^[0-9a-f]+$"), _moved(norm, mac, ("0123456789abcdef",))).when(norm.rlike("^[0-9A-F]+$"), _moved(norm, mac, ("0123456789ABCDEF",))).otherwise(_moved(norm, mac))
     secret = F.concat(secret, more)
     return (
         F.when(kind == "email", email).when(kind == "card", F.concat(body, last.cast("string"))).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "secret", secret)
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_moved(norm, mac), 2, 8), digit)).when(kind == "iban", F.concat(F.substring(norm, 1, 2), _moved(F.substring(norm, F.lit(3), F.length(norm)), mac)))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_moved(norm, mac), 2, 8), digit)).when(kind == "iban", iban)
         .otherwise(_name(F.element_at(F.split(kind, "_"), 3), F.when(kind.startswith("given"), F.element_at(F.split(kind, "_"), 2)), norm, mac, attempt))
     )
 
