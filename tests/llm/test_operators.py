@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -125,6 +126,18 @@ def test_pii_in_capitals_and_behind_neutral_titles(spark):
     assert got[8]["text"] == texts[8] and got[9]["text"].startswith("Господин ") and "Иванов" not in got[9]["text"]
 
 
+def test_pii_keeps_whether_an_iban_is_right(spark):
+    texts = ["Pay to DE89 3704 0044 0532 0130 00 now", "Pay to DE12 3704 0044 0532 0130 00 now", "or to GB29NWBK60161331926819."]
+    out = [r["text"] for r in pii.replace(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+
+    def right(text):
+        found = re.search(r"[A-Z]{2}\d\d[A-Z0-9 ]{11,}[A-Z0-9]", text)[0].replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in found[4:] + found[:4])) % 97 == 1
+
+    assert [right(t) for t in texts] == [True, False, True] and [right(t) for t in (out[0], out[2])] == [True, True]
+    assert all(a != b and len(a) == len(b) for a, b in zip(texts, out, strict=True))
+
+
 def test_mpeg_round_trip(spark, docs, rows):
     stored = media.store_payload(docs.withColumn("frames", F.lit(1)))
     got = media.parse_audio(stored).collect()
@@ -229,6 +242,18 @@ def test_partenum_signatures_meet():
                 assert set(a[:i]) & set(b) or set(a) & set(b[:j])
 
 
+def test_coarse_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 700):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, n // 2 + 1, dtype=np.uint64)]))
+        many = len(np.setxor1d(x, y))
+        fine = [ngram_join._sketch(v) for v in (x, y)]
+        coarse = [ngram_join._coarse(s) for s in fine]
+        low, high = (int(ngram_join._differ(*ngram_join._folded(s))) for s in (coarse, fine))
+        assert low <= high <= many and 4 * len(coarse[0]) == len(fine[0])
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (100, 102)] + [(200, k) for k in range(201, 230)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -267,6 +292,12 @@ def test_language_id(spark):
     assert language_id.LanguageId(none).predict(none).first()["lang_pred"] == "und"
 
 
+def test_language_id_learns_from_few_words(spark):
+    table = spark.createDataFrame([(k, t, lang) for k in range(30) for t, lang in (("the house and the garden", "en"), ("das Haus und der Garten", "de"))], "doc_id long, text string, lang string")
+    got = language_id.LanguageId(table).predict(spark.createDataFrame([("the garden",), ("das Haus",)], "text string")).collect()  # copies count once: ten words
+    assert [r["lang_pred"] for r in got] == ["en", "de"]
+
+
 def test_language_model(docs, rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "FREQUENT", 20)
     held = lm_scoring.held_out(F.col("doc_id"))
