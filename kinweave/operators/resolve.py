@@ -19,7 +19,7 @@ from kinweave.functions.phonetic import Scheme, default_schemes, phonetic_keys
 from kinweave.functions.text import jaccard, lsh_band_keys, minhash_signature, normalize_name, passes_entropy_gate, shingles
 from kinweave.operators import memory as decisions
 
-#: Below this threshold banding would lose pairs; sets are then joined on their shingles instead.
+#: Below this threshold banding would lose many pairs; sets are then joined on their prefixes whatever is asked for.
 LSH_LEAST = 0.6
 
 
@@ -31,7 +31,8 @@ class Options:
     #: None: the default ones; an empty list turns the stage off.
     phonetic_schemes: Sequence[Scheme] | None = None
     phonetic_score: float = 0.9
-    lsh_cutover: int = 500
+    #: Catalog rows above which bands propose the fuzzy pairs, which may miss some; None: an exact join at every size.
+    lsh_cutover: int | None = None
     ambiguity_margin: float = 0.02
     judge_budget: int = 20
     #: labels -> vectors, and (left labels, right labels) -> (same, confidence) pairs; a failure counts as no answer.
@@ -54,16 +55,29 @@ def _best(hits: DataFrame, basis: str, review: Column) -> DataFrame:
     return best.select("gid", F.col("b.entity_id").alias("entity_id"), F.lit(basis).alias("basis"), (-F.col("b.less")).alias("score"), review.alias("requires_review"), "entities")
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float, use_lsh: bool) -> DataFrame:
-    """Adds score to pairs of (id, kind, form) and (rid, rkind, rform) whose shingle sets reach the threshold."""
+def _prefix(shingle_set: Column, threshold: float) -> Column:
+    """The elements, smallest hashes first, of which sets that reach the threshold share at least one: all but
+    ceil(threshold * size) - 1."""
+    by_hash = F.transform(F.array_sort(F.transform(shingle_set, lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))), lambda x: x["s"])
+    most = F.size(shingle_set) - F.ceil(F.size(shingle_set) * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    return F.slice(by_hash, F.lit(1), F.greatest(F.lit(0), F.least(F.size(shingle_set), most)))
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float, use_lsh: bool = False) -> DataFrame:
+    """Adds score to pairs of (id, kind, form) and (rid, rkind, rform) whose shingle sets reach the threshold.
+
+    Pairs meet on an element of both prefixes, which loses none; with ``use_lsh`` on a band of their MinHash
+    signatures, which finds 1 - (1 - s^4)^16 of those of similarity s.
+    """
     a = left.withColumn("sh", shingles(F.col("form")))
     b = right.withColumn("rsh", shingles(F.col("rform")))
     if use_lsh and threshold >= LSH_LEAST:
         a = a.withColumn("key", F.explode(lsh_band_keys(minhash_signature(F.col("sh")))))
         b = b.withColumn("key", F.explode(lsh_band_keys(minhash_signature(F.col("rsh")))))
-    else:  # sets that share nothing score 0, so pairs meet on a shingle
-        a, b = a.withColumn("key", F.explode("sh")), b.withColumn("key", F.explode("rsh"))
-    pairs = a.join(b, (F.col("kind") == F.col("rkind")) & (a["key"] == b["key"])).drop("key").dropDuplicates(["id", "form", "rid", "rform"])
+    else:
+        a, b = a.withColumn("key", F.explode(_prefix(F.col("sh"), threshold))), b.withColumn("key", F.explode(_prefix(F.col("rsh"), threshold)))
+    alike = F.least(F.size("sh"), F.size("rsh")) >= F.greatest(F.size("sh"), F.size("rsh")) * F.lit(threshold) - F.lit(1e-9)
+    pairs = a.join(b, (F.col("kind") == F.col("rkind")) & (a["key"] == b["key"]) & alike).drop("key").dropDuplicates(["id", "form", "rid", "rform"])
     return pairs.withColumn("score", jaccard(F.col("sh"), F.col("rsh"))).where(F.col("score") >= F.lit(threshold)).drop("sh", "rsh")
 
 
@@ -175,7 +189,7 @@ def resolve_candidates(candidates: DataFrame, catalog: DataFrame, options: Optio
         sound = a.join(b, ["kind", "key"]).select("gid", "entity_id", F.lit(options.phonetic_score).alias("score"))
         resolved = resolved.unionByName(_best(allowed(sound), "phonetic", F.lit(True)).where("entities = 1").drop("entities"))
 
-    big = catalog.count() > options.lsh_cutover
+    big = options.lsh_cutover is not None and catalog.count() > options.lsh_cutover
     gated = left(groups).where(passes_entropy_gate(F.col("norm"), options.entropy_threshold)).select("gid")
     sides = forms.join(gated, "gid", "left_semi").select(F.col("gid").alias("id"), "kind", "form"), cat_forms.select(F.col("entity_id").alias("rid"), "rkind", "rform")
     close = fuzzy_pairs(*sides, options.fuzzy_threshold, big).groupBy(F.col("id").alias("gid"), F.col("rid").alias("entity_id")).agg(F.max("score").alias("score"))
