@@ -11,7 +11,7 @@ Two texts link when 100 * intersection >= 75 * union of their sets of 5-word shi
    own band and, as a guest, for the next; two guests meet in their own band, too, so each pair needs a host.
 4. Classes that share a signature are candidates: each with the group's first and with the one before it, in
    groups of up to 4 with all. Candidates pass an exact bound on the difference (parities of the sets' buckets,
-   few of them first, then more), then the intersection itself; links give components.
+   fewer of them first, then all), then the intersection itself; links give components.
 5. In larger groups what lies in different components is compared through these parities, too, and the
    intersection decides. Groups above ``GROUP_LIMIT`` are first split by the signatures of further,
    independent enumerations, which linked sets share as well, and where that doesn't help into blocks, so no
@@ -301,7 +301,7 @@ def _across(table: pa.Table) -> pa.Table:
     cid, comp, n, own = (table[c].to_numpy() for c in ("cid", "comp", "n", "own"))
     order = np.lexsort((cid, n))
     cid, comp, n, own = cid[order], comp[order], n[order], own[order]
-    sketches = table["coarse"].to_pylist()
+    sketches = table["sketch"].to_pylist()
     sketches = _folded([sketches[k] for k in order.tolist()])
     reach = np.searchsorted(n, 4 * n // 3, side="right")
     a, b = [], []
@@ -429,15 +429,13 @@ class ShingleJoin:
         return two.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(_sift), "a long, b long")
 
     def _compared(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
-        return rows.join(sets.select("cid", "n", "coarse"), "cid").groupBy("key").applyInArrow(lean_group(_across), "a long, b long")
+        return rows.join(sets.select("cid", "n", "sketch"), "cid").groupBy("key").applyInArrow(lean_group(_across), "a long, b long")
 
     @staticmethod
     def _apart(rows: DataFrame) -> DataFrame:
-        """The groups (key, cid, comp, own) with several components and one that is in its own band, and ``many`` rows each;
-        of groups with the same rows one, as the others hold the same pairs."""
-        same = [F.bit_xor(F.xxhash64("cid", "own", F.lit(k))).alias(f"x{k}") for k in range(2)]
-        sizes = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("own").alias("some"), *same).where("low != high and some")
-        return rows.join(sizes.groupBy("many", "x0", "x1").agg(F.min("key").alias("key")).select("key", "many"), "key")
+        """The groups (key, cid, comp, own) with several components and one that is in its own band, and ``many`` rows each."""
+        sizes = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("own").alias("some")).where("low != high and some")
+        return rows.join(sizes.select("key", "many"), "key")
 
     def _blocks(self, large: DataFrame) -> DataFrame:
         """Large groups in blocks of half the limit, every two of which meet under a key of their own."""
@@ -487,7 +485,7 @@ class ShingleJoin:
         between = more[0]
         for m in more[1:]:
             between = between.union(m)
-        new = cut(self._verified(self._sifted(cut(between.distinct()), sets), sets))
+        new = cut(self._verified(cut(between.distinct()), sets))
         return comps if new.isEmpty() else merged(comps, new)
 
 
