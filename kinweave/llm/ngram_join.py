@@ -12,8 +12,8 @@ Two texts link when 100 * intersection >= 75 * union of their sets of 5-word shi
 4. Classes that share a signature are candidates: each with the group's first and with the one before it, in
    groups of up to 4 with all. Candidates pass an exact bound on the difference (parities of the sets' buckets,
    fewer of them first, then all), then the intersection itself; links give components.
-5. In larger groups what lies in different components is compared through these parities, too, and the
-   intersection decides. Groups above ``GROUP_LIMIT`` are first split by the signatures of further,
+5. In larger groups what lies in different components is compared through these parities, too: the fewer tell which
+   rows any other of the group may link with, all of them which pairs may, and the intersection decides. Groups above ``GROUP_LIMIT`` are first split by the signatures of further,
    independent enumerations, which linked sets share as well, and where that doesn't help into blocks, so no
    pair is lost.
 
@@ -296,26 +296,45 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[keep]), pa.array(batch.column(1).to_numpy()[keep])], names=["a", "b"])
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """(a, b) of a group that lie in different components and may link; one of them is in its own band."""
+def _near(table: pa.Table, sketch: str):
+    """Of a group in order of size: the columns, and (row, rows behind it in other components that may link by the bound of
+    ``sketch``), one of the two in its own band."""
     cid, comp, n, own = (table[c].to_numpy() for c in ("cid", "comp", "n", "own"))
     order = np.lexsort((cid, n))
     cid, comp, n, own = cid[order], comp[order], n[order], own[order]
-    sketches = table["sketch"].to_pylist()
+    sketches = table[sketch].to_pylist()
     sketches = _folded([sketches[k] for k in order.tolist()])
     reach = np.searchsorted(n, 4 * n // 3, side="right")
+
+    def each():
+        for k in range(len(cid) - 1):
+            other = np.arange(k + 1, reach[k])
+            other = other[(comp[other] != comp[k]) & (own[other] | own[k])]
+            other = other[7 * _differ(sketches[other], sketches[k]) <= n[k] + n[other]]
+            if len(other):
+                yield k, other
+
+    return cid, comp, own, each()
+
+
+def _some_near(table: pa.Table) -> pa.Table:
+    """The rows of a group that the coarse bound lets link with any row of another component."""
+    cid, comp, own, near = _near(table, "coarse")
+    keep = np.zeros(len(cid), dtype=bool)
+    for k, other in near:
+        keep[k] = keep[other] = True
+    columns = [pa.array(np.full(int(keep.sum()), table["key"][0].as_py(), dtype=np.int64)), *(pa.array(x[keep]) for x in (cid, comp, own))]
+    return pa.table(columns, names=["key", "cid", "comp", "own"])
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """(a, b) of a group that lie in different components and may link; one of them is in its own band."""
+    cid, _, _, near = _near(table, "sketch")
     a, b = [], []
-    for k in range(len(cid) - 1):
-        other = np.arange(k + 1, reach[k])
-        other = other[(comp[other] != comp[k]) & (own[other] | own[k])]
-        other = other[7 * _differ(sketches[other], sketches[k]) <= n[k] + n[other]]
-        if len(other):
-            a.append(np.full(len(other), k, dtype=np.int64))
-            b.append(other)
-    if not a:
-        return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.table([pa.array(np.minimum(cid[a], cid[b])), pa.array(np.maximum(cid[a], cid[b]))], names=["a", "b"])
+    for k, other in near:
+        a.append(np.minimum(cid[other], cid[k]))
+        b.append(np.maximum(cid[other], cid[k]))
+    return pa.table([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *x])) for x in (a, b)], names=["a", "b"])
 
 
 class ShingleJoin:
@@ -428,14 +447,19 @@ class ShingleJoin:
         two = one.join(light.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
         return two.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(_sift), "a long, b long")
 
-    def _compared(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
-        return rows.join(sets.select("cid", "n", "sketch"), "cid").groupBy("key").applyInArrow(lean_group(_across), "a long, b long")
+    @staticmethod
+    def _compared(rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs of groups that the bound lets pass: coarse sketches, cheap to send, first tell which rows may be in any."""
+        some = rows.join(sets.select("cid", "n", "coarse"), "cid").groupBy("key").applyInArrow(lean_group(_some_near), "key long, cid long, comp long, own boolean")
+        return some.join(sets.select("cid", "n", "sketch"), "cid").groupBy("key").applyInArrow(lean_group(_across), "a long, b long")
 
     @staticmethod
     def _apart(rows: DataFrame) -> DataFrame:
-        """The groups (key, cid, comp, own) with several components and one that is in its own band, and ``many`` rows each."""
-        sizes = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("own").alias("some")).where("low != high and some")
-        return rows.join(sizes.select("key", "many"), "key")
+        """The groups (key, cid, comp, own) with several components and one that is in its own band, and ``many`` rows each;
+        of groups with the same rows one, as the others hold the same pairs."""
+        same = [F.bit_xor(F.xxhash64("cid", "own", F.lit(k))).alias(f"x{k}") for k in range(2)]
+        sizes = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("own").alias("some"), *same).where("low != high and some")
+        return rows.join(sizes.groupBy("many", "x0", "x1").agg(F.min("key").alias("key")).select("key", "many"), "key")
 
     def _blocks(self, large: DataFrame) -> DataFrame:
         """Large groups in blocks of half the limit, every two of which meet under a key of their own."""
