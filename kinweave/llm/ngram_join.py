@@ -7,15 +7,16 @@ Two texts link when 100 * intersection >= 75 * union of their sets of 5-word shi
    looked up among all classes; a class with too few of them elsewhere can't link and is done.
 3. PartEnum: sizes fall into bands [l, 4 l // 3]; sets of one band, or of it and the band below, differ in at
    most k = 2 r // 7 shingles. The domain is cut into k // 2 + 1 parts, one of which differs in at most one
-   shingle, and every part into 3; of those, 2 are equal, so each subset of 2 is a signature. A set signs for its
-   own band and, as a guest, for the next; two guests meet in their own band, too, so each pair needs a host.
+   shingle, and every part into 3; of those, 2 are equal, so each subset of 2 is a signature. Where more parts than one
+   must be so much alike, those of the fewest shingles, which unlike sets share, are left out. A set signs for its own
+   band and, as a guest, for the next; two guests meet in their own band, too, so each pair needs a host.
 4. Classes that share a signature are candidates: each with the group's first and with the one before it, in
    groups of up to 4 with all. Candidates pass an exact bound on the difference (parities of the sets' buckets,
    fewer of them first, then all), then the intersection itself; links give components.
 5. In larger groups what lies in different components is compared through these parities, too: the fewer tell which
-   rows any other of the group may link with, all of them which pairs may, and the intersection decides. Groups above ``GROUP_LIMIT`` are first split by the signatures of further,
-   independent enumerations, which linked sets share as well, and where that doesn't help into blocks, so no
-   pair is lost.
+   rows any other of the group may link with, all of them which pairs may, and the intersection decides. Groups
+   above ``GROUP_LIMIT`` are first split by the signatures of further, independent enumerations, which linked sets
+   share as well, and where that doesn't help into blocks, so no pair is lost.
 
 Texts with fewer words than 5 have their whole sequence as one shingle; without words or text the set is
 empty and linked with nothing. Repeated rows get a row each. An id that is null doesn't lend its value to a
@@ -195,8 +196,14 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def _signatures(h: np.ndarray, band: int, family: int) -> np.ndarray:
-    """PartEnum signatures of a set for one band of larger sets, as 64-bit hashes."""
-    k = 2 * int(BANDS[band][1]) // 7
+    """PartEnum signatures of a set for its own band or the next, as 64-bit hashes.
+
+    A link misses so few shingles that some parts more than one differ in at most one, unless both sets are as large as
+    the band allows. If a set has no more parts than those to spare in which 2 subsets hold ``light`` shingles or fewer, signatures
+    of so few are left out: another part's, of more shingles, is shared, and neither set leaves that out.
+    """
+    high = int(BANDS[band][1])
+    k = 2 * high // 7
     parts = k // 2 + 1
     p = mix(h ^ U64((band * 0x9E3779B97F4A7C15 + family * 0xD6E8FEB86659FD93 + 1) % (1 << 64)))
     cell = (((p >> U64(32)) * U64(parts)) >> U64(32)) * U64(3) + (p & U64(0xFFFFFF)) % U64(3)
@@ -206,10 +213,16 @@ def _signatures(h: np.ndarray, band: int, family: int) -> np.ndarray:
     edges = np.searchsorted(cell, np.arange(3 * parts + 1))
     sums = np.zeros(len(value) + 1, dtype=np.uint64)
     np.cumsum(value, out=sums[1:])
-    content = mix((sums[edges[1:]] - sums[edges[:-1]]) + np.diff(edges).astype(np.uint64)).reshape(parts, 3)
+    many = np.diff(edges)
+    content = mix((sums[edges[1:]] - sums[edges[:-1]]) + many.astype(np.uint64)).reshape(parts, 3)
+    many = many.reshape(parts, 3)
+    held = many.sum(axis=1)[:, None] - many[:, ::-1]  # of the pairs below, in their order
+    spare, light = parts - 1 - (len(h) + min(4 * len(h) // 3, high)) // 7 // 2, -1
+    while (held.min(axis=1) <= light + 1).sum() <= spare:
+        light += 1
     tag = U64((family * 1009 + band) % (1 << 64)) + np.arange(parts, dtype=np.uint64) * U64(0xA0761D6478BD642F)
     pairs = [mix(content[:, i] * U64(3) + content[:, j] * U64(5) + tag + U64(i * 3 + j)) for i, j in ((0, 1), (0, 2), (1, 2))]
-    return np.concatenate(pairs)
+    return np.concatenate(pairs)[held.T.ravel() > light]
 
 
 def _all_signatures(h: np.ndarray, family: int) -> tuple[np.ndarray, int]:

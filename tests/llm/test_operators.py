@@ -242,6 +242,16 @@ def test_partenum_signatures_meet():
                 assert set(a[:i]) & set(b) or set(a) & set(b[:j])
 
 
+@pytest.mark.parametrize("family", [0, 1])
+def test_partenum_signatures_meet_at_the_edge_of_a_link(family):
+    rnd = np.random.default_rng(11)
+    for size in (3, 8, 21, 28, 60, 90, 120, 150, 333, 500):
+        x = rnd.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+        for low, high in ((size // 4, size), (0, 4 * size // 3), (size // 7, size + size // 7)):  # a subset, a superset, some exchanged
+            (a, i), (b, j) = (ngram_join._all_signatures(np.unique(v), family) for v in (x[:size], x[low:high]))
+            assert set(a[:i]) & set(b) or set(a) & set(b[:j])
+
+
 def test_coarse_sketches_bound_the_difference():
     rng = np.random.default_rng(3)
     for n in (1, 5, 40, 700):
