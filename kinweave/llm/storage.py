@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one is set only where none is configured."""
+    """The folder that all executors share. Where none is configured, one is set: a temporary one if all runs in this process, else one below the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="kinweave-")
+        here = re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master)
+        found = tempfile.mkdtemp(prefix="kinweave-") if here else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/kinweave-checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
