@@ -56,11 +56,15 @@ class GraphTables:
         arrays = [c for c, t in out.dtypes if t.startswith("array")]
         return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in arrays})
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Add records, or new versions of records, with a version above those there are: microseconds, then 10 random bits."""
-        version = max(time.time_ns() // 1000, self._last + 1)
-        self._last = version
-        rows.select(*_fields(name), F.lit(version << 10 | random.getrandbits(10)).cast("long").alias("version")).write.mode("append").parquet(f"{self.path}/{name}")
+    def _version(self) -> int:
+        """Above those there are: microseconds, then 10 random bits."""
+        self._last = max(time.time_ns() // 1000, self._last + 1)
+        return self._last << 10 | random.getrandbits(10)
+
+    def append(self, name: str, rows: DataFrame, version: int | None = None) -> None:
+        """Add records, or new versions of records."""
+        marked = rows.select(*_fields(name), F.lit(self._version() if version is None else version).cast("long").alias("version"))
+        marked.write.mode("append").parquet(f"{self.path}/{name}")
 
     def compact(self, name: str, path: str) -> None:
         """The latest versions of a relation as one table at ``path``, for a store that starts from it."""
@@ -69,19 +73,17 @@ class GraphTables:
         top.write.parquet(f"{path}/{name}")
 
     def create(self, name: str, rows: DataFrame) -> DataFrame:
-        """Add a record for each row, as it was written: ids and what else isn't given are made here, arrays lose repeats."""
+        """Add a record for each row, as it was written: ids and what else isn't given are made here, arrays keep order and repeats."""
         have = set(rows.columns)
         given = {}
         for field in RELATIONS[name].split(", "):
             column, kind = field.split()
             default = F.expr("uuid()") if column == "id" else F.expr(_DEFAULTS[name].get(column, "null")).cast(kind)
             value = F.coalesce(F.col(column).cast(kind), default) if column in have else default
-            given[column] = F.array_distinct(F.coalesce(value, F.array().cast(kind))) if kind.startswith("array") else value
-        batch = f"{self.path}/_created/{uuid.uuid4().hex}"
-        rows.select(*(v.alias(k) for k, v in given.items())).write.parquet(batch)  # once, as ids are random
-        out = self.spark.read.schema(RELATIONS[name]).parquet(batch)
-        self.append(name, out)
-        return out
+            given[column] = F.coalesce(value, F.array().cast(kind)) if kind.startswith("array") else value
+        version = self._version()
+        self.append(name, rows.select(*(v.alias(k) for k, v in given.items())), version)
+        return self.log(name).where(F.col("version") == version).drop("version")  # as written, as ids are random
 
     def create_entities(self, rows: DataFrame) -> DataFrame:
         return self.create("entities", rows)
@@ -128,7 +130,7 @@ class GraphTables:
     def add_aliases(self, changes: DataFrame) -> None:
         """(id, alias): appended where it isn't there yet."""
         one = changes.groupBy("id").agg(F.array_sort(F.collect_set("alias")).alias("add"))
-        self._change("entities", one, {"aliases": F.array_union("aliases", "__add")})
+        self._change("entities", one, {"aliases": F.concat("aliases", F.array_except("__add", "aliases"))})
 
     def set_mention_status(self, changes: DataFrame) -> None:
         """(id, status[, entity_id]): without the column the link stays, a null clears it."""

@@ -210,3 +210,18 @@ def test_a_period_behind_a_month_ends_the_date(spark):
     for x, surface in (("met on 5 May. Then", "5 May"), ("on 5 May", "5 May"), ("on 5 Dec. 2021 there", "5 Dec. 2021"), ("5 May 2020.", "5 May 2020")):
         found = text(x)
         assert [r["surface_form"] for r in found] == [surface] and found[0]["span_start"] == x.index("5"), x
+
+
+def test_creates_keep_order_and_repeats(spark, tmp_path):
+    store = GraphTables(spark, str(tmp_path))
+    store.migrate()
+    store.create_edges(spark.createDataFrame([("e", ["b", "a", "b"]), ("f", None)], "id string, support array<string>"))
+    store.create_entities(spark.createDataFrame([("n", "person", "Q", ["q", "p", "q"])], "id string, kind string, label string, aliases array<string>"))
+    made = store.create_episodes(spark.createDataFrame([("d", ["m1", "m1"])], "source_id string, mention_ids array<string>"))
+    assert made.first()["mention_ids"] == ["m1", "m1"] and made.first()["id"] == store.read("episodes").first()["id"]
+    assert {r["id"]: r["support"] for r in store.read("edges").collect()} == {"e": ["b", "a", "b"], "f": []}
+    store.add_aliases(spark.createDataFrame([("n", "q"), ("n", "r")], "id string, alias string"))
+    assert store.read("entities").first()["aliases"] == ["q", "p", "q", "r"]
+    store.create_mentions(spark.createDataFrame([("b", "d")], "id string, source_id string"))
+    reviews = store.delete_documents(spark.createDataFrame([("d",)], "source_id string")).collect()
+    assert [(r["edge_id"], r["remaining_support"], r["orphaned"]) for r in reviews] == [("e", ["a"], False)]
