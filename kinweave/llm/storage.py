@@ -1,22 +1,14 @@
-"""Shared-folder helpers: lineage is cut only through reliable checkpoints."""
+"""Arrow batches, and the shared folder: lineage is cut only through reliable checkpoints."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from kinweave.sources.shared import cut, drop_path, fresh_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where none is configured, one is set: a temporary one if all runs in this process, else one below the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        here = re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master)
-        found = tempfile.mkdtemp(prefix="kinweave-") if here else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/kinweave-checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+__all__ = ["arrow_rows", "cut", "drop_path", "fresh_path", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -26,21 +18,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "2000")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete what a step wrote below the shared folder, once nothing reads it any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Evaluate ``df`` once into the shared folder and go on from the files."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows in what is planned meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
