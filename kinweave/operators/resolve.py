@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from kinweave.functions.phonetic import Scheme, default_schemes, phonetic_keys
 from kinweave.functions.text import jaccard, lsh_band_keys, minhash_signature, normalize_name, passes_entropy_gate, shingles
 from kinweave.operators import memory as decisions
+from kinweave.operators.vectors import VectorIndex
+from kinweave.sources.shared import cut
 
-#: Below this threshold banding would lose many pairs; sets are then joined on their prefixes whatever is asked for.
-LSH_LEAST = 0.6
+#: Below this threshold banding would lose many pairs (at it, 1 - (1 - 0.65^4)^16 = 0.96 are found); sets are then joined on
+#: their prefixes whatever is asked for.
+LSH_LEAST = 0.65
 
 
 @dataclass(frozen=True)
@@ -28,6 +31,8 @@ class Options:
     fuzzy_threshold: float = 0.82
     entropy_threshold: float = 2.0
     embedding_threshold: float = 0.85
+    #: Cells of the vector index that a label probes; None: all that may hold a hit, which loses none.
+    embedding_probes: int | None = 32
     #: None: the default ones; an empty list turns the stage off.
     phonetic_schemes: Sequence[Scheme] | None = None
     phonetic_score: float = 0.9
@@ -101,13 +106,15 @@ def _embedded(labels: DataFrame, embedder) -> DataFrame:
     return labels.select("label").distinct().mapInPandas(run, "label string, vec array<double>").where("vec is not null")
 
 
-def _judged(nominees: DataFrame, options: Options) -> DataFrame:
-    """(gid, same, confidence) of the first nominees by ordinal, as many as the budget allows."""
+def judged(nominees: DataFrame, options: Options) -> DataFrame:
+    """(gid, same, confidence) of the first nominees by ordinal, as many as the budget allows; no answer where the judge fails."""
 
     def run(batches):
         for pdf in batches:
             try:
                 answers = [(bool(s), float(c)) for s, c in options.judge(pdf["label"].tolist(), pdf["entity_label"].tolist())]
+                if len(answers) != len(pdf):
+                    raise ValueError("an answer for each pair")
             except Exception:
                 answers = [(None, None)] * len(pdf)
             yield pd.DataFrame({"gid": pdf["gid"], "same": [a[0] for a in answers], "confidence": [a[1] for a in answers]}).astype({"same": "object"})
@@ -116,6 +123,27 @@ def _judged(nominees: DataFrame, options: Options) -> DataFrame:
     return asked.mapInPandas(run, "gid long, same boolean, confidence double")
 
 
+def phonetic_index(catalog_keys: DataFrame) -> DataFrame:
+    """(kind, key, lo, hi, entities) of (entity_id, kind, key): a row for each key, however many entities share it."""
+    return catalog_keys.groupBy("kind", "key").agg(F.min("entity_id").alias("lo"), F.max("entity_id").alias("hi"), F.count_distinct("entity_id").alias("entities"))
+
+
+def phonetic_hits(asked: DataFrame, catalog_keys: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """(gid, entity_id): what (gid, kind, key) points to where that is one entity.
+
+    Keys meet the index, one row each, so a key that many share fans out into nothing. Only where some entities are
+    rejected for a group (gid, entity_id) are a key's entities listed, and only if they are few enough for one to be left.
+    """
+    index = phonetic_index(catalog_keys)
+    met = asked.join(index, ["kind", "key"])
+    if rejected is not None:
+        met = met.join(rejected.groupBy("gid").agg(F.count("*").alias("less")), "gid", "left")
+        listed = met.where(F.col("entities") <= F.col("less") + 1).select("gid", "kind", "key").join(catalog_keys.distinct(), ["kind", "key"])
+        listed = listed.join(rejected, ["gid", "entity_id"], "left_anti").select("gid", F.col("entity_id").alias("lo"), F.col("entity_id").alias("hi"))
+        met = met.where(F.col("less").isNull() | (F.col("entities") > F.col("less") + 1)).select("gid", "lo", "hi").unionByName(listed)
+    return met.groupBy("gid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi").select("gid", F.col("lo").alias("entity_id"))
+
+
 def nearest(asked: DataFrame, vectors: DataFrame, most: int, rows: int = 1024) -> DataFrame:
     """(vec_id, near, score): the ``most`` vectors of ``vectors`` nearest to each of ``asked`` by cosine, ties by id, itself left out.
 
@@ -161,17 +189,18 @@ def resolve_candidates(candidates: DataFrame, catalog: DataFrame, options: Optio
     keyed = keyed.withColumn("gid", F.xxhash64("kind", "norm", alias_key, F.coalesce("context", F.lit("\0"))))
     first = F.struct(F.coalesce("ordinal", F.lit(0)).alias("o"), "label", "aliases")
     groups = keyed.groupBy("gid", "kind", "norm", "context").agg(F.min_by(F.struct("label", "aliases"), first).alias("f"), F.min(F.coalesce("ordinal", F.lit(0))).alias("ordinal"))
-    groups = groups.select("gid", "kind", "norm", "context", "f.label", "f.aliases", "ordinal")
+    groups = cut(groups.select("gid", "kind", "norm", "context", "f.label", "f.aliases", "ordinal"))
 
     known = catalog.select(F.col("id").alias("entity_id"), "kind", "label", "aliases")
-    cat_forms = _forms(known, "entity_id", options).select("entity_id", F.col("kind").alias("rkind"), F.col("raw").alias("rraw"), F.col("form").alias("rform"))
-    forms = _forms(groups, "gid", options)
+    cat_forms = cut(_forms(known, "entity_id", options).select("entity_id", F.col("kind").alias("rkind"), F.col("raw").alias("rraw"), F.col("form").alias("rform")))
+    forms = cut(_forms(groups, "gid", options))
     none = None
     if log is not None:
         said = decisions.lookup(groups.select("gid", F.col("norm").alias("surface"), "kind", "context"), log)
+        said = cut(said)
         none = said.select("gid", F.explode("rejected").alias("entity_id"))
         told = said.where("confirmed is not null").select("gid", F.col("confirmed").alias("entity_id")).join(known.select("entity_id"), "entity_id", "left_semi")
-        resolved = told.select("gid", "entity_id", F.lit("remembered").alias("basis"), F.lit(1.0).alias("score"), F.lit(False).alias("requires_review"))
+        resolved = cut(told.select("gid", "entity_id", F.lit("remembered").alias("basis"), F.lit(1.0).alias("score"), F.lit(False).alias("requires_review")))
     else:
         resolved = groups.where(F.lit(False)).select("gid", F.lit("").alias("entity_id"), F.lit("").alias("basis"), F.lit(0.0).alias("score"), F.lit(False).alias("requires_review"))
 
@@ -179,21 +208,21 @@ def resolve_candidates(candidates: DataFrame, catalog: DataFrame, options: Optio
     left = lambda df: df.join(resolved, "gid", "left_anti")
 
     exact = left(forms).join(cat_forms, (F.col("kind") == F.col("rkind")) & (F.col("form") == F.col("rform"))).select("gid", "entity_id", F.lit(1.0).alias("score"))
-    resolved = resolved.unionByName(_best(allowed(exact), "exact", F.col("entities") > 1).drop("entities"))
+    resolved = resolved.unionByName(cut(_best(allowed(exact), "exact", F.col("entities") > 1).drop("entities")))  # a stage's hits are written once
 
     schemes = default_schemes() if options.phonetic_schemes is None else options.phonetic_schemes
     if schemes:
         keys = lambda raw: F.explode(phonetic_keys(raw, schemes, options.compose))
         a = left(forms).select("gid", "kind", keys(F.col("raw")).alias("key"))
         b = cat_forms.select("entity_id", F.col("rkind").alias("kind"), keys(F.col("rraw")).alias("key"))
-        sound = a.join(b, ["kind", "key"]).select("gid", "entity_id", F.lit(options.phonetic_score).alias("score"))
-        resolved = resolved.unionByName(_best(allowed(sound), "phonetic", F.lit(True)).where("entities = 1").drop("entities"))
+        sound = phonetic_hits(a.distinct(), b.distinct(), none)
+        resolved = resolved.unionByName(cut(sound.select("gid", "entity_id", F.lit("phonetic").alias("basis"), F.lit(options.phonetic_score).alias("score"), F.lit(True).alias("requires_review"))))
 
     big = options.lsh_cutover is not None and catalog.count() > options.lsh_cutover
     gated = left(groups).where(passes_entropy_gate(F.col("norm"), options.entropy_threshold)).select("gid")
     sides = forms.join(gated, "gid", "left_semi").select(F.col("gid").alias("id"), "kind", "form"), cat_forms.select(F.col("entity_id").alias("rid"), "rkind", "rform")
     close = fuzzy_pairs(*sides, options.fuzzy_threshold, big).groupBy(F.col("id").alias("gid"), F.col("rid").alias("entity_id")).agg(F.max("score").alias("score"))
-    close = allowed(close)
+    close = cut(allowed(close))
     top = close.groupBy("gid").agg(F.max("score").alias("top"))
     near = close.join(top, "gid").groupBy("gid").agg(F.count_if(F.col("score") >= F.col("top") - options.ambiguity_margin).alias("rivals"))
     fuzzy = _best(close, "fuzzy", F.lit(True)).drop("entities").join(near, "gid")
@@ -201,17 +230,19 @@ def resolve_candidates(candidates: DataFrame, catalog: DataFrame, options: Optio
     resolved_fuzzy = resolved.unionByName(fuzzy.drop("rivals"))
 
     if options.embedder is not None:
-        waiting = groups.join(resolved_fuzzy, "gid", "left_anti")
-        vec = _embedded(waiting.select("label").union(known.select("label")), options.embedder)
-        a = waiting.select("gid", "kind", "label").join(vec, "label")
-        b = known.select("entity_id", F.col("kind").alias("rkind"), F.col("label").alias("rlabel")).join(vec.select(F.col("label").alias("rlabel"), F.col("vec").alias("rvec")), "rlabel")
-        like = a.join(b, F.col("kind") == F.col("rkind")).withColumn("score", cosine(F.col("vec"), F.col("rvec"))).where(F.col("score") >= options.embedding_threshold)
-        found = _best(allowed(like.select("gid", "entity_id", "score")), "embedding", F.lit(True)).drop("entities")
+        waiting = cut(groups.join(resolved_fuzzy, "gid", "left_anti").select("gid", "kind", "label"))
+        vec = cut(_embedded(waiting.select("label").union(known.select("label")), options.embedder))  # each label is embedded once
+        index = VectorIndex(known.select(F.col("entity_id").alias("id"), "kind", "label").join(vec, "label"))
+        asked = waiting.join(vec, "label").select(F.col("gid").alias("id"), "kind", "vec")
+        if none is not None:
+            asked = asked.join(none.groupBy(F.col("gid").alias("id")).agg(F.collect_set("entity_id").alias("banned")), "id", "left")
+        like = index.nearest(asked, 1, options.embedding_threshold, options.embedding_probes)
+        found = cut(like.select(F.col("id").alias("gid"), F.col("near").alias("entity_id"), F.lit("embedding").alias("basis"), "score", F.lit(True).alias("requires_review")))
         nominees = nominees.unionByName(found.withColumn("rivals", F.lit(1).cast("long")))
 
     if options.judge is not None:
         sure = nominees.where("rivals = 1").join(groups.select("gid", "label", "ordinal"), "gid").join(known.select("entity_id", F.col("label").alias("entity_label")), "entity_id")
-        said = _judged(sure, options)
+        said = cut(judged(sure, options))
         nominees = nominees.join(said, "gid", "left").select(
             "gid", F.when(F.col("same").isNull() | F.col("same"), F.col("entity_id")).alias("entity_id"), F.when(F.col("same").isNull(), F.col("basis")).when(F.col("same"), "judge").otherwise("none").alias("basis"),
             F.when(F.coalesce("same", F.lit(False)), F.col("confidence")).otherwise(F.col("score")).alias("score"), F.lit(True).alias("requires_review"), "rivals",

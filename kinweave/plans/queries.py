@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from kinweave.functions import calendar
 from kinweave.functions import dates as d
 from kinweave.functions import text as t
 from kinweave.functions.phonetic import phonetic_keys
-from kinweave.operators import evaluate, extract, graph, memory, resolve
+from kinweave.operators import evaluate, extract, graph, memory, resolve, vectors
 from kinweave.sources.tables import GraphTables
 from kinweave.streaming.ingest import latest_state, windowed_counts
 
@@ -61,11 +60,11 @@ def normalize_arabic_inline(spark, sf_dir):
     """WITH c AS (SELECT p_name, unnest(string_split(p_name, '')) AS ch FROM (SELECT DISTINCT p_name FROM part)),
     f AS (SELECT p_name, count(*) / sum(count(*)) OVER (PARTITION BY p_name) AS p FROM c GROUP BY p_name, ch),
     e AS (SELECT p_name, -sum(p * log2(p)) AS h FROM f GROUP BY p_name)
-    SELECT p_name, round(h, 6) AS entropy, round(h, 9) >= 3.0 AS passes FROM e""",
+    SELECT p_name, round(h, 6) AS entropy, h >= 3.01 AS passes FROM e""",
 )
 def entropy_gate_parts(spark, sf_dir):
-    h = names(spark, sf_dir).withColumn("h", t.shannon_entropy(F.col("p_name")))
-    return h.select("p_name", F.round("h", 6).alias("entropy"), (F.round("h", 9) >= 3.0).alias("passes"))
+    name = F.col("p_name")
+    return names(spark, sf_dir).select("p_name", F.round(t.shannon_entropy(name), 6).alias("entropy"), t.passes_entropy_gate(name, 3.01).alias("passes"))
 
 
 _SHINGLES = "list_distinct(list_transform(range(1, greatest(length(p_name) - 1, 2)), lambda i: substr(p_name, i::BIGINT, 3)))"
@@ -122,13 +121,20 @@ def lsh_bands_parts(spark, sf_dir):
     f"""{_SIGS}, b AS (SELECT p_name, i // 4 AS k, string_agg(v::VARCHAR, ',' ORDER BY i) AS key FROM g GROUP BY p_name, i // 4),
     c AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM b x JOIN b y ON x.k = y.k AND x.key = y.key AND x.p_name < y.p_name),
     j AS (SELECT a, b, len(list_intersect(x.s, y.s)) AS i, len(x.s) + len(y.s) AS n FROM c JOIN n x ON a = x.p_name JOIN n y ON b = y.p_name)
-    SELECT a, b, round(i / (n - i), 6) AS score FROM j WHERE i / (n - i) >= 0.6""",
+    SELECT a, b, round(i / (n - i), 6) AS score FROM j WHERE i / (n - i) >= {resolve.LSH_LEAST}""",
 )
 def lsh_verified_pairs(spark, sf_dir):
-    pairs = resolve.fuzzy_pairs(*_sides(spark, sf_dir), 0.6, True).where("id < rid")
+    pairs = resolve.fuzzy_pairs(*_sides(spark, sf_dir), resolve.LSH_LEAST, True).where("id < rid")
     return pairs.select(F.col("id").alias("a"), F.col("rid").alias("b"), F.round("score", 6).alias("score"))
 
 
+@query("lsh_recall", f"{_PAIRS} SELECT count(*) AS pairs, true AS enough FROM p WHERE i / (n - i) >= {resolve.LSH_LEAST}")
+def lsh_recall(spark, sf_dir):
+    """All pairs that reach the least threshold of the bands, by the exact join, and whether the bands find nine in ten of them."""
+    found, exact = (resolve.fuzzy_pairs(*_sides(spark, sf_dir), resolve.LSH_LEAST, banded).where("id < rid").select("id", F.col("rid").alias("near")) for banded in (True, False))
+    return vectors.recall(found, exact).select("pairs", ((F.col("recall") >= 0.9) | (F.col("pairs") == 0)).alias("enough"))
+
+
 @query(
     "estimate_vs_exact",
     f"""{_SIGS}, q AS (SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM n a, n b WHERE a.p_name < b.p_name),
@@ -203,9 +209,45 @@ def cascade_parts(spark, sf_dir):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("cascade_phonetic")
+_KEYS = r"""w AS (SELECT raw, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT raw, list_filter(regexp_split_to_array(lower(raw), '[^\p{L}\p{M}'']+'), lambda x: x <> '') AS ws FROM raws)),
+s AS (SELECT raw, i, replace(replace(replace(replace(replace(replace(replace(word, '''', ''), 'kh', 'X'), 'gh', 'Q'), 'sh', 'C'), 'ch', 'C'), 'zh', 'J'), 'ph', 'F') AS s FROM w),
+b AS (SELECT raw, i, s, CASE WHEN s[1] = 'y' THEN 'y' WHEN s[1] = 'w' THEN 'v' ELSE translate(s[1], 'aeiou', '') END || translate(substr(s, 2), 'aeiouyw', '') AS b FROM s),
+h AS (SELECT raw, i, s, string_split(lower(translate(regexp_replace(b, '[^A-Za-z]', '', 'g'), 'c', 'k')), '') AS cs FROM b),
+k AS (SELECT raw, i, s, array_to_string(list_filter(cs, lambda ch, j: j = 1 OR ch <> cs[j - 1]), '') AS key FROM h),
+o AS (SELECT raw, i, list_filter(CASE WHEN ends_with(key, 'h') AND regexp_matches(regexp_replace(s, '[A-Z]', '', 'g'), '[aeiou]h$') THEN [key, substr(key, 1, length(key) - 1)] ELSE [key] END, lambda x: x <> '') AS ks FROM k),
+l AS (SELECT raw, list(ks ORDER BY i) AS words FROM o WHERE len(ks) > 0 GROUP BY raw),
+keyed AS (SELECT DISTINCT raw, unnest(list_reduce(list_prepend([''], words), lambda acc, ks: list_slice(flatten(list_transform(acc, lambda p: list_transform(ks, lambda x: CASE WHEN p = '' THEN x ELSE p || ' ' || x END))), 1, 32))) AS key FROM l)"""
+
+
+def _cascade_sql(head: str, sounds: str, fuzzy: str, last: str) -> str:
+    """Stages in order, each on what the ones before have left, as SQL over c (ref, label, norm) and n (p_name, id)."""
+    return f"""{head},
+    e AS (SELECT ref, min(id) AS id FROM c JOIN n ON norm = lower(p_name) GROUP BY ref),
+    {sounds},
+    hs AS (SELECT norm, -sum(p * log2(p)) AS bits FROM (SELECT norm, ch, count(*) / sum(count(*)) OVER (PARTITION BY norm) AS p FROM (SELECT norm, unnest(string_split(norm, '')) AS ch FROM (SELECT DISTINCT norm FROM c)) GROUP BY norm, ch) GROUP BY norm),
+    g AS (SELECT ref, norm, list_distinct(list_transform(range(1, greatest(length(norm) - 1, 2)), lambda i: substr(norm, i::BIGINT, 3))) AS s
+          FROM c JOIN hs USING (norm) WHERE bits >= 2.0 AND ref NOT IN (SELECT ref FROM e) AND ref NOT IN (SELECT ref FROM ph)),
+    m AS (SELECT id, list_distinct(list_transform(range(1, greatest(length(p_name) - 1, 2)), lambda i: substr(lower(p_name), i::BIGINT, 3))) AS s FROM n),
+    pr AS (SELECT ref, id, len(list_intersect(g.s, m.s)) / (len(g.s) + len(m.s) - len(list_intersect(g.s, m.s))) AS score FROM g, m),
+    fz AS (SELECT ref, id, score FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, id) AS k FROM pr WHERE score >= {fuzzy}) WHERE k = 1),
+    {last}
+    SELECT c.ref, coalesce(e.id, ph.id, fz.id, em.id) AS entity_id,
+           CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN ph.id IS NOT NULL THEN 'phonetic' WHEN fz.id IS NOT NULL THEN 'fuzzy' WHEN em.id IS NOT NULL THEN 'embedding' ELSE 'none' END AS basis,
+           round(CASE WHEN e.id IS NOT NULL THEN 1.0 WHEN ph.id IS NOT NULL THEN 0.9 ELSE coalesce(fz.score, em.score, 0.0) END, 6)::DOUBLE AS score, e.id IS NULL AS requires_review
+    FROM c LEFT JOIN e ON c.ref = e.ref LEFT JOIN ph ON c.ref = ph.ref LEFT JOIN fz ON c.ref = fz.ref LEFT JOIN em ON c.ref = em.ref"""
+
+
+@query(
+    "cascade_phonetic",
+    _cascade_sql(
+        _NOISY.replace("AS norm FROM v)", "AS norm, label FROM v)"),
+        "raws AS (SELECT DISTINCT label AS raw FROM c UNION SELECT p_name FROM n), " + _KEYS + """,
+        ph AS (SELECT ref, min(id) AS id FROM (SELECT c.ref, n.id FROM c JOIN keyed a ON a.raw = c.label JOIN keyed z ON z.key = a.key JOIN n ON n.p_name = z.raw WHERE c.ref NOT IN (SELECT ref FROM e)) GROUP BY ref HAVING count(DISTINCT id) = 1)""",
+        "0.82", "em AS (SELECT NULL AS ref, NULL AS id, NULL AS score)",
+    ),
+)
 def cascade_phonetic(spark, sf_dir):
-    return resolve.resolve_candidates(_noisy(spark, sf_dir), _catalog(spark, sf_dir), resolve.Options())
+    return resolve.resolve_candidates(_noisy(spark, sf_dir), _catalog(spark, sf_dir), resolve.Options()).withColumn("score", F.round("score", 6))
 
 
 def _log(spark, sf_dir) -> DataFrame:
@@ -259,7 +301,7 @@ def cosine_topk_embeddings(spark, sf_dir):
 def judge_budget_topn(spark, sf_dir):
     judge = lambda left, right: [(int(x) % 2 == 0, 0.9) for x in right]
     nominees = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gid"), F.col("p_name").alias("label"), F.col("p_partkey").cast("string").alias("entity_label"), F.col("p_partkey").alias("ordinal"))
-    said = resolve._judged(nominees, resolve.Options(judge=judge))
+    said = resolve.judged(nominees, resolve.Options(judge=judge))
     return said.join(nominees, "gid").select(F.col("gid").alias("p_partkey"), F.col("label").alias("p_name"), "same")
 
 
@@ -304,7 +346,12 @@ def weekday_resolution(spark, sf_dir):
     return o.select("o_orderkey", *(d.resolve_weekday(F.col("r"), F.col("w"), way).alias(name) for way, name in (("last", "last_day"), ("next", "next_day"), ("upcoming", "upcoming"))))
 
 
-@query("jalali_from_orders")
+_LEAP = "((jy % 33) IN (1, 5, 9, 13, 17, 22, 26, 30))"
+_JALALI = f"""WITH y AS (SELECT jy, {_LEAP} AS leap, DATE '1996-03-20' + (365 * (jy - 1375) + sum({_LEAP}::INT) OVER (ORDER BY jy) - {_LEAP}::INT - (SELECT count(*) FROM range(1244, 1375) t(jy) WHERE {_LEAP}))::INT AS first FROM range(1244, 1473) t(jy)),
+o AS (SELECT o_orderkey, o_orderdate::DATE AS day FROM orders), j AS (SELECT o_orderkey, day, jy, day - first AS k FROM o ASOF JOIN y ON day >= first)"""
+
+
+@query("jalali_from_orders", f"{_JALALI} SELECT o_orderkey, day, jy::INT AS jy, (CASE WHEN k < 186 THEN k // 31 ELSE 6 + (k - 186) // 30 END + 1)::INT AS jm, (CASE WHEN k < 186 THEN k % 31 ELSE (k - 186) % 30 END + 1)::INT AS jd FROM j")
 def jalali_from_orders(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
     j = o.withColumn("j", calendar.from_gregorian(F.col("day")))
@@ -318,27 +365,35 @@ def jalali_roundtrip(spark, sf_dir):
     return back.select("o_orderkey", "day", F.col("day").eqNullSafe(F.col("back")).alias("same"))
 
 
-@query("jalali_leap", "SELECT jy::BIGINT AS jy, (jy % 33) IN (1, 5, 9, 13, 17, 22, 26, 30) AS leap FROM range(1244, 1472) t(jy)")
+@query("jalali_leap", f"SELECT o_orderkey, jy, {_LEAP} AS leap FROM (SELECT o_orderkey, 1244 + o_orderkey % 228 AS jy FROM orders)")
 def jalali_leap(spark, sf_dir):
-    return spark.range(1244, 1472).select(F.col("id").alias("jy"), calendar.is_leap(F.col("id").cast("int")).alias("leap"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.lit(1244) + F.col("o_orderkey") % 228).alias("jy"))
+    return o.withColumn("leap", calendar.is_leap(F.col("jy").cast("int")))
+
+
+@query("jalali_month_length", f"SELECT o_orderkey, (CASE WHEN jm <= 6 THEN 31 WHEN jm <= 11 OR {_LEAP} THEN 30 ELSE 29 END)::BIGINT AS days FROM (SELECT o_orderkey, 1244 + o_orderkey % 228 AS jy, 1 + o_orderkey // 3 % 12 AS jm FROM orders)")
+def jalali_month_length(spark, sf_dir):
+    key = F.col("o_orderkey")
+    length = calendar.month_length((F.lit(1244) + key % 228).cast("int"), (F.floor(key / 3) % 12 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", length.cast("long").alias("days"))
 
 
 def _replies(spark, sf_dir) -> DataFrame:
     """A reply for each turn that names its first six characters, off by one, with a number as its confidence."""
-    c = table(spark, sf_dir, "conversations").where(r"text rlike '^[A-Za-z0-9 ,.]+$' and length(text) >= 10")
     surface = F.substring("text", 1, 6)
     item = F.struct(surface.alias("surface_form"), F.lit(1).alias("span_start"), F.lit(7).alias("span_end"), ((F.col("turn") % 11) / 10).alias("confidence"))
     reply = F.to_json(F.struct(F.struct(F.array(item).alias("people"), F.array(item, item).alias("concepts")).alias("extraction")))
-    return c.select(F.concat_ws(":", "conv_id", "turn").alias("source_id"), "text", reply.alias("reply"))
+    return table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("source_id"), "text", reply.alias("reply"))
 
 
 @query(
     "parse_mentions",
-    """WITH c AS (SELECT conv_id || ':' || turn AS source_id, text, substr(text, 1, 6) AS s, (turn % 11) / 10 AS conf FROM conversations WHERE regexp_full_match(text, '[A-Za-z0-9 ,.]+') AND length(text) >= 10),
-    o AS (SELECT *, strpos(text, s) - 1 AS a, strpos(substr(text, 2), s) AS b FROM c)
-    SELECT source_id, 'person' AS kind, s AS surface_form, (CASE WHEN substr(text, 2, 6) = s THEN 1 ELSE a END)::BIGINT AS span_start, conf::DOUBLE AS confidence FROM o
-    UNION ALL SELECT source_id, 'concept', s, (CASE WHEN substr(text, 2, 6) = s THEN 1 ELSE a END)::BIGINT, conf FROM o WHERE conf >= 0.6
-    UNION ALL SELECT source_id, 'concept', s, (CASE WHEN substr(text, 2, 6) = s THEN 0 ELSE b END)::BIGINT, conf FROM o WHERE conf >= 0.6 AND (substr(text, 2, 6) = s OR b > 0)""",
+    r"""WITH c AS (SELECT concat_ws(':', conv_id, turn) AS source_id, text, substr(text, 1, 6) AS s, coalesce((turn % 11) / 10, 0.7) AS conf FROM conversations WHERE text <> ''),
+    o AS (SELECT *, length(s) = 6 AND substr(text, 2, 6) = s AND NOT regexp_matches(s, '[\x{10000}-\x{10FFFF}]') AS claimed, strpos(substr(text, 2), s) AS b FROM c),
+    p AS (SELECT *, b + len(regexp_extract_all(substr(text, 1, b), '[\x{10000}-\x{10FFFF}]')) AS again FROM o)
+    SELECT source_id, 'person' AS kind, s AS surface_form, claimed::BIGINT AS span_start, conf::DOUBLE AS confidence FROM p
+    UNION ALL SELECT source_id, 'concept', s, claimed::BIGINT, conf FROM p WHERE conf >= 0.6
+    UNION ALL SELECT source_id, 'concept', s, CASE WHEN claimed THEN 0 ELSE again END, conf FROM p WHERE conf >= 0.6 AND (claimed OR b > 0)""",
 )
 def parse_mentions(spark, sf_dir):
     found = extract.mentions(_replies(spark, sf_dir))
@@ -556,12 +611,40 @@ def eval_prf(spark, sf_dir):
     return evaluate.precision_recall(_outcome(spark, sf_dir)).select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@query("embedding_stage")
+_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda x: (length({0}) - length(replace({0}, x, '')))::DOUBLE)"
+
+
+@query(
+    "embedding_stage",
+    _cascade_sql(
+        """WITH c AS (SELECT p_partkey::VARCHAR AS ref, label, label AS norm FROM (SELECT p_partkey, reverse(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE substr(p_name, p_partkey % 3 + 1) END) AS label FROM part)),
+        n AS (SELECT DISTINCT p_name, md5(p_name) AS id FROM part)""",
+        "ph AS (SELECT NULL AS ref, NULL AS id WHERE false)", "0.82",
+        f"""xs AS (SELECT DISTINCT label, {_LETTERS.format("label")} AS x FROM c), ys AS (SELECT id, {_LETTERS.format("lower(p_name)")} AS y FROM n),
+        cs AS (SELECT label, id, round(list_cosine_similarity(x, y), 12) AS score FROM xs, ys),
+        es AS (SELECT label, id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS k FROM cs WHERE score >= 0.85) WHERE k = 1),
+        em AS (SELECT ref, es.id, es.score FROM c JOIN es USING (label))""",
+    ),
+)
 def embedding_stage(spark, sf_dir):
-    """Labels that no lexical stage reaches, by a fixed embedder: the counts of their letters."""
+    """Labels that no lexical stage reaches, by a fixed embedder: the counts of their letters. All cells that may hold a hit are probed."""
 
     def embed(labels: list[str]) -> list[list[float]]:
-        return pd.DataFrame([[x.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for x in labels]).astype(float).values.tolist()
+        return [[float(x.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for x in labels]
 
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("ref"), F.lit("part").alias("kind"), F.reverse("p_name").alias("label"), F.col("p_partkey").alias("ordinal"))
-    return resolve.resolve_candidates(part, _catalog(spark, sf_dir), resolve.Options(phonetic_schemes=[], embedder=embed))
+    key, name = F.col("p_partkey"), F.col("p_name")
+    label = F.reverse(F.when(key % 3 == 0, name).otherwise(F.substring(name, (key % 3 + 1).cast("int"), F.length(name))))
+    part = table(spark, sf_dir, "part").select(key.cast("string").alias("ref"), F.lit("part").alias("kind"), label.alias("label"), key.alias("ordinal"))
+    options = resolve.Options(phonetic_schemes=[], embedder=embed, embedding_probes=None)
+    return resolve.resolve_candidates(part, _catalog(spark, sf_dir), options).withColumn("score", F.round("score", 6))
+
+
+@query("vector_index_recall", "SELECT 3 * count(*)::BIGINT AS pairs, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vector_index_recall(spark, sf_dir):
+    """Three nearest of the stated query set by 12 probed cells, against all rows: whether nine in ten are found."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = vectors.VectorIndex(e.select(F.col("vec_id").alias("id"), F.lit("vector").alias("kind"), F.col("embedding").alias("vec")))
+    asked = e.where("vec_id % 20 = 0")
+    found = index.nearest(asked.select(F.col("vec_id").alias("id"), F.lit("vector").alias("kind"), F.col("embedding").alias("vec"), F.array("vec_id").alias("banned")), 3, probes=12)
+    exact = resolve.nearest(asked, e, 3).select(F.col("vec_id").alias("id"), "near")
+    return vectors.recall(found, exact).select("pairs", (F.col("recall") >= 0.9).alias("enough"))

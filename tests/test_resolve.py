@@ -92,3 +92,96 @@ def test_prefixes_lose_no_pair(spark, threshold):
 )
 def test_phonetic_keys(spark, name, keys):
     assert spark.range(1).select(phonetic_keys(F.lit(name)).alias("k")).first()["k"] == keys
+
+
+ENTITY = "id string, kind string, label string, aliases array<string>"
+ASKED = "ref string, kind string, label string, context string, ordinal long"
+
+
+def by_ref(*args):
+    return {r["ref"]: r for r in resolve_candidates(*args).collect()}
+
+
+@pytest.fixture
+def fake_embedder():
+    def embed(labels):
+        """Directions by the first letter; labels in Q have none, the label Boom fails."""
+        if "Boom" in labels:
+            raise ValueError("down")
+        return [[0.0, 0.0, 0.0] if x[0] == "Q" else [float(x[0] in "AB"), float(x[0] in "BC"), float(x[0] in "DE")] for x in labels]
+
+    return embed
+
+
+def test_rejected_entities_stay_away_at_every_stage(spark, fake_embedder):
+    rows = [("x1", "Torvald Mizrin", ["Tolly"]), ("p1", "Vrenko Tabilov", []), ("p2", "Вренко Табилов", []), ("f1", "Marzhovintelgard", []), ("e1", "Aaa Zzgq", []), ("e2", "Abb Yyjw", [])]
+    catalog = spark.createDataFrame([(i, "person", label, a) for i, label, a in rows], ENTITY)
+    asked = [("exact", "Tolly"), ("sound", "Vrenko Tabbilov"), ("close", "Marzhovintelgarn"), ("like", "Akk Hmmfq")]
+    reject = lambda surface, entity: (surface, "person", entity, "rejected", None)
+    log = [reject("tolly", "x1"), reject("vrenko tabbilov", "p1"), reject("marzhovintelgarn", "f1"), reject("akk hmmfq", "e1")]
+    candidates = spark.createDataFrame([(r, "person", label, None, k) for k, (r, label) in enumerate(asked)], ASKED)
+    options = Options(embedder=fake_embedder, embedding_threshold=0.9, fuzzy_threshold=0.8)
+    free = by_ref(candidates, catalog, options)
+    assert {r: (free[r]["entity_id"], free[r]["basis"]) for r in free} == {"exact": ("x1", "exact"), "sound": (None, "none"), "close": ("f1", "fuzzy"), "like": ("e1", "embedding")}
+    told = by_ref(candidates, catalog, options, spark.createDataFrame([(*x, k) for k, x in enumerate(log)], DECISION))
+    # two share the skeleton, so it decides nothing until one is rejected; the next best of the embedding stage takes over
+    assert {r: (told[r]["entity_id"], told[r]["basis"]) for r in told} == {"exact": (None, "none"), "sound": ("p2", "phonetic"), "close": (None, "none"), "like": ("e2", "embedding")}
+
+
+def test_phonetic_index_takes_common_keys_as_one_row(spark):
+    from kinweave.operators.resolve import phonetic_hits, phonetic_index
+
+    keys = spark.createDataFrame([(f"e{k:03}", "person", "hot") for k in range(500)] + [("z", "person", "rare"), ("y", "person", "pair"), ("x", "person", "pair")], "entity_id string, kind string, key string")
+    assert {r["key"]: r["entities"] for r in phonetic_index(keys).collect()} == {"hot": 500, "rare": 1, "pair": 2}
+    asked = spark.createDataFrame([(1, "person", "hot"), (2, "person", "rare"), (3, "person", "pair"), (4, "person", "pair"), (5, "person", "rare"), (6, "place", "rare"), (7, "person", "hot")], "gid long, kind string, key string")
+    rejected = spark.createDataFrame([(4, "x"), (5, "z"), (7, "e001")], "gid long, entity_id string")
+    assert sorted(map(tuple, phonetic_hits(asked, keys, rejected).collect())) == [(2, "z"), (4, "y")]
+    assert sorted(map(tuple, phonetic_hits(asked, keys).collect())) == [(2, "z"), (5, "z")]
+
+
+def test_scoped_decisions(spark):
+    catalog = spark.createDataFrame([("h", "person", "Ozmira Brand", ["Ozzi"]), ("i", "person", "Dilgath", [])], ENTITY)
+    log = [("mum", "person", "h", "confirmed", "family", 1), ("ozzi", "person", "h", "rejected", "diary", 2), ("nick", "person", "i", "confirmed", None, 3), ("nick", "person", "h", "confirmed", "family", 4)]
+    log += [("flip", "person", "h", d, None, k) for k, d in enumerate(("rejected", "confirmed", "rejected", "confirmed"), 5)] + [("gone", "person", "nobody", "confirmed", None, 9)]
+    asked = [("1", "Mum", "family"), ("2", "Mum", "work"), ("3", "Ozzi", "diary"), ("4", "Ozzi", "work"), ("5", "Nick", "family"), ("6", "Nick", "work"), ("7", "Flip", None), ("8", "Gone", None)]
+    candidates = spark.createDataFrame([(r, "person", label, c, 0) for r, label, c in asked], ASKED)
+    got = by_ref(candidates, catalog, Options(phonetic_schemes=[], fuzzy_threshold=1.01), spark.createDataFrame(log, DECISION))
+    want = {"1": ("h", "remembered"), "2": (None, "none"), "3": (None, "none"), "4": ("h", "exact"), "5": ("h", "remembered"), "6": ("i", "remembered"), "7": ("h", "remembered"), "8": (None, "none")}
+    assert {r: (got[r]["entity_id"], got[r]["basis"]) for r in got} == want
+    assert not any(got[r]["requires_review"] for r in ("1", "4", "5", "6", "7")) and got["8"]["requires_review"]
+
+
+def test_ambiguous_hits_and_failing_judges(spark, tmp_path):
+    catalog = spark.createDataFrame([("dupA", "person", "Shevrokh Malbekzadan", []), ("dupB", "person", "Shevrokh Malbekzadan", []), ("one", "person", "Marzhovintelgard", [])], ENTITY)
+    asked = spark.createDataFrame([("1", "person", "Shevrokh Malbekzada", None, 1), ("2", "person", "Marzhovintelgarn", None, 2)], ASKED)
+    calls = str(tmp_path / "calls")
+
+    def judge(left, right):
+        with open(calls, "a") as f:
+            f.writelines(f"{x}\n" for x in left)
+        return [(True, 0.99)] * len(left)
+
+    def broken(left, right):
+        raise ValueError("down")
+
+    got = by_ref(asked, catalog, Options(phonetic_schemes=[], fuzzy_threshold=0.7, judge=judge))
+    assert (got["1"]["entity_id"], got["1"]["basis"], got["1"]["requires_review"]) == ("dupA", "fuzzy", True)
+    assert (got["2"]["basis"], got["2"]["score"]) == ("judge", 0.99)
+    assert open(calls).read() == "Marzhovintelgarn\n"  # once, and not for the ambiguous pair
+    got = by_ref(asked, catalog, Options(phonetic_schemes=[], fuzzy_threshold=0.7, judge=broken))
+    assert (got["2"]["entity_id"], got["2"]["basis"]) == ("one", "fuzzy")
+    got = by_ref(asked, catalog, Options(phonetic_schemes=[], fuzzy_threshold=0.7, judge=lambda left, right: []))
+    assert (got["2"]["entity_id"], got["2"]["basis"]) == ("one", "fuzzy")
+
+
+def test_embedding_stage(spark, fake_embedder):
+    catalog = spark.createDataFrame([("p1", "place", "Aig Bpple", []), ("p2", "place", "Ayz Twin", []), ("k", "person", "Aig Qord", []), ("x", "person", "Dlexander", [])], ENTITY)
+    asked = [("same", "place", "BYC"), ("off", "place", "Corvin"), ("none", "place", "Quiet"), ("exact", "place", "aig bpple"), ("short", "person", "Dl")]
+    candidates = spark.createDataFrame([(r, kind, label, None, 0) for r, kind, label in asked], ASKED)
+    got = by_ref(candidates, catalog, Options(phonetic_schemes=[], embedder=fake_embedder, embedding_threshold=0.7))
+    assert {r: (got[r]["entity_id"], got[r]["basis"]) for r in got} == {"same": ("p1", "embedding"), "off": (None, "none"), "none": (None, "none"), "exact": ("p1", "exact"), "short": ("x", "embedding")}
+    assert got["same"]["requires_review"] and abs(got["same"]["score"] - 0.5**0.5) < 1e-9
+    judged = by_ref(candidates, catalog, Options(phonetic_schemes=[], embedder=fake_embedder, embedding_threshold=0.7, judge=lambda a, b: [(x != "Dl", 0.95) for x in a]))
+    assert (judged["same"]["basis"], judged["same"]["score"]) == ("judge", 0.95) and judged["short"]["entity_id"] is None
+    failing = by_ref(spark.createDataFrame([("1", "place", "Boom", None, 0)], ASKED), catalog, Options(phonetic_schemes=[], embedder=fake_embedder))
+    assert (failing["1"]["entity_id"], failing["1"]["basis"]) == (None, "none")
