@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators.fold import NAMES, PIECE, fold_facts
+
 
 def current(edges: DataFrame) -> DataFrame:
     """Rows that the system still records; an invalidated edge that isn't expired is one."""
@@ -68,61 +69,29 @@ def plan_document_deletion(edges: DataFrame, mentions: DataFrame, sources: DataF
     return plan_support_removal(edges, gone)
 
 
-FOLDED = "id string, source_entity_id string, target_entity_id string, predicate string, valid_at timestamp, invalid_at timestamp, support array<string>, ordinal long"
-
-
-def fold(rows: list[dict], facts: list[dict], cardinality: str) -> list[dict]:
-    """Edges of one (source, predicate) after its facts, each of which sees what came before.
-
-    A fact of unknown time closes what is live at its ``now`` and keeps its own start unknown.
-    """
-    for f in facts:
-        begins = f["valid_at"] if f["valid_at"] is not None else f["now"]
-        live = [e for e in rows if e["invalid_at"] is None]
-        same = next((e for e in live if e["target_entity_id"] == f["target_entity_id"]), None)
-        if same is not None:
-            same["support"] = list(dict.fromkeys([*same["support"], *f["support"]]))
-            continue
-        if cardinality == "exclusive_per_source":
-            for e in live:
-                if e["valid_at"] is None or begins >= e["valid_at"]:
-                    e["invalid_at"] = begins
-        rows.append({**f, "invalid_at": None, "support": list(dict.fromkeys(f["support"]))})
-    return rows
-
-
-def clean(value):
-    """None for what pandas takes for missing."""
-    return None if value is pd.NaT or value is None or (isinstance(value, float) and value != value) else value
-
-
 def ready(facts: DataFrame, policies: DataFrame, now: Column | None) -> DataFrame:
     """Facts with their cardinality, their edge's id and the time that counts where theirs is unknown."""
-    ident = F.sha2(F.concat_ws("\1", "source_entity_id", "predicate", "target_entity_id", F.col("ordinal").cast("string")), 256)
+    parts = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in ("source_entity_id", "predicate", "target_entity_id", "ordinal"))
+    ident = F.sha2(F.concat_ws("\1", *parts), 256)
     return facts.join(policies, "predicate", "left").withColumns({"id": ident, "now": F.current_timestamp() if now is None else now, "support": F.coalesce("support", F.array().cast("array<string>"))})
 
 
-def apply_facts(facts: DataFrame, policies: DataFrame, now: Column | None = None, edges: DataFrame | None = None) -> DataFrame:
+def apply_facts(facts: DataFrame, policies: DataFrame, now: Column | None = None, edges: DataFrame | None = None, piece: int = PIECE) -> DataFrame:
     """Edges after the facts, in the order of ``ordinal``: those that the facts make, and ``edges`` (as ``FOLDED``) that were there.
 
-    Where a predicate is exclusive per source, facts of one source depend on each other and are folded together. Else
-    only facts of one (source, predicate, target) do, and these are summed up without gathering them: the first one
-    makes the edge, unless one is live, and all lend their support.
+    Where a predicate is exclusive per source, facts of one source depend on each other and are folded in order, large sources
+    piece by piece. Else only facts of one (source, predicate, target) do, and these are summed up without gathering them:
+    the first one makes the edge, unless one is live, and all lend their support.
     """
     keyed = ready(facts, policies, now)
     exclusive = F.coalesce(F.col("cardinality") == "exclusive_per_source", F.lit(False))
-    names = [c.split()[0] for c in FOLDED.split(", ")]
+    names = NAMES
     there = None if edges is None else edges.select(*names).join(policies, "predicate", "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: clean(v) if k in ("valid_at", "invalid_at", "now") else v for k, v in r.items()} | {"support": list(r["support"])} for r in pdf.sort_values("ordinal").to_dict("records")]
-        out = fold([r for r in rows if r["old"]], [r for r in rows if not r["old"]], rows[0]["cardinality"])
-        return pd.DataFrame([{n: e[n] for n in names} for e in out], columns=names).astype({"valid_at": "datetime64[ns]", "invalid_at": "datetime64[ns]"})
-
     columns = [*names, "cardinality", "now", "old"]
     new = keyed.withColumns({"invalid_at": F.lit(None).cast("timestamp"), "old": F.lit(False)}).select(*columns)
     every = new if there is None else new.unionByName(there.withColumns({"now": F.lit(None).cast("timestamp"), "old": F.lit(True)}).select(*columns))
-    folded = every.where(exclusive).groupBy("source_entity_id", "predicate").applyInPandas(run, FOLDED)
+    folded = fold_facts(every.where(exclusive), piece)
     rest = every.where(~exclusive)
     closed = rest.where(F.col("old") & F.col("invalid_at").isNotNull()).select(*names)
     one = ("source_entity_id", "predicate", "target_entity_id")

@@ -590,6 +590,22 @@ def apply_facts_exclusive(spark, sf_dir):
     return out.select(F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target"), "ordinal", F.date_format("valid_at", "yyyy-MM-dd").alias("since"), F.coalesce(F.date_format("invalid_at", "yyyy-MM-dd"), F.lit("")).alias("until"), F.size("support").cast("long").alias("support"))
 
 
+@query(
+    "apply_facts_hot_source",
+    """WITH f AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN 'hot' ELSE o_custkey::VARCHAR END AS s, o_orderpriority AS t, o_orderdate AS d, o_orderkey AS k FROM orders),
+    g AS (SELECT *, lag(t) OVER w IS DISTINCT FROM t AS starts FROM f WINDOW w AS (PARTITION BY s ORDER BY d, k)),
+    i AS (SELECT *, sum(starts::INT) OVER (PARTITION BY s ORDER BY d, k) AS island FROM g),
+    e AS (SELECT s, t, island, min(d) AS since, count(*) AS support FROM i GROUP BY s, t, island)
+    SELECT s AS source, t AS target, strftime(since, '%Y-%m-%d') AS since, coalesce(strftime(lead(since) OVER (PARTITION BY s ORDER BY island), '%Y-%m-%d'), '') AS until, support FROM e""",
+)
+def apply_facts_hot_source(spark, sf_dir):
+    """Facts in order of time, a third of them of one source, which is folded in pieces of 1,000."""
+    day = F.col("valid_at")
+    facts = _facts(spark, sf_dir).withColumns({"source_entity_id": F.when(F.col("source_entity_id").cast("long") % 3 == 0, "hot").otherwise(F.col("source_entity_id")), "ordinal": F.unix_seconds(day) * 10_000_000 + F.col("ordinal")})
+    out = graph.apply_facts(facts, spark.createDataFrame([("ranks", "exclusive_per_source")], "predicate string, cardinality string"), piece=1000)
+    return out.select(F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target"), F.date_format("valid_at", "yyyy-MM-dd").alias("since"), F.coalesce(F.date_format("invalid_at", "yyyy-MM-dd"), F.lit("")).alias("until"), F.size("support").cast("long").alias("support"))
+
+
 def _outcome(spark, sf_dir) -> DataFrame:
     both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     ref = F.col("doc_id").cast("string")

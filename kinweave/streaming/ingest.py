@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kinweave.operators.graph import FOLDED, clean, fold, ready
+from kinweave.operators.fold import FOLDED, NAMES, clean, fold
+from kinweave.operators.graph import ready
 
-_NAMES = [c.split()[0] for c in FOLDED.split(", ")]
 _STATE = "edges array<struct<id: string, source_entity_id: string, target_entity_id: string, predicate: string, valid_at: timestamp, invalid_at: timestamp, support: array<string>, ordinal: bigint>>"
 
 
@@ -23,7 +23,7 @@ def apply_facts_stream(facts: DataFrame, policies: DataFrame) -> DataFrame:
     keyed = ready(facts, F.broadcast(policies), None)  # a policy for each predicate
 
     def run(key, pdfs, state: GroupState):
-        rows = [dict(zip(_NAMES, e, strict=True)) for e in state.get[0]] if state.exists else []
+        rows = [dict(zip(NAMES, e, strict=True)) for e in state.get[0]] if state.exists else []
         for e in rows:
             e["support"] = list(e["support"])
         before = {e["id"]: (e["invalid_at"], list(e["support"])) for e in rows}
@@ -31,11 +31,11 @@ def apply_facts_stream(facts: DataFrame, policies: DataFrame) -> DataFrame:
         for f in new:
             f["support"], f["valid_at"] = list(f["support"]), clean(f["valid_at"])
         out = fold(rows, new, new[0]["cardinality"])
-        plain = lambda e: tuple(clean(e[n]) if n in ("valid_at", "invalid_at") else e[n] for n in _NAMES)
+        plain = lambda e: tuple(clean(e[n]) if n in ("valid_at", "invalid_at") else e[n] for n in NAMES)
         moment = lambda v: v.to_pydatetime() if isinstance(v, pd.Timestamp) else v
         state.update(([tuple(map(moment, plain(e))) for e in out if e["invalid_at"] is None],))
         changed = [plain(e) for e in out if before.get(e["id"]) != (e["invalid_at"], e["support"])]
-        yield pd.DataFrame(changed, columns=_NAMES).astype({"valid_at": "datetime64[ns]", "invalid_at": "datetime64[ns]"})
+        yield pd.DataFrame(changed, columns=NAMES).astype({"valid_at": "datetime64[ns]", "invalid_at": "datetime64[ns]"})
 
     return keyed.groupBy("source_entity_id", "predicate").applyInPandasWithState(run, FOLDED, _STATE, "update", GroupStateTimeout.NoTimeout)
 
