@@ -12,7 +12,7 @@ from kinweave.functions import calendar
 from kinweave.functions import dates as d
 from kinweave.functions import text as t
 from kinweave.functions.phonetic import phonetic_keys
-from kinweave.operators import evaluate, extract, graph, memory, resolve, vectors
+from kinweave.operators import asof, evaluate, extract, graph, memory, resolve, vectors
 from kinweave.sources.tables import GraphTables
 from kinweave.streaming.ingest import latest_state, windowed_counts
 
@@ -441,6 +441,20 @@ def edges_as_of_system(spark, sf_dir):
     return graph.as_of_system(_edges(spark, sf_dir), F.lit("1997-01-01").cast("timestamp")).select("id", "predicate")
 
 
+@query(
+    "edges_as_of_join",
+    f"""{_EDGES}, q AS (SELECT l_orderkey, l_linenumber, ((l_suppkey * 7 + l_orderkey) % 1000)::VARCHAR AS asked, l_shipdate AS shipped, l_shipdate - INTERVAL 90 DAY AS known FROM lineitem)
+    SELECT l_orderkey, l_linenumber, count(*) AS edges, min(id) AS first, max(id) AS last FROM q JOIN e ON e.s = q.asked AND coalesce(valid_at <= shipped, true) AND coalesce(invalid_at > shipped, true)
+      AND recorded_at <= known AND coalesce(expired_at > known, true) GROUP BY ALL""",
+)
+def edges_as_of_join(spark, sf_dir):
+    """For every line its own time: the edges of a customer that held when it was shipped, as known 90 days before."""
+    at = F.col("l_shipdate").cast("timestamp")
+    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % 1000).cast("string").alias("asked"), at.alias("at"), (at - F.expr("interval 90 days")).alias("known"))
+    met = asof.as_of_join(asked, _edges(spark, sf_dir), [("asked", "source_entity_id")], "at", known_at="known")
+    return met.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("edges"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
 def _plan(spark, sf_dir, cardinality: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     facts = c.select(
