@@ -1,8 +1,10 @@
 """Dates named in texts, as Column expressions: English and Persian, absolute and relative, with spans.
 
-A rule is a pattern and what a match resolves to. The places of a pattern's matches come from the lengths of
-matches and of the pieces between them; longest matches are kept first, then the earliest, then by order of rules.
-Offsets count UTF-16 units.
+A rule is a pattern and how a match is read: as a day of either calendar, a number of days from the reference, or a weekday.
+All rules of a language are tried in one pass over the text, wherever something stands that one could begin with, and leave
+marks there; what a rule has marked is read by that rule alone, and all readings are resolved by the same few expressions.
+A rule's matches don't overlap, as if it were scanned for alone; of all rules' matches that are dates the longest are kept
+first, then the earliest, then by order of rules. Offsets count UTF-16 units.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.calendar import from_gregorian, to_gregorian
@@ -43,20 +45,29 @@ class DateOptions:
     numeric_date_order: str = "MDY"
 
 
+#: How a match is read.
+DAY, SHIFT, WEEKDAY, JALALI = range(4)
+LAST, NEXT, UPCOMING = range(3)
+# private characters that mark places; a text's own are taken out first
+_MARK, _NEXT = "\ue000", "\ue001"
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``resolve(match, reference date)`` gives STRUCT<date, confidence>, or null for what is no date."""
+    """``read(match)`` gives what ``reading`` makes, or null for what is no date."""
 
     language: str
     pattern: str
     grain: str
-    resolve: Callable[[Column, Column], Column]
+    read: Callable[[Column], Column]
     bare_weekday: bool = False
 
 
-def _found(date: Column, confidence: Column | float) -> Column:
+def reading(kind: int, confidence: Column | float, y: Column | None = None, m: Column | int | None = None, d: Column | int | None = None) -> Column:
+    """DAY, JALALI: year (null: the reference's), month, day. SHIFT: days in ``d``. WEEKDAY: direction in ``m``, day in ``d``."""
+    plain = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("int")
     sure = confidence if isinstance(confidence, Column) else F.lit(confidence)
-    return let(date, lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), sure.alias("confidence"))))
+    return F.struct(F.lit(kind).alias("kind"), plain(y).alias("y"), plain(m).alias("m"), plain(d).alias("d"), sure.cast("double").alias("confidence"))
 
 
 def fold_digits(text: Column) -> Column:
@@ -83,8 +94,8 @@ def _number(text: Column) -> Column:
     return F.when(text != "", fold_digits(text)).try_cast("int")
 
 
-def _lookup(table: dict[str, int], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+def _table(table: dict[str, int]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
 
 
 def _alternatives(words) -> str:
@@ -93,42 +104,43 @@ def _alternatives(words) -> str:
 
 def rules(options: DateOptions = DateOptions()) -> list[Rule]:
     out: list[Rule] = []
+    month_of, weekday_of, fa_month_of, fa_weekday_of = map(_table, (MONTHS, WEEKDAYS, FA_MONTHS, FA_WEEKDAYS))
+    look = F.try_element_at
+    part = F.regexp_extract
 
-    def shift(days: int, confidence: float):
-        return lambda m, ref: _found(F.date_add(ref, days), confidence)
+    def add(language, pattern, read, grain="day", bare=False):
+        out.append(Rule(language, pattern, grain, read, bare))
 
-    def add(language, pattern, resolve, grain="day", bare=False):
-        out.append(Rule(language, pattern, grain, resolve, bare))
+    def shift(days: int, confidence: float):
+        return lambda m: reading(SHIFT, confidence, d=days)
 
     iso = r"(\d{4})-(\d{2})-(\d{2})"
-    add("en", f"{_START}{iso}{_END}", lambda m, ref: _found(gregorian_day(*(_number(F.regexp_extract(m, iso, k)) for k in (1, 2, 3))), 0.95))
+    add("en", f"{_START}{iso}{_END}", lambda m: reading(DAY, 0.95, *(_number(part(m, iso, k)) for k in (1, 2, 3))))
 
     months = _alternatives(MONTHS)
-    named = rf"(?i)({months})\.?{SPACE}+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?{SPACE}+(\d{{4}}))?"
-    turned = rf"(?i)(\d{{1,2}})(?:st|nd|rd|th)?{SPACE}+({months})\.?(?:{SPACE}+(\d{{4}}))?"
+    named = rf"({months})\.?{SPACE}+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?{SPACE}+(\d{{4}}))?"
+    turned = rf"(\d{{1,2}})(?:st|nd|rd|th)?{SPACE}+({months})\.?(?:{SPACE}+(\d{{4}}))?"
     # a period belongs to the month only where a year follows it or a word goes on
     ended = rf"(\d{{1,2}})(?:st|nd|rd|th)?{SPACE}+({months})(?:\.?{SPACE}+(\d{{4}}){_END}|\.(?=[A-Za-z0-9_])|{_END})"
 
     def by_name(pattern: str, month: int, day: int):
-        def resolve(m, ref):
-            year = _number(F.regexp_extract(m, f"^{pattern}$".replace("^(?i)", "(?i)^"), 3))
-            part = lambda k: F.regexp_extract(m, f"^{pattern}$".replace("^(?i)", "(?i)^"), k)
-            date = gregorian_day(F.coalesce(year, F.year(ref)), _lookup(MONTHS, F.lower(part(month))), _number(part(day)))
-            return _found(date, F.when(year.isNotNull(), 0.95).otherwise(0.85))
+        def read(m):
+            year = part(m, f"(?i)^{pattern}$", 3)
+            return reading(DAY, F.when(year != "", 0.95).otherwise(0.85), _number(year), look(month_of, F.lower(part(m, f"(?i)^{pattern}$", month))), _number(part(m, f"(?i)^{pattern}$", day)))
 
-        return resolve
+        return read
 
-    add("en", f"(?i){_START}{named[4:]}{_END}", by_name(named, 1, 2))
+    add("en", f"(?i){_START}{named}{_END}", by_name(named, 1, 2))
     add("en", f"(?i){_START}{ended}", by_name(turned, 2, 1))
 
     slashed = r"(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?"
 
-    def numeric(m, ref):
-        a, b, y = (F.regexp_extract(m, f"^{slashed}$", k) for k in (1, 2, 3))
+    def numeric(m):
+        a, b, y = (part(m, f"^{slashed}$", k) for k in (1, 2, 3))
         month, day = (a, b) if options.numeric_date_order == "MDY" else (b, a)
         n = _number(y)
         year = F.when(F.length(y) == 2, n + F.when(n < 50, 2000).otherwise(1900)).otherwise(n)
-        return _found(gregorian_day(F.coalesce(year, F.year(ref)), _number(month), _number(day)), F.when(n.isNotNull(), 0.85).otherwise(0.7))
+        return reading(DAY, F.when(y != "", 0.85).otherwise(0.7), year, _number(month), _number(day))
 
     add("en", f"{_START}{slashed}{_END}", numeric)
     word = lambda w: f"(?i){_START}{w}{_END}"
@@ -137,24 +149,16 @@ def rules(options: DateOptions = DateOptions()) -> list[Rule]:
     add("en", word("the day before yesterday"), shift(-2, 0.9))
     add("en", word("tomorrow"), shift(1, 0.95))
     add("en", word("yesterday"), shift(-1, 0.95))
-    ahead = lambda days: lambda m, ref: _found(F.date_add(ref, _number(F.regexp_extract(m, r"(\d{1,3})", 1)) * days), 0.9)
+    ahead = lambda days: lambda m: reading(SHIFT, 0.9, d=_number(part(m, r"(\d{1,3})", 1)) * days)
     add("en", word(rf"in{SPACE}+\d{{1,3}}{SPACE}+days?"), ahead(1))
     add("en", word(rf"in{SPACE}+\d{{1,3}}{SPACE}+weeks?"), ahead(7), "week")
     add("en", word(f"next{SPACE}+week"), shift(7, 0.85), "week")
     add("en", word(f"last{SPACE}+week"), shift(-7, 0.85), "week")
 
     days = _alternatives(WEEKDAYS)
-
-    def weekday(table, confidence, qualifier, last, following):
-        def resolve(m, ref):
-            dow = _lookup(table, F.lower(F.regexp_extract(m, qualifier, 1)))
-            way = F.when(F.lower(m).rlike(last), resolve_weekday(ref, dow, "last")).when(F.lower(m).rlike(following), resolve_weekday(ref, dow, "next")).otherwise(resolve_weekday(ref, dow, "upcoming"))
-            return _found(way, confidence(m) if callable(confidence) else confidence)
-
-        return resolve
-
-    add("en", word(f"(?:next|last|this|on){SPACE}+(?:{days})"), weekday(WEEKDAYS, 0.8, rf"(?i){SPACE}({days})$", "^last", "^next"))
-    add("en", word(f"(?:{days})"), weekday(WEEKDAYS, 0.6, r"^(.*)$", "^$", "^$"), bare=True)
+    way = lambda m, last, following: F.when(m.rlike(last), LAST).when(m.rlike(following), NEXT).otherwise(UPCOMING)
+    add("en", word(f"(?:next|last|this|on){SPACE}+(?:{days})"), lambda m: reading(WEEKDAY, 0.8, m=way(m, "(?i)^last", "(?i)^next"), d=look(weekday_of, F.lower(part(m, rf"(?i){SPACE}({days})$", 1)))))
+    add("en", word(f"(?:{days})"), lambda m: reading(WEEKDAY, 0.6, m=UPCOMING, d=look(weekday_of, F.lower(m))), bare=True)
 
     add("fa", "امروز", shift(0, 0.95))
     add("fa", "پس‌?فردا", shift(2, 0.9))
@@ -166,58 +170,110 @@ def rules(options: DateOptions = DateOptions()) -> list[Rule]:
     add("fa", f"{week}(?:پیش|گذشته|قبل)", shift(-7, 0.85), "week")
     fa_days = _alternatives(FA_WEEKDAYS)
     tail = r"(?:[\x{200C}\s]?(?:بعد|آینده|پیش|گذشته))"
-    qualified = lambda m: m.rlike("(?:بعد|آینده|پیش|گذشته)$")
-    fa = weekday(FA_WEEKDAYS, lambda m: F.when(qualified(m), 0.8).otherwise(0.6), f"^({fa_days})", "(?:پیش|گذشته)$", "(?:بعد|آینده)$")
-    gated = (lambda m, ref: F.when(qualified(m), fa(m, ref))) if options.require_weekday_qualifier else fa
-    add("fa", f"(?:{fa_days}){tail}?", gated)
+
+    def fa_weekday(m):
+        qualified = m.rlike("(?:بعد|آینده|پیش|گذشته)$")
+        found = reading(WEEKDAY, F.when(qualified, 0.8).otherwise(0.6), m=way(m, "(?:پیش|گذشته)$", "(?:بعد|آینده)$"), d=look(fa_weekday_of, part(m, f"^({fa_days})", 1)))
+        return F.when(qualified, found) if options.require_weekday_qualifier else found
+
+    add("fa", f"(?:{fa_days}){tail}?", fa_weekday)
 
     fa_months = _alternatives(FA_MONTHS)
-    part = lambda m, p, k: F.regexp_extract(m, p, k)
     full = f"({_ANY_DIGIT}{{1,2}}){_GAP}({fa_months})(?:{_GAP}({_ANY_DIGIT}{{3,4}})(?!{_ANY_DIGIT}))?"
 
-    def jalali(m, ref):
-        year = _number(part(m, f"^{full}$", 3))
-        date = to_gregorian(F.coalesce(year, from_gregorian(ref)["jy"]), _lookup(FA_MONTHS, part(m, f"^{full}$", 2)), _number(part(m, f"^{full}$", 1)))
-        return _found(date, F.when(year.isNotNull(), 0.95).otherwise(0.85))
+    def jalali(m):
+        day, month, year = (part(m, f"^{full}$", k) for k in (1, 2, 3))
+        return reading(JALALI, F.when(year != "", 0.95).otherwise(0.85), _number(year), look(fa_month_of, month), _number(day))
 
     add("fa", f"(?<!{_ANY_DIGIT}){full}", jalali)
     monthly = f"({fa_months}){_GAP}({_ANY_DIGIT}{{4}})"
-    add("fa", f"{monthly}(?!{_ANY_DIGIT})", lambda m, ref: _found(to_gregorian(_number(part(m, monthly, 2)), _lookup(FA_MONTHS, part(m, monthly, 1)), F.lit(1)), 0.9), "month")
+    add("fa", f"{monthly}(?!{_ANY_DIGIT})", lambda m: reading(JALALI, 0.9, _number(part(m, monthly, 2)), look(fa_month_of, part(m, monthly, 1)), 1), "month")
     ymd = f"({_ANY_DIGIT}{{4}})/({_ANY_DIGIT}{{1,2}})/({_ANY_DIGIT}{{1,2}})"
 
-    def year_first(m, ref):
+    def year_first(m):
         y, mo, d = (_number(part(m, ymd, k)) for k in (1, 2, 3))
-        return F.when(y.between(1000, 1700), _found(to_gregorian(y, mo, d), 0.9))
+        return F.when(y.between(1000, 1700), reading(JALALI, 0.9, y, mo, d))
 
     add("fa", f"(?<!{_ANY_DIGIT}){ymd}(?!{_ANY_DIGIT})", year_first)
     return [r for r in out if (options.languages is None or r.language in options.languages) and not (r.bare_weekday and options.require_weekday_qualifier)]
 
 
-def _matches(text: Column, rule: Rule, number: int, ref: Column) -> Column:
-    """ARRAY<STRUCT<less, start, rule, stop, surface, date, grain, confidence>> of a rule's matches."""
-    both = F.struct(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hits"), F.split(text, rule.pattern, -1).alias("between"))
+# Where a rule can match at all: what a text must hold, and what stands where a match begins.
+_HOLDS = {"en": r"(?i)[0-9]|today|tonight|tomorrow|yesterday|week|sun|mon|tue|wed|thu|fri|sat", "fa": r"[\x{600}-\x{6FF}]|[0-9]/"}
+_BEGINS = {
+    "en": rf"(?i){_START}(?=[0-9]|today|tonight|tomorrow|yesterday|the day|in{SPACE}|next|last|this|on{SPACE}|{'|'.join(sorted({w[:3] for w in (*MONTHS, *WEEKDAYS)}))})",
+    "fa": r"(?=[\x{600}-\x{6FF}0-9])",
+}
+
+
+def _marked(text: Column, language: str, use: list[tuple[int, Rule]]) -> Column:
+    """ARRAY<STRUCT<rule, start, stop, surface>> of all places where rules of a language match, by one pass over the text."""
+    pattern = f"(?:{_BEGINS[language]})" + "".join(f"(?=(?<r{k}>{r.pattern})|)" for k, r in use)
+    marks = _MARK + _NEXT.join(f"${{r{k}}}" for k, _ in use) + _NEXT
+    pieces = F.split(F.regexp_replace(F.translate(text, _MARK + _NEXT, "\ufffd\ufffd"), pattern, marks), _MARK, -1)
+    numbers = F.array(*(F.lit(k) for k, _ in use))
+    none = F.array().cast("array<struct<rule:int,start:int,stop:int,surface:string>>")
+
+    def of(ps: Column) -> Column:
+        # a piece holds what each rule has marked at its start, and then the text up to the next mark
+        lengths = F.transform(ps, lambda p: F.length(F.substring_index(p, _NEXT, -1)))
+        hits = F.filter(F.transform(ps, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: (x["i"] > 0) & ~x["p"].startswith(_NEXT * len(use)))
+
+        def found(x: Column) -> Column:
+            begins = F.aggregate(F.slice(lengths, F.lit(1), x["i"]), F.lit(0), lambda n, k: n + k)
+            place = lambda start: lambda k, m: F.struct(k.alias("rule"), start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("surface"))
+            every = lambda start: F.zip_with(numbers, F.slice(F.split(x["p"], _NEXT, -1), 1, len(use)), place(start))
+            return F.filter(let(begins, every), lambda y: y["surface"] != "")
+
+        return F.flatten(F.transform(hits, found))
+
+    return F.when(text.rlike(_HOLDS[language]), let(pieces, lambda ps: F.when(F.size(ps) > 1, of(ps)).otherwise(none))).otherwise(none)
+
 
-    def of(b: Column) -> Column:
-        def one(m: Column, i: Column) -> Column:
-            before = F.array_join(F.concat(F.slice(b["between"], F.lit(1), i + 1), F.slice(b["hits"], F.lit(1), i)), "")
-            start = F.length(before)
-            return F.struct((-F.length(m)).alias("less"), start.alias("start"), F.lit(number).alias("rule"), (start + F.length(m)).alias("stop"), m.alias("surface"), rule.resolve(m, ref).alias("r"), F.lit(rule.grain).alias("grain"))
+def _apart(places: Column) -> Column:
+    """Each rule's matches from the left, without those that begin within the one before."""
+    first = F.struct(F.lit(-1).alias("rule"), F.lit(0).alias("stop"), F.array().cast("array<struct<rule:int,start:int,stop:int,surface:string>>").alias("kept"))
+    add = lambda acc, x: F.when((acc["rule"] == x["rule"]) & (x["start"] < acc["stop"]), acc).otherwise(F.struct(x["rule"].alias("rule"), x["stop"].alias("stop"), F.concat(acc["kept"], F.array(x)).alias("kept")))
+    return F.aggregate(F.array_sort(places), first, add, lambda acc: acc["kept"])
 
-        return F.filter(F.transform(b["hits"], one), lambda x: x["r"].isNotNull())
 
-    return let(both, of)
+def _resolved(r: Column, reference: Column) -> Column:
+    """The DATE of a reading."""
+    way = F.when(r["m"] == LAST, resolve_weekday(reference, r["d"], "last")).when(r["m"] == NEXT, resolve_weekday(reference, r["d"], "next")).otherwise(resolve_weekday(reference, r["d"], "upcoming"))
+    day = gregorian_day(F.coalesce(r["y"], F.year(reference)), r["m"], r["d"])
+    solar = to_gregorian(F.coalesce(r["y"], from_gregorian(reference)["jy"]), r["m"], r["d"])
+    return F.when(r["kind"] == DAY, day).when(r["kind"] == SHIFT, F.date_add(reference, r["d"])).when(r["kind"] == WEEKDAY, way).when(r["kind"] == JALALI, solar)
 
 
 def extract_dates(text: Column, reference: Column, options: DateOptions = DateOptions()) -> Column:
-    """ARRAY<STRUCT<surface_form, span_start, span_end, date, grain, confidence>> in order of place."""
-    use = rules(options)
-    some = reduce(lambda a, b: a | b, (text.rlike(r.pattern) for r in use))
-    every = F.array_sort(F.concat(*(_matches(text, r, k, reference) for k, r in enumerate(use))))
-    none = F.filter(F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x.alias("m"))), lambda x: F.lit(False))
-    add = lambda kept, x: F.when(F.exists(kept, lambda k: (x["start"] < k["stop"]) & (x["stop"] > k["start"])), kept).otherwise(F.concat(kept, F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x.alias("m")))))
-    chosen = F.array_sort(F.aggregate(every, none, add))
-    shape = lambda x: F.struct(
-        x["m"]["surface"].alias("surface_form"), utf16_offset(text, x["start"]).alias("span_start"), utf16_offset(text, x["stop"]).alias("span_end"),
-        x["m"]["r"]["date"].alias("date"), x["m"]["grain"].alias("grain"), x["m"]["r"]["confidence"].alias("confidence"),
-    )
-    return F.when(some, F.transform(chosen, shape))
+    """ARRAY<STRUCT<surface_form, span_start, span_end, date, grain, confidence>> in order of place; null where nothing matches."""
+    use = list(enumerate(rules(options)))
+    by_language = [(language, [x for x in use if x[1].language == language]) for language in ("en", "fa")]
+    places = [_marked(text, language, own) for language, own in by_language if own]
+    grains = F.array(*(F.lit(r.grain) for _, r in use))
+
+    def read(x: Column) -> Column:
+        own = reduce(lambda out, k: out.when(x["rule"] == k[0], k[1].read(x["surface"])), use[1:], F.when(x["rule"] == use[0][0], use[0][1].read(x["surface"])))
+        dated = lambda r: F.struct((x["start"] - x["stop"]).alias("less"), x["start"].alias("start"), x["rule"].alias("rule"), x["stop"].alias("stop"), x["surface"].alias("surface"), _resolved(r, reference).alias("date"), r["confidence"].alias("confidence"))
+        return let(own, dated)
+
+    def pick(found: Column) -> Column:
+        every = F.array_sort(F.filter(F.transform(_apart(found), read), lambda x: x["date"].isNotNull()))
+        placed = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x.alias("m"))
+        none = F.filter(F.transform(every, placed), lambda x: F.lit(False))
+        add = lambda kept, x: F.when(F.exists(kept, lambda k: (x["start"] < k["stop"]) & (x["stop"] > k["start"])), kept).otherwise(F.concat(kept, F.array(placed(x))))
+        shape = lambda x: F.struct(
+            x["m"]["surface"].alias("surface_form"), utf16_offset(text, x["start"]).alias("span_start"), utf16_offset(text, x["stop"]).alias("span_end"),
+            x["m"]["date"].alias("date"), F.get(grains, x["m"]["rule"]).alias("grain"), x["m"]["confidence"].alias("confidence"),
+        )
+        return F.when(F.size(found) > 0, F.transform(F.array_sort(F.aggregate(every, none, add)), shape))
+
+    return let(F.concat(*places), pick)
+
+
+def find_dates(rows: DataFrame, text: Column, reference: Column, options: DateOptions = DateOptions()) -> DataFrame:
+    """A row for each date in ``text``: the columns of ``rows``, and ``m`` as ``extract_dates`` has it.
+
+    An outer explode, whose input isn't repeated in a filter below it, so that texts are read once.
+    """
+    return rows.select(*(f"`{c}`" for c in rows.columns), F.explode_outer(extract_dates(text, reference, options)).alias("m")).where("m is not null")

@@ -307,7 +307,7 @@ def judge_budget_topn(spark, sf_dir):
 
 def _dated(spark, sf_dir, form: Column, options=d.DateOptions()) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
-    found = o.withColumn("text", form).select("o_orderkey", F.explode(d.extract_dates(F.col("text"), F.lit("2026-05-20").cast("date"), options)).alias("m"))
+    found = d.find_dates(o.select("o_orderkey", form.alias("text")), F.col("text"), F.lit("2026-05-20").cast("date"), options)
     return found.select("o_orderkey", F.col("m.surface_form").alias("surface"), F.col("m.span_start").cast("long").alias("span_start"), F.col("m.date").alias("day"), "m.grain", "m.confidence")
 
 
@@ -335,6 +335,30 @@ def relative_dates(spark, sf_dir):
     return _dated(spark, sf_dir, F.concat(F.lit("due "), F.lit("in "), (F.col("o_orderkey") % 50).cast("string"), F.lit(" days")))
 
 
+# A text for each rule of dates, and what it names, seen from Wednesday 2026-05-20.
+DATE_CASES = [
+    ("2026-05-21", "2026-05-21", "day", 0.95), ("May 5, 2024", "2024-05-05", "day", 0.95), ("may 5", "2026-05-05", "day", 0.85), ("Sept. 1st", "2026-09-01", "day", 0.85), ("3 June 2020", "2020-06-03", "day", 0.95),
+    ("3rd June", "2026-06-03", "day", 0.85), ("1/2/2024", "2024-01-02", "day", 0.85), ("1/2", "2026-01-02", "day", 0.7), ("1/2/49", "2049-01-02", "day", 0.85), ("1/2/50", "1950-01-02", "day", 0.85), ("today", "2026-05-20", "day", 0.95),
+    ("Tonight", "2026-05-20", "day", 0.95), ("the day after tomorrow", "2026-05-22", "day", 0.9), ("the day before yesterday", "2026-05-18", "day", 0.9), ("tomorrow", "2026-05-21", "day", 0.95), ("yesterday", "2026-05-19", "day", 0.95),
+    ("in 3 days", "2026-05-23", "day", 0.9), ("in 1 day", "2026-05-21", "day", 0.9), ("in 3 weeks", "2026-06-10", "week", 0.9), ("next week", "2026-05-27", "week", 0.85), ("last week", "2026-05-13", "week", 0.85), ("next monday", "2026-05-25", "day", 0.8),
+    ("last mon", "2026-05-18", "day", 0.8), ("this Fri", "2026-05-22", "day", 0.8), ("on wed", "2026-05-20", "day", 0.8), ("next wednesday", "2026-05-27", "day", 0.8), ("sunday", "2026-05-24", "day", 0.6), ("امروز", "2026-05-20", "day", 0.95),
+    ("پس‌فردا", "2026-05-22", "day", 0.9), ("پریروز", "2026-05-18", "day", 0.9), ("فردا", "2026-05-21", "day", 0.95), ("دیروز", "2026-05-19", "day", 0.95), ("هفته بعد", "2026-05-27", "week", 0.85), ("هفته‌ی گذشته", "2026-05-13", "week", 0.85),
+    ("جمعه", "2026-05-22", "day", 0.6), ("جمعه بعد", "2026-05-22", "day", 0.8), ("جمعه پیش", "2026-05-15", "day", 0.8), ("سه‌شنبه گذشته", "2026-05-19", "day", 0.8), ("۲۹ خرداد ۱۴۰۵", "2026-06-19", "day", 0.95), ("۲۹ خرداد", "2026-06-19", "day", 0.85),
+    ("مهر ۱۴۰۲", "2023-09-23", "month", 0.9), ("۱۴۰۲/۰۷/۰۱", "2023-09-23", "day", 0.9), ("1402/7/1", "2023-09-23", "day", 0.9),
+]
+
+
+@query(
+    "date_rules",
+    "SELECT o_orderkey, surface, 2::BIGINT AS span_start, day::DATE AS day, grain, confidence::DOUBLE AS confidence FROM orders JOIN (VALUES "
+    + ", ".join(f"({k}, '{a}', '{b}', '{g}', {c})" for k, (a, b, g, c) in enumerate(DATE_CASES)) + f") v(i, surface, day, grain, confidence) ON o_orderkey % {len(DATE_CASES)} = i",
+)
+def date_rules(spark, sf_dir):
+    """Every order names a date by one of the rules."""
+    texts = F.array(*(F.lit(f"- {a}!") for a, *_ in DATE_CASES))
+    return _dated(spark, sf_dir, F.get(texts, (F.col("o_orderkey") % len(DATE_CASES)).cast("int")))
+
+
 @query(
     "weekday_resolution",
     """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS r, (o_orderkey % 7)::INT AS w FROM orders),
@@ -641,6 +665,26 @@ def eval_prf(spark, sf_dir):
     return evaluate.precision_recall(_outcome(spark, sf_dir)).select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
+_CURVE = [k / 20 for k in range(1, 21)]
+
+
+@query(
+    "threshold_curve",
+    """WITH b AS (SELECT lang AS kind, source AS stage, CASE WHEN quality = 1 THEN 'good' END AS target, CASE WHEN n_chars >= 100 THEN 'good' WHEN n_chars > 50 THEN 'bad' END AS got, n_chars / (n_chars + 400.0) AS score FROM labels JOIN documents USING (doc_id)),
+    g AS (SELECT 0 AS level, kind, stage, target, got, score FROM b UNION ALL SELECT 1, kind, NULL, target, got, score FROM b UNION ALL SELECT 2, NULL, stage, target, got, score FROM b UNION ALL SELECT 3, NULL, NULL, target, got, score FROM b),
+    t AS (SELECT k / 20 AS threshold FROM range(1, 21) r(k)),
+    p AS (SELECT level, kind, stage, threshold, target, CASE WHEN score >= threshold THEN got END AS got FROM g, t)
+    SELECT (level * 2)::BIGINT AS level, kind, stage, threshold, count(*) FILTER (target = got) AS tp, count(*) FILTER (got IS NOT NULL AND target IS DISTINCT FROM got) AS fp,
+           count(*) FILTER (target IS NOT NULL AND target IS DISTINCT FROM got) AS fn, count(*) FILTER (target IS NULL AND got IS NULL) AS tn FROM p GROUP BY ALL""",
+)
+def threshold_curve(spark, sf_dir):
+    """Twenty thresholds over all labelled documents, and by language, source and both."""
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    got = F.when(F.col("n_chars") >= 100, "good").when(F.col("n_chars") > 50, "bad")
+    scored = both.select(F.col("doc_id").alias("ref"), F.col("lang").alias("kind"), F.col("source").alias("stage"), F.when(F.col("quality") == 1, "good").alias("target"), got.alias("entity_id"), (F.col("n_chars") / (F.col("n_chars") + 400.0)).alias("score"))
+    return evaluate.curve(scored, _CURVE, ["kind", "stage"])
+
+
 _LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda x: (length({0}) - length(replace({0}, x, '')))::DOUBLE)"
 
 

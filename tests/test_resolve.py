@@ -45,6 +45,13 @@ def test_ablation(tables, options, expected):
     assert (*outcome, got.where("entity_id is not null and not requires_review").count()) == expected
 
 
+def test_sweep_gives_all_settings_from_one_pass(tables):
+    catalog, cases = tables
+    settings = [Options(), Options(fuzzy_threshold=1.01), Options(phonetic_schemes=[]), Options(entropy_threshold=0.0), Options(phonetic_schemes=[], fuzzy_threshold=1.01)]
+    got = sorted(map(tuple, evaluate.sweep(cases.drop("target"), catalog, cases, settings).collect()))
+    assert got == [(0, 7, 1, 0, 6, 2), (1, 6, 1, 1, 6, 2), (2, 3, 0, 4, 7, 2), (3, 7, 1, 0, 6, 2), (4, 2, 0, 5, 7, 2)]
+
+
 def test_memory_and_rejection(spark, tables):
     catalog, _ = tables
     log = spark.createDataFrame(
