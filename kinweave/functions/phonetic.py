@@ -22,11 +22,11 @@ PER_WORD = 8
 PERSIAN = {
     "ب": "b", "پ": "p", "ت": "t", "ط": "t", "ث": "s", "س": "s", "ص": "s", "ج": "j", "چ": "c", "ح": "h", "ه": "h", "ة": "h", "خ": "x", "د": "d", "ذ": "z", "ز": "z",
     "ض": "z", "ظ": "z", "ر": "r", "ژ": "j", "ش": "c", "ف": "f", "ک": "k", "ك": "k", "گ": "g", "ل": "l", "م": "m", "ن": "n", "ق": "q", "غ": "q",
-    "ع": "", "ء": "", "ئ": "", "أ": "", "إ": "", "ؤ": "", "ا": "", "آ": "", "و": "v|", "ی": "y|", "ي": "y|",
+    "ع": "", "ء": "", "ئ": "", "أ": "", "إ": "", "ؤ": "", "ا": "", "آ": "", "و": ("v", ""), "ی": ("y", ""), "ي": ("y", ""),
 }
 CYRILLIC = {
     "б": "b", "в": "v", "г": "g", "д": "d", "ж": "j", "з": "z", "к": "k", "л": "l", "м": "m", "н": "n", "п": "p", "р": "r", "с": "s", "т": "t", "ф": "f", "х": "x",
-    "ц": "ts", "ч": "c", "ш": "c", "щ": "c", "й": "y|", "а": "", "о": "", "у": "", "ы": "", "э": "", "и": "", "е": "", "ё": "", "я": "", "ю": "", "і": "", "ї": "", "є": "", "ь": "", "ъ": "",
+    "ц": "ts", "ч": "c", "ш": "c", "щ": "c", "й": ("y", ""), "а": "", "о": "", "у": "", "ы": "", "э": "", "и": "", "е": "", "ё": "", "я": "", "ю": "", "і": "", "ї": "", "є": "", "ь": "", "ъ": "",
 }
 LATIN_PAIRS = (("kh", "X"), ("gh", "Q"), ("sh", "C"), ("ch", "C"), ("zh", "J"), ("ph", "F"))
 
@@ -59,14 +59,18 @@ def expand(classes: Column) -> Column:
     return F.filter(dedupe_cap(F.transform(grown, collapse_repeats)), lambda k: k != "")
 
 
-def _table(letters: dict[str, str], special: Callable[[Column, Column, Column], Column]) -> Callable[[Column], Column]:
+def _sounds(*alternatives: str) -> Column:
+    return F.array(*map(F.lit, alternatives))
+
+
+def _table(letters: dict[str, str | tuple[str, str]], special: Callable[[Column, Column, Column], Column]) -> Callable[[Column], Column]:
     """Keys by a table of letters; ``special(letter, place, last place)`` overrides it where it isn't null."""
 
     def of(cs: Column) -> Column:
-        table = F.create_map(*(F.lit(x) for pair in letters.items() for x in pair))
+        table = F.create_map(*(x for letter, sounds in letters.items() for x in (F.lit(letter), _sounds(*([sounds] if isinstance(sounds, str) else sounds)))))
         last = F.size(cs) - 1
         sounds = F.transform(cs, lambda c, i: F.coalesce(special(c, i, last), F.try_element_at(table, c)))
-        return expand(F.transform(F.filter(sounds, lambda s: s.isNotNull()), lambda s: F.split(s, r"\|")))
+        return expand(F.filter(sounds, lambda s: s.isNotNull()))
 
     def keys(word: Column) -> Column:
         return let(chars(word), of)
@@ -88,12 +92,13 @@ def _latin_keys(word: Column) -> Column:
 
 
 def _persian_special(c: Column, i: Column, last: Column) -> Column:
-    initial = F.when(c == "و", "v").when(c.isin("ی", "ي"), "y")
-    return F.when(i == 0, F.coalesce(initial, F.when((i == last) & c.isin("ه", "ة"), "h|"))).when((i == last) & c.isin("ه", "ة"), "h|")
+    initial = F.when(c == "و", _sounds("v")).when(c.isin("ی", "ي"), _sounds("y"))
+    final = F.when((i == last) & c.isin("ه", "ة"), _sounds("h", ""))
+    return F.when(i == 0, F.coalesce(initial, final)).otherwise(final)
 
 
 def _cyrillic_special(c: Column, i: Column, last: Column) -> Column:
-    return F.when((i == 0) & c.isin("я", "ю", "ё", "е", "є", "ї"), "y|").when((i == 0) & (c == "й"), "y")
+    return F.when((i == 0) & c.isin("я", "ю", "ё", "е", "є", "ї"), _sounds("y", "")).when((i == 0) & (c == "й"), _sounds("y"))
 
 
 def persian() -> Scheme:

@@ -14,7 +14,7 @@ from kinweave.functions import text as t
 from kinweave.functions.phonetic import phonetic_keys
 from kinweave.operators import asof, evaluate, extract, graph, memory, resolve, vectors
 from kinweave.sources.tables import GraphTables
-from kinweave.streaming.ingest import latest_state, windowed_counts
+from kinweave.streaming.ingest import latest_state, sessions, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -593,6 +593,16 @@ def windowed(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
+@query(
+    "event_sessions",
+    """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 12 HOUR, true) AS opens FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    i AS (SELECT user_id, ts, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM g)
+    SELECT user_id, min(ts) AS starts, max(ts) + INTERVAL 12 HOUR AS ends, count(*) AS n FROM i GROUP BY user_id, island""",
+)
+def event_sessions(spark, sf_dir):
+    return sessions(table(spark, sf_dir, "events"), "12 hours")
+
+
 def _facts(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").cast("string").alias("source_entity_id"), F.col("o_orderpriority").alias("target_entity_id"), F.lit("ranks").alias("predicate"), F.col("o_orderdate").cast("timestamp").alias("valid_at"), F.array(F.col("o_orderkey").cast("string")).alias("support"), F.col("o_orderkey").alias("ordinal"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinweave.operators.fold import FOLDED, NAMES, clean, fold
@@ -50,3 +51,17 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", lateness: str = "1
     marked = events.withWatermark("ts", lateness) if events.isStreaming else events
     frame = F.window("ts", width, slide) if slide else F.window("ts", width)
     return marked.groupBy(frame.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("starts"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour", key: str = "user_id", time: str = "ts") -> DataFrame:
+    """(key, starts, ends, n) of every session: events of a key that lie less than ``gap`` apart. On a stream a session is emitted once the
+    newest time is ``lateness`` past its end; events later than that are dropped and counted (``late_rows``). Events without a time belong to none."""
+    marked = events.where(F.col(time).isNotNull())
+    marked = marked.withWatermark(time, lateness) if events.isStreaming else marked
+    found = marked.groupBy(key, F.session_window(time, gap).alias("s")).agg(F.count("*").alias("n"))
+    return found.select(key, F.col("s.start").alias("starts"), F.col("s.end").alias("ends"), "n")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators have dropped for coming too late, as far as its progress is kept."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

@@ -225,3 +225,24 @@ def test_creates_keep_order_and_repeats(spark, tmp_path):
     store.create_mentions(spark.createDataFrame([("b", "d")], "id string, source_id string"))
     reviews = store.delete_documents(spark.createDataFrame([("d",)], "source_id string")).collect()
     assert [(r["edge_id"], r["remaining_support"], r["orphaned"]) for r in reviews] == [("e", ["a"], False)]
+
+
+def test_reads_by_id_prune_and_compaction_goes_on(spark, tmp_path):
+    store = GraphTables(spark, str(tmp_path / "a"))
+    store.migrate()
+    store.create_edges(spark.createDataFrame([(f"e{k}", [f"m{k}"]) for k in range(40)], "id string, support array<string>"))
+    store.set_edge_support(spark.createDataFrame([("e7", ["x", "x"]), ("e8", [])], "id string, support array<string>"))
+    plan = store.get("edges", "e7")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "(id,e7)" in plan
+    assert store.get("edges", "e7").first()["support"] == ["x", "x"] and store.get("edges", "none").first() is None
+    assert {r["id"]: r["support"] for r in store.read_some("edges", spark.createDataFrame([("e8",), ("e9",), ("no",)], "id string")).collect()} == {"e8": [], "e9": ["m9"]}
+    assert store.log("edges").count() == 42
+    new = GraphTables(spark, str(tmp_path / "b"))
+    new.migrate()
+    store.compact("edges", str(tmp_path / "b"))
+    assert new.log("edges").count() == 40 and sorted(new.read("edges").collect()) == sorted(store.read("edges").collect())
+    new.invalidate_edges(spark.createDataFrame([("e7", DAY)], "id string, invalid_at timestamp"))
+    edge = new.get("edges", "e7").first()
+    assert edge["invalid_at"] == DAY and edge["support"] == ["x", "x"]
+    assert [r["id"] for r in new.list("edges").collect()] == sorted((f"e{k}" for k in range(40)))
+    assert [r["id"] for r in new.current_edges(id="e7").collect()] == ["e7"]
