@@ -101,5 +101,7 @@ def apply_facts(facts: DataFrame, policies: DataFrame, now: Column | None = None
     # support in order of first appearance, as far as (edge there, ordinal, place) tells it
     each = seen.select(*one, "old", "ordinal", F.posexplode("support").alias("pos", "mention")).groupBy(*one, "mention").agg(F.min(F.struct(~F.col("old"), "ordinal", "pos")).alias("at"))
     support = each.groupBy(*one).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mention"))), lambda x: x["mention"]).alias("support"))
-    summed = base.join(support, list(one), "left").select("first.id", *one, "first.valid_at", F.lit(None).cast("timestamp").alias("invalid_at"), F.coalesce("support", F.array().cast("array<string>")).alias("support"), "first.ordinal")
+    named = support.withColumnsRenamed({c: f"__{c}" for c in one})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in one))  # facts without a target are facts too
+    summed = base.join(named, same, "left").select("first.id", *one, "first.valid_at", F.lit(None).cast("timestamp").alias("invalid_at"), F.coalesce("support", F.array().cast("array<string>")).alias("support"), "first.ordinal")
     return folded.select(*names).unionByName(summed.select(*names)).unionByName(closed)

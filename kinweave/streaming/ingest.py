@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinweave.operators.fold import FOLDED, NAMES, clean, fold
@@ -41,6 +41,70 @@ def apply_facts_stream(facts: DataFrame, policies: DataFrame) -> DataFrame:
     return keyed.groupBy("source_entity_id", "predicate").applyInPandasWithState(run, FOLDED, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+_KEY, _VALUE = "target string", "id string, valid_at timestamp, support array<string>, ordinal bigint"
+
+
+class EdgeState(StatefulProcessor):
+    """Live edges of a (source, predicate), each under its own target: a refresh touches one entry, and a closed edge's entry is removed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getMapState("live", _KEY, _VALUE)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        facts = pd.concat(rows).sort_values(["ordinal", "id"]).to_dict("records")
+        exclusive = facts[0]["cardinality"] == "exclusive_per_source"
+        name = lambda target: ("null" if target is None else f"={target}",)
+        here: dict = {}  # entries as they are now, None for those that are gone or never were
+        before, whole, closed = set(), False, []
+
+        def entry(k, value):
+            before.add(k)
+            return {"id": value[0], "valid_at": clean(value[1]), "support": dict.fromkeys(value[2]), "ordinal": value[3], "invalid_at": None, "touched": False}
+
+        for f in facts:
+            k = name(f["target_entity_id"])
+            if k not in here:
+                here[k] = entry(k, self.live.getValue(k)) if not whole and self.live.containsKey(k) else None
+            if here[k] is not None:
+                here[k]["support"].update(dict.fromkeys(f["support"]))
+                here[k]["touched"] = True
+                continue
+            valid = clean(f["valid_at"])
+            begins = valid if valid is not None else f["now"]
+            if exclusive:
+                if not whole:
+                    for other, value in self.live.iterator():
+                        if tuple(other) not in here:
+                            here[tuple(other)] = entry(tuple(other), value)
+                    whole = True
+                for other, e in here.items():
+                    if e is not None and (e["valid_at"] is None or e["valid_at"] <= begins):
+                        closed.append((other, e | {"invalid_at": begins}))
+                        here[other] = None
+            here[k] = {"id": f["id"], "valid_at": valid, "support": dict.fromkeys(f["support"]), "ordinal": f["ordinal"], "invalid_at": None, "touched": True}
+        for k, e in here.items():
+            if e is None and k in before:
+                self.live.removeKey(k)
+            elif e is not None and e["touched"]:
+                moment = e["valid_at"].to_pydatetime() if isinstance(e["valid_at"], pd.Timestamp) else e["valid_at"]
+                self.live.updateValue(k, (e["id"], moment, list(e["support"]), int(e["ordinal"])))
+        out = closed + [(k, e) for k, e in here.items() if e is not None and e["touched"]]
+        shape = lambda k, e: (e["id"], key[0], None if k[0] == "null" else k[0][1:], key[1], e["valid_at"], e["invalid_at"], list(e["support"]), e["ordinal"])
+        yield pd.DataFrame([shape(k, e) for k, e in out], columns=NAMES).astype({"valid_at": "datetime64[ns]", "invalid_at": "datetime64[ns]"})
+
+    def close(self) -> None:
+        pass
+
+
+def apply_facts_by_edge(facts: DataFrame, policies: DataFrame) -> DataFrame:
+    """As ``apply_facts_stream``, with an entry of state for each live edge in place of a row for each (source, predicate).
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``), which keeps entries on disk.
+    """
+    keyed = ready(facts, policies, None)
+    return keyed.groupBy("source_entity_id", "predicate").transformWithStateInPandas(EdgeState(), FOLDED, "update", "none")
+
+
 def latest_state(changes: DataFrame, key: str = "user_id", order: str = "ts", value: str = "event_type") -> DataFrame:
     """The newest value of every key, for tables and streams: a running aggregation without expiry."""
     return changes.groupBy(key).agg(F.max_by(value, F.struct(order, value)).alias(value), F.max(order).alias(order))

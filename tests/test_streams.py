@@ -1,10 +1,12 @@
 """Streams into the store, and sessions with late events."""
 
 import datetime as dt
+import random
 
 from kinweave import schemas
 from kinweave.sources.tables import GraphTables
-from kinweave.streaming.ingest import apply_facts_stream, late_rows, sessions
+from kinweave.operators import graph
+from kinweave.streaming.ingest import apply_facts_by_edge, apply_facts_stream, late_rows, sessions
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -75,3 +77,25 @@ def test_sessions_on_a_stream_count_what_is_late(spark, tmp_path):
     assert got == {(1, DAY, 3), (2, DAY + dt.timedelta(minutes=5), 1), (9, DAY + dt.timedelta(minutes=600), 2)}
     every = spark.createDataFrame([r for p in parts for r in p], schema)
     assert {(r["user_id"], r["starts"], r["n"]) for r in sessions(every).collect()} == {(1, DAY, 4), (2, DAY + dt.timedelta(minutes=5), 2), (9, DAY + dt.timedelta(minutes=600), 2), (9, DAY + dt.timedelta(minutes=1200), 1)}
+
+
+def test_state_by_edge_agrees_with_the_batch_fold(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = [(f"s{rnd.randrange(3)}", rnd.choice(["x", "y", "z", None]), rnd.choice(["lives", "knows"]), DAY + dt.timedelta(rnd.randrange(12)), [f"m{rnd.randrange(9)}"], k) for k in range(90)]
+    policies = spark.createDataFrame([("lives", "exclusive_per_source")], schemas.POLICY)
+    source, name = str(tmp_path / "in"), "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        newest: dict = {}
+        for k in range(3):
+            spark.createDataFrame(rows[30 * k : 30 * k + 30], schemas.FACT).coalesce(1).write.mode("append").parquet(source)
+            stream = apply_facts_by_edge(spark.readStream.schema(schemas.FACT).parquet(source), policies)
+            run(stream, lambda batch, _: newest.update({r["id"]: r for r in batch.collect()}), tmp_path / "c")
+        state = spark.read.format("statestore").option("stateVarName", "live").load(str(tmp_path / "c"))
+        live = state.count()
+    finally:
+        spark.conf.unset(name)
+    shape = lambda r: (r["id"], r["source_entity_id"], r["target_entity_id"], r["predicate"], r["valid_at"], r["invalid_at"], tuple(r["support"]))
+    want = set(map(shape, graph.apply_facts(spark.createDataFrame(rows, schemas.FACT), policies).collect()))
+    assert set(map(shape, newest.values())) == want
+    assert live == sum(r[5] is None for r in want)  # nothing is kept of closed edges
