@@ -8,7 +8,7 @@ and these ends are places where no pre-token can cross (a visible character befo
 Every row is joined by its text's digest, and what is joined is written first, so that a skewed join can split
 the copies of one text. Null texts count as empty and have no ids. A long text costs what its chunks do; its shared
 chunks and its ids are one row. Equal texts have equal ids. Empty tables give empty tables; columns
-whose names clash with the added ones are replaced.
+whose names clash with the added ones are replaced, others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm import bloom
+from kinweave.llm.names import Veil
 from kinweave.llm.storage import cut, small_batches
 from kinweave.llm.words import BLOCK, _BYTES, _power, buffers, lean, mix, runs
 
@@ -403,11 +404,16 @@ def _join(path: str, kept: int, names: list[str], digest_only: bool):
 
 def encode(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, digest_only: bool = False) -> DataFrame:
     """Adds n_tokens and ids (little-endian unsigned 32-bit); with ``digest_only``, the digests of ids and decoded text instead."""
+    veil = Veil(docs)
+    return veil.lift(_encoded(veil.docs, veil.name(text_col), tokenizer, digest_only))
+
+
+def _encoded(docs: DataFrame, text_col: str, tokenizer: str | None, digest_only: bool) -> DataFrame:
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     extra = [T.StructField("n_tokens", T.LongType())]
     extra += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digest_only else [T.StructField("ids", T.BinaryType())]
-    gone = {f.name for f in extra} | {"__key", "__packed"}
+    gone = {f.name for f in extra}
     keep = [i for i, f in enumerate(docs.schema.fields) if f.name not in gone and not (digest_only and f.name == text_col)]
     fields = [docs.schema.fields[i] for i in keep]
     text = docs.select(text_col)

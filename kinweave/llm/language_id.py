@@ -10,7 +10,8 @@ exact, so that long texts cost what short ones do.
 The classifier is fitted on a bounded sample: at most about ``FIT_TEXTS`` labelled texts (evenly by label, by
 a hash of the text) and ``FIT_WORDS`` words of them (distinct texts, ``FIT_CHARS`` characters of each). Null texts and texts without a letter are ``und`` with score
 0, as is everything if no labelled text is there to learn from. Rows whose label is null aren't learned from.
-Repeated rows get a row each; an empty table gives an empty table; columns with clashing names are replaced.
+Repeated rows get a row each; an empty table gives an empty table; columns named like
+the added ones are replaced, others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinweave.llm.names import Veil
 from kinweave.llm.storage import small_batches
 from kinweave.llm.words import U64, _BYTES, _power, buffers, lean, mix, runs
 
@@ -265,10 +267,14 @@ class LanguageId:
 
     def predict(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Adds lang_pred and score, and ``switches``: how often the most likely label changes from word to word."""
+        veil = Veil(docs)
+        return veil.lift(self._predicted(veil.docs, veil.name(text_col)))
+
+    def _predicted(self, docs: DataFrame, text_col: str) -> DataFrame:
         added = ("lang_pred", "score", "switches")
         kept = [c for c in docs.columns if c not in added]
         if self.model is None:
-            return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("switches"))
+            return docs.select(*(docs[c] for c in kept), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("switches"))
         at, model, names = len(kept), self.model, np.array(self.labels, dtype=object)
         marked = docs.select(*(docs[c] for c in kept), F.when(docs[text_col].rlike(r"\p{L}"), docs[text_col]).alias("__text"))
 

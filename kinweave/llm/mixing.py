@@ -8,7 +8,8 @@ the words that are missing, the document at the border in part.
 Each document's share is a function of (source, seeded hash, size), found by refining hash buckets, so no
 source is ever gathered in one task; rows that agree in all three share what falls to them. Null texts have
 size 0 and take nothing, null sources form one source (ordered last), null ids hash like an empty id, and an
-empty table gives an empty table. Columns whose names clash with the added ones are replaced.
+empty table gives an empty table. Columns whose names clash with the added ones are replaced by
+``mix`` and kept by ``repeated``; others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinweave.llm.names import Veil
 from kinweave.llm.storage import cut
 
 WEIGHTS = (5, 2, 1)
@@ -24,6 +26,7 @@ SEED = "mix-1"
 #: Up to this many sources, their table is broadcast; beyond it, it is joined by shuffling.
 BROADCAST_SOURCES = 100_000
 _BITS = 12
+_ADDED = ("size", "source_size", "target", "taken", "copies")
 
 
 def word_count(text: Column) -> Column:
@@ -88,6 +91,11 @@ def _border(rows: DataFrame, quota: DataFrame, keys: list[str], bucket: str, man
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Adds size, source_size, target, taken (words, repeats counted) and copies (whole rows, the last rounded)."""
+    veil = Veil(docs)
+    return veil.lift(_mixed(veil.docs, weights, epochs, seed, veil.name(id_col), veil.name(text_col), veil.name(source_col)))
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], epochs: int, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
     text, source, ident = docs[text_col], docs[source_col], docs[id_col]
     high, low = F.shiftright("__hash", 40 - _BITS), F.shiftright("__hash", 40 - 2 * _BITS)
     marks = [source.cast("string").alias("__source"), _key(source).alias("__key"), word_count(text).alias("__size"), _hash(ident, seed).alias("__hash")]
@@ -103,8 +111,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     part = F.least(F.col("__size"), F.floor(F.greatest(F.lit(0), F.col("__left") - F.col("__before")) / F.col("__n"))).cast("long")
     last = cut(last.withColumn("__before", before).select("__key", "__hash", "__size", part.alias("__part")))
     borders = plan.join(second.select("__key", F.col("__low").alias("__edge")), "__key", "left")
-    added = ["size", "source_size", "target", "taken", "copies"]
-    kept = [c for c in docs.columns if c.lower() not in added]
+    kept = [c for c in docs.columns if c.lower() not in _ADDED]
     marked = docs.select(*(docs[c] for c in kept), *marks[1:])
     wide = marked.join(borders if many else F.broadcast(borders), "__key").join(last if many else F.broadcast(last), ["__key", "__hash", "__size"], "left")
     extra = F.coalesce(F.col("__part"), F.when(low < F.col("__edge"), F.col("__size")), F.lit(0))
@@ -115,9 +122,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as its copies say, with the same columns."""
-    mixed = mix(docs, **options)
+    veil = Veil(docs, _ADDED)
+    mixed = mix(veil.docs, **{k: veil.name(v) if k.endswith("_col") else v for k, v in options.items()})
     out = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*docs.columns) if set(docs.columns) <= set(out.columns) else out.drop("__copy", "size", "source_size", "target", "taken", "copies")
+    return veil.lift(out.select(*veil.docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from kinweave.llm import bloom
 from kinweave.llm.components import components, merged
+from kinweave.llm.names import Veil
 from kinweave.llm.storage import cut, drop_path, fresh_path, small_batches
 from kinweave.llm.words import U64, lean, lean_group, mix, shingle_sets, word_hashes
 
@@ -360,6 +361,8 @@ class ShingleJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT, pairs_up_to: int = PAIRS_UP_TO):
         small_batches(docs.sparkSession)
         self.group_limit, self.pairs_up_to = group_limit, pairs_up_to
+        self._veil = Veil(docs)
+        docs, id_col, text_col = self._veil.docs, self._veil.name(id_col), self._veil.name(text_col)
         self._docs, self._id = docs, docs[id_col]
         text = F.coalesce(docs[text_col], F.lit(""))
         self._marks = [F.xxhash64(text).alias("m1"), F.xxhash64(text, F.lit(1)).alias("m2")]
@@ -403,9 +406,9 @@ class ShingleJoin:
         out = matched(listed, "left_anti")
         twins = listed.where("stays")
         if twins.isEmpty():
-            return out
+            return self._veil.lift(out)
         again = matched(twins, "left_semi").withColumns({"__m1": self._marks[0], "__m2": self._marks[1], "__ident": ident}).dropDuplicates(["__ident", "__m1", "__m2"]).drop("__ident", "__m1", "__m2")
-        return out.unionByName(again)
+        return self._veil.lift(out.unionByName(again))
 
     def _alive(self, dealt: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
         """The classes with enough shingles that others have, with a number ``cid`` each, in order of their smallest hashes,

@@ -12,7 +12,8 @@ kind share one, and none is an entity itself; losers draw again from a larger sp
 those of a length run out, replacements are longer.
 
 Null and empty texts stay as they are, with no entities; empty tables give empty tables, repeated rows a row
-each. Texts are joined by their digests, so ids may repeat or be null. Columns with clashing names are replaced.
+each. Texts are joined by their digests, so ids may repeat or be null. Columns named like the added ones
+are replaced, others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.llm.names import Veil
 from kinweave.llm.storage import cut
 
 KEY = "surrogates-1"
@@ -206,6 +208,11 @@ def _filled(value: Column, sur: Column, drop: str) -> Column:
 
 def replace(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with entities in ``text_col`` replaced; adds n_entities and kinds (in order of place)."""
+    veil = Veil(docs)
+    return veil.lift(_replaced(veil.docs, veil.name(text_col)))
+
+
+def _replaced(docs: DataFrame, text_col: str) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     text = docs[text_col]
     found = docs.select(F.sha2(text, 256).alias("__key"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("all")).where(F.size("all") > 0)

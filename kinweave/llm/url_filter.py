@@ -5,7 +5,8 @@ follows up to ``?``, ``#`` or the end. A rule fits its host and all subdomains w
 path. The longest fitting rule wins; of equally long ones the longer host, then block.
 
 Null URLs and those without ``://`` have empty host and path and get the default verdict, as do all URLs if
-there are no rules. Repeated rows get a row each. Columns whose names clash with the added ones are replaced.
+there are no rules. Repeated rows get a row each. Columns whose names clash with the added ones are
+replaced, others are kept whatever their names.
 Expressions are made once for each distinct (host, path), so a URL that fills the table costs no more.
 """
 
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.llm.names import Veil
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hexadecimal digits of the digest that expressions and rules are joined on: 32 bits.
 SHORT = 8
@@ -31,9 +34,14 @@ def _parts(url):
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule (null where none fits) and verdict. ``rules`` has verdict, host and path."""
+    veil = Veil(pages, ("best",))
+    return veil.lift(_judged(veil.docs, rules, veil.name(url_col), default))
+
+
+def _judged(pages: DataFrame, rules: DataFrame, url_col: str, default: str) -> DataFrame:
     added = ["host", "path", "rule", "verdict"]
     kept = [c for c in pages.columns if c.lower() not in added]
-    split = pages.select(*(pages[c] for c in kept if c != "__url"), pages[url_col].alias("__url")).withColumn("__rest", _parts(F.col("__url")))
+    split = pages.select(*(pages[c] for c in kept), pages[url_col].alias("__url")).withColumn("__rest", _parts(F.col("__url")))
     split = split.withColumn("__host", F.regexp_extract("__rest", r"^[^/?#]*", 0))
     split = split.withColumn("__path", F.regexp_extract(F.expr("substring(__rest, length(__host) + 1)"), r"^[^?#]*", 0))
     split = split.withColumn("__host", F.translate("__host", UPPER, LOWER)).drop("__rest", "__url")
