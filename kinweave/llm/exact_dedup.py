@@ -1,24 +1,26 @@
 """Exact deduplication by a stateful stream over content digests.
 
 The keyed state lives in RocksDB on disk and never expires; for every digest of a normalised text it retains
-the row that stays (its length, stable identifier and content locator) and the number of rows. Hits are then
-checked byte by byte against the text that stays. Should a digest ever stand for several texts, its rows are
-grouped anew by their whole texts.
+the row that stays (its length, stable identifier and content locator), the locator of the row that came first,
+and the number of rows. A second stream over the same rows checks each hit of a batch byte by byte against the
+text that came first, which it finds through the locator; rows that arrive later are checked when they do. Should
+a digest ever stand for several texts, its rows are grouped anew by their whole texts.
 
 Normalised: without ``[\\x20\\x09-\\x0D]``; null counts as empty. Of equal texts the row with the most code
 points stays, then the smallest id (null last), then one of the repeated rows. Empty texts are equal to each
-other. A table without rows gives a table without rows. Columns whose names clash with the added ones are
-replaced.
+other. A table without rows gives a table without rows. ``kept()`` has the columns of the documents, whatever
+their names. What was staged is deleted once the decisions are written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.storage import cut, fresh_path
+from kinweave.llm.names import Veil
+from kinweave.llm.storage import cut, drop_path, fresh_path
 
 #: Rows of a lookup that is broadcast (some 100 bytes each); a larger one is joined by shuffling.
 BROADCAST_ROWS = 100_000
@@ -37,10 +39,24 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def located(rows: DataFrame) -> DataFrame:
+    """Staged rows with their content locator: the file and the place in it where the text is stored."""
+    at = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index"))
+    rows = rows if "locator" in rows.columns else rows.withColumn("locator", at)
+    return rows if "epoch" in rows.columns else rows.withColumn("epoch", F.lit(0).cast("long"))
+
+
 def keyed(rows: DataFrame) -> DataFrame:
-    """The stateful step, for a stream or a table of (digest, chars, ident, row, locator)."""
+    """The stateful step, for a stream or a table of (digest, chars, ident, row, locator, epoch)."""
     best = F.struct((-F.col("chars")).alias("less"), F.col("ident").isNull().alias("none"), "ident", "row", "locator")
-    return rows.groupBy("digest").agg(F.min(best).alias("best"), F.count("*").alias("rows"))
+    return rows.groupBy("digest").agg(F.min(best).alias("best"), F.count("*").alias("rows"), F.max(F.struct((-F.col("epoch")).alias("less"), (-F.col("row")).alias("row"), "locator")).alias("anchor"))
+
+
+def stage(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, epoch: int = 0) -> None:
+    """Append ``docs`` to the rows below ``path``; each later addition has a larger ``epoch``."""
+    text = normalised(docs[text_col])
+    marks = docs.select(digest(text).alias("digest"), F.coalesce(F.length(docs[text_col]), F.lit(0)).alias("chars"), docs[id_col].alias("ident"), F.lit(epoch).cast("long").alias("epoch"), text.alias("norm"))
+    marks.withColumn("row", F.monotonically_increasing_id()).write.mode("append").option("compression", "zstd").parquet(path)
 
 
 def run_stream(spark: SparkSession, staged: str, schema, checkpoint: str, files_per_batch: int | None = None) -> None:
@@ -49,25 +65,53 @@ def run_stream(spark: SparkSession, staged: str, schema, checkpoint: str, files_
     for k, v in _STORE.items():
         spark.conf.set(k, v)
     try:
-        reader = spark.readStream.schema(schema)
-        if files_per_batch:
-            reader = reader.option("maxFilesPerTrigger", files_per_batch)
-        sink = keyed(reader.parquet(staged)).writeStream.format("noop").outputMode("update")
+        sink = keyed(located(_reader(spark, schema, files_per_batch).parquet(staged))).writeStream.format("noop").outputMode("update")
         sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _reader(spark: SparkSession, schema, files_per_batch: int | None):
+    reader = spark.readStream.schema(schema)
+    return reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+
+
+def check_stream(spark: SparkSession, staged: str, schema, checkpoint: str, files_per_batch: int | None = None) -> None:
+    """Compare the bytes of what is new below ``staged``, and a hit in the state, with the text that its digest came
+    with first, found through the state's locator. Runs after each ``run_stream``; a batch that comes again changes nothing."""
+
+    def check(batch: DataFrame, number: int) -> None:
+        here = batch.sparkSession
+        here.conf.set("spark.sql.adaptive.enabled", "true")  # streams switch it off; hot digests need split joins
+        groups = here.read.parquet(f"{checkpoint}-groups")
+        side = _bounded(groups, groups.count())
+        first = located(here.read.schema(schema).parquet(staged).select("digest", "norm", "epoch", "_metadata"))
+        first = first.join(side.withColumnRenamed("anchor", "locator"), ["digest", "locator"]).select("digest", F.col("norm").alias("first"))
+        hits = located(batch).join(side, "digest").where("locator != anchor").select("digest", "norm")
+        odd = hits.join(first, "digest").where("norm != first").select("digest").distinct()
+        odd.write.mode("overwrite").parquet(f"{checkpoint}-odd/batch={number}")
+
+    read_state(spark, checkpoint).where("group_size > 1").select("digest", "anchor").write.mode("overwrite").parquet(f"{checkpoint}-groups")
+    rows = _reader(spark, schema, files_per_batch).parquet(staged).select("digest", "norm", "epoch", "_metadata")
+    rows.writeStream.foreachBatch(check).option("checkpointLocation", f"{checkpoint}-bytes").trigger(availableNow=True).start().awaitTermination()
+
+
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """(digest, keep_chars, keep_id, keep_row, locator, group_size) as the state holds them."""
+    """(digest, keep_chars, keep_id, keep_row, locator, group_size, anchor) as the state holds them."""
     state = spark.read.format("statestore").load(checkpoint)
-    best, rows = (f"value.{f.name}" for f in state.schema["value"].dataType.fields)
+    best, rows, anchor = (f"value.{f.name}" for f in state.schema["value"].dataType.fields)
     return state.select(
-        F.col("key.digest").alias("digest"), (-F.col(f"{best}.less")).alias("keep_chars"), F.col(f"{best}.ident").alias("keep_id"), F.col(f"{best}.row").alias("keep_row"), F.col(f"{best}.locator").alias("locator"), F.col(rows).alias("group_size")
+        F.col("key.digest").alias("digest"), (-F.col(f"{best}.less")).alias("keep_chars"), F.col(f"{best}.ident").alias("keep_id"), F.col(f"{best}.row").alias("keep_row"),
+        F.col(f"{best}.locator").alias("locator"), F.col(rows).alias("group_size"), F.col(f"{anchor}.locator").alias("anchor"),
     )
 
 
+def odd_digests(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The digests that stand for several texts, as all checks so far found them."""
+    return spark.read.schema("digest binary, batch int").parquet(f"{checkpoint}-odd").select("digest").distinct()
+
+
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -77,33 +121,28 @@ class ExactDedup:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None):
         spark = docs.sparkSession
+        self._veil = Veil(docs)
+        docs, id_col, text_col = self._veil.docs, self._veil.name(id_col), self._veil.name(text_col)
         self.docs, self.ident, self.text, self.digest = docs, docs[id_col], normalised(docs[text_col]), digest
         self.chars = F.coalesce(F.length(docs[text_col]), F.lit(0))
-        staged, checkpoint = fresh_path(spark, "dedup-rows"), fresh_path(spark, "dedup-state")
-        marks = docs.select(digest(self.text).alias("digest"), self.chars.alias("chars"), self.ident.alias("ident"), F.input_file_name().alias("locator"))
-        marks.withColumn("row", F.monotonically_increasing_id()).write.parquet(staged)
-        self.staged = spark.read.parquet(staged)
-        if self.staged.isEmpty():
-            self.state = self.staged.select("digest", F.col("chars").alias("keep_chars"), F.col("ident").alias("keep_id"), F.col("row").alias("keep_row"), "locator", F.lit(0).cast("long").alias("group_size"))
+        path, checkpoint = fresh_path(spark, "dedup-rows"), fresh_path(spark, "dedup-state")
+        stage(docs, path, id_col, text_col, digest)
+        staged = spark.read.parquet(path)
+        self.split = None
+        if staged.isEmpty():
+            decided = staged.select(F.col("ident").alias("doc_id"), F.col("ident").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", "chars")
         else:
-            run_stream(spark, staged, self.staged.schema, checkpoint, files_per_batch)
-            self.state = read_state(spark, checkpoint)
-        rows = self.staged.join(self.state.drop("locator"), "digest")
-        self.split = self._check_bytes()
-        decided = rows.select(F.col("ident").alias("doc_id"), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest", "chars")
-        if self.split is not None:
-            decided = decided.join(self.split, "digest", "left_anti").unionByName(self._regrouped())
-        self.rows = decided
-
-    def _check_bytes(self) -> DataFrame | None:
-        """The digests that stand for several texts; None if there are none, as is to be expected."""
-        groups = cut(self.state.where("group_size > 1").select("digest", "keep_id"))
-        side = _bounded(groups, groups.count())
-        texts = self.docs.select(self.digest(self.text).alias("digest"), self.ident.alias("ident"), self.text.alias("norm"))
-        hits = texts.join(side, "digest")
-        stays = hits.where(F.col("ident").eqNullSafe(F.col("keep_id"))).select("digest", F.col("norm").alias("stays")).distinct()
-        odd = cut(hits.select("digest", "norm").join(stays, "digest").where(F.col("norm") != F.col("stays")).select("digest").distinct())
-        return None if odd.isEmpty() else odd
+            run_stream(spark, path, staged.schema, checkpoint, files_per_batch)
+            check_stream(spark, path, staged.schema, checkpoint, files_per_batch)
+            rows = staged.select("digest", "chars", "ident", "row").join(read_state(spark, checkpoint).drop("locator", "anchor"), "digest")
+            decided = rows.select(F.col("ident").alias("doc_id"), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest", "chars")
+            odd = cut(odd_digests(spark, checkpoint))
+            if not odd.isEmpty():
+                self.split = odd
+                decided = decided.join(odd, "digest", "left_anti").unionByName(self._regrouped())
+        self.rows = cut(decided)
+        for gone in (path, checkpoint, *(f"{checkpoint}-{x}" for x in ("bytes", "groups", "odd"))):
+            drop_path(spark, gone)
 
     def _regrouped(self) -> DataFrame:
         """Rows of the digests in ``split``, decided by whole texts."""
@@ -125,17 +164,15 @@ class ExactDedup:
             twins = losers.join(self.rows.where("kept").select("digest", "chars", "doc_id").withColumnRenamed("doc_id", "__id"), ["digest", "chars"]).where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("digest", "chars", "doc_id")
             twins = cut(twins)
             if twins.isEmpty():
-                return out.drop("__digest", "__chars")
+                return self._veil.lift(out.drop("__digest", "__chars"))
             again = (F.col("__digest") == twins["digest"]) & (F.col("__chars") == twins["chars"]) & self.ident.eqNullSafe(twins["doc_id"])
             back = marked.join(_bounded(twins, twins.count()), again, "left_semi").dropDuplicates(["__digest"])
-            return out.unionByName(back).drop("__digest", "__chars")
+            return self._veil.lift(out.unionByName(back).drop("__digest", "__chars"))
         stay = self.docs.withColumns({"__digest": self.digest(self.text), "__chars": self.chars, "__norm": self.text, "__none": self.ident.isNull()})
-        from pyspark.sql import Window
-
         order = Window.partitionBy("__norm").orderBy(F.col("__chars").desc(), self.ident.asc_nulls_last())
         odd = stay.join(self.split.withColumnRenamed("digest", "__digest"), "__digest", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
         even = out.join(self.split.withColumnRenamed("digest", "__digest"), "__digest", "left_anti")
-        return even.select(*self.docs.columns).unionByName(odd.select(*self.docs.columns))
+        return self._veil.lift(even.select(*self.docs.columns).unionByName(odd.select(*self.docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
