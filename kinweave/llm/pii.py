@@ -1,12 +1,13 @@
 """PII surrogates: detected entities get keyed replacements of their kind, gender, script and format.
 
-Found are e-mail addresses, secrets behind names like ``token =``, IBANs, social security numbers, card numbers,
-IPv4 addresses, telephone numbers, and names behind a title. The same entity has the same replacement everywhere:
-digits are compared without their separators, addresses and names without case, and names word by word, so a family
-name alone is replaced as it is behind a given name. Replacements keep separators, script, case, length of
-numbers, whether a card number's check digit is right, that an IBAN's check digits are, and a given name's gender as its title tells it, or where
-the title doesn't, as other mentions of the name do. Titles, names and what secrets stand behind may be in capitals; up
-to three words in capitals behind a title count as its name. Addresses
+Found are e-mail addresses, secrets behind names like ``token =``, IBANs, social security numbers, card numbers
+(in groups, or in one run with a right check digit), IPv4 addresses, telephone numbers, and names behind a title.
+The same entity has the same replacement everywhere: digits are compared without their separators, addresses and
+names without case, and names word by word, so a name alone behind a title is replaced as the given or the family
+name that it is elsewhere. Replacements keep separators, script, case, length of numbers, whether a card number's
+check digit is right, that an IBAN's check digits are, and a given name's gender as its title tells it, or where
+the title doesn't, as other mentions of the name do. Titles, names and what secrets stand behind may be in
+capitals; up to three words in capitals behind a title count as its name. Addresses
 lead to names and networks reserved for no one. They are keyed hashes, checked for collisions: no two entities of a
 kind share one, and none is an entity itself; losers draw again from a larger space until all differ, so where
 those of a length run out, replacements are longer.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.names import Veil
 from kinweave.llm.storage import cut
 
+#: For tables whose surrogates needn't stay secret; callers give their own.
 KEY = "surrogates-1"
 #: Draws after which telephone and social security numbers may get longer, should those of their length run out.
 SAME_LENGTH = 8
@@ -46,6 +48,8 @@ KINDS = {
     "person": rf"(?<![\p{{L}}-])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 PATTERN = "|".join(KINDS.values())
+#: The kind of what a pattern finds and nothing is: digits in a run without a card's check digit.
+PLAIN = "plain"
 
 _ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
@@ -60,9 +64,9 @@ def _digits(value: Column) -> Column:
 
 
 def _mac(*parts: Column | str) -> Column:
-    """64 hexadecimal digits that depend on the key and all parts."""
+    """64 hexadecimal digits that depend on the caller's key, a column, and all parts."""
     text = F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(p) for p in parts))
-    return F.sha2(F.concat(F.lit(KEY), F.sha2(F.concat(F.lit(KEY), text), 256)), 256)
+    return F.sha2(F.concat(F.col("key"), F.sha2(F.concat(F.col("key"), text), 256)), 256)
 
 
 def _draw(mac: Column, i: Column) -> Column:
@@ -92,7 +96,7 @@ def _luhn(digits: Column) -> Column:
     n = F.length(digits)
 
     def one(c, i):
-        d = c.cast("int")
+        d = c.try_cast("int")
         twice = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
         return F.when((n - i) % 2 == 0, twice).otherwise(d)
 
@@ -160,11 +164,11 @@ def _surrogate(attempt: int) -> Column:
     )
 
 
-def surrogates(entities: DataFrame) -> DataFrame:
-    """(kind, norm, sur) of distinct (kind, norm): unequal for unequal norms of a kind, and none of them a norm."""
+def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """(kind, norm, sur) of distinct (kind, norm) under a key: unequal for unequal norms of a kind, and none of them a norm."""
     pending, done, attempt = entities, None, 0
     while True:
-        drawn = pending.withColumn("sur", _surrogate(attempt))
+        drawn = pending.withColumn("key", F.lit(key)).withColumn("sur", _surrogate(attempt))
         first = drawn.groupBy("kind", "sur").agg(F.min("norm").alias("norm"))
         first = first.join(entities.select("kind", F.col("norm").alias("sur")), ["kind", "sur"], "left_anti")
         first = first.join(entities.select("kind", F.initcap("norm").alias("sur")), ["kind", "sur"], "left_anti")
@@ -180,7 +184,8 @@ def surrogates(entities: DataFrame) -> DataFrame:
 
 def _kind(value: Column) -> Column:
     """The kind of a found value; a secret is told by what stood before it, so it is what no other pattern fits."""
-    return reduce(lambda out, k: out.when(value.rlike(f"^(?:{KINDS[k]})$"), k), [k for k in KINDS if k != "secret"], F.when(F.lit(False), "")).otherwise("secret")
+    no_card = value.rlike(r"^\d{13,19}$") & (_luhn(value) % 10 != 0)
+    return reduce(lambda out, k: out.when(value.rlike(f"^(?:{KINDS[k]})$"), k), [k for k in KINDS if k != "secret"], F.when(no_card, PLAIN)).otherwise("secret")
 
 
 def _script(word: Column) -> Column:
@@ -191,6 +196,18 @@ def _norm(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), _digits(value)).when(kind == "email", F.lower(value)).when(kind == "iban", F.regexp_replace(value, " ", "")).otherwise(value)
 
 
+def _placed(parts: DataFrame) -> DataFrame:
+    """``parts`` with names that stand alone behind a title as given or as family names: what mentions with several names
+    have them for more often, and family names where these don't tell."""
+    script = F.element_at(F.split("kind", "_"), 3).alias("script")
+    alone = F.col("kind").startswith("lone_")
+    whole = parts.where(F.col("kind").startswith("given_") | F.col("kind").startswith("family_")).groupBy(script, "norm")
+    given = whole.agg((2 * F.count_if(F.col("kind").startswith("given_")) > F.count("*")).alias("is_given")).where("is_given")
+    lone = parts.where(alone).select("*", script).join(given, ["script", "norm"], "left")
+    kind = F.when(F.col("is_given"), F.regexp_replace("kind", "^lone_", "given_")).otherwise(F.regexp_replace("kind", "^lone_[fmx]_", "family_x_"))
+    return parts.where(~alone).unionByName(lone.withColumn("kind", kind).select(*parts.columns))
+
+
 def _settled(parts: DataFrame) -> DataFrame:
     """``parts`` with the gender of given names behind neutral titles, if any other mention tells it: the commoner one."""
     mentions = parts.where(F.col("kind").startswith("given_")).groupBy(F.concat(F.lit("given_x_"), F.element_at(F.split("kind", "_"), 3)).alias("kind"), "norm")
@@ -206,13 +223,16 @@ def _filled(value: Column, sur: Column, drop: str) -> Column:
     return F.concat(filled, rest)
 
 
-def replace(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with entities in ``text_col`` replaced; adds n_entities and kinds (in order of place)."""
+def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+    """``docs`` with entities in ``text_col`` replaced; adds n_entities and kinds (in order of place).
+
+    Surrogates depend on ``key``: who doesn't have it can't tell which entity one stands for by trying.
+    """
     veil = Veil(docs)
-    return veil.lift(_replaced(veil.docs, veil.name(text_col)))
+    return veil.lift(_replaced(veil.docs, veil.name(text_col), key))
 
 
-def _replaced(docs: DataFrame, text_col: str) -> DataFrame:
+def _replaced(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     text = docs[text_col]
     found = docs.select(F.sha2(text, 256).alias("__key"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("all")).where(F.size("all") > 0)
@@ -222,17 +242,17 @@ def _replaced(docs: DataFrame, text_col: str) -> DataFrame:
     names = F.split(F.regexp_replace("value", r"^[^ ]+ ", ""), " ")
     gender = F.when(F.col("title").rlike(f"^{FEMALE}$"), "f").when(F.col("title").rlike(f"^{MALE}$"), "m").otherwise("x")
     last = F.size(names) - 1
-    parts = F.transform(names, lambda w, i: F.struct(i.alias("i"), F.when(i == last, F.concat(F.lit("family_x_"), _script(w))).otherwise(F.concat(F.lit("given_"), gender, F.lit("_"), _script(w))).alias("kind"), F.initcap(F.lower(w)).alias("norm")))
+    parts = F.transform(names, lambda w, i: F.struct(i.alias("i"), F.when(last == 0, F.concat(F.lit("lone_"), gender, F.lit("_"), _script(w))).when(i == last, F.concat(F.lit("family_x_"), _script(w))).otherwise(F.concat(F.lit("given_"), gender, F.lit("_"), _script(w))).alias("kind"), F.initcap(F.lower(w)).alias("norm")))
     plain = F.array(F.struct(F.lit(0).alias("i"), F.col("kind").alias("kind"), _norm(F.col("kind"), F.col("value")).alias("norm")))
     parts = cut(each.select("__key", "pos", "value", F.col("kind").alias("what"), F.explode(F.when(F.col("kind") == "person", parts).otherwise(plain)).alias("p")).select("__key", "pos", "value", "what", "p.*"))
-    parts = cut(_settled(parts))
-    table = surrogates(cut(parts.select("kind", "norm").distinct()))
-    drawn = parts.join(table, ["kind", "norm"]).groupBy("__key", "pos", "value", "what").agg(F.array_sort(F.collect_list(F.struct("i", "sur"))).alias("surs"))
+    parts = cut(_settled(_placed(parts)))
+    table = surrogates(cut(parts.where(F.col("kind") != PLAIN).select("kind", "norm").distinct()), key)
+    drawn = parts.join(table, ["kind", "norm"], "left").groupBy("__key", "pos", "value", "what").agg(F.array_sort(F.collect_list(F.struct("i", "sur"))).alias("surs"))
     sur = F.element_at("surs", 1)["sur"]
     value = F.col("value")
     cased = lambda s, w: F.when(w == F.upper(w), F.upper(s["sur"])).otherwise(s["sur"])
     new = (
-        F.when(F.col("what") == "person", F.concat_ws(" ", F.regexp_extract("value", r"^([^ ]+) ", 1), F.zip_with("surs", names, cased)))
+        F.when(F.col("what") == PLAIN, value).when(F.col("what") == "person", F.concat_ws(" ", F.regexp_extract("value", r"^([^ ]+) ", 1), F.zip_with("surs", names, cased)))
         .when(F.col("what").isin("phone", "card", "ssn"), _filled(value, sur, r"\D")).when(F.col("what") == "iban", _filled(value, sur, " "))
         .when((F.col("what") == "email") & (value == F.upper(value)), F.upper(sur)).otherwise(sur)
     )
@@ -241,7 +261,9 @@ def _replaced(docs: DataFrame, text_col: str) -> DataFrame:
     between = F.split(F.col(text_col), PATTERN, -1)
     whole = F.array_join(F.zip_with(between, F.col("__new"), lambda a, b: F.concat(a, F.coalesce(b["new"], F.lit("")))), "")
     out = {text_col: F.when(F.col("__new").isNull(), F.col(text_col)).otherwise(whole)}
-    return wide.select(*(out.get(c, F.col(c)).alias(c) for c in kept), F.coalesce(F.size("__new"), F.lit(0)).cast("long").alias("n_entities"), F.transform("__new", lambda r: r["what"]).alias("kinds"))
+    kinds = F.array_remove(F.transform("__new", lambda r: r["what"]), PLAIN)
+    kinds = F.when(F.size(kinds) > 0, kinds)
+    return wide.select(*(out.get(c, F.col(c)).alias(c) for c in kept), F.coalesce(F.size(kinds), F.lit(0)).cast("long").alias("n_entities"), kinds.alias("kinds"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
