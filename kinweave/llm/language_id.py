@@ -1,14 +1,15 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Words are runs of letters (lower-cased); every word has affix, n-gram and lexicon features, hashed into one
-table of weights, and labels follow each other by learned transitions. Weights and transitions are fitted by
+Words are runs of letters and their marks, of any script, in lower case; every word has affix, n-gram and lexicon features, hashed into one
+table of weights, and labels follow each other by learned transitions. A label's lexicon holds the words of the sample that occur mostly in its texts. Weights and transitions are fitted by
 maximum likelihood on sequences put together from pieces of labelled texts, so that languages switch within
 them. Forward-backward then gives each word its label probabilities; a text's prediction is the label with the
 largest mean, and its score that mean. Sequences are taken in segments whose transfer matrices are chained, which is
 exact, so that long texts cost what short ones do.
 
 The classifier is fitted on a bounded sample: at most about ``FIT_TEXTS`` labelled texts (evenly by label, by
-a hash of the text) and ``FIT_WORDS`` words of them (distinct texts, ``FIT_CHARS`` characters of each). Null texts and texts without a letter are ``und`` with score
+a hash of the text) and ``FIT_WORDS`` words of them (distinct texts, ``FIT_CHARS`` characters of each). The ``FIT_LABELS`` commonest labels
+are learned; with many, the table of weights gets fewer bits, so that all of them stay below 64 MB. Null texts and texts without a letter are ``und`` with score
 0, as is everything if no labelled text is there to learn from. Rows whose label is null aren't learned from.
 Repeated rows get a row each; an empty table gives an empty table; columns named like
 the added ones are replaced, others are kept whatever their names.
@@ -16,6 +17,9 @@ the added ones are replaced, others are kept whatever their names.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,59 +28,103 @@ from pyspark.sql import types as T
 
 from kinweave.llm.names import Veil
 from kinweave.llm.storage import small_batches
-from kinweave.llm.words import U64, _BYTES, _power, buffers, lean, mix, runs
+from kinweave.llm.words import U64, _power, buffers, lean, mix, runs
 
 FIT_TEXTS = 2400
 FIT_WORDS = 400_000
 #: Characters of a text that may go into the sample (80 MB of text at most altogether).
 FIT_CHARS = 32_768
-#: Bits of the table of weights.
-BITS = 17
+FIT_LABELS = 512
+#: Bits of the table of weights, and of all labels' tables together.
+BITS, ALL_BITS = 17, 24
+#: A lexicon takes words of at least so many texts, and this share of a word's texts must be of its label (labels weighed alike).
+LEXICON_TEXTS, LEXICON_SHARE = 3, 0.6
 LENGTH, BATCH, EPOCHS, RATE = 64, 64, 3, 0.3
 SEGMENT = 32
 SEED = 7
 
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+#: Code points from here on, up to 0x40000, are ideographs.
+PLANES = 0x20000
+
+
+@cache
+def _letter_table() -> np.ndarray:
+    """Whether a code point is a letter or a mark; one entry for all from ``PLANES`` on."""
+    table = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(PLANES + 1)])
+    table[PLANES] = True
+    return table
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def _letters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, starts and ends of the letter runs of texts with offsets ``bounds``."""
-    low = data.copy()
-    low[(data >= 65) & (data < 91)] += 32
-    if len(data) > 1:  # Latin-1 capitals, whose second byte lies 32 below
-        second = data[1:]
-        low[1:][(data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] += 32
-    word = _LETTER[data]
-    before, after = np.ones(len(data), dtype=bool), np.ones(len(data), dtype=bool)
+def _plain(text: Column) -> Column:
+    """Lower-cased text, null where there is no letter."""
+    return F.when(text.rlike(r"\p{L}"), F.lower(F.make_valid_utf8(text)))
+
+
+def _letters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts with offsets ``bounds``, starts and ends of their letter runs, and the texts' offsets in code points."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+    if len(points) != len(data):
+        bounds = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
+    word = _letter_table()[np.minimum(points, PLANES)]
+    before, after = np.ones(len(points), dtype=bool), np.ones(len(points), dtype=bool)
     before[1:], after[:-1] = ~word[:-1], ~word[1:]
-    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    inner = bounds[(bounds > 0) & (bounds < len(points))]
     before[inner] = True
     after[inner - 1] = True
-    return low, np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
+    return points, np.flatnonzero(word & before), np.flatnonzero(word & after) + 1, bounds
 
 
 class Spans:
-    """Hashes of byte ranges of one buffer."""
+    """Hashes of ranges of code points of one buffer."""
 
-    def __init__(self, low: np.ndarray):
-        up, self.down = _power(len(low) + 1)
-        self.sums = np.zeros(len(low) + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[low] * up[: len(low)], out=self.sums[1:])
+    def __init__(self, points: np.ndarray):
+        up, self.down = _power(len(points) + 1)
+        self.sums = np.zeros(len(points) + 1, dtype=np.uint64)
+        np.cumsum((mix((points + U64(1)) * U64(0x9E3779B97F4A7C15)) | U64(1)) * up[: len(points)], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
-def _features(spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, word, value): the word itself, affixes of 1 to 4 bytes, and its 3-byte grams, which weigh 2 in all."""
+class Lexicons:
+    """Words (sorted hashes) and the label that each belongs to."""
+
+    def __init__(self, words: np.ndarray, labels: np.ndarray):
+        self.words, self.labels = words, labels
+
+    @classmethod
+    def learned(cls, words: np.ndarray, kind: np.ndarray, text_of: np.ndarray, labels: np.ndarray, many: int) -> Lexicons:
+        """From the distinct ``words``, which of them each token is (``kind``), its text, and the texts' labels."""
+        once = np.unique(kind.astype(np.int64) * max(1, len(labels)) + text_of)
+        seen = np.zeros((len(words), many), dtype=np.float32)
+        np.add.at(seen, (once // max(1, len(labels)), labels[once % max(1, len(labels))]), 1)
+        texts = seen.sum(axis=1)
+        share = seen / np.maximum(np.bincount(labels, minlength=many), 1)
+        best = share.argmax(axis=1)
+        owned = (texts >= LEXICON_TEXTS) & (share[np.arange(len(words)), best] >= LEXICON_SHARE * share.sum(axis=1))
+        return cls(words[owned], best[owned])  # np.unique has sorted them
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``hashes`` are in a lexicon, and in whose."""
+        if not len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        own = np.flatnonzero(self.words[at] == hashes)
+        return own, self.labels[at[own]]
+
+
+def _features(spans: Spans, starts: np.ndarray, ends: np.ndarray, lexicons: Lexicons, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, word, value): the word itself, its lexicon, affixes of 1 to 4 letters, and its 3-letter grams, which weigh 2 in all."""
     n = ends - starts
     every = np.arange(len(n))
-    feats, words, values = [spans(starts, ends)], [every], [np.ones(len(n), dtype=np.float32)]
+    hashes = spans(starts, ends)
+    listed, label = lexicons.find(hashes)
+    feats, words = [hashes, mix((label + 1000).astype(np.uint64))], [every, listed]
+    values = [np.ones(len(n) + len(listed), dtype=np.float32)]
     for k in range(1, 5):
         own = every[n >= k]
         for kind, (s, e) in ((2 * k, (starts[own], starts[own] + k)), (2 * k + 1, (ends[own] - k, ends[own]))):
@@ -89,7 +137,12 @@ def _features(spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     feats.append(mix(spans(at, at + 3) + U64(99)))
     words.append(own)
     values.append((2 / np.maximum(grams, 1))[own].astype(np.float32))
-    return (np.concatenate(feats) >> U64(64 - BITS)).astype(np.int64), np.concatenate(words), np.concatenate(values)
+    return (np.concatenate(feats) >> U64(64 - bits)).astype(np.int64), np.concatenate(words), np.concatenate(values)
+
+
+def _bits(labels: int) -> int:
+    """Bits of a label's table of weights."""
+    return min(BITS, ALL_BITS - max(1, labels - 1).bit_length())
 
 
 def _emissions(weights: np.ndarray, feats: tuple[np.ndarray, np.ndarray, np.ndarray], words: int) -> np.ndarray:
@@ -178,17 +231,18 @@ def _expected(x: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both / both.sum(axis=2, keepdims=True), moves
 
 
-def fit(texts: list[str], labels: np.ndarray, many: int, most_words: int = FIT_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (feature, label) and moves (label, next label) from texts with label numbers below ``many``."""
+def fit(texts: list[str], labels: np.ndarray, many: int, most_words: int = FIT_WORDS) -> tuple[np.ndarray, np.ndarray, Lexicons]:
+    """Weights (feature, label), moves (label, next label) and lexicons from lower-cased texts with label numbers below ``many``."""
     rng = np.random.default_rng(SEED)
+    bits = _bits(many)
     data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
-    low, starts, ends = _letters(data, bounds)
-    spans = Spans(low)
+    points, starts, ends, bounds = _letters(data, bounds)
+    spans = Spans(points)
     text_of = np.searchsorted(bounds, starts, side="right") - 1
-    hashes = spans(starts, ends)
-    _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
-    f, w, v = _features(spans, starts[first], ends[first])
+    words, first, kind = np.unique(spans(starts, ends), return_index=True, return_inverse=True)
+    lexicons = Lexicons.learned(words, kind, text_of, labels, many)
+    f, w, v = _features(spans, starts[first], ends[first], lexicons, bits)
     by_word = np.argsort(w, kind="stable")
     f, v = f[by_word], v[by_word]
     edge = np.searchsorted(w[by_word], np.arange(len(first) + 1))
@@ -200,7 +254,7 @@ def fit(texts: list[str], labels: np.ndarray, many: int, most_words: int = FIT_W
             stop = min(int(edges[k + 1]), at + int(rng.integers(4, 25)))
             pieces.append((at, stop))
             at = stop
-    weights, squares = np.zeros((1 << BITS, many), dtype=np.float32), np.full((1 << BITS, many), 1e-6, dtype=np.float32)
+    weights, squares = np.zeros((1 << bits, many), dtype=np.float32), np.full((1 << bits, many), 1e-6, dtype=np.float32)
     moves, move_squares = np.zeros((many, many)), np.full((many, many), 1e-6)
     rng.shuffle(pieces)
     line = np.concatenate([np.arange(a, b) for a, b in pieces])[:most_words] if pieces else np.zeros(0, np.int64)
@@ -229,7 +283,7 @@ def fit(texts: list[str], labels: np.ndarray, many: int, most_words: int = FIT_W
             g = (seen - expected) / len(batch)
             move_squares += g * g
             moves += RATE * g / np.sqrt(move_squares)
-    return weights, moves
+    return weights, moves, lexicons
 
 
 class LanguageId:
@@ -239,7 +293,7 @@ class LanguageId:
         small_batches(docs.sparkSession)
         known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
         known = (known if train is None else known.where(train)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-        counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each label
+        counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LABELS).collect()}
         self.labels = sorted(counts)
         names = list(self.labels)
         if not names:
@@ -249,7 +303,7 @@ class LanguageId:
         share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, quota / n) * (1 << 20))))), F.col("lang"))
         sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
         # a text once, however many copies it has, and no more of it than the fit may hold
-        sample = sample.groupBy("lang", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")).agg(F.min(F.substring("text", 1, FIT_CHARS)).alias("text")).select("lang", "text")
+        sample = sample.groupBy("lang", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")).agg(F.min(F.substring("text", 1, FIT_CHARS)).alias("text")).select("lang", _plain(F.col("text")).alias("text")).where("text IS NOT NULL")
 
         def run(batches):
             texts, langs = [], []
@@ -258,12 +312,14 @@ class LanguageId:
                 texts += batch.column(1).to_pylist()
             place = {name: k for k, name in enumerate(names)}
             order = sorted(range(len(texts)), key=lambda k: (texts[k], langs[k]))  # as rows arrive in any order
-            weights, moves = fit([texts[k] for k in order], np.array([place[langs[k]] for k in order], dtype=np.int64), len(names))
-            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([moves.tobytes()], pa.binary())], names=["weights", "moves"])
+            weights, moves, lexicons = fit([texts[k] for k in order], np.array([place[langs[k]] for k in order], dtype=np.int64), len(names))
+            parts = (weights, moves, lexicons.words, lexicons.labels)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["weights", "moves", "words", "labels"])
 
-        row = sample.repartition(1).mapInArrow(lean(run), "weights binary, moves binary").first()
+        row = sample.repartition(1).mapInArrow(lean(run), "weights binary, moves binary, words binary, labels binary").first()
         many = len(names)
-        self.model = docs.sparkSession.sparkContext.broadcast((np.frombuffer(row["weights"], np.float32).reshape(-1, many), np.frombuffer(row["moves"], np.float64).reshape(many, many)))
+        lexicons = Lexicons(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["labels"], np.int64))
+        self.model = docs.sparkSession.sparkContext.broadcast((np.frombuffer(row["weights"], np.float32).reshape(-1, many), np.frombuffer(row["moves"], np.float64).reshape(many, many), lexicons))
 
     def predict(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Adds lang_pred and score, and ``switches``: how often the most likely label changes from word to word."""
@@ -276,19 +332,20 @@ class LanguageId:
         if self.model is None:
             return docs.select(*(docs[c] for c in kept), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("switches"))
         at, model, names = len(kept), self.model, np.array(self.labels, dtype=object)
-        marked = docs.select(*(docs[c] for c in kept), F.when(docs[text_col].rlike(r"\p{L}"), docs[text_col]).alias("__text"))
+        marked = docs.select(*(docs[c] for c in kept), _plain(docs[text_col]).alias("__text"))
 
         def run(batches):
-            weights, moves = model.value
+            weights, moves, lexicons = model.value
+            bits = _bits(len(names))
             for batch in batches:
                 data, offsets = buffers(batch.column(at))
                 for i, j in runs(offsets):
                     lo = int(offsets[i])
                     bounds = offsets[i : j + 1] - lo
-                    low, starts, ends = _letters(data[lo : int(offsets[j])], bounds)
-                    spans = Spans(low)
+                    points, starts, ends, bounds = _letters(data[lo : int(offsets[j])], bounds)
+                    spans = Spans(points)
                     _, first, kind = np.unique(spans(starts, ends), return_index=True, return_inverse=True)
-                    e = _emissions(weights, _features(spans, starts[first], ends[first]), len(first))[kind]
+                    e = _emissions(weights, _features(spans, starts[first], ends[first], lexicons, bits), len(first))[kind]
                     words = np.searchsorted(starts, bounds)
                     prob = chain(e, words, moves)
                     n = np.diff(words)

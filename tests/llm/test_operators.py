@@ -308,6 +308,33 @@ def test_language_id_learns_from_few_words(spark):
     assert [r["lang_pred"] for r in got] == ["en", "de"]
 
 
+def test_language_id_words_are_letters_of_any_script():
+    text = "été, мир—नमस्ते 1𠀁"
+    data = np.frombuffer((text + "ab").encode(), dtype=np.uint8)
+    points, starts, ends, bounds = language_id._letters(data, np.array([0, len(text.encode()), len(data)]))
+    assert ["".join(map(chr, points[a:b])) for a, b in zip(starts, ends, strict=True)] == ["été", "мир", "नमस्ते", "𠀁", "ab"]
+    assert bounds.tolist() == [0, len(text), len(text) + 2]
+
+
+def test_language_id_takes_capitals_of_any_script_for_the_same_words(spark):
+    pools = {"ru": ["дом", "сад", "мир"], "el": ["και", "γη", "νερό"]}
+    rnd = random.Random(5)
+    rows = [(" ".join(rnd.choice(pools[x]) for _ in range(12)), x) for x in [*pools] * 20]
+    model = language_id.LanguageId(spark.createDataFrame(rows, "text string, lang string"))
+    plain = model.predict(spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(rows)], "k int, text string, lang string")).collect()
+    loud = model.predict(spark.createDataFrame([(k, t.upper()) for k, (t, _) in enumerate(rows)], "k int, text string")).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in plain)
+    assert sorted((r["k"], r["lang_pred"], r["score"]) for r in plain) == sorted((r["k"], r["lang_pred"], r["score"]) for r in loud)
+
+
+def test_lexicons_take_words_that_occur_mostly_with_one_label():
+    words = np.array([3, 5, 9], dtype=np.uint64)
+    kind, text_of = np.array([0, 0, 0, 1, 1, 1, 1, 2]), np.array([0, 1, 2, 0, 1, 2, 3, 3])
+    found = language_id.Lexicons.learned(words, kind, text_of, np.array([0, 0, 0, 1]), 2)
+    assert found.words.tolist() == [3] and found.labels.tolist() == [0]  # 5 occurs with both alike, 9 in one text
+    assert [x.tolist() for x in found.find(np.array([9, 3], dtype=np.uint64))] == [[1], [0]]
+
+
 def test_language_model(docs, rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "FREQUENT", 20)
     held = lm_scoring.held_out(F.col("doc_id"))
