@@ -4,7 +4,8 @@ A row is a version of a record; the latest by (version) counts. Writes append, s
 after a failure changes nothing that is read. Created records get an id of their own, written once: records that
 agree in all fields are still different ones. Logs lie in folders by a hash of the id, so that what is asked by id is read
 from its folder alone. Versions come from the writer's clock and a random part, so that
-writers needn't agree on a number; ``compact`` leaves the latest versions alone.
+writers needn't agree on a number; ``compact`` leaves the latest versions alone. All versions of a record agree in the ``FIXED`` columns,
+so filters on those reach the scan.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ _DEFAULTS = {
 RELATIONS = {"entities": schemas.ENTITY, "mentions": schemas.MENTION, "edges": schemas.EDGE, "episodes": schemas.EPISODE}
 _NEWEST = {"entities": "created_at", "edges": "recorded_at", "episodes": "ingested_at", "mentions": "created_at"}
 
+#: What no version of a record changes.
+FIXED = {
+    "entities": ("kind",), "mentions": ("source_id", "kind"),
+    "edges": ("source_entity_id", "target_entity_id", "predicate"), "episodes": ("source_id",),
+}
 
 #: Folders that the ids of a log are dealt into.
 BUCKETS = 16
@@ -41,10 +47,12 @@ def _fields(name: str) -> list[str]:
     return [c.split()[0] for c in RELATIONS[name].split(", ")]
 
 
-def latest(log: DataFrame) -> DataFrame:
-    """The newest version of every id."""
-    fields = [c for c in log.columns if c not in ("version", "bucket")]
-    return log.groupBy("id").agg(F.max_by(F.struct(*fields), "version").alias("r")).select("r.*")
+def latest(log: DataFrame, fixed: Sequence[str] = ()) -> DataFrame:
+    """The newest version of every id. ``fixed`` columns are grouped by as well, so that the optimizer moves filters on them below the aggregate."""
+    keys = ("id", *fixed)
+    columns = [c for c in log.columns if c not in ("version", "bucket")]
+    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in columns if c not in keys)), "version").alias("r"))
+    return newest.select(*(c if c in keys else f"r.{c}" for c in columns))
 
 
 class GraphTables:
@@ -66,7 +74,12 @@ class GraphTables:
 
     def read(self, name: str) -> DataFrame:
         """The relation as it is; arrays that are missing are empty."""
-        return self._whole(latest(self.log(name)))
+        return self._whole(latest(self.log(name), FIXED[name]))
+
+    def views(self, prefix: str = "") -> None:
+        """Temporary views of the relations, for SQL: ``<prefix>entities`` and so on, as they are when queried."""
+        for name in RELATIONS:
+            self.read(name).createOrReplaceTempView(f"{prefix}{name}")
 
     def _whole(self, out: DataFrame) -> DataFrame:
         arrays = [c for c, t in out.dtypes if t.startswith("array")]
@@ -84,7 +97,7 @@ class GraphTables:
         return self._last << 10 | random.getrandbits(10)
 
     def append(self, name: str, rows: DataFrame, version: int | None = None) -> None:
-        """Add records, or new versions of records."""
+        """Add records, or new versions of records, which keep their ``FIXED`` columns."""
         marked = rows.select(*_fields(name), F.lit(self._version() if version is None else version).cast("long").alias("version"))
         self._write(marked, f"{self.path}/{name}")
 
@@ -135,7 +148,9 @@ class GraphTables:
 
     def change_sink(self, name: str, stream: str, columns: Sequence[str]) -> Callable[[DataFrame, int], None]:
         """For ``foreachBatch``: rows of (id, ``columns``) replace these columns of their records. Of several rows of an id in a batch the
-        greatest counts."""
+        greatest counts. ``FIXED`` columns can't be among them."""
+        if set(columns) & set(FIXED[name]):
+            raise ValueError(f"fixed columns of {name}: {', '.join(FIXED[name])}")
 
         def put(batch: DataFrame, batch_id: int) -> None:
             one = batch.groupBy("id").agg(F.max(F.struct(*columns)).alias("c")).select("id", *(F.col(f"c.{c}").alias(c) for c in columns))
@@ -181,7 +196,7 @@ class GraphTables:
         return self._whole(latest(one))
 
     def list(self, name: str, **where) -> DataFrame:
-        """Records that agree with all given columns, oldest first."""
+        """Records that agree with all given columns, oldest first. Fixed columns are compared in the scan, others in the newest versions."""
         out = self.read(name)
         for column, value in where.items():
             out = out.where(F.col(column) == value)

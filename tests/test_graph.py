@@ -246,3 +246,28 @@ def test_reads_by_id_prune_and_compaction_goes_on(spark, tmp_path):
     assert edge["invalid_at"] == DAY and edge["support"] == ["x", "x"]
     assert [r["id"] for r in new.list("edges").collect()] == sorted((f"e{k}" for k in range(40)))
     assert [r["id"] for r in new.current_edges(id="e7").collect()] == ["e7"]
+
+
+def test_lists_filter_in_the_scan_and_are_ordered(spark, tmp_path):
+    store = GraphTables(spark, str(tmp_path))
+    store.migrate()
+    day = lambda k: dt.datetime(2026, 1, k)
+    rows = [("m3", "d", "person", None, day(1)), ("m1", "d", "place", "e", day(2)), ("m2", "d", "person", "e", day(2)), ("m4", "c", "person", "e", day(1)), ("m5", None, "person", "e", day(1))]
+    store.create_mentions(spark.createDataFrame(rows, "id string, source_id string, kind string, entity_id string, created_at timestamp"))
+    store.set_mention_status(spark.createDataFrame([("m1", "confirmed"), ("m4", "confirmed")], "id string, status string"))
+    ids = lambda **where: [r["id"] for r in store.list("mentions", **where).collect()]
+    assert ids() == ["m3", "m4", "m5", "m1", "m2"] and ids(source_id="d") == ["m3", "m1", "m2"]
+    assert ids(source_id="d", status="pending") == ["m3", "m2"] and ids(source_id="d", entity_id="e", status="confirmed") == ["m1"]
+    assert ids(kind="place") == ["m1"] and ids(source_id="none") == [] and ids(status="none") == []
+    plan = store.list("mentions", source_id="d", status="pending")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(source_id,d)" in plan and "EqualTo(status" not in plan  # a newer version may have another status
+    store.create_episodes(spark.createDataFrame([("p2", "d", day(2), ["m1", "m1"]), ("p1", "d", day(1), None), ("p3", "c", day(1), [])], "id string, source_id string, ingested_at timestamp, mention_ids array<string>"))
+    assert [(r["id"], r["mention_ids"]) for r in store.list("episodes", source_id="d").collect()] == [("p1", []), ("p2", ["m1", "m1"])]
+    store.create_entities(spark.createDataFrame([("e", "person", "Ann", day(2)), ("f", "place", "Ur", day(1)), ("g", "person", "Bo", day(1))], "id string, kind string, label string, created_at timestamp"))
+    assert [r["id"] for r in store.list("entities", kind="person").collect()] == ["g", "e"]
+    with pytest.raises(ValueError, match="fixed"):
+        store.change_sink("mentions", "s", ["source_id"])
+    store.views("kept_")
+    joined = spark.sql("SELECT m.id FROM kept_mentions m JOIN kept_entities e ON m.entity_id = e.id WHERE m.source_id = 'd' AND e.kind = 'person' ORDER BY m.id")
+    assert [r["id"] for r in joined.collect()] == ["m1", "m2"]
+    assert "EqualTo(kind,person)" in joined._jdf.queryExecution().executedPlan().toString()
