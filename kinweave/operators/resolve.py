@@ -68,15 +68,15 @@ def _prefix(shingle_set: Column, threshold: float) -> Column:
     return F.slice(by_hash, F.lit(1), F.greatest(F.lit(0), F.least(F.size(shingle_set), most)))
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float, use_lsh: bool = False) -> DataFrame:
+def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float, use_lsh: bool = False, lsh_least: float = LSH_LEAST) -> DataFrame:
     """Adds score to pairs of (id, kind, form) and (rid, rkind, rform) whose shingle sets reach the threshold.
 
     Pairs meet on an element of both prefixes, which loses none; with ``use_lsh`` on a band of their MinHash
-    signatures, which finds 1 - (1 - s^4)^16 of those of similarity s.
+    signatures, which finds 1 - (1 - s^4)^16 of those of similarity s, unless the threshold is below ``lsh_least``.
     """
     a = left.withColumn("sh", shingles(F.col("form")))
     b = right.withColumn("rsh", shingles(F.col("rform")))
-    if use_lsh and threshold >= LSH_LEAST:
+    if use_lsh and threshold >= lsh_least:
         a = a.withColumn("key", F.explode(lsh_band_keys(minhash_signature(F.col("sh")))))
         b = b.withColumn("key", F.explode(lsh_band_keys(minhash_signature(F.col("rsh")))))
     else:

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions.phonetic import phonetic_keys
-from kinweave.operators import evaluate
+from kinweave.operators import evaluate, resolve
 from kinweave.operators.resolve import Options, fuzzy_pairs, resolve_candidates
+from kinweave.plans.queries import QUERIES
 from kinweave.schemas import DECISION
 
 CATALOG = [
@@ -192,3 +193,11 @@ def test_embedding_stage(spark, fake_embedder):
     assert (judged["same"]["basis"], judged["same"]["score"]) == ("judge", 0.95) and judged["short"]["entity_id"] is None
     failing = by_ref(spark.createDataFrame([("1", "place", "Boom", None, 0)], ASKED), catalog, Options(phonetic_schemes=[], embedder=fake_embedder))
     assert (failing["1"]["entity_id"], failing["1"]["basis"]) == (None, "none")
+
+
+def test_verified_pairs_reach_down_to_their_threshold(spark, tmp_path):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [n for k in range(11) for n in (letters[k : k + 10], letters[k : k + 15])]
+    spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    scores = [r["score"] for r in QUERIES["lsh_verified_pairs"](spark, str(tmp_path)).collect()]
+    assert min(scores) >= 0.6 and 0.615385 in scores
