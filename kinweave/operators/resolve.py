@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kinweave.functions.phonetic import Scheme, default_schemes, phonetic_keys
 from kinweave.functions.text import jaccard, lsh_band_keys, minhash_signature, normalize_name, passes_entropy_gate, shingles
 from kinweave.operators import memory as decisions
-from kinweave.operators.vectors import VectorIndex
+from kinweave.operators.vectors import DECIMALS, VectorIndex
 from kinweave.sources.shared import cut
 
 #: Below this threshold banding would lose many pairs (at it, 1 - (1 - 0.65^4)^16 = 0.96 are found); sets are then joined on
@@ -163,7 +163,7 @@ def nearest(asked: DataFrame, vectors: DataFrame, most: int, rows: int = 1024) -
                 ids, near = (np.array([r["vec_id"] for r in side]) for side in (left, right))
                 x, y = (np.array([r["embedding"] for r in side], dtype=np.float64) for side in (left, right))
                 x, y = (v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1) for v in (x, y))
-                score = x @ y.T
+                score = np.round(x @ y.T, DECIMALS)
                 score[ids[:, None] == near[None, :]] = -np.inf
                 top = np.lexsort((np.broadcast_to(near, score.shape), -score), axis=1)[:, :most]
                 out = pd.DataFrame({"vec_id": np.repeat(ids, top.shape[1]), "near": near[top].reshape(-1), "score": np.take_along_axis(score, top, 1).reshape(-1)})

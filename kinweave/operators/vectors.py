@@ -7,7 +7,8 @@ matrix product, of which only the best rows go on.
 
 A cell whose nearest possible member is too far from a query (angle to its centre less the cell's radius) is never probed.
 With ``probes=None`` all others are, which loses nothing; else the ``probes`` nearest of them, which may miss some:
-``recall`` tells how many.
+``recall`` tells how many. The more cells there are and the less the vectors cluster, the more have to be probed;
+``VectorIndex.probes`` finds how many on a bounded sample of the rows (``TRIED``), compared with all rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from kinweave.sources.shared import cut
 FIT_ROWS = 20_000
 MOST_CELLS = 1024
 BLOCK = 1024
+#: Rows that the number of probes is tried on.
+TRIED = 512
 #: Decimals of a cosine that count, so that equal vectors tie wherever they stand in a product.
 DECIMALS = 12
 
@@ -86,7 +89,21 @@ class VectorIndex:
         members = cut(rows.where(F.size("vec") == self.width).mapInPandas(assign, f"id {self.id_type}, kind string, vec array<double>, cell int, angle double"))
         radii = {r["cell"]: r["radius"] for r in members.groupBy("cell").agg(F.max("angle").alias("radius")).collect()}  # a row for each cell
         self.radii = np.array([radii.get(k, -np.inf) for k in range(len(centres))])
-        self.blocks = cut(_packed(members, ["id", "vec"], "y"))
+        self.blocks, self.cells = cut(_packed(members, ["id", "vec"], "y")), members.select("id", "cell")
+        self.tried = members.select("id", "kind", "vec", F.array("id").alias("banned")).orderBy(F.xxhash64("id", F.lit("tried")), "id").limit(TRIED)
+
+    def probes(self, most: int, share: float) -> int:
+        """How many cells to probe for ``share`` of the ``most`` nearest rows to be found, by a sample of the rows, each of which is left out of its own hits."""
+        if self.blocks is None:
+            return 1
+        asked = cut(self.tried)
+        hits = self.nearest(asked, most).select(F.col("id").alias("q"), F.col("near").alias("id")).join(self.cells, "id").select("q", "cell").toPandas()  # ``most`` a row tried
+        vecs = {r["id"]: r["vec"] for r in asked.select("id", "vec").collect()}
+        if not len(hits):
+            return len(self.centres)
+        order = np.argsort(_angles(units([vecs[q] for q in hits["q"]]), self.centres), axis=1, kind="stable")
+        rank = np.sort((order == hits["cell"].to_numpy()[:, None]).argmax(axis=1))
+        return int(rank[min(len(rank), math.ceil(share * len(rank))) - 1]) + 1
 
     def nearest(self, asked: DataFrame, most: int = 1, threshold: float = -1.0, probes: int | None = None) -> DataFrame:
         """(id, near, score): of each of ``asked`` (id, kind, vec and, if some are to be passed over, banned: array of ids) the ``most``

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import vectors
+from kinweave.operators import resolve, vectors
 
 KIND = "id long, kind string, vec array<double>"
 
@@ -53,3 +53,24 @@ def test_empty_sides(spark):
     some = spark.createDataFrame(rows(10), KIND)
     assert vectors.VectorIndex(none).nearest(some).count() == 0 and vectors.VectorIndex(some).nearest(none).count() == 0
     assert tuple(vectors.recall(*[none.select("id", F.col("id").alias("near"))] * 2).first()) == (0, 0.0)
+
+
+def test_probes_grow_until_nine_in_ten_are_found(spark):
+    """Vectors without clusters lie in ever more cells; a fixed number of probes finds few of them."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, "a", rng.normal(size=24).tolist()) for k in range(3000)], KIND)
+    index = vectors.VectorIndex(df)
+    asked = df.where("id % 20 = 0").withColumn("banned", F.array("id"))
+    exact = index.nearest(asked, 3)
+    assert vectors.recall(index.nearest(asked, 3, probes=12), exact).first()["recall"] < 0.9
+    assert vectors.recall(index.nearest(asked, 3, probes=index.probes(3, 0.95)), exact).first()["recall"] >= 0.9
+    assert vectors.VectorIndex(df.limit(0)).probes(3, 0.95) == 1
+
+
+def test_equal_vectors_tie_by_id_in_every_product(spark):
+    """Copies in different blocks and places: the comparison with all rows and the index name the same ones."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 64))
+    df = spark.createDataFrame([(k, base[k % 40].tolist()) for k in range(1200)], "vec_id long, embedding array<double>")
+    got = {(r["vec_id"], r["near"]) for r in resolve.nearest(df.where("vec_id % 20 = 0"), df, 3, rows=37).collect()}
+    assert got == {(q, n) for q in range(0, 1200, 20) for n in [k for k in range(q % 40, 1200, 40) if k != q][:3]}
