@@ -24,6 +24,8 @@ from kinweave.sources.shared import cut
 #: Below this threshold banding would lose many pairs (at it, 1 - (1 - 0.65^4)^16 = 0.96 are found); sets are then joined on
 #: their prefixes whatever is asked for.
 LSH_LEAST = 0.65
+#: Most names and aliases of a catalog that is broadcast. Nothing else is: see ``_spread``.
+BROADCAST_FORMS = 2000
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,12 @@ class Options:
     compose: bool = True
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """For a join by shuffling. Left to itself the planner goes by the bytes of the files, and few of them may hold millions of names,
+    which the driver would have to gather for a broadcast."""
+    return df.hint("merge")
+
+
 def _forms(df: DataFrame, key: str, options: Options) -> DataFrame:
     """(key, kind, raw, form) of labels and aliases."""
     raws = F.array_distinct(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))))
@@ -135,11 +143,11 @@ def phonetic_hits(asked: DataFrame, catalog_keys: DataFrame, rejected: DataFrame
     rejected for a group (gid, entity_id) are a key's entities listed, and only if they are few enough for one to be left.
     """
     index = phonetic_index(catalog_keys)
-    met = asked.join(index, ["kind", "key"])
+    met = asked.join(_spread(index), ["kind", "key"])
     if rejected is not None:
-        met = met.join(rejected.groupBy("gid").agg(F.count("*").alias("less")), "gid", "left")
-        listed = met.where(F.col("entities") <= F.col("less") + 1).select("gid", "kind", "key").join(catalog_keys.distinct(), ["kind", "key"])
-        listed = listed.join(rejected, ["gid", "entity_id"], "left_anti").select("gid", F.col("entity_id").alias("lo"), F.col("entity_id").alias("hi"))
+        met = met.join(_spread(rejected.groupBy("gid").agg(F.count("*").alias("less"))), "gid", "left")
+        listed = met.where(F.col("entities") <= F.col("less") + 1).select("gid", "kind", "key").join(_spread(catalog_keys.distinct()), ["kind", "key"])
+        listed = listed.join(_spread(rejected), ["gid", "entity_id"], "left_anti").select("gid", F.col("entity_id").alias("lo"), F.col("entity_id").alias("hi"))
         met = met.where(F.col("less").isNull() | (F.col("entities") > F.col("less") + 1)).select("gid", "lo", "hi").unionByName(listed)
     return met.groupBy("gid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi").select("gid", F.col("lo").alias("entity_id"))
 
@@ -199,15 +207,17 @@ def resolve_candidates(candidates: DataFrame, catalog: DataFrame, options: Optio
         said = decisions.lookup(groups.select("gid", F.col("norm").alias("surface"), "kind", "context"), log)
         said = cut(said)
         none = said.select("gid", F.explode("rejected").alias("entity_id"))
-        told = said.where("confirmed is not null").select("gid", F.col("confirmed").alias("entity_id")).join(known.select("entity_id"), "entity_id", "left_semi")
+        told = said.where("confirmed is not null").select("gid", F.col("confirmed").alias("entity_id")).join(_spread(known.select("entity_id")), "entity_id", "left_semi")
         resolved = cut(told.select("gid", "entity_id", F.lit("remembered").alias("basis"), F.lit(1.0).alias("score"), F.lit(False).alias("requires_review")))
     else:
         resolved = groups.where(F.lit(False)).select("gid", F.lit("").alias("entity_id"), F.lit("").alias("basis"), F.lit(0.0).alias("score"), F.lit(False).alias("requires_review"))
 
-    allowed = lambda hits: hits if none is None else hits.join(none, ["gid", "entity_id"], "left_anti")
-    left = lambda df: df.join(resolved, "gid", "left_anti")
+    allowed = lambda hits: hits if none is None else hits.join(_spread(none), ["gid", "entity_id"], "left_anti")
+    left = lambda df: df.join(_spread(resolved), "gid", "left_anti")
+    few = cat_forms.count() <= BROADCAST_FORMS
+    catalogued = lambda df: F.broadcast(df) if few else _spread(df)
 
-    exact = left(forms).join(cat_forms, (F.col("kind") == F.col("rkind")) & (F.col("form") == F.col("rform"))).select("gid", "entity_id", F.lit(1.0).alias("score"))
+    exact = left(forms).join(catalogued(cat_forms), (F.col("kind") == F.col("rkind")) & (F.col("form") == F.col("rform"))).select("gid", "entity_id", F.lit(1.0).alias("score"))
     resolved = resolved.unionByName(cut(_best(allowed(exact), "exact", F.col("entities") > 1).drop("entities")))  # a stage's hits are written once
 
     schemes = default_schemes() if options.phonetic_schemes is None else options.phonetic_schemes
@@ -220,28 +230,28 @@ def resolve_candidates(candidates: DataFrame, catalog: DataFrame, options: Optio
 
     big = options.lsh_cutover is not None and catalog.count() > options.lsh_cutover
     gated = left(groups).where(passes_entropy_gate(F.col("norm"), options.entropy_threshold)).select("gid")
-    sides = forms.join(gated, "gid", "left_semi").select(F.col("gid").alias("id"), "kind", "form"), cat_forms.select(F.col("entity_id").alias("rid"), "rkind", "rform")
-    close = fuzzy_pairs(*sides, options.fuzzy_threshold, big).groupBy(F.col("id").alias("gid"), F.col("rid").alias("entity_id")).agg(F.max("score").alias("score"))
+    sides = forms.join(_spread(gated), "gid", "left_semi").select(F.col("gid").alias("id"), "kind", "form"), cat_forms.select(F.col("entity_id").alias("rid"), "rkind", "rform")
+    close = fuzzy_pairs(sides[0], catalogued(sides[1]), options.fuzzy_threshold, big).groupBy(F.col("id").alias("gid"), F.col("rid").alias("entity_id")).agg(F.max("score").alias("score"))
     close = cut(allowed(close))
     top = close.groupBy("gid").agg(F.max("score").alias("top"))
-    near = close.join(top, "gid").groupBy("gid").agg(F.count_if(F.col("score") >= F.col("top") - options.ambiguity_margin).alias("rivals"))
-    fuzzy = _best(close, "fuzzy", F.lit(True)).drop("entities").join(near, "gid")
+    near = close.join(_spread(top), "gid").groupBy("gid").agg(F.count_if(F.col("score") >= F.col("top") - options.ambiguity_margin).alias("rivals"))
+    fuzzy = _best(close, "fuzzy", F.lit(True)).drop("entities").join(_spread(near), "gid")
     nominees = fuzzy
     resolved_fuzzy = resolved.unionByName(fuzzy.drop("rivals"))
 
     if options.embedder is not None:
-        waiting = cut(groups.join(resolved_fuzzy, "gid", "left_anti").select("gid", "kind", "label"))
+        waiting = cut(groups.join(_spread(resolved_fuzzy), "gid", "left_anti").select("gid", "kind", "label"))
         vec = cut(_embedded(waiting.select("label").union(known.select("label")), options.embedder))  # each label is embedded once
-        index = VectorIndex(known.select(F.col("entity_id").alias("id"), "kind", "label").join(vec, "label"))
-        asked = waiting.join(vec, "label").select(F.col("gid").alias("id"), "kind", "vec")
+        index = VectorIndex(known.select(F.col("entity_id").alias("id"), "kind", "label").join(_spread(vec), "label"))
+        asked = waiting.join(_spread(vec), "label").select(F.col("gid").alias("id"), "kind", "vec")
         if none is not None:
-            asked = asked.join(none.groupBy(F.col("gid").alias("id")).agg(F.collect_set("entity_id").alias("banned")), "id", "left")
+            asked = asked.join(_spread(none.groupBy(F.col("gid").alias("id")).agg(F.collect_set("entity_id").alias("banned"))), "id", "left")
         like = index.nearest(asked, 1, options.embedding_threshold, options.embedding_probes)
         found = cut(like.select(F.col("id").alias("gid"), F.col("near").alias("entity_id"), F.lit("embedding").alias("basis"), "score", F.lit(True).alias("requires_review")))
         nominees = nominees.unionByName(found.withColumn("rivals", F.lit(1).cast("long")))
 
     if options.judge is not None:
-        sure = nominees.where("rivals = 1").join(groups.select("gid", "label", "ordinal"), "gid").join(known.select("entity_id", F.col("label").alias("entity_label")), "entity_id")
+        sure = nominees.where("rivals = 1").join(_spread(groups.select("gid", "label", "ordinal")), "gid").join(_spread(known.select("entity_id", F.col("label").alias("entity_label"))), "entity_id")
         said = cut(judged(sure, options))
         nominees = nominees.join(said, "gid", "left").select(
             "gid", F.when(F.col("same").isNull() | F.col("same"), F.col("entity_id")).alias("entity_id"), F.when(F.col("same").isNull(), F.col("basis")).when(F.col("same"), "judge").otherwise("none").alias("basis"),
@@ -249,5 +259,5 @@ def resolve_candidates(candidates: DataFrame, catalog: DataFrame, options: Optio
         )
 
     resolved = resolved.unionByName(nominees.drop("rivals"))
-    out = keyed.select("ref", "gid").join(resolved, "gid", "left")
+    out = keyed.select("ref", "gid").join(_spread(resolved), "gid", "left")
     return out.select("ref", "entity_id", F.coalesce("basis", F.lit("none")).alias("basis"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("requires_review", F.lit(True)).alias("requires_review"))

@@ -201,3 +201,16 @@ def test_verified_pairs_reach_down_to_their_threshold(spark, tmp_path):
     spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
     scores = [r["score"] for r in QUERIES["lsh_verified_pairs"](spark, str(tmp_path)).collect()]
     assert min(scores) >= 0.6 and 0.615385 in scores
+
+
+def test_nothing_that_grows_is_broadcast(spark, tmp_path, monkeypatch):
+    """Few bytes of files may hold millions of names, so the planner's estimate must not choose a broadcast."""
+    plans = []
+    monkeypatch.setattr(resolve, "cut", lambda df, cut=resolve.cut: plans.append(df) or cut(df))
+    monkeypatch.setattr(resolve, "BROADCAST_FORMS", 2, raising=False)
+    spark.range(40).selectExpr("concat('name ', id % 7, ' of it') AS label", "cast(id AS string) AS ref", "'k' AS kind").write.parquet(f"{tmp_path}/names")
+    asked = spark.read.parquet(f"{tmp_path}/names")
+    catalog = asked.select(F.col("ref").alias("id"), "kind", F.concat("label", F.lit("s")).alias("label"), F.array().cast("array<string>").alias("aliases"))
+    out = resolve_candidates(asked, catalog, Options(fuzzy_threshold=0.5))
+    assert out.count() == 40
+    assert not [p for p in (d._jdf.queryExecution().executedPlan().toString() for d in [*plans, out]) if "Broadcast" in p]
