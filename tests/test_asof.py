@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from kinweave.operators import asof
 from kinweave.operators.asof import as_of_join
 
 START = dt.datetime(2024, 1, 1)
@@ -31,3 +32,19 @@ def test_as_of_join(spark, seed, levels):
     assert as_of_join(left.limit(0), right, [("who", "s")], "at").count() == 0
     with pytest.raises(ValueError, match="both sides"):
         as_of_join(left.withColumnRenamed("who", "S"), right, [("S", "s")], "at")
+
+
+@pytest.mark.parametrize("broadcast", [0, 50_000])
+@pytest.mark.parametrize("few", [0, 20, 1000])
+def test_large_and_small_keys(spark, monkeypatch, few, broadcast):
+    """Keys by the tree, and keys whose rows are few; only the instants of the former are multiplied."""
+    monkeypatch.setattr(asof, "BROADCAST_KEYS", broadcast, raising=False)
+    monkeypatch.setattr(asof, "BROADCAST_ROWS", broadcast, raising=False)
+    rnd = random.Random(9)
+    asked = [(k, rnd.choice(["hot", "a", "b", "c", None]), moment(rnd, 0.05)) for k in range(120)]
+    rows = [(k, rnd.choice(["hot", "hot", "hot", "a", "b", "d", None]), moment(rnd), moment(rnd, 0.4)) for k in range(150)]
+    left, right = spark.createDataFrame(asked, "q long, who string, at timestamp"), spark.createDataFrame(rows, "e long, s string, valid_at timestamp, invalid_at timestamp")
+    want = sorted((q, e) for q, who, at in asked for e, s, a, b in rows if who is not None and who == s and at is not None and (a is None or a <= at) and (b is None or b > at))
+    out = as_of_join(left, right, [("who", "s")], "at", few=few)
+    assert sorted(map(tuple, out.select("q", "e").collect())) == want
+    assert ("Generate explode" in out._jdf.queryExecution().executedPlan().toString()) == (few < 1000)
