@@ -6,8 +6,9 @@ the bits of all levels up to its own in its slice of the filter. A count is read
 level until one is missing. The slices are broadcast if together they stay below ``BROADCAST_BYTES``; a larger
 filter stays where it is, bucket by bucket, and the texts' distinct probes are sent to it, block by block of texts, with the same results.
 
-P(w | h) = (c(hw) + mu * P(w)) / (c(h) + mu), P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); mu is fitted on a
-bounded sample of training texts (``FIT_TEXTS``), with the token at hand left out of the counts.
+P(w | h) = (c(hw) + mu * P(w)) / (c(h) + mu), P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); mu is fitted on all
+training texts, with the token at hand left out of the counts. A token's likelihood depends on three levels alone, so
+it is enough to count how often each three occur; where the scored texts hold those of the training, that is done in passing.
 
 ``base_score`` uses exact counts: frequent tokens by a broadcast table of at most ``FREQUENT`` entries, the
 rest by a join. Tokens are told apart by 64-bit hashes. Null texts count as empty and have the end alone; null
@@ -39,8 +40,6 @@ BROADCAST_BYTES = 96 << 20
 BLOCK_BYTES, ASKED_BYTES = 4 << 20, 32 << 20
 #: Most tokens whose exact counts are broadcast (12 bytes each).
 FREQUENT = 1 << 18
-#: Texts that mu is fitted on, at most about.
-FIT_TEXTS = 2000
 MUS = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 512.0, 2048.0, 16384.0, 1e6)
 BITS_PER_EVENT, PROBES = 8, 4
 #: Bytes of text for each bucket of the counts, so that a bucket stays of one size as the input grows.
@@ -228,24 +227,26 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts[:-1]) if len(starts) > 1 else np.zeros(0)
 
 
-def _fit(held: Filter | None, texts: int, total: int, types: int):
-    """Log-likelihoods of sampled training texts for each mu, each token taken out of the counts it is scored with;
-    without a filter at hand, the levels come with the texts."""
+#: Bits of a level in a key of three, and what stands for the level before a text's first token.
+_LEVEL_BITS = 7
+_FIRST = (1 << _LEVEL_BITS) - 1
+
+
+def _tally(parts):
+    """How often each (token, token before, bigram) of levels occurs, from (levels of tokens, levels of bigrams, offsets of texts)."""
 
     def run(batches):
+        counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            sums = np.zeros(len(MUS))
-            for i, j, words, offsets in word_hashes(batch.column(0)):
-                tok, before, starts = _tokens(words, offsets)
-                if held is None:
-                    lu, lb = _answered(batch.column(1).slice(i, j - i))
-                else:
-                    lu, lb = held.levels(tok, 0), held.levels(_bigrams(before, tok), 1)
-                uni, big = STANDS[lu], STANDS[lb]
-                ctx = _context(uni, starts, texts)
-                less = [np.maximum(x - 1, 0) for x in (uni, ctx, big)]
-                sums += [np.log10(_probabilities(*less, mu, total, types)).sum() for mu in MUS]
-            yield pa.RecordBatch.from_arrays([pa.array([m]) for m in sums], names=[f"m{k}" for k in range(len(MUS))])
+            for lu, lb, starts in parts(batch):
+                before = np.empty_like(lu)
+                before[1:] = lu[:-1]
+                before[starts[:-1]] = _FIRST
+                more = np.bincount(lu << 2 * _LEVEL_BITS | before << _LEVEL_BITS | lb)
+                counts, more = (counts, more) if len(counts) >= len(more) else (more, counts)
+                counts[: len(more)] += more
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["levels", "n"])
 
     return run
 
@@ -253,7 +254,7 @@ def _fit(held: Filter | None, texts: int, total: int, types: int):
 _ADDED = [
     T.StructField("held_out", T.BooleanType()),
     T.StructField("n_tokens", T.LongType()),
-    T.StructField("score", T.DoubleType()),
+    T.StructField("__levels", T.BinaryType()),
     T.StructField("__known", T.LongType()),
     T.StructField("__base", T.DoubleType()),
     T.StructField("__rare", T.BinaryType()),
@@ -280,8 +281,7 @@ class LanguageModel:
             rows = self.slices.select("bucket", "slice").toLocalIterator()
             self.filter = spark.sparkContext.broadcast(Filter(((r["bucket"], r["slice"]) for r in rows), self.bits, self.filter_bytes))
         self._frequent()
-        share = int(min(1.0, FIT_TEXTS / max(1, self.texts)) * (1 << 20))
-        self.mu = self._fitted(texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share))
+        self._trained, self._mu = texts, None
 
     def _frequent(self) -> None:
         """Exact counts of the most frequent tokens: all from the lowest level on at which they are few enough."""
@@ -307,27 +307,45 @@ class LanguageModel:
 
         return self.slices.select("tok", "tok_n").mapInArrow(lean(run), "h long, c long")
 
-    def _fitted(self, sample: DataFrame) -> float:
-        held, texts, total, types = self.filter, self.texts, self.total, self.types
-        if held is None:
-            sample = self._routed(sample.withColumnRenamed("text", "__text"))
-
-        def run(batches):
-            yield from _fit(held.value if held else None, texts, total, types)(batches)
+    @property
+    def mu(self) -> float:
+        """Fitted on all training texts when first asked for."""
+        if self._mu is None:
+            held, texts = self.filter, self._trained
+            if held is None:
+                texts = self._routed(texts.withColumnRenamed("text", "__text"))
 
-        names = [f"m{k}" for k in range(len(MUS))]
-        r = sample.mapInArrow(lean(run), T.StructType([T.StructField(n, T.DoubleType()) for n in names])).agg(*(F.sum(n) for n in names)).first()
-        return MUS[int(np.argmax(list(r)))] if r[0] is not None else MUS[-1]
-
-    def score(self, docs: DataFrame, held: Column, text_col: str = "text", keep: Iterable[str] | None = None) -> DataFrame:
-        """Adds held_out, n_tokens, n_known, train_tokens, base_score and score to the columns ``keep``, or to all."""
+            def parts(batch):
+                for i, j, words, offsets in word_hashes(batch.column(0)):
+                    tok, before, starts = _tokens(words, offsets)
+                    own = _answered(batch.column(1).slice(i, j - i)) if held is None else (held.value.levels(tok, 0), held.value.levels(_bigrams(before, tok), 1))
+                    yield *own, starts
+
+            self._mu = self._fitted(texts.mapInArrow(lean(_tally(parts)), "levels long, n long"))
+        return self._mu
+
+    def _fitted(self, tallies: DataFrame) -> float:
+        """The mu under which the tokens are likeliest, each taken out of the counts that it is scored with."""
+        found = tallies.groupBy("levels").agg(F.sum("n").alias("n")).orderBy("levels").toArrow()  # a row for each three levels
+        at, n = found["levels"].to_numpy(), found["n"].to_numpy()
+        if not len(n):
+            return MUS[-1]
+        uni, before, big = (at >> k * _LEVEL_BITS & _FIRST for k in (2, 1, 0))
+        ctx = np.where(before == _FIRST, float(self.texts), STANDS[np.where(before == _FIRST, 0, before)])
+        less = [np.maximum(x - 1, 0) for x in (STANDS[uni], ctx, STANDS[big])]
+        return MUS[int(np.argmax([(n * np.log10(_probabilities(*less, mu, self.total, self.types))).sum() for mu in MUS]))]
+
+    def score(self, docs: DataFrame, held: Column, text_col: str = "text", keep: Iterable[str] | None = None, own: bool = False) -> DataFrame:
+        """Adds held_out, n_tokens, n_known, train_tokens, base_score and score to the columns ``keep``, or to all.
+
+        With ``own``, the rows that aren't held out are the training texts, and mu is fitted on their levels as they are found."""
         marked = docs.withColumn("held out", held)
         veil = Veil(marked if keep is None else marked.select(*dict.fromkeys((*keep, text_col)), "held out"))
         kept = veil.docs.columns[:-1] if keep is None else [veil.name(c) for c in keep]
-        return veil.lift(self._scored(veil.docs, F.col(veil.name("held out")), veil.name(text_col), kept))
+        return veil.lift(self._scored(veil.docs, F.col(veil.name("held out")), veil.name(text_col), kept, own))
 
-    def _scored(self, docs: DataFrame, held: Column, text_col: str, keep: Iterable[str]) -> DataFrame:
-        added = {f.name for f in _ADDED} | {"n_known", "train_tokens", "base_score"}
+    def _scored(self, docs: DataFrame, held: Column, text_col: str, keep: Iterable[str], own: bool) -> DataFrame:
+        added = {f.name for f in _ADDED} | {"n_known", "train_tokens", "base_score", "score"}
         kept = [c for c in keep if c not in added]
         at = len(kept)
         fields = [docs.schema[c] for c in kept]
@@ -336,7 +354,7 @@ class LanguageModel:
         if routed:
             marked = self._routed(marked)
         held_filter, frequent = self.filter, self.frequent
-        texts, total, types, mu = self.texts, self.total, self.types, self.mu
+        texts, total, types = self.texts, self.total, self.types
         z = total + 0.1 * (types + 1)
 
         def run(batches):
@@ -344,23 +362,45 @@ class LanguageModel:
             model = None if routed else held_filter.value
             for batch in batches:
                 for i, j, words, offsets in word_hashes(batch.column(at)):
-                    own = batch.slice(i, j - i)
+                    rows = batch.slice(i, j - i)
                     tok, before, starts = _tokens(words, offsets)
                     if routed:
-                        lu, lb = _answered(own.column(at + 2))
+                        lu, lb = _answered(rows.column(at + 2))
                     else:
                         lu, lb = model.levels(tok, 0), model.levels(_bigrams(before, tok), 1)
-                    uni = STANDS[lu]
-                    p = _probabilities(uni, _context(uni, starts, texts), STANDS[lb], mu, total, types)
+                    levels = [x.astype(np.uint8) for x in (lu, lb)]
+                    levels = [b"".join(x[a:b].tobytes() for x in levels) for a, b in itertools.pairwise(starts.tolist())]
                     place = np.minimum(np.searchsorted(top, tok), max(0, len(top) - 1))
                     known = top[place] == tok if len(top) else np.zeros(len(tok), dtype=bool)
                     c = np.where(known, top_n[place], 0) if len(top) else np.zeros(len(tok), np.int64)
                     base = _sums(np.where(known, np.log10((c + 0.1) / z), 0.0), starts)
                     rare = [tok[a:b][~known[a:b]].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                    cols = [own.column(at + 1), pa.array(np.diff(starts), pa.int64()), pa.array(_sums(np.log10(p), starts)), pa.array(_sums(known.astype(np.int64), starts).astype(np.int64)), pa.array(base), pa.array(rare, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(at)), *cols], names=[*kept, *(f.name for f in _ADDED)])
+                    cols = [rows.column(at + 1), pa.array(np.diff(starts), pa.int64()), pa.array(levels, pa.binary()), pa.array(_sums(known.astype(np.int64), starts).astype(np.int64)), pa.array(base), pa.array(rare, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(at)), *cols], names=[*kept, *(f.name for f in _ADDED)])
+
+        found = cut(marked.mapInArrow(lean(run), T.StructType([*fields, *_ADDED])))
+        if own and self._mu is None:
+
+            def parts(batch):
+                for lo in range(0, batch.num_rows, 1000):
+                    rows = batch.slice(lo, 1000)
+                    yield *_answered(rows.column(1)), np.concatenate([[0], np.cumsum(rows.column(0).to_numpy())])
+
+            self._mu = self._fitted(found.where("not held_out").select("n_tokens", "__levels").mapInArrow(lean(_tally(parts)), "levels long, n long"))
+        mu, names = self.mu, [f.name for f in found.schema if f.name not in ("__levels", "__rare")]
+
+        def weigh(batches):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1000):
+                    rows = batch.slice(lo, 1000)
+                    starts = np.concatenate([[0], np.cumsum(rows.column(at + 1).to_numpy())])
+                    lu, lb = _answered(rows.column(rows.schema.names.index("__levels")))
+                    uni = STANDS[lu]
+                    p = _probabilities(uni, _context(uni, starts, texts), STANDS[lb], mu, total, types)
+                    yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.names.index(c)) for c in (*names, "__row")), pa.array(_sums(np.log10(p), starts))], names=[*names, "__row", "score"])
 
-        scored = cut(marked.mapInArrow(lean(run), T.StructType([*fields, *_ADDED]))).withColumn("__row", F.monotonically_increasing_id())
+        scored = found.withColumn("__row", F.monotonically_increasing_id())
+        weighed = scored.drop("__rare").mapInArrow(lean(weigh), T.StructType([*(found.schema[c] for c in names), T.StructField("__row", T.LongType()), T.StructField("score", T.DoubleType())]))
 
         def unpack(batches):
             for batch in batches:
@@ -378,7 +418,7 @@ class LanguageModel:
         rare = scored.where(F.length("__rare") > 0).select("__row", "__rare").mapInArrow(lean(unpack), "__row long, h long, n long")
         joined = rare.join(self.counts().where(F.col("c") < self.least), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
         sums = joined.groupBy("__row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("__more"), F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(z))).alias("__rest"))
-        whole = scored.drop("__rare").join(sums, "__row", "left")
+        whole = weighed.join(sums, "__row", "left")
         return whole.select(
             *kept, "held_out", "n_tokens", (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
             F.lit(total).cast("long").alias("train_tokens"), (F.col("__base") + F.coalesce("__rest", F.lit(0.0))).alias("base_score"), "score",
@@ -481,7 +521,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every document, learning from those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = held_out(F.col("doc_id"))
-    return LanguageModel(docs, train=~held).score(docs, held, keep=["doc_id"])
+    return LanguageModel(docs, train=~held).score(docs, held, keep=["doc_id"], own=True)
 
 
 QUERIES = {"op7_bloom_lm": query}

@@ -557,3 +557,25 @@ def test_pipeline_stages_keep_columns_rows_and_empty_tables(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(rows) and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").isEmpty()
 
 
+
+
+def test_language_model_fits_mu_on_every_training_text(spark, monkeypatch):
+    """The tallies hold every training token, and mu is the likeliest by a plain sum over the tokens of all texts."""
+    rnd = random.Random(4)
+    d = spark.createDataFrame([(k, " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(9) * rnd.randrange(9)) for _ in range(rnd.randrange(12)))) for k in range(2500)], "doc_id long, text string").repartition(3)
+    held = lm_scoring.held_out(F.col("doc_id"))
+    seen = []
+    fitted = lm_scoring.LanguageModel._fitted
+    monkeypatch.setattr(lm_scoring.LanguageModel, "_fitted", lambda self, t: seen.append(t.agg(F.sum("n")).first()[0]) or fitted(self, t))
+    model, passing, routed = (lm_scoring.LanguageModel(d, train=~held, broadcast_bytes=b) for b in (None, None, 0))
+    scores = [sorted(map(tuple, m.score(d, held, keep=["doc_id"], own=own).select("doc_id", "score").collect())) for m, own in ((model, False), (passing, True), (routed, True))]
+    assert scores[0] == scores[1] == scores[2] and seen == [model.total] * 3 and model.mu == passing.mu == routed.mu
+    sums = np.zeros(len(lm_scoring.MUS))
+    for r in d.where(~held).collect():
+        hashed = next(iter(lm_scoring.word_hashes(lm_scoring.pa.array([r["text"]]))))
+        tok, before, starts = lm_scoring._tokens(hashed[2], hashed[3])
+        f = model.filter.value
+        uni, big = lm_scoring.STANDS[f.levels(tok, 0)], lm_scoring.STANDS[f.levels(lm_scoring._bigrams(before, tok), 1)]
+        less = [np.maximum(x - 1, 0) for x in (uni, lm_scoring._context(uni, starts, model.texts), big)]
+        sums += [np.log10(lm_scoring._probabilities(*less, mu, model.total, model.types)).sum() for mu in lm_scoring.MUS]
+    assert model.mu == lm_scoring.MUS[int(np.argmax(sums))]
