@@ -68,9 +68,11 @@ class GraphTables:
     def log(self, name: str) -> DataFrame:
         return self.spark.read.schema(f"{RELATIONS[name]}, version long, bucket int").parquet(f"{self.path}/{name}")
 
-    def _write(self, rows: DataFrame, path: str) -> None:
-        """Rows with their version, into the folders of their ids: a file for each folder."""
-        rows.withColumn("bucket", _bucket(F.col("id"))).repartition(BUCKETS, "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    def _write(self, rows: DataFrame, path: str, dealt: bool = False) -> None:
+        """Rows with their version, into the folders of their ids: from every task a file for each folder, or, with ``dealt``, a file for
+        each folder at the price of a shuffle. Batches of streams are dealt, as they are many and small."""
+        placed = rows.withColumn("bucket", _bucket(F.col("id")))
+        (placed.repartition(BUCKETS, "bucket") if dealt else placed).write.mode("append").partitionBy("bucket").parquet(path)
 
     def read(self, name: str) -> DataFrame:
         """The relation as it is; arrays that are missing are empty."""
@@ -105,7 +107,7 @@ class GraphTables:
         """The latest versions of a relation as the log of a store at ``path``, which goes on from it."""
         log = self.log(name).drop("bucket")
         top = log.groupBy("id").agg(F.max_by(F.struct(*log.columns), "version").alias("r")).select("r.*")
-        self._write(top, f"{path}/{name}")
+        self._write(top, f"{path}/{name}", dealt=True)
 
     def _filled(self, name: str, rows: DataFrame) -> DataFrame:
         """Whole records: ids and what else isn't given are made here, arrays keep order and repeats."""
@@ -139,7 +141,7 @@ class GraphTables:
             return
         if not self._exists(f"{staged}/rows/_SUCCESS"):
             rows.select(*_fields(name), F.lit(self._version()).alias("version")).write.mode("overwrite").parquet(f"{staged}/rows")
-        self._write(self.spark.read.schema(f"{RELATIONS[name]}, version long").parquet(f"{staged}/rows"), f"{self.path}/{name}")
+        self._write(self.spark.read.schema(f"{RELATIONS[name]}, version long").parquet(f"{staged}/rows"), f"{self.path}/{name}", dealt=True)
         self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{staged}/done")
 
     def create_sink(self, name: str, stream: str) -> Callable[[DataFrame, int], None]:
@@ -186,9 +188,11 @@ class GraphTables:
     def delete_documents(self, sources: DataFrame) -> DataFrame:
         """Take the support of the mentions of ``sources`` (source_id) from the edges; returns the reviews of those that lost some."""
         path = f"{self.path}/_reviews/{uuid.uuid4().hex}"
-        plan_document_deletion(self.read("edges"), self.read("mentions"), sources).write.parquet(path)  # before the edges change
+        mentions = self.log("mentions").select("id", "source_id")  # no version changes these, so any will do
+        plan_document_deletion(self.read("edges"), mentions, sources).write.parquet(path)  # before the edges change
         reviews = self.spark.read.parquet(path)
-        self.set_edge_support(reviews.select(F.col("edge_id").alias("id"), F.col("remaining_support").alias("support")))
+        changes = reviews.select(F.col("edge_id").alias("id"), F.col("remaining_support").alias("support"))
+        self.append("edges", self._changed("edges", changes, {"support": F.col("__support")}, there=True))  # ids that were read from the edges
         return reviews
 
     def get(self, name: str, id_: str) -> DataFrame:
@@ -205,13 +209,14 @@ class GraphTables:
     def current_edges(self, **where) -> DataFrame:
         return self.list("edges", **where).where("expired_at is null")
 
-    def _changed(self, name: str, changes: DataFrame, columns: dict[str, Column]) -> DataFrame:
-        """The records that ``changes`` names by id, changed; ids that aren't there are an error."""
-        there = self.read_some(name, changes)
-        missing = changes.select("id").join(there, "id", "left_anti").limit(5).collect()
-        if missing:
-            raise KeyError(f"{name} not found: {', '.join(r['id'] for r in missing)}")
-        return there.join(changes.withColumnsRenamed({c: f"__{c}" for c in changes.columns if c != "id"}), "id").withColumns(columns)
+    def _changed(self, name: str, changes: DataFrame, columns: dict[str, Column], there: bool = False) -> DataFrame:
+        """The records that ``changes`` names by id, changed; ids that aren't there are an error, unless they are known to be ``there``."""
+        found = self.read_some(name, changes)
+        if not there:
+            missing = changes.select("id").join(found, "id", "left_anti").limit(5).collect()
+            if missing:
+                raise KeyError(f"{name} not found: {', '.join(r['id'] for r in missing)}")
+        return found.join(changes.withColumnsRenamed({c: f"__{c}" for c in changes.columns if c != "id"}), "id").withColumns(columns)
 
     def _change(self, name: str, changes: DataFrame, columns: dict[str, Column]) -> None:
         self.append(name, self._changed(name, changes, columns))

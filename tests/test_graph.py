@@ -271,3 +271,16 @@ def test_lists_filter_in_the_scan_and_are_ordered(spark, tmp_path):
     joined = spark.sql("SELECT m.id FROM kept_mentions m JOIN kept_entities e ON m.entity_id = e.id WHERE m.source_id = 'd' AND e.kind = 'person' ORDER BY m.id")
     assert [r["id"] for r in joined.collect()] == ["m1", "m2"]
     assert "EqualTo(kind,person)" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deletion_compares_no_versions_of_mentions(spark, tmp_path, monkeypatch):
+    """Which source a mention has is the same in all its versions, and the edges that are reviewed are known to be there."""
+    store = GraphTables(spark, str(tmp_path))
+    store.migrate()
+    store.create_mentions(spark.createDataFrame([("m1", "d1"), ("m2", "d2")], "id string, source_id string"))
+    store.set_mention_status(spark.createDataFrame([("m1", "confirmed")], "id string, status string"))
+    store.create_edges(spark.createDataFrame([("e1", ["m1", "m2", "m1"])], "id string, support array<string>"))
+    read = []
+    monkeypatch.setattr(GraphTables, "read", lambda self, name, f=GraphTables.read: read.append(name) or f(self, name))
+    store.delete_documents(spark.createDataFrame([("d1",)], "source_id string"))
+    assert read == ["edges"] and [r["support"] for r in store.read("edges").collect()] == [["m2"]]
