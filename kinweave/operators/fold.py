@@ -179,10 +179,13 @@ def fold_whole(rows: DataFrame) -> DataFrame:
 
 
 def fold_pieces(rows: DataFrame, total: int, piece: int = PIECE) -> DataFrame:
-    """The same for keys of any size, the ``total`` of their rows dealt into pieces of about ``piece``."""
+    """The same for keys of any size, their ``total`` of rows dealt into pieces of up to ``piece``. Tasks that only read rows take several
+    pieces, so that small pieces don't make as many tasks."""
     by = [F.col("source_entity_id"), F.col("predicate"), F.col("old").desc(), F.col("ordinal"), F.col("id")]
-    dealt = rows.repartitionByRange(-(-total // piece), *by).sortWithinPartitions(*by)
-    dealt = cut(dealt.withColumns({"piece": F.spark_partition_id(), "seq": F.monotonically_increasing_id()}))
+    dealt = rows.repartitionByRange(-(-total // max(piece, PIECE)), *by).sortWithinPartitions(*by)
+    dealt = cut(dealt.withColumn("seq", F.monotonically_increasing_id()))  # the task, then 33 bits of the row's place in it
+    place = F.col("seq").bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = dealt.withColumn("piece", (F.shiftright("seq", 33) * F.lit(1 << 16) + F.floor(place / F.lit(piece))).cast("int"))
     before = Window.partitionBy("piece", "source_entity_id", "predicate").orderBy("seq")  # a piece is bounded
     again = (F.lag("target_entity_id").over(before) == F.col("target_entity_id")) & ~F.lag("old").over(before)
     brief = cut(dealt.withColumn("again", F.coalesce(again, F.lit(False))).where("not again").drop("again").withColumn("support", F.array().cast("array<string>")))

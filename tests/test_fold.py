@@ -73,3 +73,12 @@ def test_a_source_that_never_changes_needs_few_rounds(spark, monkeypatch):
     facts = [("hot", "home", dt.datetime(2024, 1, 1) + dt.timedelta(k % 7), [f"m{k}"], k) for k in range(600)]
     assert counted(folded(spark, facts, piece=20)) == plain_fold(facts)
     assert len(calls) < 10
+
+
+def test_small_pieces_make_no_more_tasks(spark, monkeypatch):
+    """Pieces bound what is folded at once, not how many tasks read the rows."""
+    tasks = []
+    monkeypatch.setattr(fold, "cut", lambda df, cut=fold.cut: [out := cut(df), tasks.append(out.rdd.getNumPartitions())][0])
+    facts = random_facts(3, 400, ["a", "b", "c"], 60, True)
+    assert counted(folded(spark, facts, piece=5)) == plain_fold(facts)
+    assert max(tasks) < 30
